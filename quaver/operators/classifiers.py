@@ -15,16 +15,23 @@ from quaver.operators.tfidf import MAX_TERMS, fit_idf, index_terms, term_counts,
 VOTERS = ("LR", "RF", "XGBOOST")
 
 
+# Convergence tolerance and feature scaling as in the published models.
+LINEAR = {"tol": 1e-4, "standardization": False}
+
+
 def estimator(name: str, rows: int, weight: str | None = None):
     """Classifier by name; a penalty of C = 1 becomes regParam = 1 / rows."""
     common = {"featuresCol": "features", "labelCol": "label"}
     if weight:
         common["weightCol"] = weight
+    penalty = {"regParam": 1.0 / max(rows, 1)}
     make = {
-        "SVM": lambda: LinearSVC(maxIter=2000, regParam=1.0 / rows, **common),
-        "LR": lambda: LogisticRegression(maxIter=1000, regParam=1.0 / rows, **common),
-        "M_LR": lambda: LogisticRegression(maxIter=1000, regParam=1.0 / rows, family="multinomial", **common),
-        "RF": lambda: RandomForestClassifier(numTrees=500, impurity="entropy", seed=0, **common),
+        "SVM": lambda: LinearSVC(maxIter=2000, **penalty, **LINEAR, **common),
+        "LR": lambda: LogisticRegression(maxIter=1000, **penalty, **LINEAR, **common),
+        "M_LR": lambda: LogisticRegression(maxIter=1000, family="multinomial", **penalty, **LINEAR, **common),
+        "RF": lambda: RandomForestClassifier(
+            numTrees=500, impurity="entropy", seed=0, maxDepth=30, maxMemoryInMB=1024, **common
+        ),
         "XGBOOST": lambda: GBTClassifier(maxDepth=2, maxIter=500, stepSize=1.0, seed=0, **common),
     }
     return make[name]()
@@ -42,9 +49,18 @@ def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return train.join(small(class_weights(train, label).select(label, "weight")), label)
 
 
+ROWS_PER_TASK = 5_000
+
+
+def _sized(train: DataFrame, rows: int) -> DataFrame:
+    """Fewer tasks for a small training table, whose iterations are all overhead."""
+    return train.coalesce(max(-(-rows // ROWS_PER_TASK), 1))
+
+
 def fit_predict(name: str, train: DataFrame, test: DataFrame, row_id: str, weight: str | None = None) -> DataFrame:
     """(row, label, model, prediction, probability of class 1 where the model has one)."""
-    model = estimator(name, train.count(), weight).fit(train)
+    rows = train.count()
+    model = estimator(name, rows, weight).fit(_sized(train, rows))
     scored = model.transform(test)
     probability = (
         F.get(vector_to_array("probability"), F.lit(1)) if "probability" in scored.columns else F.lit(None).cast("double")
@@ -95,8 +111,9 @@ def fit_grid(train: DataFrame, val: DataFrame, tests: dict[str, DataFrame], row_
     rows = None
     for level, test in tests.items():
         features = text_features(level_rows(train, level), [val, test], row_id)
+        n = features[0].count()
         for name in models:
-            fitted = estimator(name, features[0].count()).fit(features[0])
+            fitted = estimator(name, n).fit(_sized(features[0], n))
             score = lambda df: f1_summary(fitted.transform(df).select("label", "prediction"))  # noqa: B023, E731
             line = (
                 score(features[1])

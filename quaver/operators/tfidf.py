@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.ml.linalg import Vectors, VectorUDT
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaver.functions.text import word_ngrams
 from quaver.operators.bounded import small
@@ -55,15 +59,34 @@ def index_terms(idf: DataFrame) -> DataFrame:
     return idf.withColumn("index", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("term")) - 1).cast("int"))
 
 
-@F.pandas_udf(VectorUDT())
-def _sparse(size: pd.Series, indices: pd.Series, values: pd.Series) -> pd.Series:
-    return pd.Series([Vectors.sparse(int(n), i, v) for n, i, v in zip(size, indices, values)])
+def _pack(size: int, row_id: str, out: str):
+    """Arrow batches of (row, indices, values) to MLlib's sparse-vector layout."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            vector = pa.StructArray.from_arrays(
+                [
+                    pa.array(np.zeros(n, np.int8)),
+                    pa.array(np.full(n, size, np.int32)),
+                    batch.column("indices"),
+                    batch.column("values"),
+                ],
+                ["type", "size", "indices", "values"],
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(row_id), vector], [row_id, out])
+
+    return pack
 
 
 def to_vectors(weights: DataFrame, row_id: str, indexed: DataFrame, size: int, out: str = "features") -> DataFrame:
     """One sparse vector per row for MLlib."""
     entries = F.array_sort(F.collect_list(F.struct("index", "weight")))
     packed = weights.join(indexed.select("term", "index"), "term").groupBy(row_id).agg(entries.alias("__e"))
-    indices = F.transform("__e", lambda e: e["index"])
-    values = F.transform("__e", lambda e: e["weight"])
-    return packed.select(row_id, _sparse(F.lit(size), indices, values).alias(out))
+    parts = packed.select(
+        row_id,
+        F.transform("__e", lambda e: e["index"]).alias("indices"),
+        F.transform("__e", lambda e: e["weight"]).alias("values"),
+    )
+    schema = T.StructType([packed.schema[row_id], T.StructField(out, VectorUDT())])
+    return parts.mapInArrow(_pack(size, row_id, out), schema)

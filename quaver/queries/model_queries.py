@@ -1 +1,79 @@
-"""Queries."""
+"""Classifiers over TF-IDF features of documents and over embeddings.
+
+No SQL engine trains these models, so they have no SQL counterpart.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quaver.operators import classifiers as K
+from quaver.operators.bounded import settle
+from quaver.operators.metrics import f1_summary
+from quaver.operators.splits import noise_levels, stratified_split
+from quaver.queries import query, table
+from quaver.queries.common import corpus
+
+
+def _text_parts(spark, folder):
+    rows = corpus(spark, folder).select("row_id", "text", "label")
+    parts = settle(stratified_split(rows, "row_id"))
+    return {name: parts.filter(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
+
+
+def _text_model(spark, folder, name):
+    parts = _text_parts(spark, folder)
+    train, test = K.text_features(parts["train"], [parts["test"]], "row_id")
+    return K.fit_predict(name, train, test, "row_id")
+
+
+def _vector_parts(spark, folder):
+    e = table(spark, folder, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("label"))
+    rows = settle(K.from_arrays(stratified_split(e, "vec_id"), "embedding").drop("embedding"))
+    return rows.filter("split <> 'test'").drop("split"), rows.filter("split = 'test'").drop("split")
+
+
+def _scores(predictions):
+    return f1_summary(predictions, by=["model"])
+
+
+@query()
+def svm(spark, folder):
+    return _text_model(spark, folder, "SVM")
+
+
+@query()
+def lr(spark, folder):
+    return _text_model(spark, folder, "LR")
+
+
+@query()
+def rf(spark, folder):
+    return K.fit_predict("RF", *_vector_parts(spark, folder), "vec_id")
+
+
+@query()
+def gbt(spark, folder):
+    return K.fit_predict("XGBOOST", *_vector_parts(spark, folder), "vec_id")
+
+
+@query()
+def lr_weighted(spark, folder):
+    """Multinomial logistic regression with balanced class weights."""
+    train, test = _vector_parts(spark, folder)
+    return K.fit_predict("M_LR", K.with_class_weights(train), test, "vec_id", "weight")
+
+
+@query()
+def model_grid(spark, folder):
+    """Validation and test macro F1 of both text models, trained and tested per level."""
+    parts = _text_parts(spark, folder)
+    keys = ["row_id", "text", "label", "noise_level"]
+    clean = {k: v.withColumn("noise_level", F.lit("clean")) for k, v in parts.items()}
+    noisy = {k: noise_levels(parts[k], "row_id").select(keys) for k in ("train", "test")}
+    # A noisy copy is a row of its own.
+    own = lambda df: df.withColumn("row_id", F.concat_ws("/", "row_id", "noise_level"))
+    train = own(clean["train"].select(keys).unionByName(noisy["train"]))
+    tests = {"clean": own(clean["test"])}
+    tests |= {v: own(noisy["test"].filter(F.col("noise_level") == v)) for v in ("low", "medium", "high")}
+    return K.fit_grid(settle(train), own(clean["val"]), tests, "row_id")
