@@ -12,7 +12,11 @@ RANGE = 1 << 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``."""
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    Each evaluation also walks the body's type, so keep it out of per-element
+    lambdas with large bodies; chain ``transform`` over structs there.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -27,6 +31,17 @@ def quarter(hexdigest: Column, k: int | Column) -> Column:
     return F.conv(F.substring(hexdigest, start, F.lit(8)), 16, 10).cast("bigint")
 
 
+def quarter_hex(hexdigest: Column, k: int | Column) -> Column:
+    """Quarter ``k`` as 8 hex digits; their text order is their numeric order."""
+    start = k * F.lit(8) + F.lit(1) if isinstance(k, Column) else F.lit(8 * k + 1)
+    return F.substring(hexdigest, start, F.lit(8))
+
+
+def hex_limit(value: int) -> str:
+    """Bound to compare :func:`quarter_hex` with; 2**32 is above every draw."""
+    return "g" if value >= RANGE else f"{value:08x}"
+
+
 def threshold(probability: float) -> int:
     """Draws below this value happen with the given probability."""
     return int(probability * RANGE)

@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quaver.functions import fixed
-from quaver.functions.draws import RANGE, digest, let, pick, quarter, threshold
-from quaver.functions.text import tokens
+from quaver.functions.draws import RANGE, digest, hex_limit, let, pick, quarter, quarter_hex, threshold
+from quaver.functions.text import NOT_BLANK, tokens
 
 
 def _swap_first(word: Column, old: str, new: Column) -> Column:
@@ -21,17 +21,15 @@ def _swap_first(word: Column, old: str, new: Column) -> Column:
     return F.concat(F.substring(word, F.lit(1), at - 1), new, F.substring(word, at + len(old), F.length(word)))
 
 
-def char_substitution(word: Column, choice: Column, position: Column) -> Column:
-    """Swap the first confusable character group; else overwrite one character."""
-    return let(F.lower(word), lambda low: _substitute(word, low, choice, position))
+def char_substitution(word: Column, choice: Column, position: Column, low: Column | None = None) -> Column:
+    """Swap the first confusable character group; else overwrite one character.
 
-
-def _substitute(word: Column, low: Column, choice: Column, position: Column) -> Column:
-    out = None
+    ``low`` may carry the lower-cased word if it is already at hand.
+    """
+    low = F.lower(word) if low is None else low
+    out = F
     for old, *targets in fixed.CHARACTER_CONFUSIONS:
-        hit = F.instr(low, F.lit(old)) > 0
-        new = _swap_first(low, old, pick(targets, choice))
-        out = F.when(hit, new) if out is None else out.when(hit, new)
+        out = out.when(F.instr(low, F.lit(old)) > 0, _swap_first(low, old, pick(targets, choice)))
     at = (position % F.length(word)).cast("int") + 1
     overwritten = F.concat(
         F.substring(word, F.lit(1), at - 1),
@@ -91,11 +89,12 @@ def insert_filler(words: Column, choice: Column, position: Column) -> Column:
     return F.array_insert(words, at, pick(fixed.FILLERS, choice))
 
 
-def per_level(level: Column, values: dict[str, int]) -> Column:
+def per_level(level: Column, limits: dict[str, int]) -> Column:
+    """The level's limit as hex digits; an unknown level has no noise."""
     out = F
-    for name, value in values.items():
-        out = out.when(level == name, F.lit(value).cast("bigint"))
-    return out.otherwise(F.lit(0).cast("bigint"))
+    for name, value in limits.items():
+        out = out.when(level == name, hex_limit(value))
+    return out.otherwise(hex_limit(0))
 
 
 def token_limits() -> list[int]:
@@ -107,36 +106,55 @@ def token_limits() -> list[int]:
     return limits
 
 
-def map_words(text: Column, key: list, change: Callable[[Column, Column], Column]) -> Column:
-    """Apply ``change(word, digest)`` to every token and join by single spaces.
+def keyed_words(text: Column, key: list) -> Column:
+    """Array of (w, d): every token with the digest of the key and its position."""
+    return F.transform(tokens(text), lambda w, i: F.struct(w.alias("w"), digest(*key, i).alias("d")))
 
-    The digest depends on the key parts and the token's position only.
-    """
-    keyed = F.transform(tokens(text), lambda w, i: F.struct(w.alias("w"), digest(*key, i).alias("d")))
-    return F.array_join(F.transform(keyed, lambda s: change(s["w"], s["d"])), " ")
+
+def map_words(text: Column, key: list, change: Callable[[Column, Column], Column]) -> Column:
+    """Apply ``change(word, digest)`` to every token and join by single spaces."""
+    return F.array_join(F.transform(keyed_words(text, key), lambda s: change(s["w"], s["d"])), " ")
 
 
 def token_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, float] | None = None) -> Column:
-    """Corrupt each token with the level's probability by one weighted error."""
+    """Corrupt each token with the level's probability by one weighted error.
+
+    Limits are compared as hex text; draws become numbers only in hit tokens.
+    """
     text, level, row_id = (c if isinstance(c, Column) else F.col(c) for c in (text, level, row_id))
-    hit_below = {k: threshold(v) for k, v in (rates or fixed.TOKEN_RATES).items()}
-    substitute, split, delete, filler, _ = token_limits()
+    hit_below = per_level(level, {k: threshold(v) for k, v in (rates or fixed.TOKEN_RATES).items()})
+    substitute, split, delete, filler = (hex_limit(v) for v in token_limits()[:4])
+
+    # Pass 1: which tokens are hit (null digest: left alone); pass 2: lower case
+    # and operator draw of the hit ones; pass 3: the change itself.
+    hits = F.transform(
+        keyed_words(text, [seed, level, row_id]),
+        lambda s: F.struct(s["w"].alias("w"), F.when(quarter_hex(s["d"], 0) < hit_below, s["d"]).alias("d")),
+    )
+    drawn = F.transform(
+        hits,
+        lambda s: F.struct(
+            s["w"].alias("w"),
+            s["d"].alias("d"),
+            F.when(s["d"].isNotNull(), F.lower(s["w"])).alias("low"),
+            quarter_hex(s["d"], 1).alias("op"),
+        ),
+    )
 
-    def corrupt(w: Column, d: Column) -> Column:
-        op, choice, position = quarter(d, 1), quarter(d, 2), quarter(d, 3)
-        return F.when(quarter(d, 0) >= per_level(level, hit_below), w).otherwise(
-            let(
-                op,
-                lambda o: F.when(o < substitute, char_substitution(w, choice, position))
-                .when(o < split, word_split(w, position))
-                .when(o < delete, F.when(~F.lower(w).isin(fixed.FUNCTION_WORDS), w))
-                .when(o < filler, F.concat(w, F.lit(" "), pick(fixed.FILLERS, choice)))
-                .otherwise(transliteration_variant(w, choice)),
-            )
+    def corrupt(s: Column) -> Column:
+        w, d, low, op = s["w"], s["d"], s["low"], s["op"]
+        choice, position = quarter(d, 2), quarter(d, 3)
+        return (
+            F.when(d.isNull(), w)
+            .when(op < substitute, char_substitution(w, choice, position, low))
+            .when(op < split, word_split(w, position))
+            .when(op < delete, F.when(~low.isin(fixed.FUNCTION_WORDS), w))
+            .when(op < filler, F.concat(w, F.lit(" "), pick(fixed.FILLERS, choice)))
+            .otherwise(transliteration_variant(w, choice))
         )
 
-    noisy = map_words(text, [seed, level, row_id], corrupt)
-    return F.when(F.size(tokens(text)) == 0, text).otherwise(noisy)
+    noisy = F.array_join(F.transform(drawn, corrupt), " ")
+    return F.when(text.rlike(NOT_BLANK), noisy).otherwise(text)
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -149,32 +167,26 @@ def char_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, flo
     """
     text, level, row_id = (c if isinstance(c, Column) else F.col(c) for c in (text, level, row_id))
     rates = rates or fixed.CHARACTER_RATES
-    limits = [{k: int(v * n / 4 * RANGE) for k, v in rates.items()} for n in (1, 2, 3, 4)]
+    cut = [per_level(level, {k: int(v * n / 4 * RANGE) for k, v in rates.items()}) for n in (1, 2, 3, 4)]
 
-    def corrupt(c: Column, u: Column) -> Column:
-        letter = F.substring(F.lit(LETTERS), (u % len(LETTERS)).cast("int") + 1, F.lit(1))
-        cut = [per_level(level, lim) for lim in limits]
+    def corrupt(s: Column) -> Column:
+        c, u = s["c"], s["u"]
+        letter = F.substring(F.lit(LETTERS), (F.conv(u, 16, 10).cast("bigint") % len(LETTERS)).cast("int") + 1, F.lit(1))
         return (
-            F.when(u >= cut[3], c)
+            F.when(u.isNull(), c)
             .when(u < cut[0], letter)
             .when(u < cut[1], F.concat(c, letter))
             .when(u < cut[2], F.lit(""))
             .otherwise(F.concat(c, F.lit(" ")))
         )
 
+    def drawn(ds: Column, c: Column, i: Column) -> Column:
+        u = quarter_hex(F.get(ds, F.shiftright(i, 2)), i.bitwiseAND(F.lit(3)))
+        return F.struct(c.alias("c"), F.when(u < cut[3], u).alias("u"))
+
     digests = F.transform(
-        F.sequence(F.lit(0), F.floor(F.length(text) / 4).cast("int")), lambda b: digest(seed, level, row_id, "c", b)
-    )
-    noisy = let(
-        digests,
-        lambda ds: F.array_join(
-            F.transform(
-                F.split(text, ""),
-                lambda c, i: let(
-                    quarter(F.get(ds, F.floor(i / 4).cast("int")), i % 4), lambda u: corrupt(c, u)
-                ),
-            ),
-            "",
-        ),
+        F.sequence(F.lit(0), F.shiftright(F.length(text), 2)), lambda b: digest(seed, level, row_id, "c", b)
     )
+    draws = let(digests, lambda ds: F.transform(F.split(text, ""), lambda c, i: drawn(ds, c, i)))
+    noisy = F.array_join(F.transform(draws, corrupt), "")
     return F.when(F.length(text) == 0, text).otherwise(noisy)

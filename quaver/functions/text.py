@@ -18,6 +18,7 @@ SPACES = (
     r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 SPACE_RUN = f"[{SPACES}]+"
+NOT_BLANK = f"[^{SPACES}]"
 URL = f"https?://[^{SPACES}]+"
 MENTION = "@[A-Za-z0-9_]+"
 HASHTAG = r"[^\n]*?(#[\p{L}\p{N}_]+)|[^\n]+"

@@ -6,11 +6,11 @@ Everything starts from one confusion count per group, the only pass over rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import fixed
 from quaver.functions.draws import digest
+from quaver.operators.bounded import settle
 from quaver.operators.ordering import batch_id, rank_by_ordinal, running_total
 
 
@@ -155,22 +155,32 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.corr(x, y).alias("pearson"))
 
 
-def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Rank with ties sharing their mean rank.
+def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct value pairs and how many rows hold each, stored once."""
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return settle(known.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w")))
 
-    Equal values are counted first, so a value held by many rows is one row of
-    the ranked table.
+
+def average_rank(cells: DataFrame, column: str, weight: str, out: str) -> DataFrame:
+    """(value, rank) with ties sharing their mean rank.
+
+    A value held by many rows is one row here, with its weight.
     """
-    sizes = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = cells.groupBy(column).agg(F.sum(weight).alias("__n"))
     ranked = rank_by_ordinal(sizes, column, "__r")
     summed = running_total(ranked, [], "__r", "__n", "__before")
-    ranks = summed.select(F.col(column), (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(out))
-    return df.join(ranks, column)
+    return summed.select(column, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    ranked = average_rank(average_rank(df.select(x, y), x, "__x"), y, "__y")
-    return ranked.agg(F.corr("__x", "__y").alias("spearman"))
+    """Pearson correlation of average ranks."""
+    cells = _cells(df, x, y)
+    ranked = cells.join(average_rank(cells, "x", "w", "rx"), "x").join(average_rank(cells, "y", "w", "ry"), "y")
+    # Average ranks have the mean (n + 1) / 2 on both sides.
+    middle = (cells.agg(F.sum("w")).first()[0] or 0) / 2.0 + 0.5
+    a, b = F.col("rx") - middle, F.col("ry") - middle
+    both = F.sum(F.col("w") * a * b)
+    return ranked.agg((both / F.sqrt(F.sum(F.col("w") * a * a) * F.sum(F.col("w") * b * b))).alias("spearman"))
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -180,7 +190,7 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     binary, such a pair shares a prefix and then differs in one bit, so for each
     bit the pairs are running counts over x within the prefix.
     """
-    cells = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w"))
+    cells = _cells(df, x, y)
     xs = rank_by_ordinal(cells.groupBy("x").agg(F.sum("w").alias("wx")), "x", "xr")
     ys = rank_by_ordinal(cells.groupBy("y").agg(F.sum("w").alias("wy")), "y", "yr")
     bits = max(ys.agg(F.max("yr")).first()[0] or 0, 1).bit_length()

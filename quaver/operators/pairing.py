@@ -95,13 +95,13 @@ def pair_inner(clean: DataFrame, noisy: DataFrame) -> DataFrame:
     the result grows with the distinct rows, not with their product. Use
     :func:`expand_pairs` for one row per combination.
     """
+    # Counting the text itself leaves out nulls without computing it twice.
     key = text_key("text_original").alias("__k")
-    left = clean.filter(F.col("text_original").isNotNull() & F.col("text").isNotNull() & F.col("label").isNotNull())
-    left = left.groupBy(key, "text_original", "text", "label").agg(F.count(F.lit(1)).alias("__l"))
-    right = noisy.filter(F.col("text_original").isNotNull() & F.col("text").isNotNull())
-    right = right.groupBy(key, F.col("text").alias("text_noisy"), F.col("noise_level").alias("noise_level_noisy")).agg(
-        F.count(F.lit(1)).alias("__r")
-    )
+    left = clean.filter(F.col("text_original").isNotNull() & F.col("label").isNotNull())
+    left = left.groupBy(key, "text_original", "text", "label").agg(F.count("text").alias("__l")).filter("__l > 0")
+    right = noisy.filter(F.col("text_original").isNotNull())
+    right = right.groupBy(key, F.col("text").alias("text_noisy"), F.col("noise_level").alias("noise_level_noisy"))
+    right = right.agg(F.count("text").alias("__r")).filter("__r > 0")
     return left.join(right, "__k").select(
         "text_original",
         "text",

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaver.functions.text import word_ngrams
+from quaver.functions.text import tokens
 from quaver.operators.bounded import small
 from quaver.operators.tables import top_terms
 
@@ -20,13 +20,24 @@ MAX_TERMS = 100_000
 
 
 def term_counts(df: DataFrame, row_id: str, text: str = "text", low: int = 2, high: int = 4) -> DataFrame:
-    """(row, term, tf). A row's terms meet in its own task, so they are counted
-    before the shuffle."""
-    return (
-        df.select(row_id, F.explode(word_ngrams(text, low, high)).alias("term"))
-        .groupBy(row_id, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    """(row, term, tf) of the character n-grams inside each text's words.
+
+    The texts are partitioned by row once; words are counted first and n-grams
+    taken from distinct words, all inside the row's partition.
+    """
+    words = (
+        df.select(row_id, text)
+        .repartition(row_id)
+        .select(row_id, F.explode(tokens(F.lower(text))).alias("__w"))
+        .groupBy(row_id, "__w")
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
+    padded = words.select(row_id, "__n", F.concat(F.lit(" "), "__w", F.lit(" ")).alias("__p"))
+    # A padded word has no n-grams longer than itself.
+    sized = padded.withColumn("__k", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.length("__p")))))
+    placed = sized.withColumn("__i", F.explode(F.sequence(F.lit(1), F.length("__p") - F.col("__k") + 1)))
+    grams = placed.select(row_id, F.substring("__p", F.col("__i"), F.col("__k")).alias("term"), "__n")
+    return grams.groupBy(row_id, "term").agg(F.sum("__n").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, k: int = MAX_TERMS) -> DataFrame:
