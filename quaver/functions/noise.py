@@ -125,24 +125,16 @@ def token_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, fl
     hit_below = per_level(level, {k: threshold(v) for k, v in (rates or fixed.TOKEN_RATES).items()})
     substitute, split, delete, filler = (hex_limit(v) for v in token_limits()[:4])
 
-    # Pass 1: which tokens are hit (null digest: left alone); pass 2: lower case
-    # and operator draw of the hit ones; pass 3: the change itself.
-    hits = F.transform(
-        keyed_words(text, [seed, level, row_id]),
-        lambda s: F.struct(s["w"].alias("w"), F.when(quarter_hex(s["d"], 0) < hit_below, s["d"]).alias("d")),
-    )
-    drawn = F.transform(
-        hits,
-        lambda s: F.struct(
-            s["w"].alias("w"),
-            s["d"].alias("d"),
-            F.when(s["d"].isNotNull(), F.lower(s["w"])).alias("low"),
-            quarter_hex(s["d"], 1).alias("op"),
-        ),
-    )
+    # First mark the hit tokens (a null digest means: leave alone), then change them.
+    def mark(s: Column) -> Column:
+        hit = quarter_hex(s["d"], 0) < hit_below
+        return F.struct(s["w"].alias("w"), F.when(hit, s["d"]).alias("d"), F.when(hit, F.lower(s["w"])).alias("low"))
+
+    marked = F.transform(keyed_words(text, [seed, level, row_id]), mark)
 
     def corrupt(s: Column) -> Column:
-        w, d, low, op = s["w"], s["d"], s["low"], s["op"]
+        w, d, low = s["w"], s["d"], s["low"]
+        op = quarter_hex(d, 1)
         choice, position = quarter(d, 2), quarter(d, 3)
         return (
             F.when(d.isNull(), w)
@@ -153,7 +145,7 @@ def token_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, fl
             .otherwise(transliteration_variant(w, choice))
         )
 
-    noisy = F.array_join(F.transform(drawn, corrupt), " ")
+    noisy = F.array_join(F.transform(marked, corrupt), " ")
     return F.when(text.rlike(NOT_BLANK), noisy).otherwise(text)
 
 
@@ -169,24 +161,19 @@ def char_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, flo
     rates = rates or fixed.CHARACTER_RATES
     cut = [per_level(level, {k: int(v * n / 4 * RANGE) for k, v in rates.items()}) for n in (1, 2, 3, 4)]
 
-    def corrupt(s: Column) -> Column:
-        c, u = s["c"], s["u"]
+    def corrupt(ds: Column, c: Column, i: Column) -> Column:
+        u = quarter_hex(F.get(ds, F.shiftright(i, 2)), i.bitwiseAND(F.lit(3)))
         letter = F.substring(F.lit(LETTERS), (F.conv(u, 16, 10).cast("bigint") % len(LETTERS)).cast("int") + 1, F.lit(1))
         return (
-            F.when(u.isNull(), c)
+            F.when(u >= cut[3], c)
             .when(u < cut[0], letter)
             .when(u < cut[1], F.concat(c, letter))
             .when(u < cut[2], F.lit(""))
             .otherwise(F.concat(c, F.lit(" ")))
         )
 
-    def drawn(ds: Column, c: Column, i: Column) -> Column:
-        u = quarter_hex(F.get(ds, F.shiftright(i, 2)), i.bitwiseAND(F.lit(3)))
-        return F.struct(c.alias("c"), F.when(u < cut[3], u).alias("u"))
-
     digests = F.transform(
         F.sequence(F.lit(0), F.shiftright(F.length(text), 2)), lambda b: digest(seed, level, row_id, "c", b)
     )
-    draws = let(digests, lambda ds: F.transform(F.split(text, ""), lambda c, i: drawn(ds, c, i)))
-    noisy = F.array_join(F.transform(draws, corrupt), "")
+    noisy = let(digests, lambda ds: F.array_join(F.transform(F.split(text, ""), lambda c, i: corrupt(ds, c, i)), ""))
     return F.when(F.length(text) == 0, text).otherwise(noisy)

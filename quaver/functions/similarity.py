@@ -19,7 +19,7 @@ PREFIX_LIMIT = 4
 PREFIX_WEIGHT = 0.1
 BOOST_ABOVE = 0.7
 SHORT = 24  # longest word scored in the vectorised path
-_CELLS = 4_000_000  # largest comparison block, in cells
+_BLOCK = 8192  # pairs scored together
 
 
 def _by_pointers(a: str, b: str) -> float:
@@ -72,27 +72,20 @@ def _boosted(m, swaps, len_a, len_b, prefix):
     return jaro + prefix * PREFIX_WEIGHT * (1.0 - jaro) if jaro > BOOST_ABOVE else jaro
 
 
-def _codes(words: np.ndarray) -> np.ndarray:
-    width = max(words.dtype.itemsize // 4, 1)
-    return np.ascontiguousarray(words).view(np.uint32).reshape(len(words), width)
-
-
-def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaro-Winkler of aligned arrays of short non-empty words."""
-    ca, cb = _codes(a), _codes(b)
-    la, lb = (ca > 0).sum(1), (cb > 0).sum(1)
+def _block(ca: np.ndarray, cb: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler of aligned short non-empty words, given as padded code points."""
     reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
     cols = np.arange(cb.shape[1])
-    rows = np.arange(len(a))
+    rows = np.arange(len(ca))
     hit_a = np.zeros(ca.shape, bool)
-    hit_b = np.zeros(cb.shape, bool)
+    open_b = cb > 0
     for i in range(ca.shape[1]):
-        ch = ca[:, i]
-        open_ = (cb == ch[:, None]) & (ch > 0)[:, None] & ~hit_b & (np.abs(cols - i) <= reach[:, None])
-        found = open_.any(1)
-        first = open_.argmax(1)
-        hit_a[found, i] = True
-        hit_b[rows[found], first[found]] = True
+        match = (cb == ca[:, i, None]) & open_b & (np.abs(cols - i) <= reach[:, None])
+        first = match.argmax(1)
+        found = match[rows, first]
+        hit_a[:, i] = found
+        open_b[rows[found], first[found]] = False
+    hit_b = (cb > 0) & ~open_b
     m = hit_a.sum(1)
     seq_a = np.take_along_axis(ca, np.argsort(~hit_a, axis=1, kind="stable"), 1)
     seq_b = np.take_along_axis(cb, np.argsort(~hit_b, axis=1, kind="stable"), 1)
@@ -107,26 +100,34 @@ def _block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(m == 0, 0.0, score)
 
 
+def _score_ids(words: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of word pairs given as positions in ``words``; equal pairs once."""
+    keys, back = np.unique(a.astype(np.int64) * len(words) + b, return_inverse=True)
+    a, b = keys // len(words), keys % len(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    long_ = (lengths > SHORT) | np.fromiter(("\0" in w for w in words), bool, len(words))
+    table = np.array(["" if x else w for w, x in zip(words, long_)] + ["x"])
+    codes = table.view(np.uint32).reshape(len(table), -1)
+    out = np.ones(len(keys))
+    differ = a != b
+    out[differ & ((lengths[a] == 0) | (lengths[b] == 0))] = 0.0
+    for k in np.flatnonzero(differ & (long_[a] | long_[b])):
+        out[k] = _by_pointers(words[a[k]], words[b[k]])
+    short = np.flatnonzero(differ & ~long_[a] & ~long_[b] & (lengths[a] > 0) & (lengths[b] > 0))
+    # Like lengths together, so that a block is no wider than it must be.
+    short = short[np.argsort(np.maximum(lengths[a[short]], lengths[b[short]]), kind="stable")]
+    for lo in range(0, len(short), _BLOCK):
+        ks = short[lo : lo + _BLOCK]
+        la, lb = lengths[a[ks]], lengths[b[ks]]
+        out[ks] = _block(codes[a[ks], : la.max()], codes[b[ks], : lb.max()], la, lb)
+    return out[back]
+
+
 def jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
     """Jaro-Winkler similarity of aligned word lists."""
-    out = np.ones(len(a))
-    short = []
-    for k, (x, y) in enumerate(zip(a, b)):
-        if x == y:
-            continue
-        if not x or not y:
-            out[k] = 0.0
-        elif max(len(x), len(y)) > SHORT or "\0" in x or "\0" in y:
-            out[k] = _by_pointers(x, y)
-        else:
-            short.append(k)
-    if short:
-        short.sort(key=lambda k: max(len(a[k]), len(b[k])))
-        step = max(_CELLS // (SHORT * SHORT), 1)
-        for lo in range(0, len(short), step):
-            ks = short[lo : lo + step]
-            out[ks] = _block(np.array([a[k] for k in ks]), np.array([b[k] for k in ks]))
-    return out
+    index: dict[str, int] = {}
+    ids = [np.fromiter((index.setdefault(w, len(index)) for w in side), np.int64, len(side)) for side in (a, b)]
+    return _score_ids(list(index), *ids) if index else np.empty(0)
 
 
 # The whitespace characters of quaver.functions.text.SPACES.
@@ -137,8 +138,9 @@ _SPLIT = re.compile(
 
 def _mean_similarity(left: pd.Series, right: pd.Series) -> np.ndarray:
     result = np.full(len(left), np.nan)
-    index: dict[tuple[str, str], int] = {}
-    rows = []
+    index: dict[str, int] = {}
+    number = index.setdefault
+    first, second, rows, counts, longest = [], [], [], [], []
     for k, (x, y) in enumerate(zip(left, right)):
         if x is None or y is None:
             continue
@@ -147,13 +149,16 @@ def _mean_similarity(left: pd.Series, right: pd.Series) -> np.ndarray:
         if not p or not q:
             result[k] = 1.0
             continue
-        ids = [index.setdefault(pair, len(index)) for pair in zip(p, q)]
-        rows.append((k, np.array(ids), max(len(p), len(q))))
-    if index:
-        firsts, seconds = zip(*index)
-        scores = jaro_winkler_many(list(firsts), list(seconds))
-        for k, ids, n in rows:
-            result[k] = scores[ids].sum() / n
+        n = min(len(p), len(q))
+        first.extend([number(w, len(index)) for w in p[:n]])
+        second.extend([number(w, len(index)) for w in q[:n]])
+        rows.append(k)
+        counts.append(n)
+        longest.append(max(len(p), len(q)))
+    if rows:
+        scores = _score_ids(list(index), np.array(first), np.array(second))
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        result[rows] = np.add.reduceat(scores, starts) / longest
     return result
 
 
