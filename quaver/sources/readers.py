@@ -99,14 +99,15 @@ def read_threads(spark: SparkSession, root: str) -> DataFrame:
     A file that does not parse is skipped, like a thread that lacks one.
     """
     keys = ["split", "topic", "thread"]
-    data = _thread_files(spark, root, "data.json").select(
-        *keys, F.from_json("value", THREAD_SCHEMA).alias("__t")
-    )
+    schema = T.StructType([*THREAD_SCHEMA.fields, T.StructField("__bad", T.StringType())])
+    parsed = F.from_json("value", schema, {"columnNameOfCorruptRecord": "__bad"})
+    data = _thread_files(spark, root, "data.json").select(*keys, parsed.alias("__t"))
+    data = data.filter(F.col("__t").isNotNull() & F.col("__t.__bad").isNull())
     labels = _thread_files(spark, root, "labels.json").select(
         *keys, F.from_json("value", LABEL_SCHEMA).alias("labels")
     )
-    both = data.join(labels, keys).filter(F.col("__t").isNotNull() & F.col("labels").isNotNull())
-    return both.select(*keys, "__t.*", "labels")
+    both = data.join(labels.filter(F.col("labels").isNotNull()), keys)
+    return both.select(*keys, "__t.*", "labels").drop("__bad")
 
 
 def read_tagged_blocks(spark: SparkSession, path) -> DataFrame:
