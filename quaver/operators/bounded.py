@@ -26,11 +26,13 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back from there.
 
     Use it where several branches read one costly result. The folder is the one
-    the session names in spark.checkpoint.dir; a temporary one is made only when
-    that is unset.
+    the session names in spark.checkpoint.dir; only a local session that names
+    none gets a temporary one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quaver-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -51,8 +51,11 @@ def anchor_pairs(train: DataFrame, order: list[str], condition: str = "all", kee
     clean_side = _clean_anchors(clean, canonical_partner(noisy, order, keep), keys)
     known = clean.select(text_key("text").alias("__k")).distinct().withColumn("__known", F.lit(True))
     paired = F.coalesce(F.col("__known"), F.lit(False))
+    # Rows without an original match nothing; a key of their own keeps them from
+    # meeting in one task.
+    spread = F.coalesce(text_key("text_original"), F.concat_ws("|", F.lit("none"), *order))
     noisy_side = (
-        noisy.withColumn("__k", text_key("text_original"))
+        noisy.withColumn("__k", spread)
         .join(known, "__k", "left")
         .select(
             *keys,

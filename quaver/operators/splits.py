@@ -116,10 +116,23 @@ def restrict_to_texts(noisy: DataFrame, clean: DataFrame) -> DataFrame:
     return noisy.withColumn("__k", text_key("text_original")).join(wanted, "__k", "left_semi").drop("__k")
 
 
+def _as_clean(train: DataFrame) -> DataFrame:
+    return train.withColumn("noise_level", F.lit("clean")).withColumn("text_original", F.lit(None).cast("string"))
+
+
 def augment_train(train: DataFrame, noisy: DataFrame) -> DataFrame:
-    """Clean training rows plus the noisy copies of their texts."""
-    clean = train.withColumn("noise_level", F.lit("clean")).withColumn("text_original", F.lit(None).cast("string"))
-    return clean.unionByName(restrict_to_texts(noisy, train), allowMissingColumns=True)
+    """Clean training rows plus those rows of a stored noisy table that copy their texts."""
+    return _as_clean(train).unionByName(restrict_to_texts(noisy, train), allowMissingColumns=True)
+
+
+def augment_from(train: DataFrame, source: DataFrame, row_id: str, levels=LEVELS, seed: int = fixed.SEED) -> DataFrame:
+    """Like :func:`augment_train`, with the noise made here.
+
+    Source rows are restricted to training texts first, so each is moved once
+    and corrupted afterwards, not once per level with its noisy text.
+    """
+    wanted = restrict_to_texts(source.withColumn("text_original", F.col("text")), train).drop("text_original")
+    return _as_clean(train).unionByName(noise_levels(wanted, row_id, levels, seed), allowMissingColumns=True)
 
 
 def split_statistics(clean: DataFrame, train: DataFrame, val: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:

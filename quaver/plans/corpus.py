@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaver.functions import fixed
 from quaver.functions.text import clean_text, junk_class, longer_than, strip_zero_width
 from quaver.operators.bounded import settle
-from quaver.operators.splits import augment_train, noise_levels, split_statistics, stratified_split
+from quaver.operators.splits import augment_from, noise_levels, split_statistics, stratified_split
 from quaver.operators.tables import keep_first, language_subset
 from quaver.sources.adapters import adapt_all
 from quaver.sources.readers import read_csv
@@ -47,8 +47,7 @@ def build_splits(corpus: DataFrame, row_id: str = "row_id", seed: int = fixed.SE
     """Split the corpus, add noisy copies to train, corrupt the test part per level."""
     parts = settle(stratified_split(corpus, row_id, "label", seed))
     pick = lambda name: parts.filter(F.col("split") == name).drop("split")
-    noisy = noise_levels(noisy_source(corpus), row_id, seed=seed)
-    train = augment_train(pick("train"), noisy)
+    train = augment_from(pick("train"), noisy_source(corpus), row_id, seed=seed)
     clean = lambda df: df.withColumn("noise_level", F.lit("clean"))
     tests = noise_levels(pick("test"), row_id, seed=seed)
     return {

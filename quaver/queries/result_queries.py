@@ -27,11 +27,11 @@ _WIDE = ", ".join(f"avg(CASE WHEN test_noise = '{v}' THEN test_f1_macro END) AS
 @query(
     f"""WITH {RESULTS}, p AS (SELECT model, {_WIDE} FROM r GROUP BY model)
     SELECT model, round(clean, 4) AS clean, round(low, 4) AS low, round(medium, 4) AS medium, round(high, 4) AS high,
-      round(clean - high, 4) AS degradation, round((round(clean, 4) + round(low, 4) + round(medium, 4) + round(high, 4)) / 4, 4) AS average FROM p"""
+      round(clean - high, 4) AS degradation, round((round(clean, 4) + round(low, 4) + round(medium, 4) + round(high, 4)) / 4, 6) AS average FROM p"""
 )
 def results_pivot(spark, folder):
     wide = R.condition_average(R.results_pivot(result_rows(spark, folder)))
-    return wide.withColumn("average", F.round("average", 4))
+    return wide.withColumn("average", F.round("average", 6))
 
 
 @query(

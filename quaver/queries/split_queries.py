@@ -90,11 +90,11 @@ AUGMENTED = f"""{C.CORPUS}, {QUOTAS}, {_NOISY_TRAIN},
 
 
 def augmented(spark, folder):
-    """Augmented training rows of the labelled documents, stored once."""
+    """Augmented training rows of the labelled documents."""
     rows = corpus(spark, folder).select("row_id", "text", "label")
     train = S.stratified_split(rows, "row_id").filter("split = 'train'").drop("split")
     columns = ["row_id", "noise_level", "text", "text_original", "label"]
-    return S.augment_train(train, S.noise_levels(rows, "row_id")).select(columns)
+    return S.augment_from(train, rows, "row_id").select(columns)
 
 
 @query(f"WITH {AUGMENTED} SELECT * FROM train")
@@ -114,6 +114,6 @@ def split_stats(spark, folder):
     rows = corpus(spark, folder)
     parts = settle(S.stratified_split(rows.select("row_id", "text", "label"), "row_id"))
     pick = lambda name: parts.filter(F.col("split") == name)
-    train = S.augment_train(pick("train"), S.noise_levels(rows.select("row_id", "text", "label"), "row_id"))
+    train = S.augment_from(pick("train"), rows.select("row_id", "text", "label"), "row_id")
     stats = S.split_statistics(rows, train, pick("val"), pick("test"))
     return stats.withColumn("value", F.round("value", 6))

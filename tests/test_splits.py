@@ -96,6 +96,8 @@ def test_augmentation_keeps_train_texts_only(rows):
     levels = {r.noise_level: r["count"] for r in out.groupBy("noise_level").count().collect()}
     assert levels == {"clean": 2, "low": 2, "medium": 2, "high": 2}
     assert out.filter("noise_level = 'clean' AND text_original IS NOT NULL").count() == 0
+    made_here = S.augment_from(train, every, "row_id")
+    assert {tuple(r) for r in made_here.select(out.columns).collect()} == {tuple(r) for r in out.collect()}
 
 
 def test_split_statistics(rows):
