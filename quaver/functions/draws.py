@@ -25,6 +25,16 @@ def digest(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
+def key_prefix(*parts) -> Column:
+    """The part of a digest's key that is the same for a whole row."""
+    return F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts], F.lit(""))
+
+
+def digest_at(prefix: Column, position: Column) -> Column:
+    """Digest of the prefix's parts and a position."""
+    return F.md5(F.concat(prefix, position.cast("string")))
+
+
 def quarter(hexdigest: Column, k: int | Column) -> Column:
     """Quarter ``k`` (0..3) of a digest as an integer in [0, 2**32)."""
     start = k * F.lit(8) + F.lit(1) if isinstance(k, Column) else F.lit(8 * k + 1)

@@ -12,7 +12,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quaver.functions import fixed
-from quaver.functions.draws import RANGE, digest, hex_limit, let, pick, quarter, quarter_hex, threshold
+from quaver.functions.draws import (
+    RANGE,
+    digest_at,
+    hex_limit,
+    key_prefix,
+    let,
+    pick,
+    quarter,
+    quarter_hex,
+    threshold,
+)
 from quaver.functions.text import NOT_BLANK, tokens
 
 
@@ -106,9 +116,13 @@ def token_limits() -> list[int]:
     return limits
 
 
+def _keyed(text: Column, prefix: Column) -> Column:
+    return F.transform(tokens(text), lambda w, i: F.struct(w.alias("w"), digest_at(prefix, i).alias("d")))
+
+
 def keyed_words(text: Column, key: list) -> Column:
     """Array of (w, d): every token with the digest of the key and its position."""
-    return F.transform(tokens(text), lambda w, i: F.struct(w.alias("w"), digest(*key, i).alias("d")))
+    return let(key_prefix(*key), lambda prefix: _keyed(text, prefix))
 
 
 def map_words(text: Column, key: list, change: Callable[[Column, Column], Column]) -> Column:
@@ -124,14 +138,13 @@ def token_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, fl
     text, level, row_id = (c if isinstance(c, Column) else F.col(c) for c in (text, level, row_id))
     hit_below = per_level(level, {k: threshold(v) for k, v in (rates or fixed.TOKEN_RATES).items()})
     substitute, split, delete, filler = (hex_limit(v) for v in token_limits()[:4])
+    row = F.struct(key_prefix(seed, level, row_id).alias("prefix"), hit_below.alias("limit"))
 
     # First mark the hit tokens (a null digest means: leave alone), then change them.
-    def mark(s: Column) -> Column:
-        hit = quarter_hex(s["d"], 0) < hit_below
+    def mark(s: Column, limit: Column) -> Column:
+        hit = quarter_hex(s["d"], 0) < limit
         return F.struct(s["w"].alias("w"), F.when(hit, s["d"]).alias("d"), F.when(hit, F.lower(s["w"])).alias("low"))
 
-    marked = F.transform(keyed_words(text, [seed, level, row_id]), mark)
-
     def corrupt(s: Column) -> Column:
         w, d, low = s["w"], s["d"], s["low"]
         op = quarter_hex(d, 1)
@@ -145,7 +158,12 @@ def token_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, fl
             .otherwise(transliteration_variant(w, choice))
         )
 
-    noisy = F.array_join(F.transform(marked, corrupt), " ")
+    noisy = let(
+        row,
+        lambda r: F.array_join(
+            F.transform(F.transform(_keyed(text, r["prefix"]), lambda s: mark(s, r["limit"])), corrupt), " "
+        ),
+    )
     return F.when(text.rlike(NOT_BLANK), noisy).otherwise(text)
 
 
@@ -160,6 +178,8 @@ def char_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, flo
     text, level, row_id = (c if isinstance(c, Column) else F.col(c) for c in (text, level, row_id))
     rates = rates or fixed.CHARACTER_RATES
     cut = [per_level(level, {k: int(v * n / 4 * RANGE) for k, v in rates.items()}) for n in (1, 2, 3, 4)]
+    blocks = F.sequence(F.lit(0), F.shiftright(F.length(text), 2))
+    digests = let(key_prefix(seed, level, row_id, "c"), lambda prefix: F.transform(blocks, lambda b: digest_at(prefix, b)))
 
     def corrupt(ds: Column, c: Column, i: Column) -> Column:
         u = quarter_hex(F.get(ds, F.shiftright(i, 2)), i.bitwiseAND(F.lit(3)))
@@ -172,8 +192,5 @@ def char_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, flo
             .otherwise(F.concat(c, F.lit(" ")))
         )
 
-    digests = F.transform(
-        F.sequence(F.lit(0), F.shiftright(F.length(text), 2)), lambda b: digest(seed, level, row_id, "c", b)
-    )
     noisy = let(digests, lambda ds: F.array_join(F.transform(F.split(text, ""), lambda c, i: corrupt(ds, c, i)), ""))
     return F.when(F.length(text) == 0, text).otherwise(noisy)
