@@ -175,6 +175,12 @@ def _text_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_mean_similarity(a, b))
 
 
+# Marked so that a later filter is not pushed below them, which would copy the
+# call, and the texts computed for it, into the filter.
+_word_udf = _word_udf.asNondeterministic()
+_text_udf = _text_udf.asNondeterministic()
+
+
 def jaro_winkler(a, b) -> Column:
     """Similarity of two words in [0, 1]."""
     return _word_udf(a, b)

@@ -104,3 +104,13 @@ def test_split_statistics(rows):
     part = rows([(1,), (0,), (0,), (1,)], "label INT")
     stats = {r.metric: r.value for r in S.split_statistics(part, part, part.limit(1), part.limit(2)).collect()}
     assert stats["total_clean"] == 4 and stats["val_size"] == 1 and stats["hate_ratio_train"] == 0.5
+
+
+def test_lookups_too_large_to_broadcast(skewed, monkeypatch):
+    from quaver.operators import bounded
+
+    split = parts(S.stratified_split(skewed, "row_id"))
+    ranks = {r.row_id: r.position for r in O.rank_by_hash(skewed.select("row_id"), "row_id").collect()}
+    monkeypatch.setattr(O, "small", lambda df: bounded.small(df, 0))
+    assert parts(S.stratified_split(skewed, "row_id")) == split
+    assert {r.row_id: r.position for r in O.rank_by_hash(skewed.select("row_id"), "row_id").collect()} == ranks
