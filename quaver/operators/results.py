@@ -14,11 +14,13 @@ from quaver.operators.tables import level_code
 CONDITIONS = tuple(fixed.LEVEL_CODES)
 
 
-def results_pivot(results: DataFrame, model="model", condition="test_noise", score="test_f1_macro") -> DataFrame:
+def results_pivot(
+    results: DataFrame, model="model", condition="test_noise", score="test_f1_macro", digits: int = 4
+) -> DataFrame:
     """Mean score per model and condition, with the clean-to-high degradation."""
     wide = results.groupBy(model).pivot(condition, list(CONDITIONS)).agg(F.avg(score))
     return wide.withColumn("degradation", F.col("clean") - F.col("high")).select(
-        model, *[F.round(c, 4).alias(c) for c in (*CONDITIONS, "degradation")]
+        model, *[F.round(c, digits).alias(c) for c in (*CONDITIONS, "degradation")]
     )
 
 

@@ -24,14 +24,15 @@ RESULTS = f"{SUMMARY}, r AS (SELECT model, test_noise, seed, round(macro_f1, 6):
 _WIDE = ", ".join(f"avg(CASE WHEN test_noise = '{v}' THEN test_f1_macro END) AS {v}" for v in R.CONDITIONS)
 
 
+# Six digits: means of three seeds can end in a tie at four, which engines round differently.
 @query(
     f"""WITH {RESULTS}, p AS (SELECT model, {_WIDE} FROM r GROUP BY model)
-    SELECT model, round(clean, 4) AS clean, round(low, 4) AS low, round(medium, 4) AS medium, round(high, 4) AS high,
-      round(clean - high, 4) AS degradation, round((round(clean, 4) + round(low, 4) + round(medium, 4) + round(high, 4)) / 4, 6) AS average FROM p"""
+    SELECT model, round(clean, 6) AS clean, round(low, 6) AS low, round(medium, 6) AS medium, round(high, 6) AS high,
+      round(clean - high, 6) AS degradation, round((round(clean, 6) + round(low, 6) + round(medium, 6) + round(high, 6)) / 4, 8) AS average FROM p"""
 )
 def results_pivot(spark, folder):
-    wide = R.condition_average(R.results_pivot(result_rows(spark, folder)))
-    return wide.withColumn("average", F.round("average", 6))
+    wide = R.condition_average(R.results_pivot(result_rows(spark, folder), digits=6))
+    return wide.withColumn("average", F.round("average", 8))
 
 
 @query(
