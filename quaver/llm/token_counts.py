@@ -65,15 +65,17 @@ def _counter(path: str):
         return [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
     with open(path, encoding="utf-8") as f:
-        if not _splits_on_space(json.load(f)):
-            return encode
+        file = json.load(f)
+    if not _splits_on_space(file):
+        return encode
+    special = tuple(t["content"].lower() for t in file.get("added_tokens", []))
     memo: dict[str, int] = {"": 0}
 
     def by_word(texts):
         if len(memo) > MEMO_WORDS:
             memo.clear()
             memo[""] = 0
-        split = [_pieces(x) for x in texts]
+        split = [_pieces(x, special) for x in texts]
         new = list({w for ws in split for w in ws if w not in memo})
         memo.update(zip(new, encode(new), strict=True))
         return [sum(map(memo.__getitem__, ws)) for ws in split]
@@ -86,14 +88,16 @@ _HIGH = re.compile("[\u0300-\U0010ffff]")
 _MARKS = re.compile(r"(?<=[a-z\u00df-\u00f6])([^\w\s]+)(?!\S)")
 
 
-def _pieces(text: str) -> list[str]:
+def _pieces(text: str, special: tuple[str, ...] = ()) -> list[str]:
     """Parts between white space (only what every engine counts as such), in few spellings.
 
     The file lower-cases anyway, and a run of marks between a letter and white space is a part of
-    its own.
+    its own. Special strings are looked for before that, so texts that hold one stay as they are.
     """
     if not _HIGH.search(text):
-        text = _MARKS.sub(r" \1", text.lower())
+        low = text.lower()
+        if not any(x in low for x in special):
+            text = _MARKS.sub(r" \1", low)
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
