@@ -40,3 +40,24 @@ def op6_token_counts(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     counted = token_counts(docs, tokenizer_file("word_bpe_49k.json"), new_path(spark, "token-cache"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query()
+def op7_pii_anchors(spark, folder):
+    from quaver.llm.pii import BASE, kind_count, pii_spans, span_list
+
+    found = pii_spans(table(spark, folder, "documents").select("doc_id", "text"), mask=False)
+    s = F.col("pii_spans")
+    return found.select(
+        "doc_id",
+        *[kind_count(s, k).alias(f"n_{k}") for k in BASE],
+        F.sha2(span_list(s, base_only=True), 256).alias("base_sha256"),
+        span_list(s).alias("spans"),
+    )
+
+
+@query()
+def op10_best_fit(spark, folder):
+    from quaver.llm.packing import best_fit, word_length
+
+    return best_fit(table(spark, folder, "documents").select("doc_id", word_length(F.col("text")).alias("n_tokens")))
