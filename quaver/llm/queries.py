@@ -61,3 +61,25 @@ def op10_best_fit(spark, folder):
     from quaver.llm.packing import best_fit, word_length
 
     return best_fit(table(spark, folder, "documents").select("doc_id", word_length(F.col("text")).alias("n_tokens")))
+
+
+def held_out(modulus: int, remainder: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
+
+
+@query()
+def op1_byte_cnn(spark, folder):
+    from quaver.llm.language_id import fit_languages, predict_languages
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", held_out(3, 1).alias("held_out"))
+    net = fit_languages(docs.where(~F.col("held_out")))
+    found = predict_languages(docs.drop("lang"), net)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query()
+def op4_pigeonhole(spark, folder):
+    from quaver.llm.decontamination import contaminated
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return contaminated(docs, table(spark, folder, "benchmark"))
