@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Edits per character of an item.
-EDIT_RATE = 0.05
+EDIT_RATE = 0.08
 #: Shortest piece; items that would need shorter ones get a smaller edit budget.
 LEAST_PIECE = 10
 #: Characters of items that one pass over the documents takes.
