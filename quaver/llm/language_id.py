@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaver.llm.common import text_groups
 
@@ -212,5 +213,5 @@ def predict_languages(docs: DataFrame, net: ByteNet, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "lang_score"])
 
     slim = docs.select(*kept, has_letter(F.col(text)).alias("__letter"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    return slim.mapInArrow(run, f"{fields}, lang_pred STRING, lang_score DOUBLE")
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return slim.mapInArrow(run, schema)

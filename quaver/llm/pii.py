@@ -13,11 +13,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The base kinds, in the order in which digests list them; the rest are found by cues.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "userinfo")
-SPANS = "ARRAY<STRUCT<kind: STRING, start: BIGINT, end: BIGINT>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 #: Words after which an identifier is expected.
 CUES = ("account", "acct", "iban", "ssn", "passport", "user id", "customer id", "token", "api_key", "api key", "password")
 
@@ -212,8 +213,8 @@ def pii_spans(docs: DataFrame, text: str = "text", mask: bool = True) -> DataFra
                 columns.append(pa.array([masked(t, s) for t, s in zip(texts, spans, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, pii_spans {SPANS}" + ", pii_masked STRING" * mask)
+    added = [T.StructField("pii_spans", SPANS), *[T.StructField("pii_masked", T.StringType())] * mask]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def span_list(spans, base_only: bool = False):

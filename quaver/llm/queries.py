@@ -83,3 +83,11 @@ def op4_pigeonhole(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return contaminated(docs, table(spark, folder, "benchmark"))
+
+
+@query()
+def op3_lsh_forest(spark, folder):
+    from quaver.llm.lsh_forest import near_duplicates
+
+    found = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), size=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
