@@ -91,3 +91,25 @@ def op3_lsh_forest(spark, folder):
 
     found = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), size=3, percent=85)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def span_total(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+@query()
+def op8_suffix_array(spark, folder):
+    from quaver.llm.suffix_dedup import later_bytes
+
+    found = later_bytes(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", span_total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query()
+def op9_recompression(spark, folder):
+    from quaver.llm.recompression import repeated_words
+
+    found = repeated_words(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", span_total("spans").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
