@@ -113,3 +113,11 @@ def op9_recompression(spark, folder):
 
     found = repeated_words(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", span_total("spans").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op2_nn_descent(spark, folder):
+    from quaver.llm.nn_descent import near_vectors
+
+    found = near_vectors(table(spark, folder, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
