@@ -22,11 +22,16 @@ NOT_BLANK = f"[^{SPACES}]"
 URL = f"https?://[^{SPACES}]+"
 MENTION = "@[A-Za-z0-9_]+"
 HASHTAG = r"[^\n]*?(#[\p{L}\p{N}_]+)|[^\n]+"
-EMOJI = (
+# One emoji: a flag, or a sign with its tone and joined signs.
+_SIGN = (
     r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F700}-\x{1F77F}"
     r"\x{1F7E0}-\x{1F7EB}\x{1F90C}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{2600}-\x{27BF}"
     r"\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}\x{2B55}\x{231A}\x{231B}\x{23E9}-\x{23F3}"
-    r"\x{23F8}-\x{23FA}\x{FE0F}\x{200D}\x{20E3}]+"
+    r"\x{23F8}-\x{23FA}]"
+)
+_TONED = _SIGN + r"[\x{1F3FB}-\x{1F3FF}]?\x{FE0F}?"
+EMOJI = (
+    r"(?:[\x{1F1E6}-\x{1F1FF}][\x{1F1E6}-\x{1F1FF}]|" + _TONED + r"(?:\x{200D}" + _TONED + r")*|[0-9#*]\x{FE0F}?\x{20E3})"
 )
 ZERO_WIDTH = "\u200b"
 

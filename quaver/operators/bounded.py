@@ -1,38 +1,14 @@
-"""Checked broadcasts and durable cut points."""
+"""Reuse of results that several branches read."""
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-SMALL_ROWS = 100_000
-
-
-def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcast if it has at most ``limit`` rows.
-
-    The check reads at most ``limit + 1`` rows. A larger table is returned as it
-    is, so that the join falls back to a shuffle.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back from there.
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep ``df`` while several branches read it; blocks of lost executors are made again.
 
-    Use it where several branches read one costly result. The folder is the one
-    the session names in spark.checkpoint.dir; only a local session that names
-    none gets a temporary one.
+    The caller may release it with ``unpersist``. Its rows must not depend on partitions.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quaver-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.operators.bounded import settle, small
+from quaver.operators.bounded import reuse
 from quaver.operators.metrics import f1_summary, majority_vote
 from quaver.operators.tables import class_weights, level_rows
 from quaver.operators.tfidf import MAX_TERMS, fit_idf, index_terms, term_counts, to_vectors, weigh
@@ -46,21 +46,22 @@ def from_arrays(df: DataFrame, array: str, label: str = "label") -> DataFrame:
 
 def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Balanced class weight of each row."""
-    return train.join(small(class_weights(train, label).select(label, "weight")), label)
+    return train.join(F.broadcast(class_weights(train, label).select(label, "weight")), label)
 
 
-ROWS_PER_TASK = 5_000
+#: Parts of a training table. Bagging is seeded per part, so their number and rows are fixed by content.
+TRAIN_PARTS = 64
 
 
-def _sized(train: DataFrame, rows: int) -> DataFrame:
-    """Fewer tasks for a small training table, whose iterations are all overhead."""
-    return train.coalesce(max(-(-rows // ROWS_PER_TASK), 1))
+def by_content(train: DataFrame, row_id: str, parts: int = TRAIN_PARTS) -> DataFrame:
+    """Training rows dealt to a stated number of parts by row id, in order: models don't depend on the input's partitions."""
+    return train.repartition(parts, row_id).sortWithinPartitions(row_id)
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, row_id: str, weight: str | None = None) -> DataFrame:
     """(row, label, model, prediction, probability of class 1 where the model has one)."""
     rows = train.count()
-    model = estimator(name, rows, weight).fit(_sized(train, rows))
+    model = estimator(name, rows, weight).fit(by_content(train, row_id))
     scored = model.transform(test)
     probability = (
         F.get(vector_to_array("probability"), F.lit(1)) if "probability" in scored.columns else F.lit(None).cast("double")
@@ -93,17 +94,20 @@ def classify(name: str, train: DataFrame, test: DataFrame, row_id: str) -> DataF
 
 def text_features(train: DataFrame, others: list[DataFrame], row_id: str, k: int = MAX_TERMS) -> list[DataFrame]:
     """TF-IDF vectors of the training rows and, with the same vocabulary, of others."""
-    counts = settle(term_counts(train, row_id))
-    indexed = settle(index_terms(fit_idf(counts, train, k)))
+    counts = reuse(term_counts(train, row_id))
+    indexed = reuse(index_terms(fit_idf(counts, train, k)))
     size = indexed.count()
-    vocabulary = small(indexed, MAX_TERMS)
+    vocabulary = F.broadcast(indexed)  # MAX_TERMS rows at most
 
     def vectors(rows: DataFrame, terms: DataFrame) -> DataFrame:
         weights = weigh(terms, row_id, vocabulary.select("term", "idf"))
         packed = to_vectors(weights, row_id, vocabulary, size)
-        return rows.select(row_id, F.col("label").cast("double").alias("label")).join(packed, row_id)
+        # A text without a term of the vocabulary is a row all the same.
+        empty = array_to_vector(F.array_repeat(F.lit(0.0), size))
+        joined = rows.select(row_id, F.col("label").cast("double").alias("label")).join(packed, row_id, "left")
+        return joined.withColumn("features", F.coalesce("features", empty))
 
-    return [settle(vectors(train, counts)), *[settle(vectors(o, term_counts(o, row_id))) for o in others]]
+    return [reuse(vectors(train, counts)), *[reuse(vectors(o, term_counts(o, row_id))) for o in others]]
 
 
 def fit_grid(train: DataFrame, val: DataFrame, tests: dict[str, DataFrame], row_id: str, models=("SVM", "LR")) -> DataFrame:
@@ -113,7 +117,7 @@ def fit_grid(train: DataFrame, val: DataFrame, tests: dict[str, DataFrame], row_
         features = text_features(level_rows(train, level), [val, test], row_id)
         n = features[0].count()
         for name in models:
-            fitted = estimator(name, n).fit(_sized(features[0], n))
+            fitted = estimator(name, n).fit(by_content(features[0], row_id))
             score = lambda df: f1_summary(fitted.transform(df).select("label", "prediction"))  # noqa: B023, E731
             line = (
                 score(features[1])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,25 +11,18 @@ from quaver.functions import fixed
 from quaver.functions import vectors as V
 from quaver.operators.ordering import batch_id
 
+#: A batch meets itself, so its pairs grow with the square of this.
 MAX_BATCH = 4096
 
 
-def _vector_sum(group: DataFrame, keys: list[str], vector: str, out: str, aggregate=F.sum) -> DataFrame:
-    """Element-wise aggregate per group; elements are combined before the shuffle."""
-    long = group.select(*keys, F.posexplode(vector).alias("__i", "__x"))
-    sums = long.groupBy(*keys, "__i").agg(aggregate("__x").alias("__x"))
-    ordered = F.array_sort(F.collect_list(F.struct("__i", "__x")))
-    return sums.groupBy(*keys).agg(F.transform(ordered, lambda s: s["__x"]).alias(out))
-
-
 def mean_pool(df: DataFrame, keys: list[str], vector: str, mask: Column | None = None, out: str = "pooled") -> DataFrame:
-    """Mean vector per group over the rows whose mask is set.
+    """Mean vector per group over the rows whose mask is set; vectors of a group have one length.
 
-    The work per group is bounded by the vector length, however many rows a
-    group has.
+    A vector sum is one aggregate buffer per group and task, so a hot group is combined before it moves.
     """
     kept = df if mask is None else df.filter(mask)
-    return _vector_sum(kept, keys, vector, out, F.avg)
+    mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))
+    return kept.filter(F.col(vector).isNotNull()).groupBy(*keys).agg(vector_to_array(mean).alias(out))
 
 
 def masked_mean(vectors, mask) -> Column:
@@ -50,15 +43,12 @@ def context_sum(
     ``text`` has (row_id, vector); ``contexts`` has (row_id, vector[, weight]).
     Without a weight column a context counts by its cosine distance to the text.
     """
-    ctx = contexts.withColumnRenamed(vector, "__ctx")
-    joined = ctx.join(text, row_id)
+    joined = contexts.withColumnRenamed(vector, "__ctx").join(text, row_id)
     w = F.col(weight) if weight else V.cosine_distance(vector, "__ctx")
-    terms = joined.withColumn("__w", w).select(
-        row_id, F.transform("__ctx", lambda x: x).alias("__ctx"), "__w"
-    )
-    weighted = terms.select(row_id, V.scale("__ctx", F.col("__w")).alias(vector))
-    parts = text.select(row_id, vector).unionByName(weighted)
-    return _vector_sum(parts, [row_id], vector, out)
+    scaled = joined.select(row_id, V.scale("__ctx", w).alias("__term"))
+    total = Summarizer.sum(array_to_vector(F.col("__term").cast("array<double>")))
+    sums = scaled.filter("__term IS NOT NULL").groupBy(row_id).agg(vector_to_array(total).alias("__sum"))
+    return text.select(row_id, vector).join(sums, row_id, "left").select(row_id, V.add(vector, "__sum").alias(out))
 
 
 def add_features(left: DataFrame, right: DataFrame, row_id: str, vector: str, out: str = "features") -> DataFrame:
@@ -78,22 +68,6 @@ def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in left.columns if c in set(right.columns)]
 
 
-def _batch_score(clean: np.ndarray, noisy: np.ndarray, phi: np.ndarray, temperature: float) -> float:
-    n = len(phi)
-    if n < 2:
-        return 0.0
-    both = np.concatenate([clean, noisy])
-    both = both / np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-12)
-    scores = both @ both.T / temperature
-    np.fill_diagonal(scores, -np.inf)
-    top = scores.max(axis=1, keepdims=True)
-    denominator = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
-    partner = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
-    losses = denominator - scores[np.arange(2 * n), partner]
-    weights = np.concatenate([phi, phi])
-    return float((weights * losses).sum() / max(weights.sum(), 1e-8))
-
-
 def alignment(
     pairs: DataFrame,
     ordinal: str,
@@ -105,20 +79,25 @@ def alignment(
 ) -> DataFrame:
     """Weighted contrastive alignment of clean and noisy vectors per batch.
 
-    Pairs are compared within consecutive batches of a fixed size, so a group
-    never exceeds ``batch_size`` rows.
+    A vector's loss is the log of the summed exponentials of its scaled cosines with all other vectors of the
+    batch, less the scaled cosine with its partner; a batch is the mean of losses weighted by phi, 0 if
+    it is a single pair. Vectors meet within consecutive batches of a fixed size only.
     """
     if not 1 <= batch_size <= MAX_BATCH:
         raise ValueError(f"batch_size must be between 1 and {MAX_BATCH}")
     rows = batch_id(pairs.select(ordinal, clean, noisy, phi), ordinal, batch_size, "batch")
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        value = _batch_score(
-            np.stack(pdf[clean].to_numpy()).astype(float),
-            np.stack(pdf[noisy].to_numpy()).astype(float),
-            pdf[phi].to_numpy(dtype=float),
-            temperature,
-        )
-        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "pairs": [len(pdf)], "alignment": [value]})
-
-    return rows.groupBy("batch").applyInPandas(score, "batch long, pairs long, alignment double")
+    both = F.array(F.struct(V.unit(clean).alias("z")), F.struct(V.unit(noisy).alias("z")))
+    sides = rows.select("batch", F.col(ordinal).alias("pair"), F.col(phi).alias("phi"), F.posexplode(both).alias("side", "v"))
+    sides = sides.select("batch", "pair", "phi", "side", "v.z")
+    own, other = sides.alias("a"), sides.drop("phi").alias("b")
+    same_pair = F.col("a.pair").eqNullSafe(F.col("b.pair"))
+    met = own.join(other, F.col("a.batch") == F.col("b.batch")).filter(~(same_pair & (F.col("a.side") == F.col("b.side"))))
+    # Cosines are at most 1, so the largest exponent is known beforehand and nothing overflows.
+    closeness = ((V.dot("a.z", "b.z") - 1.0) / temperature).alias("s")
+    scores = met.select("a.batch", "a.pair", "a.side", "a.phi", closeness, same_pair.alias("partner"))
+    losses = scores.groupBy("batch", "pair", "side", "phi").agg(
+        (F.log(F.sum(F.exp("s"))) - F.sum(F.when(F.col("partner"), F.col("s")).otherwise(0.0))).alias("loss")
+    )
+    value = F.sum(F.col("phi") * F.col("loss")) / F.greatest(F.sum("phi"), F.lit(1e-8))
+    n = F.floor(F.count(F.lit(1)) / 2)
+    return losses.groupBy("batch").agg(n.cast("long").alias("pairs"), F.when(n > 1, value).otherwise(0.0).alias("alignment"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import fixed
 from quaver.functions.draws import digest
-from quaver.operators.bounded import settle
+from quaver.operators.bounded import reuse
 from quaver.operators.ordering import batch_id, rank_by_ordinal, running_total
 
 
@@ -156,9 +156,9 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _cells(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Distinct value pairs and how many rows hold each, stored once."""
+    """Distinct value pairs and how many rows hold each."""
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return settle(known.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w")))
+    return reuse(known.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w")))
 
 
 def average_rank(cells: DataFrame, column: str, weight: str, out: str) -> DataFrame:
@@ -203,9 +203,9 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
         .agg(F.sum(F.when(one, F.col("w")).otherwise(0)).alias("ones"), F.sum(F.when(one, 0).otherwise(F.col("w"))).alias("zeros"))
     )
     below = running_total(levels, ["bit", "prefix"], "xr", "ones", "earlier")
-    two = lambda c: F.col(c) * (F.col(c) - 1) / 2.0
+    two = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2.0
     sums = (
-        below.agg(F.sum(F.col("earlier") * F.col("zeros")).cast("double").alias("v"))
+        below.agg(F.sum(F.col("earlier").cast("double") * F.col("zeros")).alias("v"))
         .select(F.lit("discordant").alias("k"), "v")
         .unionByName(xs.agg(F.sum(two("wx")).alias("v")).select(F.lit("tie_x").alias("k"), "v"))
         .unionByName(ys.agg(F.sum(two("wy")).alias("v")).select(F.lit("tie_y").alias("k"), "v"))

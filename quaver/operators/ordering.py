@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from quaver.functions import fixed
 from quaver.functions.draws import digest
-from quaver.operators.bounded import small
 
 HEX_DIGITS = 4
-MAX_BUCKETS = 4096
+#: Rows of a range on average, once there are more than a few ranges per task.
+BUCKET_ROWS = 1 << 22
 
 
 def hash_key(row_id, seed: int = fixed.SEED) -> Column:
@@ -33,19 +33,21 @@ def hash_bucket(key: Column, digits: int = HEX_DIGITS) -> Column:
 
 
 def range_bucket(df: DataFrame, ordinal: str, out: str, buckets: int | None = None) -> DataFrame:
-    """Add the quantile range of ``ordinal`` that each row falls into.
+    """Add the quantile range of ``ordinal`` (a number) that each row falls into; nulls get a range of their own, the last.
 
     Ranges come from one approximate-quantile pass; they only balance the work,
     ranks stay exact whatever the ranges are.
     """
     if buckets is None:
-        buckets = min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+        buckets = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // BUCKET_ROWS)
     as_double = df.withColumn("__o", F.col(ordinal).cast("double"))
     marks = as_double.approxQuantile("__o", [k / buckets for k in range(1, buckets)], 1.0 / (4 * buckets))
     splits = [float("-inf"), *sorted(set(marks)), float("inf")]
+    last = F.lit(float(len(splits)))
     if len(splits) == 2:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="__o", outputCol=out).transform(as_double).drop("__o")
+        return df.withColumn(out, F.when(F.col(ordinal).isNull(), last).otherwise(F.lit(0.0)))
+    placed = Bucketizer(splits=splits, inputCol="__o", outputCol=out, handleInvalid="keep").transform(as_double)
+    return placed.withColumn(out, F.coalesce(F.when(F.col("__o").isNotNull(), F.col(out)), last)).drop("__o")
 
 
 def _starts(bucketed: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,7 +59,7 @@ def _starts(bucketed: DataFrame, keys: list[str]) -> DataFrame:
 
 def rank_in_buckets(df: DataFrame, bucket: str, order: list, out: str) -> DataFrame:
     """Exact global 1-based rank; ``order`` must be unique within the table."""
-    starts = small(_starts(df.select(bucket), [bucket]).drop("__n"))
+    starts = F.broadcast(_starts(df.select(bucket), [bucket]).drop("__n"))  # a row per bucket
     local = F.row_number().over(W.partitionBy(bucket).orderBy(*order))
     return (
         df.withColumn("__local", local)
@@ -74,9 +76,9 @@ def rank_by_hash(df: DataFrame, row_id: str, out: str = "position", seed: int =
 
 
 def rank_by_ordinal(df: DataFrame, ordinal: str, out: str = "position", tie: str | None = None) -> DataFrame:
-    """Position of each row by ``ordinal`` (then ``tie``)."""
+    """Position of each row by ``ordinal`` (a number; then ``tie``); rows without one come last."""
     ranged = range_bucket(df, ordinal, "__bucket")
-    return rank_in_buckets(ranged, "__bucket", [ordinal] + ([tie] if tie else []), out)
+    return rank_in_buckets(ranged, "__bucket", [F.col(ordinal).asc_nulls_last()] + ([tie] if tie else []), out)
 
 
 def batch_id(df: DataFrame, ordinal: str, batch_size: int, out: str = "batch") -> DataFrame:
@@ -117,7 +119,8 @@ def cut_by_rank(
         F.max(F.when(F.col("__before") < F.get("limits", F.lit(k)), F.struct("__before", bucket))).alias(f"__edge{k}")
         for k in range(len(names) - 1)
     ]
-    edges = small(starts.join(small(ends), group).groupBy(group, "limits").agg(*edge))
+    # Quotas and edges: a row per group.
+    edges = F.broadcast(starts.join(F.broadcast(ends), group).groupBy(group, "limits").agg(*edge))
 
     placed = df.join(edges, group)
     at = [F.col(f"__edge{k}.{bucket}") for k in range(len(names) - 1)]

@@ -90,7 +90,7 @@ def positional_split(df: DataFrame, ordinal: str, share: float = 0.8) -> DataFra
     """``train`` is the leading int(share * N) rows in ordinal order, ``test`` the rest."""
     ranged = range_bucket(df, ordinal, "__bucket").withColumn("__all", F.lit(0))
     limits = lambda totals: totals.withColumn("limits", F.array(F.floor(F.lit(share) * F.col("n"))))
-    parts = cut_by_rank(ranged, "__bucket", [ordinal], limits, ["train", "test"], "__all")
+    parts = cut_by_rank(ranged, "__bucket", [F.col(ordinal).asc_nulls_last()], limits, ["train", "test"], "__all")
     return parts.drop("__bucket", "__all")
 
 

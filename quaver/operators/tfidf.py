@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaver.functions.text import tokens
-from quaver.operators.bounded import small
+from quaver.operators.bounded import reuse
 from quaver.operators.tables import top_terms
 
 MAX_TERMS = 100_000
@@ -61,8 +61,8 @@ def weigh(counts: DataFrame, row_id: str, idf: DataFrame) -> DataFrame:
 
 def tfidf(df: DataFrame, row_id: str, text: str = "text", k: int = MAX_TERMS) -> DataFrame:
     """Fit and apply on the same rows."""
-    counts = term_counts(df, row_id, text)
-    return weigh(counts, row_id, small(fit_idf(counts, df, k), MAX_TERMS))
+    counts = reuse(term_counts(df, row_id, text))
+    return weigh(counts, row_id, F.broadcast(fit_idf(counts, df, k)))  # k rows at most
 
 
 def index_terms(idf: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def context_rows(threads: DataFrame) -> DataFrame:
     rows = _each(
         root,
         lambda c: row(c, F.col("tweet")),
-        lambda c, r, i: row(r, F.concat(F.col("tweet"), c["tweet"], _previous(c["replies"], i))),
+        lambda c, r, i: row(r, F.concat(F.col("tweet"), c["tweet"], _previous(_or_empty(c["replies"]), i))),
     )
     flat = threads.select(*kept, "labels", F.inline(rows))
     return flat.withColumn("label", _label(F.col("labels"), F.col("tweet_id"))).drop("labels")
@@ -103,7 +103,7 @@ def hierarchical_rows(threads: DataFrame, running: bool = False) -> DataFrame:
     )
 
     def reply(c: Column, r: Column, i: Column) -> Column:
-        context = F.concat(c["tweet"], _previous(c["replies"], i)) if running else c["tweet"]
+        context = F.concat(c["tweet"], _previous(_or_empty(c["replies"]), i)) if running else c["tweet"]
         return row(r["tweet_id"], context, r["tweet"])
 
     rows = _each(
@@ -153,7 +153,7 @@ def flat_context_rows(placed: DataFrame, conversation: str, turn: str, text: str
     """Context of every turn of a placed flat conversation table.
 
     Replies look back within their comment only; the root comes from a join
-    with one row per conversation.
+    with one row per conversation. A root or comment that is missing counts as empty.
     """
     root = placed.filter(F.col("kind") == "root").select(conversation, F.col(text).alias("__root"))
     comment = placed.filter(F.col("kind") == "comment").select(
@@ -163,11 +163,12 @@ def flat_context_rows(placed: DataFrame, conversation: str, turn: str, text: str
         placed.filter(F.col("kind") == "reply"), [conversation, "comment_no"], turn, text, "__previous"
     )
     top = placed.filter(F.col("kind") != "reply").withColumn("__previous", F.lit("")).withColumn("__comment", F.lit(""))
-    low = replies.join(comment, [conversation, "comment_no"])
+    low = replies.join(comment, [conversation, "comment_no"], "left")
+    there = lambda c: F.coalesce(c, F.lit(""))
     return (
         top.unionByName(low)
-        .join(root, conversation)
-        .withColumn("context", F.concat("__root", "__comment", "__previous"))
+        .join(root, conversation, "left")
+        .withColumn("context", F.concat(there("__root"), there("__comment"), "__previous"))
         .drop("__root", "__comment", "__previous")
     )
 
@@ -186,13 +187,13 @@ def flat_hierarchical_rows(placed: DataFrame, conversation: str, turn: str, text
         with_parts = placed.filter(F.col("kind") != "reply").withColumn("__previous", F.lit("")).unionByName(replies)
     else:
         with_parts = placed.withColumn("__previous", F.lit(""))
-    joined = with_parts.join(root, conversation).join(comment, [conversation, "comment_no"], "left")
+    joined = with_parts.join(root, conversation, "left").join(comment, [conversation, "comment_no"], "left")
     is_reply = F.col("kind") == "reply"
     return (
-        joined.filter(~is_reply | F.col("__comment").isNotNull())
+        joined.withColumn("post", F.coalesce("post", F.lit("")))
         .withColumn(
             "context",
-            F.when(F.col("kind") == "root", "").otherwise(F.concat(F.col("__comment"), F.col("__previous"))),
+            F.when(F.col("kind") == "root", "").otherwise(F.concat(F.coalesce("__comment", F.lit("")), F.col("__previous"))),
         )
         .withColumn("text", F.when(is_reply, F.col(text)).otherwise(""))
         .drop("__comment", "__previous")

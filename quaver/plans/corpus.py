@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import fixed
 from quaver.functions.text import clean_text, junk_class, longer_than, strip_zero_width
-from quaver.operators.bounded import settle
+from quaver.operators.bounded import reuse
 from quaver.operators.splits import augment_from, noise_levels, split_statistics, stratified_split
 from quaver.operators.tables import keep_first, language_subset
 from quaver.sources.adapters import adapt_all
@@ -17,14 +17,15 @@ from quaver.sources.readers import read_csv
 def merge(tables: dict[str, DataFrame]) -> DataFrame:
     """Adapt, stack, keep the first copy of each text, drop texts of 5 characters or fewer.
 
-    ``row_id`` is unique and stable once the result is stored.
+    ``row_id`` is the digest of the text, which is unique here, so splits and noise
+    that depend on it are the same on any cluster.
     """
     stacked = adapt_all(tables)
     if stacked is None:
         raise ValueError("no table has an adapter")
     # The length test does not depend on which copy is kept, so it goes first.
     kept = keep_first(stacked.filter(longer_than("text", 5)), "text", ["source_priority", "ordinal"])
-    return kept.withColumn("row_id", F.monotonically_increasing_id()).drop("source_priority", "ordinal")
+    return kept.withColumn("row_id", F.sha2("text", 256)).drop("source_priority", "ordinal")
 
 
 def drop_junk(df: DataFrame) -> DataFrame:
@@ -33,8 +34,8 @@ def drop_junk(df: DataFrame) -> DataFrame:
 
 
 def build_corpus(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """Corpus from named CSV files, stored once because several branches read it."""
-    return settle(merge({name: read_csv(spark, path) for name, path in files.items()}))
+    """Corpus from named CSV files, kept because several branches read it."""
+    return reuse(merge({name: read_csv(spark, path) for name, path in files.items()}))
 
 
 def noisy_source(corpus: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def noisy_source(corpus: DataFrame) -> DataFrame:
 
 def build_splits(corpus: DataFrame, row_id: str = "row_id", seed: int = fixed.SEED) -> dict[str, DataFrame]:
     """Split the corpus, add noisy copies to train, corrupt the test part per level."""
-    parts = settle(stratified_split(corpus, row_id, "label", seed))
+    parts = reuse(stratified_split(corpus, row_id, "label", seed))
     pick = lambda name: parts.filter(F.col("split") == name).drop("split")
     train = augment_from(pick("train"), noisy_source(corpus), row_id, seed=seed)
     clean = lambda df: df.withColumn("noise_level", F.lit("clean"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaver.operators import classifiers as K
-from quaver.operators.bounded import settle
+from quaver.operators.bounded import reuse
 from quaver.operators.metrics import f1_summary
 from quaver.operators.splits import noise_levels, stratified_split
 from quaver.queries import query, table
@@ -17,7 +17,7 @@ from quaver.queries.common import corpus
 
 def _text_parts(spark, folder):
     rows = corpus(spark, folder).select("row_id", "text", "label")
-    parts = settle(stratified_split(rows, "row_id"))
+    parts = reuse(stratified_split(rows, "row_id"))
     return {name: parts.filter(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
 
 
@@ -29,7 +29,7 @@ def _text_model(spark, folder, name):
 
 def _vector_parts(spark, folder):
     e = table(spark, folder, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("label"))
-    rows = settle(K.from_arrays(stratified_split(e, "vec_id"), "embedding").drop("embedding"))
+    rows = reuse(K.from_arrays(stratified_split(e, "vec_id"), "embedding").drop("embedding"))
     return rows.filter("split <> 'test'").drop("split"), rows.filter("split = 'test'").drop("split")
 
 
@@ -76,4 +76,4 @@ def model_grid(spark, folder):
     train = own(clean["train"].select(keys).unionByName(noisy["train"]))
     tests = {"clean": own(clean["test"])}
     tests |= {v: own(noisy["test"].filter(F.col("noise_level") == v)) for v in ("low", "medium", "high")}
-    return K.fit_grid(settle(train), own(clean["val"]), tests, "row_id")
+    return K.fit_grid(reuse(train), own(clean["val"]), tests, "row_id")

@@ -8,7 +8,7 @@ from quaver.functions import similarity as S
 from quaver.functions.noise import token_noise
 from quaver.functions.text import tokens
 from quaver.operators import pairing as P
-from quaver.operators.bounded import settle
+from quaver.operators.bounded import reuse
 from quaver.operators.splits import noise_levels
 from quaver.operators.tables import level_code
 from quaver.queries import common as C
@@ -70,7 +70,7 @@ def phi(spark, folder):
 def train_rows(spark, folder):
     """Augmented training rows with a document order, stored once."""
     rows = augmented(spark, folder)
-    return settle(rows.withColumn("ordinal", F.col("row_id") * 4 + level_code()))
+    return reuse(rows.withColumn("ordinal", F.col("row_id") * 4 + level_code()))
 
 
 _TRAIN = f"{AUGMENTED}, tr AS (SELECT *, row_id * 4 + {C.CODE.format('noise_level')} AS ordinal FROM train)"

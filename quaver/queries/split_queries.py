@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quaver.functions import fixed
 from quaver.operators import ordering as O
 from quaver.operators import splits as S
-from quaver.operators.bounded import settle
+from quaver.operators.bounded import reuse
 from quaver.queries import SQL, query, table
 from quaver.queries import common as C
 from quaver.queries.common import corpus, documents
@@ -112,7 +112,7 @@ def augment_train(spark, folder):
 )
 def split_stats(spark, folder):
     rows = corpus(spark, folder)
-    parts = settle(S.stratified_split(rows.select("row_id", "text", "label"), "row_id"))
+    parts = reuse(S.stratified_split(rows.select("row_id", "text", "label"), "row_id"))
     pick = lambda name: parts.filter(F.col("split") == name)
     train = S.augment_from(pick("train"), rows.select("row_id", "text", "label"), "row_id")
     stats = S.split_statistics(rows, train, pick("val"), pick("test"))

@@ -8,7 +8,7 @@ from quaver.functions import fixed
 from quaver.functions import text as X
 from quaver.operators.tfidf import MAX_TERMS, term_counts, tfidf as weigh_terms, vocabulary
 from quaver.queries import query, table
-from quaver.queries.common import corpus, documents, q, squeeze, words
+from quaver.queries.common import documents, q, squeeze, words
 
 def _without(pattern: str, text: str) -> str:
     return f"regexp_replace({text}, {q(pattern)}, ' ', 'g')"
@@ -28,10 +28,19 @@ def clean_row(spark, folder):
     return documents(spark, folder).select("row_id", X.clean_text("text").alias("clean_text"))
 
 
+# The tables hold no emoji, so some are put in: a run, a joined sign, a tone, a flag, a keycap.
+SIGNS = "a😀😀b 👨‍👩‍👧 👍🏽 🇮🇳 1️⃣"
+_SMILING = "CASE WHEN {1} % 2 = 0 THEN {0} || ' " + SIGNS + "' ELSE {0} END"
+
+
+def smiling(text, key):
+    return F.when(F.col(key) % 2 == 0, F.concat(F.col(text), F.lit(" " + SIGNS))).otherwise(F.col(text))
+
+
 @query(
     f"""SELECT page_id, regexp_replace(html, {q(X.URL)}, ' ', 'g') AS no_url,
     regexp_replace(html, {q(X.MENTION)}, ' ', 'g') AS no_mention,
-    regexp_replace(html, {q(X.EMOJI)}, ' ', 'g') AS no_emoji, {_no_punctuation('html')} AS no_punctuation,
+    regexp_replace({_SMILING.format('html', 'page_id')}, {q(X.EMOJI)}, ' ', 'g') AS no_emoji, {_no_punctuation('html')} AS no_punctuation,
     {squeeze('html')} AS squeezed FROM pages"""
 )
 def remove_parts(spark, folder):
@@ -39,7 +48,7 @@ def remove_parts(spark, folder):
         "page_id",
         X.remove_url("html").alias("no_url"),
         X.remove_mention("html").alias("no_mention"),
-        X.remove_emoji("html").alias("no_emoji"),
+        X.remove_emoji(smiling("html", "page_id")).alias("no_emoji"),
         X.remove_punctuation("html").alias("no_punctuation"),
         X.squeeze("html").alias("squeezed"),
     )
@@ -54,8 +63,8 @@ BAD_WORDS = ["worthless", "hate", "stupid"]
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id AS row_id, text, {words('text')} AS ws,
-      len(regexp_extract_all(text, '\\p{{Lu}}')) AS capitals FROM documents)
+    f"""WITH s AS (SELECT doc_id AS row_id, {_SMILING.format('text', 'doc_id')} AS text FROM documents),
+    t AS (SELECT row_id, text, {words('text')} AS ws, len(regexp_extract_all(text, '\\p{{Lu}}')) AS capitals FROM s)
     SELECT row_id, len(ws) AS num_words, length(text) AS total_length, len(list_distinct(ws)) AS num_unique_words,
       round(CASE WHEN len(ws) > 0 THEN len(list_distinct(ws)) / len(ws) ELSE 0.0 END, 6) AS words_vs_unique,
       capitals, round(CASE WHEN length(text) > 0 THEN capitals / length(text) ELSE 0.0 END, 6) AS caps_vs_length,
@@ -66,7 +75,7 @@ BAD_WORDS = ["worthless", "hate", "stupid"]
 def lexical_features(spark, folder):
     features = X.lexical_features("text", BAD_WORDS)
     shares = {"words_vs_unique", "caps_vs_length"}
-    return documents(spark, folder).select(
+    return documents(spark, folder).withColumn("text", smiling("text", "row_id")).select(
         "row_id",
         *[(F.round(c, 6) if n in shares else c.cast("bigint")).alias(n) for n, c in features.items()],
     )
@@ -178,7 +187,6 @@ _GRAMS = f"""w AS (SELECT row_id, ' ' || unnest({words('lower(text)')}) || ' ' A
   vocab AS (SELECT term, sum(tf)::BIGINT AS corpus_tf, count(*) AS df FROM tf GROUP BY term
     ORDER BY corpus_tf DESC, term LIMIT {MAX_TERMS})"""
 _ALL_DOCS = "docs AS (SELECT doc_id AS row_id, text FROM documents)"
-_LABELLED = "docs AS (SELECT d.doc_id AS row_id, d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 
 
 @query(f"WITH {_ALL_DOCS}, {_GRAMS} SELECT term, sum(tf)::BIGINT AS corpus_tf, count(*) AS df FROM tf GROUP BY term")
@@ -188,13 +196,13 @@ def char_ngrams_df(spark, folder):
 
 
 @query(
-    f"""WITH {_LABELLED}, {_GRAMS}, nd AS (SELECT count(*) AS n FROM docs),
+    f"""WITH {_ALL_DOCS}, {_GRAMS}, nd AS (SELECT count(*) AS n FROM docs),
     r AS (SELECT row_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) AS w
       FROM tf JOIN vocab USING (term), nd)
     SELECT row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 6) AS weight FROM r"""
 )
 def tfidf(spark, folder):
-    weights = weigh_terms(corpus(spark, folder), "row_id")
+    weights = weigh_terms(documents(spark, folder), "row_id")
     return weights.select("row_id", "term", F.round("weight", 6).alias("weight"))
 
 

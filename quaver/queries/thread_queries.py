@@ -13,20 +13,26 @@ from quaver.queries.common import q
 SEP = H.SEP
 STOP_WORDS = "the and of to in is it that for on with as by this an be are".split()
 
-PLACED = """placed AS (SELECT conv_id, turn, role, text,
+PLACED = """turns AS (SELECT conv_id, turn + CASE WHEN conv_id % 7 = 3 THEN 1 ELSE 0 END AS turn, role, text FROM conversations),
+  placed AS (SELECT conv_id, turn, role, text,
     CASE WHEN turn = 0 THEN 0 ELSE (turn - 1) // 3 + 1 END AS comment_no,
-    CASE WHEN turn = 0 THEN 'root' WHEN (turn - 1) % 3 = 0 THEN 'comment' ELSE 'reply' END AS kind FROM conversations),
+    CASE WHEN turn = 0 THEN 'root' WHEN (turn - 1) % 3 = 0 THEN 'comment' ELSE 'reply' END AS kind FROM turns),
   prev AS (SELECT *, coalesce(string_agg(CASE WHEN kind = 'reply' THEN ' [SEP] ' || text END, '') OVER (
     PARTITION BY conv_id, comment_no ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS previous FROM placed)"""
 CONTEXT = f"""{PLACED}, ctx AS (SELECT p.conv_id, p.turn, p.kind, p.text,
-    r.text || CASE WHEN p.kind = 'reply' THEN c.text || p.previous ELSE '' END AS context
-  FROM prev p JOIN placed r ON r.conv_id = p.conv_id AND r.kind = 'root'
-  LEFT JOIN placed c ON c.conv_id = p.conv_id AND c.comment_no = p.comment_no AND c.kind = 'comment'
-  WHERE p.kind <> 'reply' OR c.text IS NOT NULL)"""
+    coalesce(r.text, '') || CASE WHEN p.kind = 'reply' THEN coalesce(c.text, '') || p.previous ELSE '' END AS context
+  FROM prev p LEFT JOIN placed r ON r.conv_id = p.conv_id AND r.kind = 'root'
+  LEFT JOIN placed c ON c.conv_id = p.conv_id AND c.comment_no = p.comment_no AND c.kind = 'comment')"""
 
 
 def placed(spark, folder):
-    return H.place_turns(table(spark, folder, "conversations"), "conv_id", "turn")
+    return H.place_turns(conversations(spark, folder), "conv_id", "turn")
+
+
+def conversations(spark, folder):
+    """All turns; in every seventh conversation they are numbered from 1, so that threads without a root are among them."""
+    shift = F.when(F.col("conv_id") % 7 == 3, 1).otherwise(0)
+    return table(spark, folder, "conversations").withColumn("turn", F.col("turn") + shift)
 
 
 def contexts(spark, folder):
@@ -107,12 +113,11 @@ def topic_report(spark, folder):
     return report.withColumn("positive_ratio", F.round("positive_ratio", 6))
 
 
-HIERARCHY = f"""{PLACED}, hier AS (SELECT p.conv_id, p.turn, r.text AS post,
-    CASE WHEN p.kind = 'root' THEN '' WHEN p.kind = 'comment' THEN c.text ELSE c.text || {{previous}} END AS context,
+HIERARCHY = f"""{PLACED}, hier AS (SELECT p.conv_id, p.turn, coalesce(r.text, '') AS post,
+    CASE WHEN p.kind = 'root' THEN '' WHEN p.kind = 'comment' THEN c.text ELSE coalesce(c.text, '') || {{previous}} END AS context,
     CASE WHEN p.kind = 'reply' THEN p.text ELSE '' END AS text
-  FROM prev p JOIN placed r ON r.conv_id = p.conv_id AND r.kind = 'root'
-  LEFT JOIN placed c ON c.conv_id = p.conv_id AND c.comment_no = p.comment_no AND c.kind = 'comment'
-  WHERE p.kind <> 'reply' OR c.text IS NOT NULL)"""
+  FROM prev p LEFT JOIN placed r ON r.conv_id = p.conv_id AND r.kind = 'root'
+  LEFT JOIN placed c ON c.conv_id = p.conv_id AND c.comment_no = p.comment_no AND c.kind = 'comment')"""
 
 
 def hierarchy(spark, folder, running):

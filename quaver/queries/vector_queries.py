@@ -111,7 +111,7 @@ _SHAPE = "CASE vec_id % 4 WHEN 0 THEN 'post' WHEN 1 THEN 'post_context' WHEN 2 T
 
 
 @query(
-    f"""WITH {_E}, s AS (SELECT vec_id, {_SHAPE} AS shape, v[1:8] AS p, v[9:16] AS c, v[17:24] AS t FROM e)
+    f"""WITH {_E}, s AS (SELECT vec_id, {_SHAPE} AS shape, v[1:len(v) // 3] AS p, v[len(v) // 3 + 1:2 * (len(v) // 3)] AS c, v[2 * (len(v) // 3) + 1:] AS t FROM e)
     SELECT vec_id, shape, {shown_sql("CASE shape WHEN 'post' THEN p WHEN 'post_context' THEN list_concat(p, c) ELSE list_concat(t, list_concat(p, c)) END")} AS features,
       {shown_sql('list_concat(t, p)')} AS text_post FROM s WHERE shape IS NOT NULL"""
 )
@@ -122,7 +122,8 @@ def vec_concat(spark, folder):
         F.when(k != 3, "p").otherwise("").alias("post"),
         F.when(k.isin(1, 2), "c").otherwise("").alias("context"),
         F.when(k == 2, "t").otherwise("").alias("text"),
-        F.slice("v", 1, 8).alias("vp"), F.slice("v", 9, 8).alias("vc"), F.slice("v", 17, 8).alias("vt"),
+        F.expr("slice(v, 1, size(v) div 3)").alias("vp"), F.expr("slice(v, size(v) div 3 + 1, size(v) div 3)").alias("vc"),
+        F.expr("slice(v, 2 * (size(v) div 3) + 1, size(v))").alias("vt"),
     )
     rows = rows.withColumn("shape", row_shape()).filter(F.col("shape").isNotNull())
     return rows.select(
@@ -140,13 +141,15 @@ def vec_avg(spark, folder):
 
 
 @query(
-    f"""WITH {_E}, a AS (SELECT vec_id, v FROM e WHERE vec_id % 2 = 0), b AS (SELECT vec_id, v FROM e WHERE vec_id % 3 = 0)
+    f"""WITH {_E}, a AS (SELECT CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE -vec_id END AS vec_id, v FROM e), b AS (SELECT CASE WHEN vec_id % 3 <> 1 THEN vec_id ELSE -vec_id END AS vec_id, v FROM e)
     SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, {shown_sql('list_transform(range(1, len(coalesce(a.v, b.v)) + 1), lambda i: coalesce(a.v[i], 0) + coalesce(b.v[i], 0))')} AS features
     FROM a FULL JOIN b ON a.vec_id = b.vec_id"""
 )
 def add_features(spark, folder):
     e = embeddings(spark, folder)
-    both = E.add_features(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 3 = 0"), "vec_id", "v")
+    # Negative ids make rows that the other side may lack; every vector is on both sides.
+    signed = lambda keep: e.select(F.when(keep, F.col("vec_id")).otherwise(-F.col("vec_id")).alias("vec_id"), "v")
+    both = E.add_features(signed(F.col("vec_id") % 2 == 0), signed(F.col("vec_id") % 3 != 1), "vec_id", "v")
     return both.select("vec_id", shown("features").alias("features"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +22,4 @@ def local_session(cores: int | None = None, app: str = "quaver") -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaver-checkpoint-"))
     return spark

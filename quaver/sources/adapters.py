@@ -58,7 +58,7 @@ def adapt_hasoc(df: DataFrame) -> DataFrame:
 
 
 def adapt_davidson(df: DataFrame) -> DataFrame:
-    positive = F.when(F.col("class").cast("double").isin(0.0, 1.0), 1).otherwise(0)
+    positive = F.when(F.col("class").try_cast("double").isin(0.0, 1.0), 1).otherwise(0)
     return unified(df, F.col("tweet"), positive, "davidson", "en")
 
 
@@ -74,12 +74,12 @@ def adapt_hindi_offensive(df: DataFrame) -> DataFrame:
 
 
 def adapt_ucb_hate(df: DataFrame, order: str | None = None) -> DataFrame:
-    """Annotator rows are averaged per comment first; ``order`` tells which text is first."""
+    """Annotator rows are averaged per comment first; ``order`` tells which text is first, by default the least."""
     score = "hate_speech_score"
     if {"comment_id", score} <= set(df.columns):
-        rows = df.withColumn(score, F.col(score).cast("double"))
+        rows = df.withColumn(score, F.col(score).try_cast("double"))
         if order is None:
-            rows, order = rows.withColumn("__o", F.monotonically_increasing_id()), "__o"
+            order = "text"
         means = annotator_means(rows, "comment_id", "text", score, order)
         return unified(means, F.col("text"), F.col("label"), "ucb_measuring_hate", "en")
     label = score_label(score) if score in df.columns else F.lit(0)
@@ -136,7 +136,8 @@ def adapter_for(file_name: str) -> Callable[[DataFrame], DataFrame] | None:
 def adapt_all(tables: dict[str, DataFrame]) -> DataFrame | None:
     """Route tables by file name, tag each with its priority and stack them.
 
-    Unknown names are ignored; an adapter that fails is logged and skipped.
+    Unknown names are ignored; an adapter that fails is logged and skipped. ``ordinal`` orders the rows of
+    a table by their content, so that "first" means the same however files are read.
     """
     out = None
     for priority, name in enumerate(sorted(tables)):
@@ -148,8 +149,7 @@ def adapt_all(tables: dict[str, DataFrame]) -> DataFrame | None:
         except Exception as problem:  # a table without the expected columns
             log.warning("could not adapt %s: %s", name, problem)
             continue
-        part = part.withColumn("source_priority", F.lit(priority)).withColumn(
-            "ordinal", F.monotonically_increasing_id()
-        )
+        content = F.xxhash64("text", "label", "source", "lang_pair")
+        part = part.withColumn("source_priority", F.lit(priority)).withColumn("ordinal", content)
         out = part if out is None else out.unionByName(part)
     return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +21,8 @@ MISSING = (
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table; one that comes in fewer pieces than there are cores is spread.
-
-    A table of many files or row groups is read as it is, without a shuffle.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if pieces < cores else df
+    """Parquet table as it is stored; how it is cut into tasks is a setting of the session."""
+    return spark.read.parquet(path)
 
 
 def missing_as_null(df: DataFrame) -> DataFrame:
@@ -113,18 +110,49 @@ def read_threads(spark: SparkSession, root: str) -> DataFrame:
 def read_tagged_blocks(spark: SparkSession, path) -> DataFrame:
     """Token-tagged tweets: a ``meta uid sentiment`` line, then ``token tag`` lines.
 
-    Each block is one record of the scan, so a file is read in parallel. A file
-    begins with a ``meta`` line; any later line that starts with ``meta`` opens a
-    block too. Lines of one field get the tag O; blocks without tokens are dropped.
+    Each block is one record of the scan, so a file is read in parallel. Any line that
+    starts with ``meta`` opens a block; lines before the first one are ignored. Lines of
+    one field get the tag O; blocks without tokens are dropped.
     """
     records = spark.read.option("lineSep", "\nmeta").text(path)
+    placed = records.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    return parse_blocks(placed.mapInArrow(_without_prefaces, "value STRING"))
+
+
+def _without_prefaces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drop the first record of a file, the only one that keeps its marker, if it lacks it."""
+    before = None
+    for batch in batches:
+        kept = []
+        for value, path, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            preface = at == 0 and (path, at) != before and not value.startswith("meta")
+            before = (path, at)
+            if not preface:
+                kept.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], ["value"])
+
+
+def _blocks_of_text(text) -> Column:
+    """Blocks of one text that holds a whole file: what follows each ``meta`` at the start of a line."""
+    return F.slice(F.split(F.concat(F.lit("\n"), text), "\nmeta"), 2, 1 << 30)
+
+
+def parse_tagged_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Tagged blocks of a column of whole files, beside the frame's other columns."""
+    kept = [c for c in df.columns if c != text]
+    return parse_blocks(df.select(*kept, F.explode(_blocks_of_text(F.col(text))).alias("value")))
+
+
+def parse_blocks(records: DataFrame) -> DataFrame:
+    """Fields of tagged blocks (``value``), with or without their leading ``meta``."""
     filled = lambda line: F.filter(F.split(line, SPACE_RUN), lambda x: x != "")
     # The separator is gone from every record but the first of a file.
     lines = F.split(F.when(F.col("value").startswith("meta"), F.col("value")).otherwise(F.concat(F.lit("meta"), "value")), "\n")
     head = filled(F.get("lines", F.lit(0)))
     body = F.filter(F.transform(F.slice("lines", F.lit(2), F.size("lines")), filled), lambda p: F.size(p) > 0)
-    parsed = records.select(lines.alias("lines")).select(
-        F.get(head, F.lit(1)).alias("uid"), F.lower(F.get(head, F.lit(2))).alias("sentiment"), body.alias("body")
+    kept = [c for c in records.columns if c != "value"]
+    parsed = records.select(*kept, lines.alias("lines")).select(
+        *kept, F.get(head, F.lit(1)).alias("uid"), F.lower(F.get(head, F.lit(2))).alias("sentiment"), body.alias("body")
     )
     return (
         parsed.filter(F.col("uid").isNotNull() & (F.size("body") > 0))
@@ -133,7 +161,7 @@ def read_tagged_blocks(spark: SparkSession, path) -> DataFrame:
         .withColumn("text", F.array_join("tokens", " "))
         .withColumn("lang_ids", F.array_join("langs", " "))
         .withColumn("hindi_ratio", language_ratio("langs"))
-        .select("uid", "text", "sentiment", "lang_ids", "hindi_ratio", "tokens", "langs")
+        .select(*kept, "uid", "text", "sentiment", "lang_ids", "hindi_ratio", "tokens", "langs")
     )
 
 
@@ -147,7 +175,7 @@ RESULT_SCHEMA = """
     model STRING, encoder STRING, train_noise STRING, test_noise STRING, noise_level STRING, noise STRING,
     seed BIGINT, test_f1_macro DOUBLE, test_f1 DOUBLE, best_val_f1 DOUBLE, val_f1 DOUBLE, val_f1_macro DOUBLE,
     alpha DOUBLE, beta DOUBLE, gamma DOUBLE, lambda_max DOUBLE, enable_aux BOOLEAN,
-    epochs BIGINT, lr DOUBLE, batch_size BIGINT, max_len BIGINT, __bad STRING
+    epoch BIGINT, epochs BIGINT, lr DOUBLE, batch_size BIGINT, max_len BIGINT, ablation STRING, __bad STRING
 """
 
 
@@ -202,11 +230,13 @@ def inventory(spark: SparkSession, files: dict[str, str], reader=read_csv) -> Da
                 F.lit(", ".join(df.columns[:5])).alias("columns"),
             )
         out = out.unionByName(line)
-    total = out.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).select(
-        F.lit("TOTAL").alias("name"), F.lit(None).cast("boolean").alias("present"), "rows",
-        F.lit(None).cast("string").alias("columns"),
+    both = out.groupingSets([("name", "present", "columns"), ()], "name", "present", "columns")
+    # Only the grand total lacks a name.
+    counted = both.agg(F.sum("rows").alias("rows"), F.grouping("name").alias("__all"))
+    return counted.select(
+        F.when(F.col("__all") == 1, "TOTAL").otherwise(F.col("name")).alias("name"), "present",
+        F.when(F.col("__all") == 1, F.coalesce("rows", F.lit(0))).otherwise(F.col("rows")).alias("rows"), "columns",
     )
-    return out.unionByName(total)
 
 
 def read_condition(splits: DataFrame, condition: str) -> dict[str, DataFrame]:

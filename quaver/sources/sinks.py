@@ -19,9 +19,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """One JSON record per result row."""
-    results.write.mode("append").json(path)
+def write_results(results: DataFrame, path: str, run: str | None = None) -> None:
+    """One JSON record per result row; a named run has a folder of its own and replaces what it wrote before."""
+    results.write.mode("overwrite").json(f"{path}/{run}" if run else path)
 
 
 def write_statistics(wide: DataFrame, path: str) -> None:

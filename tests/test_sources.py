@@ -137,7 +137,7 @@ def test_routing_merge_and_splits(spark, tmp_path):
         "unknown.csv": frame(spark, ["text"], ("never read",)),
         "hateval.csv": frame(spark, ["only"], ("fails",)),
     }
-    merged = C.settle(C.merge(tables))
+    merged = C.reuse(C.merge(tables))
     assert merged.count() == 60 + 1 + 20
     assert merged.filter("text = 'davidson text 1'").first().source == "davidson"
     assert merged.select("row_id").distinct().count() == 81
@@ -182,3 +182,33 @@ def test_inventory_fallback_and_sinks(spark, tmp_path):
 def test_drop_junk(rows):
     df = rows([("1392749481536286721",), ("real​ text",)], "text STRING")
     assert [r.text for r in C.drop_junk(df).collect()] == ["real text"]
+
+
+def test_lines_before_the_first_block_are_ignored(spark, tmp_path):
+    (tmp_path / "a.conll").write_text("hello Eng\nworld Eng\nmeta 7 positive\nhi Eng\n")
+    (tmp_path / "b.conll").write_text("meta 8 neutral\nyo Hin\n")
+    got = {(r.uid, r.text) for r in R.read_tagged_blocks(spark, str(tmp_path)).collect()}
+    assert got == {("7", "hi"), ("8", "yo")}
+
+
+def test_a_bad_cell_is_no_failure(spark):
+    from quaver.sources import adapters
+
+    df = frame(spark, ["tweet", "class"], ("a tweet", "oops"), ("b tweet", "1"))
+    assert {(r.text, r.label) for r in adapters.adapt_davidson(df).collect()} == {("a tweet", 0), ("b tweet", 1)}
+
+
+def test_result_records_keep_all_fields(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"model": "m", "noise": "low", "test_f1": 0.5, "epoch": 3, "ablation": "gate"}))
+    row = R.read_results(spark, str(tmp_path)).first()
+    assert (row.epoch, row.ablation) == (3, "gate")
+
+
+def test_a_run_replaces_its_records(spark, tmp_path):
+    from quaver.sources import sinks
+
+    rows = spark.createDataFrame([("m", 0.5)], "model STRING, test_f1 DOUBLE")
+    for _ in range(2):
+        sinks.write_results(rows, str(tmp_path / "res"), "run-1")
+    sinks.write_results(rows, str(tmp_path / "res"), "run-2")
+    assert len(R.read_results(spark, str(tmp_path / "res")).collect()) == 2

@@ -106,11 +106,16 @@ def test_split_statistics(rows):
     assert stats["total_clean"] == 4 and stats["val_size"] == 1 and stats["hate_ratio_train"] == 0.5
 
 
-def test_lookups_too_large_to_broadcast(skewed, monkeypatch):
-    from quaver.operators import bounded
+def test_rows_without_ordinal_come_last(rows):
+    df = rows([("a", 3.0), ("b", None), ("c", 1.0)], "k STRING, o DOUBLE")
+    assert {r.k: r.position for r in O.rank_by_ordinal(df, "o").collect()} == {"c": 1, "a": 2, "b": 3}
+    cut = {r.k: r.split for r in S.positional_split(df, "o", 0.7).collect()}
+    assert cut == {"c": "train", "a": "train", "b": "test"}
 
-    split = parts(S.stratified_split(skewed, "row_id"))
-    ranks = {r.row_id: r.position for r in O.rank_by_hash(skewed.select("row_id"), "row_id").collect()}
-    monkeypatch.setattr(O, "small", lambda df: bounded.small(df, 0))
-    assert parts(S.stratified_split(skewed, "row_id")) == split
-    assert {r.row_id: r.position for r in O.rank_by_hash(skewed.select("row_id"), "row_id").collect()} == ranks
+
+def test_merge_does_not_depend_on_partitions(spark):
+    from quaver.plans.corpus import merge
+
+    raw = spark.createDataFrame([(f"some tweet {i % 50}", str(i % 3)) for i in range(200)], "tweet STRING, class STRING")
+    out = [sorted(map(tuple, merge({"davidson.csv": raw.repartition(n)}).collect())) for n in (1, 4, 7)]
+    assert out[0] == out[1] == out[2] and len(out[0]) == 50
