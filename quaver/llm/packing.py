@@ -70,7 +70,7 @@ def best_fit(items: DataFrame, key: str = "doc_id", length: str = "n_tokens", ca
         F.col("__key").alias("item"),
         "piece",
         (F.col("piece") * largest).alias("start"),
-        F.least(F.lit(largest).cast("long"), F.col("__length") - F.col("piece") * largest).alias("tokens"),
+        F.when(F.col("__length").isNotNull(), F.least(F.lit(largest).cast("long"), F.col("__length") - F.col("piece") * largest)).alias("tokens"),
         F.pmod(F.xxhash64("__key", "piece"), F.lit(groups)).alias("grp"),
     )
     kind = items.schema[key].dataType.simpleString()
