@@ -214,7 +214,7 @@ def token_features(token) -> dict[str, Column]:
 def keywords(text, stop_words: list[str]) -> Column:
     """Distinct word and punctuation tokens minus stop words."""
     found = F.regexp_extract_all(_col(text), F.lit(rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACES}]"), F.lit(0))
-    return F.array_except(F.array_distinct(found), F.array(*[F.lit(s) for s in stop_words]))
+    return F.array_except(F.array_distinct(found), F.array(*[F.lit(s) for s in stop_words]).cast("array<string>"))
 
 
 def overlap(left: Column, right: Column) -> Column:
@@ -222,6 +222,11 @@ def overlap(left: Column, right: Column) -> Column:
     return F.size(F.array_intersect(left, right))
 
 
+def token_union(left: Column, right: Column) -> Column:
+    """Keywords of either set."""
+    return F.array_union(left, right)
+
+
 def set_cosine(left: Column, right: Column) -> Column:
     """|X and Y| / sqrt(|X| |Y|); null when either set is empty."""
     sizes = F.size(left) * F.size(right)

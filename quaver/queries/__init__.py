@@ -39,6 +39,7 @@ from quaver.queries import (  # noqa: E402, F401
     split_queries,
     pair_queries,
     thread_queries,
+    source_queries,
     metric_queries,
     result_queries,
     vector_queries,
