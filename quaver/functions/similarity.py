@@ -136,11 +136,23 @@ _SPLIT = re.compile(
 )
 
 
+#: Word pairs that are scored at once, whatever the length of the texts.
+PAIRS_AT_ONCE = 1 << 17
+
+
 def _mean_similarity(left: pd.Series, right: pd.Series) -> np.ndarray:
-    result = np.full(len(left), np.nan)
+    result, sums, longest = np.full(len(left), np.nan), np.zeros(len(left)), np.ones(len(left))
     index: dict[str, int] = {}
-    number = index.setdefault
-    first, second, rows, counts, longest = [], [], [], [], []
+    held: tuple[list[int], list[int], list[int]] = ([], [], [])
+
+    def flush() -> None:
+        if held[0]:
+            first, second, rows = (np.array(x) for x in held)
+            np.add.at(sums, rows, _score_ids(list(index), first, second))
+        index.clear()
+        for x in held:
+            x.clear()
+
     for k, (x, y) in enumerate(zip(left, right)):
         if x is None or y is None:
             continue
@@ -149,17 +161,15 @@ def _mean_similarity(left: pd.Series, right: pd.Series) -> np.ndarray:
         if not p or not q:
             result[k] = 1.0
             continue
-        n = min(len(p), len(q))
-        first.extend([number(w, len(index)) for w in p[:n]])
-        second.extend([number(w, len(index)) for w in q[:n]])
-        rows.append(k)
-        counts.append(n)
-        longest.append(max(len(p), len(q)))
-    if rows:
-        scores = _score_ids(list(index), np.array(first), np.array(second))
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        result[rows] = np.add.reduceat(scores, starts) / longest
-    return result
+        result[k], longest[k] = 0.0, max(len(p), len(q))
+        for v, w in zip(p, q):
+            held[0].append(index.setdefault(v, len(index)))
+            held[1].append(index.setdefault(w, len(index)))
+            held[2].append(k)
+            if len(held[0]) >= PAIRS_AT_ONCE:
+                flush()
+    flush()
+    return np.where(np.isnan(result) | (result == 1.0), result, sums / longest)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -49,12 +49,12 @@ def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return train.join(F.broadcast(class_weights(train, label).select(label, "weight")), label)
 
 
-#: Parts of a training table. Bagging is seeded per part, so their number and rows are fixed by content.
-TRAIN_PARTS = 64
+def by_content(train: DataFrame, row_id: str, parts: int | None = None) -> DataFrame:
+    """Training rows dealt to ``parts`` by row id, in order, by default the session's number of shuffle partitions.
 
-
-def by_content(train: DataFrame, row_id: str, parts: int = TRAIN_PARTS) -> DataFrame:
-    """Training rows dealt to a stated number of parts by row id, in order: models don't depend on the input's partitions."""
+    Bagging is seeded per part, so models depend on that number, but not on how the input is cut.
+    """
+    parts = parts or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return train.repartition(parts, row_id).sortWithinPartitions(row_id)
 
 

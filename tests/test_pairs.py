@@ -139,3 +139,26 @@ def test_mean_phi_rises_with_level(spark):
     means = {r.noise_level: r.m for r in noisy.groupBy("noise_level").agg(F.avg("phi").alias("m")).collect()}
     assert 0 < means["low"] < means["medium"] < means["high"] < 1
     assert noisy.filter("phi < 0 OR phi > 1 OR phi IS NULL").count() == 0
+
+
+def test_scores_do_not_depend_on_how_many_pairs_are_held(monkeypatch):
+    import pandas as pd
+
+    from quaver.functions import similarity as sim
+
+    left = pd.Series(["tera baap hai", None, "", "a b c d e f g", "longword " * 40])
+    right = pd.Series(["tera bap hii", "x", "y", "a x c y e", "longwort " * 41])
+    whole = sim._mean_similarity(left, right)
+    monkeypatch.setattr(sim, "PAIRS_AT_ONCE", 3)
+    assert pd.Series(sim._mean_similarity(left, right)).round(12).equals(pd.Series(whole).round(12))
+
+
+def test_long_words_score_like_short_ones():
+    import random
+
+    from quaver.functions import similarity as sim
+
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(1, 20))) for _ in range(2))
+        assert abs(sim._by_pointers(a, b) - sim.jaro_winkler_many([a], [b])[0]) < 1e-12
