@@ -199,12 +199,12 @@ def word_ngrams(text, low: int = 2, high: int = 4) -> Column:
 def token_features(token) -> dict[str, Column]:
     """Sound code bucket, scaled length and letter variety of one token.
 
-    The bucket comes from a stable checksum, so it is the same in every process.
+    The bucket comes from a stable digest, so it is the same in every process.
     """
     w = _col(token)
     code = F.when(w.rlike(r"^\p{L}+$"), F.soundex(w)).otherwise("0000")
     return {
-        "sound_bucket": (F.crc32(code.cast("binary")) % 1000) / 1000.0,
+        "sound_bucket": (F.conv(F.substring(F.md5(code), 1, 8), 16, 10).cast("bigint") % 1000) / 1000.0,
         "scaled_length": F.length(w) / 20.0,
         "letter_variety": F.size(F.array_distinct(F.filter(F.split(w, ""), lambda c: c != "")))
         / F.greatest(F.length(w), F.lit(1)),

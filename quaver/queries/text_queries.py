@@ -229,9 +229,25 @@ def list_literals(spark, folder):
     return table(spark, folder, "events").select("event_id", X.list_literal_text(literal).alias("text"))
 
 
-@query()
+# Soundex from its rules: letters to digits, h and w silent, runs of a digit once, zeros out, three digits.
+_BIG = "translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_DIGITS = "translate(regexp_replace({0}, '[^A-Z]', 'A', 'g'), 'AEIOUYBFPVCGJKQSXZDTLMNRHW', '00000011112222222233455677')"
+_ONCE = "{0}"
+for _d in "123456":
+    _ONCE = f"regexp_replace({_ONCE}, '{_d}+', '{_d}', 'g')"
+_SOUNDEX = f"""c AS (SELECT word, n, {_BIG.format('word')} AS u FROM d),
+  k AS (SELECT word, n, u, {_DIGITS.format('u[1:1]')} || replace({_DIGITS.format('u[2:]')}, '7', '') AS ds FROM c),
+  x AS (SELECT word, n, CASE WHEN NOT regexp_full_match(word, '\\p{{L}}+') THEN '0000' WHEN NOT regexp_matches(u, '^[A-Z]') THEN word
+    ELSE u[1:1] || rpad(replace(({_ONCE.format('ds')})[2:], '0', '')[1:3], 3, '0') END AS code FROM k)"""
+
+
+@query(
+    f"""WITH d AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest({words('text')}) AS w FROM documents) GROUP BY w), {_SOUNDEX}
+    SELECT word, n, round((('0x' || md5(code)[1:8])::BIGINT % 1000) / 1000, 6) AS sound_bucket, round(length(word) / 20, 6) AS scaled_length,
+      round(len(list_distinct(string_split(word, ''))) / length(word), 6) AS letter_variety FROM x"""
+)
 def soundex_features(spark, folder):
-    """Token features of every distinct word (no SQL engine here has soundex)."""
+    """Token features of every distinct word."""
     found = documents(spark, folder).select(F.explode(X.tokens("text")).alias("word"))
     counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("word", "n", *[F.round(c, 6).alias(k) for k, c in X.token_features("word").items()])
