@@ -85,6 +85,6 @@ def epoch_losses(log: DataFrame, by: list[str], epoch="epoch", loss="train_loss"
     return log.groupBy(*by, epoch).agg(F.avg(loss).alias("mean_loss"))
 
 
-def ordered_results(results: DataFrame, model="model", condition="test_noise") -> DataFrame:
-    """By model name, then condition name; a missing key sorts first as ''."""
-    return results.orderBy(F.coalesce(model, F.lit("")), F.coalesce(condition, F.lit("")))
+def ordered_results(results: DataFrame, model="model", condition="test_noise", then: tuple[str, ...] = ()) -> DataFrame:
+    """By model name, then condition name, then further columns; a missing name sorts first as ''."""
+    return results.orderBy(F.coalesce(model, F.lit("")), F.coalesce(condition, F.lit("")), *then)

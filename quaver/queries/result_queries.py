@@ -88,7 +88,7 @@ def ablation_gain(spark, folder):
 )
 def ordered_results(spark, folder):
     rows = result_rows(spark, folder).withColumn("code", level_code("test_noise"))
-    return R.ordered_results(rows.sortWithinPartitions("seed"))
+    return R.ordered_results(rows, then=("seed",))
 
 
 @query(

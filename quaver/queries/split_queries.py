@@ -78,10 +78,15 @@ def hash_sample(spark, folder):
 
 
 @query(f"SELECT event_id, row_number() OVER (ORDER BY md5('{fixed.SEED}|' || event_id), event_id) AS \"position\" FROM events")
-def seeded_shuffle(spark, folder):
+def shuffle_position(spark, folder):
     return O.rank_by_hash(table(spark, folder, "events").select("event_id"), "event_id")
 
 
+@query(f"SELECT event_id, user_id, event_type FROM events ORDER BY md5('{fixed.SEED}|' || event_id), event_id")
+def seeded_shuffle(spark, folder):
+    return O.seeded_shuffle(table(spark, folder, "events").select("event_id", "user_id", "event_type"), "event_id")
+
+
 _NOISY_TRAIN = f"src AS (SELECT row_id, text, level FROM corpus, {C.LEVEL_ROWS}), {C.token_noise('src')}"
 AUGMENTED = f"""{C.CORPUS}, {QUOTAS}, {_NOISY_TRAIN},
   train AS (SELECT row_id, 'clean' AS noise_level, text, NULL::VARCHAR AS text_original, label FROM parts WHERE split = 'train'

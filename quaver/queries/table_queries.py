@@ -75,14 +75,14 @@ def map_labels(spark, folder):
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id AS row_id, {clean_sql()} AS t, lang, text AS original FROM documents JOIN labels USING (doc_id)),
+    f"""WITH c AS (SELECT doc_id AS row_id, {clean_sql()} AS t, lang, text AS original FROM documents),
     k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY row_id) AS p FROM c WHERE length(t) > 5) WHERE p = 1),
     src AS (SELECT row_id, t AS text, 'high' AS level FROM k), {C.token_noise('src')}
     SELECT k.lang AS lang_pair, count(*) AS n, sum((n.noisy <> n.text_original)::INT)::BIGINT AS n_changed,
       sum(length(n.noisy))::BIGINT AS n_chars FROM noisy_text n JOIN k USING (row_id) GROUP BY ALL"""
 )
 def noisy_counts(spark, folder):
-    return noisy_label_counts(corpus(spark, folder), "row_id")
+    return noisy_label_counts(documents(spark, folder), "row_id")
 
 
 @query(
