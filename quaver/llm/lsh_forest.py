@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.common import lower_ascii, mixed, powers, signed, span_hashes, stored, text_groups, word_bounds
-from quaver.llm.components import components
+from quaver.llm.components import components, some_components
 
 TREES = 16
 DEPTH = 8
@@ -172,7 +172,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a BIGINT, b BIGINT")
+    return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a BIGINT, b BIGINT")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -194,13 +194,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     pairs = stored(_neighbours(trees, REACH).groupBy("a", "b").agg(F.count("*").alias("met"), F.sum("prefix").alias("depth")).where("a <> b"), "pairs")
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(_sets(rows.join(ends, "id", "left_semi"), size), "sets")
+    # Named joins: the plan is the same at every size, and texts move once.
+    sets = stored(_sets(rows.join(ends.hint("shuffle_hash"), "id", "left_semi"), size), "sets")
     # Every document's candidates are bounded (trees x reach on both sides), so ranks among them are too.
     each = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"), F.struct("depth", "met", F.xxhash64("a", "b").alias("tie")).alias("rank"))
     best = each.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("rank", "a", "b")), asc=False), 1, FIRST).alias("p"))
     chosen = best.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
     first = stored(_confirmed(chosen, sets, percent), "links")
-    group = stored(components(first), "groups")
+    group = stored(some_components(first), "groups")
 
     def where(column):
         return group.select(F.col("id").alias(column), F.col("component_id").alias(f"c{column}"))
