@@ -173,7 +173,8 @@ def _lists(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     A vertex has at most as many different neighbours as came from its bounded lists and their joins.
     """
     own = vertices.select(F.col("id").alias("u"), "size")
-    best = pairs.groupBy("u", "v").agg(F.max("cos").alias("cos")).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("cos", "v")), asc=False).alias("all"))
+    # Both groupings and the join work on one partitioning.
+    best = pairs.repartition("u").groupBy("u", "v").agg(F.max("cos").alias("cos")).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("cos", "v")), asc=False).alias("all"))
     cut = best.join(own, "u").select("u", F.slice("all", 1, F.col("size")).alias("l"), "size")
     return cut.select("u", "size", F.explode("l").alias("e")).select("u", "e.v", "e.cos", "size")
 
@@ -184,8 +185,8 @@ def _refine(lists: DataFrame, vertices: DataFrame) -> DataFrame:
     Around a vertex that very many name, neighbours meet in groups of GROUP; each group holds the vertex too.
     """
     both = lists.select(F.col("u").alias("c"), F.col("v").alias("m")).unionByName(lists.select(F.col("v").alias("c"), F.col("u").alias("m"))).distinct()
-    crowd = stored(both.groupBy("c").agg(F.count("*").alias("n")), "crowd")
     both = stored(both, "around")
+    crowd = stored(both.groupBy("c").agg(F.count("*").alias("n")), "crowd")
     worst = lists.groupBy("u").agg(F.min("cos").alias("cos"), F.count("*").alias("n"), F.first("size").alias("size"))
     floor = worst.select(F.col("u").alias("m"), F.when(F.col("n") >= F.col("size"), F.col("cos")).otherwise(-2.0).alias("floor"))
     deal = both.join(crowd, "c").select("c", F.pmod(F.xxhash64("m"), F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP))).alias("g"), "m")
