@@ -4,7 +4,7 @@ Words get 64-bit names. First maximal runs of one word are named, then, in each
 depends on nothing but the symbol and the round puts it left or right, and each left symbol that is followed by a
 right one is joined with it under a new name. A name is a function of what it stands for, so every
 executor gives the same one, and equal word sequences are parsed alike except for a few symbols at
-their ends. A window's anchor is the least-named top symbol of its inner part. Spark counts anchors over all
+their ends. A window's anchor is the least-named top symbol of its inner part, with the words that follow. Spark counts anchors over all
 documents; anchors that occur twice reveal candidates, and runs of windows around them are compared by
 fingerprints of their words.
 """
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import mixed, powers, signed, span_hashes, stored, text_groups, word_bounds
+from quaver.llm.common import mixed, powers, release, signed, span_hashes, stored, text_groups, word_bounds
 from quaver.llm.repeats import RUNS, classes, shared_runs, with_texts
 
 WINDOW = 35
 ROUNDS = 3
+#: Words that name an anchor, from the start of its symbol on: few enough to fit every window, many enough to be rare.
+ANCHOR_WORDS = 8
 
 
 def sequence_hashes(names: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,6 +102,11 @@ def window_anchors(words: np.ndarray, firsts: np.ndarray, window: int = WINDOW,
     starts = np.repeat(bounds[:-1], counts) + np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
     levels, names = parse(words, firsts, rounds)
     lo, hi = _inner(levels, starts, n, window)
+    # An anchor is named by its symbol and the words from there on, which have to lie in the window too.
+    top = levels[-1]
+    wide = min(ANCHOR_WORDS, window)
+    names = mixed(names ^ sequence_hashes(words, top, np.minimum(top + wide, n)), 8)
+    hi = np.minimum(hi, np.searchsorted(top, starts + window - wide, "right"))
     # Least name in [lo, hi), the leftmost of equals: a sparse table of (40 bits of the name, place).
     place = np.arange(len(names), dtype=np.uint64)
     table = [((mixed(names, 9) >> np.uint64(24)) << np.uint64(24)) | place]
@@ -174,8 +181,9 @@ def _variant_windows(chosen: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2).to_pylist()
-            for first, words, at, _ in _parts(batch, window):
-                rows = [(r, at[i]) for i in range(len(at)) for r in lists[first + i]]
+            for first, words, at, many in _parts(batch, window):
+                # A row with the same key and another text may be shorter.
+                rows = [(r, at[i]) for i in range(len(at)) for r in lists[first + i] if r["start"] + r["size"] + window - 1 <= many[i]]
                 if not rows:
                     continue
                 size = np.array([r["size"] for r, _ in rows])
@@ -195,7 +203,8 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     A window is ``window`` consecutive words ``[^\\x20\\x09-\\x0D]+``, unchanged; one that starts at any second
     place, in the same document too, is repeated, and all its places count. ``spans`` are maximal stretches
     (start, end) of such words; ``kept_text`` joins the others by one blank. Null and empty texts have no
-    words. Keys are distinct integers; rows without a key come back without spans. Texts of any length are
+    words. Keys are integers; rows without one come back without spans, and rows that share one are places of
+    the same document (their texts should be equal), each a place of its own. Texts of any length are
     read whole. Other columns are not read.
     """
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -204,15 +213,18 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     kinds = classes(runs)
     several = kinds.where("variants > 1").select("doc_id", "anchor", "run", "start", "size", "n")
     windows = stored(_variant_windows(with_texts(several, named), window), "windows")
+    release(docs.sparkSession)
     names = stored(windows.groupBy("anchor", "name").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "name"), "names")
     some = windows.join(names, ["anchor", "name"]).groupBy("anchor", "run").agg(F.sort_array(F.collect_list("at")).alias("at"))
     some = some.select("anchor", "run", "at")
     whole = kinds.where("variants = 1 AND n > 1").select("anchor", "run", F.lit(None).cast("array<bigint>").alias("at"))
     decided = stored(whole.unionByName(some), "decisions")
+    release(docs.sparkSession)
     marked = runs.join(decided, ["anchor", "run"]).select("doc_id", "start", "size", "at")
     marks = marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "at")).alias("marks"))
     marks = stored(marks, "marks")
-    return _apply(own.join(marks, "doc_id", "left"), key, window)
+    release(docs.sparkSession)
+    return _apply(own.join(marks.hint("shuffle_hash"), "doc_id", "left"), key, window)
 
 
 def _apply(rows: DataFrame, key: str, window: int) -> DataFrame:
@@ -225,6 +237,8 @@ def _apply(rows: DataFrame, key: str, window: int) -> DataFrame:
                 words = [w for w in data.translate(_BLANKS).split(b" ") if w]
                 edge = np.zeros(len(words) + 1, np.int64)
                 for m in marks or ():
+                    if m["start"] + m["size"] + window - 1 > len(words):
+                        continue  # of another row with the same key
                     places = [m["start"] + a for a in m["at"]] if m["at"] is not None else None
                     if places is None:
                         edge[m["start"]] += 1

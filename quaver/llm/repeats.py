@@ -36,14 +36,16 @@ def classes(runs: DataFrame) -> DataFrame:
         "classes",
     )
     variants = stored(each.groupBy("anchor").agg(F.count("*").alias("variants")), "variants")
-    return stored(each.join(variants, "anchor"), "classes")
+    found = stored(each.join(variants, "anchor"), "classes")
+    release(runs.sparkSession)
+    return found
 
 
 def with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, ``rows``: the documents that ``rows`` (by ``doc_id``) name, each with its own rows.
 
-    A document has at most as many rows as windows. Documents are moved only if their rows can't be.
+    A document has at most as many rows as windows.
     """
     own = [F.col(c) for c in rows.columns if c != "doc_id"]
     grouped = stored(rows.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("rows")), "rows-by-document")
-    return docs.join(grouped, "doc_id")
+    return docs.join(grouped.hint("shuffle_hash"), "doc_id")
