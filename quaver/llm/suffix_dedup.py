@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import _BYTES, mixed, powers, signed, span_hashes, stored, text_groups
+from quaver.llm.common import _BYTES, mixed, powers, release, signed, span_hashes, stored, text_groups
 from quaver.llm.repeats import RUNS, classes, shared_runs, with_texts
 
 WINDOW = 100
@@ -186,6 +186,8 @@ def _run_bytes(chosen: DataFrame, window: int) -> DataFrame:
             for i, text, own in zip(ids, texts, lists, strict=True):
                 data = text.as_py().encode()
                 for r in own:
+                    if r["start"] + r["size"] + window - 1 > len(data):
+                        continue  # of another row with the same key
                     for k in ("anchor", "run", "start", "variants"):
                         out[k].append(r[k])
                     out["doc_id"].append(i)
@@ -213,8 +215,9 @@ def later_windows(runs: list[bytes], places: np.ndarray, window: int = WINDOW) -
     group, owner, offset = group[inside], owner[inside], offset[inside]
     document, start = places[owner, 0], places[owner, 1] + offset
     by = np.lexsort((start, document, group))
-    later = np.zeros(len(by), dtype=bool)
-    later[1:] = group[by][1:] == group[by][:-1]
+    # Not the first place of its group; rows that share a key may name it twice.
+    head = np.searchsorted(group[by], group[by])
+    later = (document[by] != document[by][head]) | (start[by] != start[by][head])
     owner, offset = owner[by][later], offset[by][later]
     by = np.argsort(owner, kind="stable")
     cuts = np.searchsorted(owner[by], np.arange(len(runs) + 1))
@@ -266,7 +269,8 @@ def later_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window
 
     Earlier: in a document with a smaller key, or in the same one before; overlaps count, and matches don't cross
     documents. ``spans`` are the maximal stretches (start, end) to remove, ``kept`` the other bytes. Null and
-    empty texts have no bytes. Keys are distinct integers; rows without one come back whole. Texts of any
+    empty texts have no bytes. Keys are integers; rows without one come back whole, and rows that share one are
+    places of the same document (their texts should be equal). Texts of any
     length are read whole. Other columns are not read.
     """
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -275,14 +279,17 @@ def later_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     kinds = classes(runs)
     several = kinds.where("variants > 1").select("doc_id", "anchor", "run", "start", "size", "variants")
     segments = stored(_run_bytes(with_texts(several, named), window), "segments")
+    release(docs.sparkSession)
     some = _sorted_windows(segments.where(F.col("variants") <= most_variants), window, array_bytes)
     some = some.unionByName(_compared_windows(segments.where(F.col("variants") > most_variants), window))
     decided = kinds.select("anchor", "run", "n", F.struct("doc_id", "start").alias("first")).join(stored(some, "later"), ["anchor", "run"], "left")
     decided = stored(decided.where("n > 1 OR at IS NOT NULL"), "decisions")
+    release(docs.sparkSession)
     marked = runs.join(decided, ["anchor", "run"]).select("doc_id", "start", "size", F.when(F.struct("doc_id", "start") == F.col("first"), F.coalesce("at", F.array().cast("array<bigint>"))).alias("at"))
     marked = marked.where("at IS NULL OR size(at) > 0")
     marks = stored(marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "at")).alias("marks")), "marks")
-    return _apply(own.join(marks, "doc_id", "left"), key, window)
+    release(docs.sparkSession)
+    return _apply(own.join(marks.hint("shuffle_hash"), "doc_id", "left"), key, window)
 
 
 def _apply(rows: DataFrame, key: str, window: int) -> DataFrame:
@@ -299,6 +306,8 @@ def _apply(rows: DataFrame, key: str, window: int) -> DataFrame:
                         continue
                     edge = np.zeros(len(data) + 1, np.int64)
                     for m in lists[i]:
+                        if m["start"] + m["size"] + window - 1 > len(data):
+                            continue  # of another row with the same key
                         if m["at"] is None:
                             edge[m["start"]] += 1
                             edge[m["start"] + m["size"] + window - 1] -= 1
