@@ -2,9 +2,10 @@
 
 Each tree sorts the documents by its own sequence of minimum hashes. In a sorted order, the neighbours of a
 document share the longest prefixes with it, so the depth at which two documents meet adapts to how
-crowded their region is: only neighbours become candidates, in every tree. Candidates are confirmed on
+crowded their region is: neighbours become candidates first, in every tree. Candidates are confirmed on
 whole shingle sets, in two rounds: first each document's best candidates, then those that would
-still join two components.
+still join two components. Where more documents share the least prefix than neighbours reach, all of them are then
+compared on whole sets, in bounded blocks that return components; only pairs within one component are spared.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ LEAST_PREFIX = 3
 REACH = 4
 #: Candidates of a document that are confirmed in the first round.
 FIRST = 2
+#: Documents and shingles, on average, of a block of a crowded prefix; shared shingles that are counted at once.
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1 << 20
+COLUMNS = 4096
 
 _rng = np.random.default_rng(99)
 _MUL = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,8 +92,9 @@ def _signed_docs(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id BIGINT, n_shingles BIGINT, h1 BIGINT, h2 BIGINT, keys BINARY")
 
 
-def _neighbours(trees: DataFrame, reach: int) -> DataFrame:
-    """``a`` < ``b``, ``prefix``: pairs at most ``reach`` places apart in a tree's order with a common prefix of LEAST_PREFIX or more.
+def _neighbours(trees: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
+    """``a`` < ``b``, ``prefix``: pairs at most ``reach`` places apart in a tree's order with a common prefix of LEAST_PREFIX or more;
+    and ``run`` (tree and prefix), ``id`` of the rows of prefixes that more than ``reach`` rows share.
 
     Rows (``key``: tree and hashes, ``id``) are range-partitioned by key and id, which splits equal keys
     too. The rows at the edges of partitions, a few each, are joined up in a second, small order.
@@ -97,10 +103,11 @@ def _neighbours(trees: DataFrame, reach: int) -> DataFrame:
     def pairs_of(keys: list[bytes], ids: np.ndarray, edge: np.ndarray | None = None):
         n = len(ids)
         if n < 2:
-            return [], [], []
+            return [], [], [], np.zeros(0, np.int64)
         grid = np.frombuffer(b"".join(keys), np.uint8).reshape(n, -1)
         tree, grid = grid[:, :2], grid[:, 2:].reshape(n, DEPTH, 2)
         out: tuple[list, list, list] = ([], [], [])
+        crowd = np.zeros(n + 1, np.int64)
         for k in range(1, min(reach, n - 1) + 1):
             same = (grid[k:] == grid[:-k]).all(axis=2)
             prefix = np.where(same.all(axis=1), DEPTH, same.argmin(axis=1))
@@ -109,7 +116,10 @@ def _neighbours(trees: DataFrame, reach: int) -> DataFrame:
             out[0].append(np.minimum(ids[at], ids[at + k]))
             out[1].append(np.maximum(ids[at], ids[at + k]))
             out[2].append(prefix[at])
-        return [np.concatenate(x) for x in out]
+            if k == reach:  # all rows between the two share the prefix
+                crowd[at] += 1
+                crowd[at + k + 1] -= 1
+        return *[np.concatenate(x) for x in out], np.flatnonzero(np.cumsum(crowd)[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[bytes] = []
@@ -120,8 +130,9 @@ def _neighbours(trees: DataFrame, reach: int) -> DataFrame:
             # The last rows of a batch meet the first rows of the next.
             keys = keys[len(keys) - min(reach, len(keys)) :] + batch.column(0).to_pylist()
             ids = np.concatenate([ids[len(ids) - min(reach, len(ids)) :], batch.column(1).to_numpy(zero_copy_only=False)])
-            a, b, prefix = pairs_of(keys, ids)
+            a, b, prefix, crowd = pairs_of(keys, ids)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.int64()), pa.nulls(len(a), pa.binary())], names)
+            yield crowded(keys, ids, crowd, names)
             if head < reach:
                 fresh = batch.num_rows
                 take = min(reach - head, fresh)
@@ -131,20 +142,30 @@ def _neighbours(trees: DataFrame, reach: int) -> DataFrame:
         last = min(reach, len(ids))
         yield edge(keys[len(keys) - last :], ids[len(ids) - last :], names)
 
+    def crowded(keys, ids, crowd, names):
+        n = len(crowd)
+        return pa.RecordBatch.from_arrays([pa.array(ids[crowd], pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array([keys[i] for i in crowd], pa.binary())], names)
+
     def edge(keys, ids, names):
         n = len(ids)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(keys, pa.binary())], names)
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({(k, i) for batch in batches for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)})
-        a, b, prefix = pairs_of([k for k, _ in rows], np.array([i for _, i in rows], np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.int64())], ["a", "b", "prefix"])
+        keys, ids = [k for k, _ in rows], np.array([i for _, i in rows], np.int64)
+        a, b, prefix, crowd = pairs_of(keys, ids)
+        names = ["a", "b", "prefix", "key"]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.int64()), pa.nulls(len(a), pa.binary())], names)
+        yield crowded(keys, ids, crowd, names)
 
     ordered = trees.repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("key", "id")
     found = stored(ordered.mapInArrow(run, "a BIGINT, b BIGINT, prefix BIGINT, key BINARY"), "forest")
     # 2 x reach rows of each partition of the order, whatever the number of documents in them.
-    edges = found.where("key IS NOT NULL").select("key", F.col("a").alias("id")).coalesce(1)
-    return found.where("key IS NULL").select("a", "b", "prefix").unionByName(edges.mapInArrow(stitch, "a BIGINT, b BIGINT, prefix BIGINT"))
+    edges = found.where("key IS NOT NULL AND prefix IS NULL").select("key", F.col("a").alias("id")).coalesce(1)
+    stitched = stored(edges.mapInArrow(stitch, "a BIGINT, b BIGINT, prefix BIGINT, key BINARY"), "forest")
+    whole = found.where("key IS NULL OR prefix IS NOT NULL").unionByName(stitched)
+    crowd = whole.where("key IS NOT NULL").select(F.expr(f"substring(key, 1, {2 + 2 * LEAST_PREFIX})").alias("run"), F.col("a").alias("id")).distinct()
+    return whole.where("key IS NULL").select("a", "b", "prefix"), crowd
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -175,6 +196,101 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a BIGINT, b BIGINT")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, by products of bounded 0/1 matrices."""
+    out = np.zeros((len(left), len(right)), np.float64)
+    x, y = np.concatenate(left), np.concatenate(right)
+    x_row, y_row = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
+    common = np.intersect1d(x, y)
+    if not len(common):
+        return out
+    x_at, y_at = np.minimum(np.searchsorted(common, x), len(common) - 1), np.minimum(np.searchsorted(common, y), len(common) - 1)
+    x_in, y_in = common[x_at] == x, common[y_at] == y
+    x_at, x_row, y_at, y_row = x_at[x_in], x_row[x_in], y_at[y_in], y_row[y_in]
+    x_by, y_by = np.argsort(x_at, kind="stable"), np.argsort(y_at, kind="stable")
+    x_at, x_row, y_at, y_row = x_at[x_by], x_row[x_by], y_at[y_by], y_row[y_by]
+    for lo in range(0, len(common), COLUMNS):
+        wide = min(COLUMNS, len(common) - lo)
+        grids = []
+        for at, row, n in ((x_at, x_row, len(left)), (y_at, y_row, len(right))):
+            a, b = np.searchsorted(at, [lo, lo + wide])
+            grid = np.zeros((n, wide), np.float32)
+            grid[row[a:b], at[a:b] - lo] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def _block_links(left: list[int], right: list[int], good: np.ndarray) -> list[tuple[int, int]]:
+    """Links that hold together what ``good`` (left x right) links: one for each row that is reached, not one for each pair."""
+    out = []
+    fresh_left, fresh_right = good.any(axis=1), good.any(axis=0)
+    while fresh_left.any():
+        start = int(np.flatnonzero(fresh_left)[0])
+        fresh_left[start] = False
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(good[i] & fresh_right).tolist():
+                fresh_right[j] = False
+                out.append((left[i], right[j]))
+                more = np.flatnonzero(good[:, j] & fresh_left).tolist()
+                fresh_left[more] = False
+                out.extend((left[k], right[j]) for k in more)
+                todo.extend(more)
+    return [(a, b) for a, b in out if a != b]
+
+
+def _crowd_links(crowd: DataFrame, sets: DataFrame, sizes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) that join the documents of crowded prefixes as all their linked pairs would.
+
+    Rows of a prefix's largest component (by ``known``) need no comparison among themselves. All others meet every row of the prefix:
+    both are dealt into blocks of bounded size, and each pair of blocks is one task's group. A prefix in one component is done.
+    """
+    rows = stored(crowd.join(sizes.select("id", "n_shingles"), "id").join(known, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id"), "crowd")
+    per = rows.groupBy("run", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    total = per.groupBy("run").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "c", "w")).alias("most"))
+
+    def blocks(n, w):
+        return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+
+    open_ = total.where("n > most.n").select(
+        "run", F.col("most.c").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("few"), blocks(F.col("most.n"), F.col("most.w")).alias("many")
+    )
+    dealt = rows.join(stored(open_, "open"), "run")
+    salt = F.xxhash64("id", F.lit(3))
+    mine = F.when(F.col("c") == F.col("main"), F.col("few") + F.pmod(salt, F.col("many"))).otherwise(F.pmod(salt, F.col("few"))).cast("int")
+    dealt = dealt.select("run", "id", "few", "many", mine.alias("own"))
+    others = F.sequence(F.lit(0), F.when(F.col("own") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    met = dealt.withColumn("other", F.explode(others)).select("run", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id")
+    full = stored(met, "meetings").join(sets.hint("merge"), "id").select("run", "i", "j", "own", "id", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, kept = None, ([], []), ([], [])
+        for batch in batches:
+            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for at, (name, own, one) in enumerate(zip(names, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if name != now:
+                    yield links(now, ids, kept)
+                    now, ids, kept = name, ([], []), ([], [])
+                side = int(own != name[1])
+                ids[side].append(one)
+                kept[side].append(np.frombuffer(batch.column(5)[at].as_py(), np.uint64))
+        yield links(now, ids, kept)
+
+    def links(name, ids, kept):
+        out = []
+        if name is not None:
+            side = int(name[1] != name[2])
+            if ids[0] and ids[side]:
+                n = [np.array([len(s) for s in kept[k]], np.int64) for k in (0, side)]
+                common = shared_counts(kept[0], kept[side]).astype(np.int64)
+                out = _block_links(ids[0], ids[side], 100 * common >= percent * (n[0][:, None] + n[1][None, :] - common))
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    return full.repartition("run", "i", "j").sortWithinPartitions("run", "i", "j").mapInArrow(run, "a BIGINT, b BIGINT")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id``: documents linked by a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -191,7 +307,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     width = 2 * DEPTH
     one = F.struct(F.concat(F.unhex(F.lpad(F.hex(F.col("t")), 4, "0")), F.expr(f"substring(keys, t * {width} + 1, {width})")).alias("key"), "id")
     trees = reps.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select(one.alias("r")).select("r.*")
-    pairs = stored(_neighbours(trees, REACH).groupBy("a", "b").agg(F.count("*").alias("met"), F.sum("prefix").alias("depth")).where("a <> b"), "pairs")
+    near, crowd = _neighbours(trees, REACH)
+    pairs = stored(near.groupBy("a", "b").agg(F.count("*").alias("met"), F.sum("prefix").alias("depth")).where("a <> b"), "pairs")
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # Named joins: the plan is the same at every size, and texts move once.
@@ -210,6 +327,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     second = _confirmed(rest, sets, percent)
     final = components(first.unionByName(second))
+    final = stored(final, "joined")
+    more = stored(_crowd_links(crowd, sets, reps, final, percent), "crowd-links")
+    if not more.isEmpty():
+        final = components(final.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
 
     rep = reps.select(*same, F.col("id").alias("rep")).join(final.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     rep = rep.select(*same, F.coalesce("component_id", "rep").alias("component_id"))

@@ -141,6 +141,36 @@ def test_near_duplicates(spark, folder):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (len(s), root[i], root[i] == i) for i, s in sets.items()}
 
 
+def near_groups(spark, texts, size, percent):
+    """Components by the operator and by brute force."""
+    from quaver.llm.lsh_forest import near_duplicates
+
+    sets = [{tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (t.split() for t in texts)]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(3)
+    return {r.doc_id: r.component_id for r in near_duplicates(rows, size=size, percent=percent).collect()}, components(range(len(texts)), linked)
+
+
+def edited(rng, words, places):
+    out = list(words)
+    for at in places:
+        out[at] = f"e{rng.random()}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("rows", [512, 40])
+def test_many_copies_link_to_one_original_only(spark, monkeypatch, rows):
+    from quaver.llm import lsh_forest
+
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", rows)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    spots = range(4, 396, 4)
+    got, want = near_groups(spark, [edited(rng, words, rng.sample(spots, 10)) for _ in range(200)] + [" ".join(words)], 3, 85)
+    assert set(want.values()) == {0}
+    assert got == want
+
+
 def test_benchmark_items(spark, folder):
     got = {(r.doc_id, r.item_id): r.edits for r in Q.op4_pigeonhole(spark, folder).collect()}
     assert got[(3, 1)] == 0 and got[(7, 2)] == 0 and {i for _, i in got} == {1, 2}
