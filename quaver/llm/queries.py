@@ -131,3 +131,59 @@ def op5_gru_lm(spark, folder):
     scored = score_documents(docs.select("doc_id", "text"), docs.where(~F.col("held_out")).select("text"))
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return scored.select("doc_id", held_out(7, 2).alias("held_out"), *names)
+
+
+@query()
+def op11_byte_cnn_quality(spark, folder):
+    from quaver.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out(5, 0).alias("held_out"))
+    labels = table(spark, folder, "labels").where(~held_out(5, 0)).select("doc_id", "quality")
+    scored = score_quality(docs, fit_quality(docs.where(~F.col("held_out")), labels))
+    score = F.col("quality_score")
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op13_spectrum_slicing(spark, folder):
+    from quaver.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
+
+
+#: Bit by bit, as no SQL function of DuckDB gives it.
+CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda z: ascii(z)::BIGINT),
+      lambda a, z: list_reduce(range(8), lambda u, k: xor(u >> 1, 3988292384 * (u & 1)), xor(a, z)), 4294967295::BIGINT))"""
+
+TRIE_SQL = f"""WITH turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+    FROM conversations WHERE conv_id IS NOT NULL),
+  convs AS (SELECT c, {CRC32} % 6 AS h, c - c % 100 AS base FROM (SELECT DISTINCT c FROM turns)),
+  built AS (
+    SELECT v.c, 0 AS own, t.p, t.r, t.x FROM convs v JOIN turns t ON t.c = v.base AND t.p <= v.h
+    UNION ALL SELECT v.c, 1, t.p, t.r, t.x FROM convs v JOIN turns t ON t.c = v.c AND t.p > v.h),
+  prefixes AS (
+    SELECT c, row_number() OVER w AS depth, list(md5(length(r) || ':' || r || x)) OVER w AS path, length(x) AS chars
+    FROM built WINDOW w AS (PARTITION BY c ORDER BY own, p)
+    UNION ALL SELECT c, 0, []::VARCHAR[], 0 FROM convs),
+  nodes AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM prefixes GROUP BY path, depth),
+  kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+  valued AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+  sums AS (
+    SELECT path[1:k] AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+    FROM (SELECT *, unnest(range(depth + 1)) AS k FROM valued) GROUP BY 1),
+  ends AS (
+    SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256
+    FROM (SELECT c, max_by(path, depth) AS path FROM prefixes GROUP BY c) GROUP BY path)
+  SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves::BIGINT AS n_leaves,
+    saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+  FROM valued v JOIN sums USING (path) LEFT JOIN ends USING (path)
+  LEFT JOIN nodes u ON v.depth > 0 AND u.path = v.path[1:v.depth - 1]"""
+
+
+@query(TRIE_SQL)
+def op12_depth_bands(spark, folder):
+    from quaver.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, folder, "conversations"))
