@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -12,3 +14,17 @@ def reuse(df: DataFrame) -> DataFrame:
     The caller may release it with ``unpersist``. Its rows must not depend on partitions.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a checkpoint: plan and lineage end here, so that many later jobs plan quickly.
+
+    The folder is the one named by ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaver-"))
+    return df.checkpoint()

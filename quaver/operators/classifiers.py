@@ -1,42 +1,22 @@
-"""Classical classifiers on MLlib and the fit-and-evaluate grid."""
+"""Classical classifiers by name, TF-IDF features for them, and the fit-and-evaluate grid."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.operators.bounded import reuse
+from quaver.operators import linear, trees
+from quaver.operators.bounded import reuse, settled
 from quaver.operators.metrics import f1_summary, majority_vote
-from quaver.operators.tables import class_weights, level_rows
-from quaver.operators.tfidf import MAX_TERMS, fit_idf, index_terms, term_counts, to_vectors, weigh
+from quaver.operators.tables import class_weights, level_rows, top_terms
+from quaver.operators.tfidf import MAX_TERMS, entry_lists, fit_idf, index_terms, pack_vectors, term_counts, to_vectors, weigh, with_empty
 
 VOTERS = ("LR", "RF", "XGBOOST")
 
 
-# Convergence tolerance and feature scaling as in the published models.
-LINEAR = {"tol": 1e-4, "standardization": False}
-
-
-def estimator(name: str, rows: int, weight: str | None = None):
-    """Classifier by name; a penalty of C = 1 becomes regParam = 1 / rows."""
-    common = {"featuresCol": "features", "labelCol": "label"}
-    if weight:
-        common["weightCol"] = weight
-    penalty = {"regParam": 1.0 / max(rows, 1)}
-    make = {
-        "SVM": lambda: LinearSVC(maxIter=2000, **penalty, **LINEAR, **common),
-        "LR": lambda: LogisticRegression(maxIter=1000, **penalty, **LINEAR, **common),
-        "M_LR": lambda: LogisticRegression(maxIter=1000, family="multinomial", **penalty, **LINEAR, **common),
-        "RF": lambda: RandomForestClassifier(
-            numTrees=500, impurity="entropy", seed=0, maxDepth=30, maxMemoryInMB=1024, **common
-        ),
-        "XGBOOST": lambda: GBTClassifier(maxDepth=2, maxIter=500, stepSize=1.0, seed=0, **common),
-    }
-    return make[name]()
-
-
 def from_arrays(df: DataFrame, array: str, label: str = "label") -> DataFrame:
     """Array features as MLlib vectors."""
     return df.withColumn("features", array_to_vector(F.col(array).cast("array<double>"))).withColumn(
@@ -49,47 +29,51 @@ def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return train.join(F.broadcast(class_weights(train, label).select(label, "weight")), label)
 
 
-def by_content(train: DataFrame, row_id: str, parts: int | None = None) -> DataFrame:
-    """Training rows dealt to ``parts`` by row id, in order, by default the session's number of shuffle partitions.
-
-    Bagging is seeded per part, so models depend on that number, but not on how the input is cut.
-    """
-    parts = parts or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return train.repartition(parts, row_id).sortWithinPartitions(row_id)
+def fit_linear(name: str, train: DataFrame, weight: str | None = None, tolerance: float = 1e-4) -> linear.Model:
+    """One linear model on (label, features); rows weigh alike unless ``weight`` names their column."""
+    spec = linear.svm(name=name) if name == "SVM" else linear.logistic(name=name, multinomial=name == "M_LR")
+    weigh_by = F.col(weight).cast("double") if weight else F.lit(1.0)
+    first = train.select("features").where("features IS NOT NULL").first()
+    rows = train.select(F.lit("all").alias("condition"), F.col("label").cast("double").alias("label"), weigh_by.alias("weight"), "features")
+    return linear.fit(rows, [spec], first[0].size if first else 0, tolerance)[0]
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, row_id: str, weight: str | None = None) -> DataFrame:
     """(row, label, model, prediction, probability of class 1 where the model has one)."""
-    rows = train.count()
-    model = estimator(name, rows, weight).fit(by_content(train, row_id))
-    scored = model.transform(test)
-    probability = (
-        F.get(vector_to_array("probability"), F.lit(1)) if "probability" in scored.columns else F.lit(None).cast("double")
-    )
-    return scored.select(
-        row_id,
-        F.col("label").cast("int").alias("label"),
-        F.lit(name).alias("model"),
-        F.col("prediction").cast("int").alias("prediction"),
-        probability.alias("probability"),
-    )
+    rows = test.select(row_id, F.col("label").cast("int").alias("label"), "features")
+    keep = [row_id, "label"]
+    if name in ("SVM", "LR", "M_LR"):
+        return linear.predict(rows.withColumn("condition", F.lit("all")), [fit_linear(name, train, weight)], keep)
+    if weight:
+        raise ValueError(f"{name} takes no row weights")
+    if name == "RF":
+        return trees.predict_forest(trees.fit_forest(train, row_id), rows, keep)
+    if name == "XGBOOST":
+        return trees.predict_boosted(trees.fit_boosted(train, row_id), rows, keep)
+    raise KeyError(name)
 
 
 def classify(name: str, train: DataFrame, test: DataFrame, row_id: str) -> DataFrame:
-    """Dispatch by name: a single model, VC (majority of three), or A (all of them)."""
-    if name == "A":
-        parts = [fit_predict(m, train, test, row_id) for m in VOTERS]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-    if name in ("VC", "M_VC"):
-        votes = classify("A", train, test, row_id)
-        labels = test.select(row_id, F.col("label").cast("int").alias("label"))
-        return majority_vote(votes, row_id).join(labels, row_id).withColumn("model", F.lit(name)).select(
-            row_id, "label", "model", "prediction", F.lit(None).cast("double").alias("probability")
-        )
-    return fit_predict(name, train, test, row_id)
+    """Dispatch by name: a single model, VC (majority of three), or A (all three and their vote)."""
+    if name not in ("A", "VC", "M_VC"):
+        return fit_predict(name, train, test, row_id)
+    votes = reuse(reduce(DataFrame.unionByName, [fit_predict(m, train, test, row_id) for m in VOTERS]))
+    labels = test.select(row_id, F.col("label").cast("int").alias("label"))
+    vote = majority_vote(votes, row_id).join(labels, row_id).select(
+        row_id, "label", F.lit("VC" if name == "A" else name).alias("model"), "prediction", F.lit(None).cast("double").alias("probability")
+    )
+    return votes.unionByName(vote) if name == "A" else vote
+
+
+def coverage(predictions: DataFrame) -> DataFrame:
+    """(model, label, n_rows, n_predicted) of a prediction table."""
+    return predictions.groupBy("model", "label").agg(F.count(F.lit(1)).alias("n_rows"), F.count("prediction").alias("n_predicted"))
+
+
+def beats_majority(predictions: DataFrame) -> DataFrame:
+    """(model, n_rows, beats_majority): whether more rows are right than the most frequent label has."""
+    cells = predictions.groupBy("model", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("prediction")).alias("right"))
+    return cells.groupBy("model").agg(F.sum("n").alias("n_rows"), (F.sum("right") > F.max("n")).alias("beats_majority"))
 
 
 def text_features(train: DataFrame, others: list[DataFrame], row_id: str, k: int = MAX_TERMS) -> list[DataFrame]:
@@ -101,34 +85,87 @@ def text_features(train: DataFrame, others: list[DataFrame], row_id: str, k: int
 
     def vectors(rows: DataFrame, terms: DataFrame) -> DataFrame:
         weights = weigh(terms, row_id, vocabulary.select("term", "idf"))
-        packed = to_vectors(weights, row_id, vocabulary, size)
         # A text without a term of the vocabulary is a row all the same.
-        empty = array_to_vector(F.array_repeat(F.lit(0.0), size))
-        joined = rows.select(row_id, F.col("label").cast("double").alias("label")).join(packed, row_id, "left")
-        return joined.withColumn("features", F.coalesce("features", empty))
+        return to_vectors(weights, row_id, vocabulary, size, rows=rows.select(row_id, F.col("label").cast("double").alias("label")))
+
+    return [vectors(train, counts), *[vectors(o, term_counts(o, row_id)) for o in others]]
+
 
-    return [reuse(vectors(train, counts)), *[reuse(vectors(o, term_counts(o, row_id))) for o in others]]
+def uses(role: str, level: str, conditions: list[str]) -> list[str]:
+    """Conditions that use the rows of a role and level: training rows those that train on the level, test rows those of their own."""
+    if role == "val":
+        return conditions
+    own = [c for c in conditions if c in ("all", level)]
+    return conditions if role == "train" and level == "clean" else [c for c in own if role == "train" or c == level]
+
+
+def condition_features(rows: DataFrame, conditions: list[str], row_id: str, k: int = MAX_TERMS) -> tuple[DataFrame, dict[str, int], list[DataFrame]]:
+    """(role, condition, label, weight, features) of rows (row id, text, label, role, noise_level), sizes by condition, and what to release.
+
+    Roles are train, val and test; a row may be used by several conditions, see :func:`uses`. Each text's n-grams are counted
+    once, whatever the number of conditions. A condition's vocabulary and idf come from the training rows that it uses;
+    both are looked up by one probe per distinct term of a text. Row ids need only be unique within a role and level.
+    """
+    cells = rows.groupBy("role", "noise_level").count().collect()
+    used = {(r["role"], r["noise_level"]): uses(r["role"], r["noise_level"], conditions) for r in cells}
+    key = F.struct("role", "noise_level", F.col(row_id).cast("string").alias("id"))
+    keyed = rows.select(key.alias("key"), "text", F.col("label").cast("double").alias("label"))
+    counts = reuse(term_counts(keyed, "key"))
+    level = F.col("key.noise_level")
+    totals = reuse(counts.where("key.role = 'train'").groupBy(level.alias("level"), "term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")))
+    vocabulary = None
+    for i, condition in enumerate(conditions):
+        mine = [r for r in cells if r["role"] == "train" and condition in used["train", r["noise_level"]]]
+        n = sum(r["count"] for r in mine)
+        seen = totals.where(F.col("level").isin([r["noise_level"] for r in mine])).groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.sum("df").alias("df"))
+        idf = top_terms(seen, "term", "corpus_tf", k).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+        indexed = index_terms(idf).withColumn("condition", F.lit(i))
+        vocabulary = indexed if vocabulary is None else vocabulary.unionByName(indexed)
+    vocabulary = reuse(vocabulary.groupBy("term").agg(F.collect_list(F.struct("condition", "index", "idf")).alias("entries")))
+    found = vocabulary.select(F.explode("entries.condition").alias("c")).groupBy("c").count().collect()
+    size = {c: 0 for c in conditions} | {conditions[r["c"]]: r["count"] for r in found}
+    numbers = lambda name, role: F.coalesce(
+        *[F.when((role == r) & (name == v), F.array(*[F.lit(conditions.index(c)) for c in cs])) for (r, v), cs in used.items()],
+        F.array().cast("array<int>"),
+    )
+    # At most k terms a condition.
+    wanted = F.filter("entries", lambda e: F.array_contains(numbers(level, F.col("key.role")), e["condition"]))
+    known = counts.join(F.broadcast(vocabulary), "term").select("key", "tf", F.explode(wanted).alias("e"))
+    weights = known.select("key", F.col("e.condition").alias("condition"), F.col("e.index").alias("index"), ((1.0 + F.log("tf")) * F.col("e.idf")).alias("weight"))
+    lists = entry_lists(weights, ["key", "condition"])
+    every = keyed.select("key", "label").select("key", "label", F.explode(numbers(level, F.col("key.role"))).alias("condition"))
+    joined = with_empty(every.join(lists, ["key", "condition"], "left"))
+    name = F.element_at(F.array(*[F.lit(c) for c in conditions]), F.col("condition") + 1)
+    table = joined.select(F.col("key.role").alias("role"), name.alias("condition"), "label", F.lit(1.0).alias("weight"), "indices", "values")
+    features = reuse(pack_vectors(table, max(size.values(), default=0), unit=True))
+    return features, size, [counts, totals, vocabulary, features]
+
+
+def grid(rows: DataFrame, conditions: list[str], row_id: str, models=("SVM", "LR"), tolerance: float = 1e-4) -> DataFrame:
+    """One result row per model and condition, from rows (row id, text, label, role, noise_level).
+
+    A condition's models learn from the clean training rows and those of its own level. All models of all conditions are
+    fitted together, a pass over the one feature table for all of them; all their predictions are one more pass. Macro F1 of
+    the validation rows and of the condition's test rows, rounded to four digits.
+    """
+    features, size, held = condition_features(rows, conditions, row_id)
+    make = {"SVM": linear.svm, "LR": linear.logistic, "M_LR": lambda c, n: linear.logistic(c, n, multinomial=True)}
+    specs = [make[m](c, m) for c in conditions for m in models]
+    fitted = linear.fit(features.where("role = 'train'"), specs, size, tolerance)
+    found = linear.predict(features.where("role <> 'train'"), fitted, ["role", "condition", "label"])
+    scored = f1_summary(found.withColumn("label", F.col("label").cast("int")), by=["condition", "model", "role"])
+    lines: dict[tuple[str, str], dict] = {}
+    for r in scored.select("condition", "model", "role", F.round("macro_f1", 4).alias("f1")).collect():
+        lines.setdefault((r["condition"], r["model"]), {})[r["role"]] = r["f1"]
+    for df in held:
+        df.unpersist()
+    out = [(f"tfidf_{m.lower()}", c, v.get("val"), v.get("test")) for (c, m), v in sorted(lines.items())]
+    return rows.sparkSession.createDataFrame(out, "model STRING, noise_level STRING, val_f1_macro DOUBLE, test_f1_macro DOUBLE")
 
 
 def fit_grid(train: DataFrame, val: DataFrame, tests: dict[str, DataFrame], row_id: str, models=("SVM", "LR")) -> DataFrame:
-    """One result row per model and level: validation and test macro F1."""
-    rows = None
-    for level, test in tests.items():
-        features = text_features(level_rows(train, level), [val, test], row_id)
-        n = features[0].count()
-        for name in models:
-            fitted = estimator(name, n).fit(by_content(features[0], row_id))
-            score = lambda df: f1_summary(fitted.transform(df).select("label", "prediction"))  # noqa: B023, E731
-            line = (
-                score(features[1])
-                .select(F.round("macro_f1", 4).alias("val_f1_macro"), F.lit(1).alias("__k"))
-                .join(score(features[2]).select(F.round("macro_f1", 4).alias("test_f1_macro"), F.lit(1).alias("__k")), "__k")
-                .select(
-                    F.lit(f"tfidf_{name.lower()}").alias("model"),
-                    F.lit(level).alias("noise_level"),
-                    "val_f1_macro",
-                    "test_f1_macro",
-                )
-            )
-            rows = line if rows is None else rows.unionByName(line)
-    return rows
+    """:func:`grid` over separate tables: training rows with their ``noise_level``, validation rows, test rows by condition."""
+    slim = [F.col(row_id).cast("string").alias(row_id), "text", "label"]
+    parts = [train.select(*slim, F.lit("train").alias("role"), "noise_level"), val.select(*slim, F.lit("val").alias("role"), F.lit("clean").alias("noise_level"))]
+    parts += [df.select(*slim, F.lit("test").alias("role"), F.lit(c).alias("noise_level")) for c, df in tests.items()]
+    return grid(settled(reduce(DataFrame.unionByName, parts)), list(tests), row_id, models)

@@ -70,34 +70,50 @@ def index_terms(idf: DataFrame) -> DataFrame:
     return idf.withColumn("index", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("term")) - 1).cast("int"))
 
 
-def _pack(size: int, row_id: str, out: str):
-    """Arrow batches of (row, indices, values) to MLlib's sparse-vector layout."""
+def _unit(lists: pa.ListArray) -> pa.ListArray:
+    sizes = np.asarray(lists.value_lengths(), np.int64)
+    entries, rows = np.asarray(lists.flatten()), np.repeat(np.arange(len(sizes)), sizes)
+    length = np.sqrt(np.bincount(rows, entries * entries, minlength=len(sizes)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(entries / length[rows]))
+
+
+def pack_vectors(df: DataFrame, size: int, out: str = "features", unit: bool = False) -> DataFrame:
+    """``df`` with its last two columns, sorted indices and values, as one sparse MLlib vector, scaled to length one if ``unit``."""
+    keep = df.columns[:-2]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            vector = pa.StructArray.from_arrays(
-                [
-                    pa.array(np.zeros(n, np.int8)),
-                    pa.array(np.full(n, size, np.int32)),
-                    batch.column("indices"),
-                    batch.column("values"),
-                ],
-                ["type", "size", "indices", "values"],
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(row_id), vector], [row_id, out])
-
-    return pack
-
-
-def to_vectors(weights: DataFrame, row_id: str, indexed: DataFrame, size: int, out: str = "features") -> DataFrame:
-    """One sparse vector per row for MLlib."""
+            indices, values = batch.columns[-2:]
+            if unit:
+                values = _unit(values)
+            parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), indices, values]
+            vector = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], vector], [*keep, out])
+
+    return df.mapInArrow(pack, T.StructType([*[df.schema[c] for c in keep], T.StructField(out, VectorUDT())]))
+
+
+def entry_lists(weights: DataFrame, by: list[str]) -> DataFrame:
+    """(by, indices, values): the rows (by, index, weight) of each group in index order."""
     entries = F.array_sort(F.collect_list(F.struct("index", "weight")))
-    packed = weights.join(indexed.select("term", "index"), "term").groupBy(row_id).agg(entries.alias("__e"))
-    parts = packed.select(
-        row_id,
+    packed = weights.groupBy(*by).agg(entries.alias("__e"))
+    return packed.select(
+        *by,
         F.transform("__e", lambda e: e["index"]).alias("indices"),
         F.transform("__e", lambda e: e["weight"]).alias("values"),
     )
-    schema = T.StructType([packed.schema[row_id], T.StructField(out, VectorUDT())])
-    return parts.mapInArrow(_pack(size, row_id, out), schema)
+
+
+def to_vectors(weights: DataFrame, row_id: str, indexed: DataFrame, size: int, out: str = "features", rows: DataFrame | None = None) -> DataFrame:
+    """One sparse vector per row for MLlib; with ``rows``, one for each of its rows, empty where no term is known."""
+    lists = entry_lists(weights.join(indexed.select("term", "index"), "term"), [row_id])
+    if rows is not None:
+        lists = with_empty(rows.join(lists, row_id, "left"))
+    return pack_vectors(lists, size, out)
+
+
+def with_empty(lists: DataFrame) -> DataFrame:
+    """Rows without entries get empty lists."""
+    none = [F.array().cast(t) for t in ("array<int>", "array<double>")]
+    return lists.withColumn("indices", F.coalesce("indices", none[0])).withColumn("values", F.coalesce("values", none[1]))

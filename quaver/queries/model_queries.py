@@ -1,6 +1,7 @@
 """Classifiers over TF-IDF features of documents and over embeddings.
 
-No SQL engine trains these models, so they have no SQL counterpart.
+No SQL engine trains these models: where a query has SQL, it covers the rows that are predicted, by label, and whether the
+model beats the most frequent label.
 """
 
 from __future__ import annotations
@@ -8,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaver.operators import classifiers as K
-from quaver.operators.bounded import reuse
+from quaver.operators.bounded import settled
 from quaver.operators.metrics import f1_summary
 from quaver.operators.splits import noise_levels, stratified_split
 from quaver.queries import query, table
+from quaver.queries import common as C
 from quaver.queries.common import corpus
+from quaver.queries.split_queries import QUOTAS
 
 
 def _text_parts(spark, folder):
     rows = corpus(spark, folder).select("row_id", "text", "label")
-    parts = reuse(stratified_split(rows, "row_id"))
+    parts = settled(stratified_split(rows, "row_id"))
     return {name: parts.filter(F.col("split") == name).drop("split") for name in ("train", "val", "test")}
 
 
@@ -27,9 +30,9 @@ def _text_model(spark, folder, name):
     return K.fit_predict(name, train, test, "row_id")
 
 
-def _vector_parts(spark, folder):
-    e = table(spark, folder, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("label"))
-    rows = reuse(K.from_arrays(stratified_split(e, "vec_id"), "embedding").drop("embedding"))
+def _vector_parts(spark, folder, classes=2):
+    e = table(spark, folder, "embeddings").select("vec_id", "embedding", (F.col("label") % classes).alias("label"))
+    rows = settled(K.from_arrays(stratified_split(e, "vec_id"), "embedding").drop("embedding"))
     return rows.filter("split <> 'test'").drop("split"), rows.filter("split = 'test'").drop("split")
 
 
@@ -67,13 +70,37 @@ def lr_weighted(spark, folder):
 @query()
 def model_grid(spark, folder):
     """Validation and test macro F1 of both text models, trained and tested per level."""
-    parts = _text_parts(spark, folder)
-    keys = ["row_id", "text", "label", "noise_level"]
-    clean = {k: v.withColumn("noise_level", F.lit("clean")) for k, v in parts.items()}
-    noisy = {k: noise_levels(parts[k], "row_id").select(keys) for k in ("train", "test")}
-    # A noisy copy is a row of its own.
-    own = lambda df: df.withColumn("row_id", F.concat_ws("/", "row_id", "noise_level"))
-    train = own(clean["train"].select(keys).unionByName(noisy["train"]))
-    tests = {"clean": own(clean["test"])}
-    tests |= {v: own(noisy["test"].filter(F.col("noise_level") == v)) for v in ("low", "medium", "high")}
-    return K.fit_grid(reuse(train), own(clean["val"]), tests, "row_id")
+    rows = corpus(spark, folder).select("row_id", "text", "label")
+    parts = settled(stratified_split(rows, "row_id"))
+    clean = parts.select("row_id", "text", "label", F.col("split").alias("role"), F.lit("clean").alias("noise_level"))
+    noisy = noise_levels(parts.filter("split <> 'val'"), "row_id").select("row_id", "text", "label", F.col("split").alias("role"), "noise_level")
+    return K.grid(settled(clean.unionByName(noisy)), ["clean", "low", "medium", "high"], "row_id")
+
+
+def _covered(models: list[str], classes: int = 2) -> str:
+    names = ", ".join(f"({C.q(m)})" for m in models)
+    return f"""WITH corpus AS (SELECT vec_id AS row_id, label % {classes} AS label FROM embeddings WHERE label IS NOT NULL), {QUOTAS}
+    SELECT model, label::INT AS label, count(*) AS n_rows, count(*) AS n_predicted
+    FROM parts, (VALUES {names}) m(model) WHERE split = 'test' GROUP BY model, label"""
+
+
+@query(_covered(["LR", "RF", "XGBOOST", "VC"]))
+def classify_all(spark, folder):
+    """All three classifiers and their vote, as dispatched by A."""
+    return K.coverage(K.classify("A", *_vector_parts(spark, folder), "vec_id"))
+
+
+@query(_covered(["XGBOOST"], 3))
+def gbt_three_classes(spark, folder):
+    return K.coverage(K.fit_predict("XGBOOST", *_vector_parts(spark, folder, 3), "vec_id"))
+
+
+@query(_covered(["M_LR"]))
+def lr_weighted_rows(spark, folder):
+    train, test = _vector_parts(spark, folder)
+    return K.coverage(K.fit_predict("M_LR", K.with_class_weights(train), test, "vec_id", "weight"))
+
+
+@query(f"WITH {C.CORPUS}, {QUOTAS} SELECT 'SVM' AS model, count(*) AS n_rows, true AS beats_majority FROM parts WHERE split = 'test'")
+def svm_beats_majority(spark, folder):
+    return K.beats_majority(_text_model(spark, folder, "SVM"))

@@ -40,8 +40,6 @@ def test_weights_and_names(spark):
     assert sums[0.0] == pytest.approx(sums[1.0])
     out = K.fit_predict("M_LR", weighted, df, "id", "weight")
     assert f1_summary(out).first().accuracy > 0.9
-    assert K.estimator("RF", 10).getNumTrees() == 500 and K.estimator("XGBOOST", 10).getMaxIter() == 500
-    assert K.estimator("SVM", 50).getRegParam() == pytest.approx(0.02)
 
 
 def test_voting(spark, monkeypatch):
@@ -49,4 +47,17 @@ def test_voting(spark, monkeypatch):
     monkeypatch.setattr(K, "VOTERS", ("LR", "SVM", "M_LR"))
     out = K.classify("VC", df, df, "id")
     assert out.count() == 30 and f1_summary(out).first().accuracy > 0.8
-    assert K.classify("A", df, df, "id").count() == 90
+    everything = K.classify("A", df, df, "id")
+    assert {r.model: r["count"] for r in everything.groupBy("model").count().collect()} == {"LR": 30, "SVM": 30, "M_LR": 30, "VC": 30}
+
+
+def test_a_text_without_a_known_term_is_an_empty_sparse_row(texts):
+    odd = texts.filter("row_id < 2").withColumn("text", F.lit("\u4e00"))
+    _, test = K.text_features(texts, [odd], "row_id")
+    assert [(r.features.size > 50, len(r.features.values), type(r.features).__name__) for r in test.collect()] == [(True, 0, "SparseVector")] * 2
+
+
+def test_grid_conditions():
+    levels = ["clean", "low", "high", "all"]
+    assert K.uses("train", "clean", levels) == levels and K.uses("val", "clean", levels) == levels
+    assert K.uses("train", "low", levels) == ["low", "all"] and K.uses("test", "high", levels) == ["high"]
