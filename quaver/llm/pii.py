@@ -131,9 +131,12 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
     start = at
     while start < len(text) and start < at + 6 and text[start] in _GLUE:
         start += 1
+    # Without a joining character the label goes on, maybe very far: nothing is read again for each cue in it.
+    if start == at:
+        return None
     end = _run(text, start, _LABEL)
     digits = sum(c in _DIGITS for c in text[start:end])
-    return (start, end) if start > at and end - start >= 6 and digits >= 4 else None
+    return (start, end) if end - start >= 6 and digits >= 4 else None
 
 
 def _userinfo(text: str, at: int) -> tuple[int, int] | None:
