@@ -42,7 +42,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` from a written table: lineage ends here and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table of ``stored`` that no later step reads, not even to make lost rows again."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

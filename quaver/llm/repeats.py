@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import release, stored
+from quaver.llm.common import drop, release, stored
 
 RUNS = "anchor BIGINT, run BIGINT, doc_id BIGINT, start BIGINT, size BIGINT"
 
@@ -23,6 +23,7 @@ def shared_runs(runs: DataFrame) -> DataFrame:
     """
     twice = stored(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     found = stored(runs.join(twice, "anchor").select("anchor", "run", "doc_id", "start", "size"), "runs")
+    drop(twice)
     release(runs.sparkSession)
     return found
 
@@ -37,6 +38,8 @@ def classes(runs: DataFrame) -> DataFrame:
     )
     variants = stored(each.groupBy("anchor").agg(F.count("*").alias("variants")), "variants")
     found = stored(each.join(variants, "anchor"), "classes")
+    drop(each)
+    drop(variants)
     release(runs.sparkSession)
     return found
 
@@ -48,4 +51,6 @@ def with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """
     own = [F.col(c) for c in rows.columns if c != "doc_id"]
     grouped = stored(rows.groupBy("doc_id").agg(F.collect_list(F.struct(*own)).alias("rows")), "rows-by-document")
-    return docs.join(grouped.hint("shuffle_hash"), "doc_id")
+    joined = docs.join(grouped.hint("shuffle_hash"), "doc_id")
+    joined.stored_at = grouped.stored_at  # for ``drop``, once the join is written
+    return joined

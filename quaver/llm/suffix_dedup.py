@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import _BYTES, mixed, powers, release, signed, span_hashes, stored, text_groups
+from quaver.llm.common import _BYTES, drop, mixed, powers, release, signed, span_hashes, stored, text_groups
 from quaver.llm.repeats import RUNS, classes, shared_runs, with_texts
 
 WINDOW = 100
@@ -278,16 +278,26 @@ def later_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     runs = shared_runs(byte_runs(named, window, gram))
     kinds = classes(runs)
     several = kinds.where("variants > 1").select("doc_id", "anchor", "run", "start", "size", "variants")
-    segments = stored(_run_bytes(with_texts(several, named), window), "segments")
+    named_runs = with_texts(several, named)
+    segments = stored(_run_bytes(named_runs, window), "segments")
+    drop(named_runs)
+    del named_runs
     release(docs.sparkSession)
     some = _sorted_windows(segments.where(F.col("variants") <= most_variants), window, array_bytes)
     some = some.unionByName(_compared_windows(segments.where(F.col("variants") > most_variants), window))
-    decided = kinds.select("anchor", "run", "n", F.struct("doc_id", "start").alias("first")).join(stored(some, "later"), ["anchor", "run"], "left")
+    later = stored(some, "later")
+    drop(segments)
+    release(docs.sparkSession)
+    decided = kinds.select("anchor", "run", "n", F.struct("doc_id", "start").alias("first")).join(later, ["anchor", "run"], "left")
     decided = stored(decided.where("n > 1 OR at IS NOT NULL"), "decisions")
+    drop(later)
+    drop(kinds)
     release(docs.sparkSession)
     marked = runs.join(decided, ["anchor", "run"]).select("doc_id", "start", "size", F.when(F.struct("doc_id", "start") == F.col("first"), F.coalesce("at", F.array().cast("array<bigint>"))).alias("at"))
     marked = marked.where("at IS NULL OR size(at) > 0")
     marks = stored(marked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size", "at")).alias("marks")), "marks")
+    drop(runs)
+    drop(decided)
     release(docs.sparkSession)
     return _apply(own.join(marks.hint("shuffle_hash"), "doc_id", "left"), key, window)
 

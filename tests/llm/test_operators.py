@@ -64,6 +64,8 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(str(root / "documents.parquet"))
     spark.createDataFrame([], "item_id BIGINT, text STRING").write.parquet(str(root / "benchmark.parquet"))
     spark.createDataFrame([], "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").write.parquet(str(root / "embeddings.parquet"))
+    spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT").write.parquet(str(root / "labels.parquet"))
+    spark.createDataFrame([], "conv_id BIGINT, turn BIGINT, role STRING, text STRING").write.parquet(str(root / "conversations.parquet"))
     return str(root)
 
 
