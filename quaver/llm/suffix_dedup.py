@@ -27,8 +27,9 @@ GRAM = 16
 MOST_BYTES = 1 << 22
 #: Bytes of runs in one suffix array.
 ARRAY_BYTES = 1 << 20
-#: Anchors with more distinct runs are compared window by window instead (see ``first_places``).
-MOST_VARIANTS = 64
+#: Distinct runs of one anchor that a suffix array holds: a run has fewer than 2 * WINDOW bytes, so that is 3 MB at most. Windows of
+#: anchors with more are compared by digests instead (see ``_compared_windows``).
+MOST_VARIANTS = 1 << 14
 
 
 def _words64(text: np.ndarray, pad: int) -> np.ndarray:
@@ -253,10 +254,10 @@ def _sorted_windows(rows: DataFrame, window: int, array_bytes: int) -> DataFrame
 
 
 def _compared_windows(rows: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with very many runs: each window is a row, and the earliest of equal ones is found by an aggregate."""
+    """The same for anchors with very many runs: each window is a row, and the earliest of equal ones is found by an aggregate over 128 bits of their SHA-256."""
     n = F.octet_length("bytes") - window + 1
     each = rows.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).select(
-        "anchor", "run", F.struct("doc_id", (F.col("start") + F.col("i")).alias("start")).alias("place"), F.col("i").cast("long").alias("i"), F.sha2(F.expr(f"substring(bytes, i + 1, {window})"), 256).alias("digest")
+        "anchor", "run", F.struct("doc_id", (F.col("start") + F.col("i")).alias("start")).alias("place"), F.col("i").cast("long").alias("i"), F.unhex(F.substring(F.sha2(F.expr(f"substring(bytes, i + 1, {window})"), 256), 1, 32)).alias("digest")
     )
     each = stored(each, "hot-windows")
     first = stored(each.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "hot-digests")
