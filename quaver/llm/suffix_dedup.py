@@ -27,9 +27,9 @@ GRAM = 16
 MOST_BYTES = 1 << 22
 #: Bytes of runs in one suffix array.
 ARRAY_BYTES = 1 << 20
-#: Distinct runs of one anchor that a suffix array holds: a run has fewer than 2 * WINDOW bytes, so that is 3 MB at most. Windows of
-#: anchors with more are compared by digests instead (see ``_compared_windows``).
-MOST_VARIANTS = 1 << 14
+#: Anchors with more distinct runs are compared window by window instead (see ``_compared_windows``): a hot anchor's
+#: array would be one task's work.
+MOST_VARIANTS = 64
 
 
 def _words64(text: np.ndarray, pad: int) -> np.ndarray:
