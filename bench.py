@@ -24,7 +24,7 @@ HEADLINE = (
     "token_noise noise_levels char_noise noisy_test augment_train pair_anchor pair_inner phi phi_by_level "
     "jaro_winkler thread_context overlap_weights hierarchical_rows macro_f1 batch_f1 majority_vote "
     "results_pivot seed_stats dist_align spearman kendall vec_cosine ctx_embedding ctx_embedding_weighted mean_pool alignment "
-    "soundex_features split_stats pair_clean_only pair_stats phi_histogram disagreement svm lr"
+    "soundex_features split_stats pair_clean_only pair_stats phi_histogram disagreement svm lr model_grid"
 ).split()
 
 
