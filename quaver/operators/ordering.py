@@ -75,10 +75,15 @@ def rank_by_hash(df: DataFrame, row_id: str, out: str = "position", seed: int =
     return rank_in_buckets(keyed, "__bucket", ["__key", row_id], out).drop("__key")
 
 
+def content_key(df: DataFrame) -> Column:
+    """A digest of the whole row (but for maps): the order of rows that nothing else tells apart, whatever the partitions."""
+    return F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind])
+
+
 def rank_by_ordinal(df: DataFrame, ordinal: str, out: str = "position", tie: str | None = None) -> DataFrame:
-    """Position of each row by ``ordinal`` (a number; then ``tie``); rows without one come last."""
+    """Position of each row by ``ordinal`` (a number), then ``tie``, then content; rows without an ordinal come last."""
     ranged = range_bucket(df, ordinal, "__bucket")
-    return rank_in_buckets(ranged, "__bucket", [F.col(ordinal).asc_nulls_last()] + ([tie] if tie else []), out)
+    return rank_in_buckets(ranged, "__bucket", [F.col(ordinal).asc_nulls_last(), *([tie] if tie else []), content_key(df)], out)
 
 
 def batch_id(df: DataFrame, ordinal: str, batch_size: int, out: str = "batch") -> DataFrame:

@@ -119,3 +119,11 @@ def test_merge_does_not_depend_on_partitions(spark):
     raw = spark.createDataFrame([(f"some tweet {i % 50}", str(i % 3)) for i in range(200)], "tweet STRING, class STRING")
     out = [sorted(map(tuple, merge({"davidson.csv": raw.repartition(n)}).collect())) for n in (1, 4, 7)]
     assert out[0] == out[1] == out[2] and len(out[0]) == 50
+
+
+def test_ties_do_not_follow_partitions(spark):
+    rows = spark.range(40).select((F.col("id") % 2).alias("turn"), F.concat(F.lit("r"), "id").alias("name"))
+    cut = [{r.name for r in S.positional_split(rows.repartition(n), "turn").filter("split = 'train'").collect()} for n in (1, 7)]
+    assert cut[0] == cut[1] and len(cut[0]) == 32
+    batches = [sorted((r.name, r.batch) for r in O.batch_id(rows.repartition(n), "turn", 8).collect()) for n in (1, 7)]
+    assert batches[0] == batches[1]
