@@ -128,7 +128,7 @@ def op5_gru_lm(spark, folder):
     from quaver.llm.gru_lm import score_documents
 
     docs = table(spark, folder, "documents").select("doc_id", "text", held_out(7, 2).alias("held_out"))
-    scored = score_documents(docs.select("doc_id", "text"), docs.where(~F.col("held_out")).select("text"))
+    scored = score_documents(docs.select("doc_id", "text"), docs.where(~F.col("held_out")).select("doc_id", "text"))
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return scored.select("doc_id", held_out(7, 2).alias("held_out"), *names)
 
