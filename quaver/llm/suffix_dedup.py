@@ -27,9 +27,11 @@ GRAM = 16
 MOST_BYTES = 1 << 22
 #: Bytes of runs in one suffix array.
 ARRAY_BYTES = 1 << 20
-#: Anchors with more distinct runs are compared window by window instead (see ``_compared_windows``): a hot anchor's
-#: array would be one task's work.
+#: Runs of anchors with more distinct runs are cut and named again by longer anchors (see ``_parts``): a hot anchor's
+#: array would be one task's work. Parts of longer anchors that are still as hot are compared window by window.
 MOST_VARIANTS = 64
+#: Windows at most of a part of a hot anchor's run.
+BAND = 16
 
 
 def _words64(text: np.ndarray, pad: int) -> np.ndarray:
@@ -265,6 +267,70 @@ def _compared_windows(rows: DataFrame, window: int) -> DataFrame:
     return later.groupBy("anchor", "run").agg(F.sort_array(F.collect_list("i")).alias("at"))
 
 
+def _parts(hot: DataFrame, window: int, gram: int, band: int = BAND) -> DataFrame:
+    """Runs of hot anchors in parts of ``band`` windows at most, counted from the anchor's place, with longer anchors.
+
+    The windows of a part share ``window - band + 1`` bytes at the same distance from the old anchor; these are the new
+    anchor. Equal windows have the old anchor at the same place, so they stand in parts of one new anchor. ``whole_anchor`` and
+    ``whole_run`` name the run, ``skip`` is the part's first window in it.
+    """
+    fields = "anchor BIGINT, run BIGINT, doc_id BIGINT, start BIGINT, size BIGINT, whole_anchor BIGINT, whole_run BIGINT, skip BIGINT"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, names, ids, places = (batch.column(i).to_numpy() for i in range(4))
+            values = batch.column(4)
+            sizes = np.array([len(v) for v in values.to_pylist()], np.int64)
+            data = np.frombuffer(b"".join(values.to_pylist()), np.uint8)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            starts, _, at = window_anchors(data, offsets, window, gram)
+            owner = np.searchsorted(offsets, starts, "right") - 1
+            level = (at - starts) // band
+            fresh = np.ones(len(starts), dtype=bool)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (level[1:] != level[:-1])
+            i = np.flatnonzero(fresh)
+            size = np.diff(np.append(i, len(starts)))
+            begin, own = starts[i], owner[i]
+            left = at[i] - level[i] * band
+            core = span_hashes(data, left, left + window - band + 1)
+            core = mixed(core ^ mixed(anchors[own].view(np.uint64) + level[i].astype(np.uint64), 41), 42)
+            skip = begin - offsets[own]
+            columns = (signed(core), signed(span_hashes(data, begin, begin + size + window - 1)), ids[own], places[own] + skip, size, anchors[own], names[own], skip)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in fields.split(", ")])
+
+    return hot.select("anchor", "run", "doc_id", "start", "bytes").mapInArrow(run, fields)
+
+
+def _narrowed_windows(hot: DataFrame, window: int, gram: int, most_variants: int, array_bytes: int) -> DataFrame:
+    """``anchor``, ``run``, ``at`` of runs of hot anchors, from the distinct parts of these runs."""
+    parts = stored(_parts(hot, window, gram), "parts")
+    # Parts by themselves under their anchor are settled: nothing equals their windows.
+    shared = parts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    where = ["doc_id", "start", "whole_anchor", "whole_run", "skip"]
+    kinds = parts.join(shared, "anchor").groupBy("anchor", "run", "size").agg(F.min(F.struct(*where)).alias("first"), F.count("*").alias("n"))
+    kinds = stored(kinds.select("anchor", "run", "size", "first.*", "n"), "part-classes")
+    variants = kinds.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
+    chosen = kinds.join(variants, "anchor").select("anchor", "run", "doc_id", "start", "size", "variants", "skip", "whole_anchor", "whole_run")
+    source = hot.select(F.col("anchor").alias("whole_anchor"), F.col("run").alias("whole_run"), F.col("bytes").alias("whole"))
+    chosen = chosen.join(source, ["whole_anchor", "whole_run"]).withColumn("bytes", F.expr(f"substring(whole, int(skip) + 1, int(size) + {window - 1})"))
+    chosen = stored(chosen.select("anchor", "run", "doc_id", "start", "variants", "bytes"), "part-bytes")
+    release(hot.sparkSession)
+    found = _sorted_windows(chosen.where(F.col("variants") <= most_variants), window, array_bytes)
+    found = found.unionByName(_compared_windows(chosen.where(F.col("variants") > most_variants), window))
+    found = stored(found, "part-windows")
+    drop(chosen)
+    decided = kinds.select("anchor", "run", "n", F.struct("doc_id", "start").alias("first")).join(found, ["anchor", "run"], "left").where("n > 1 OR at IS NOT NULL")
+    marked = parts.join(decided, ["anchor", "run"])
+    own = F.when(F.struct("doc_id", "start") == F.col("first"), F.coalesce("at", F.array().cast("array<bigint>"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("size") - 1))
+    marked = marked.select("whole_anchor", "whole_run", F.transform(own, lambda i: i + F.col("skip")).alias("at")).where("size(at) > 0")
+    grouped = marked.groupBy(F.col("whole_anchor").alias("anchor"), F.col("whole_run").alias("run"))
+    narrowed = stored(grouped.agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at")), "narrowed")
+    for table in (parts, kinds, found):
+        drop(table)
+    release(hot.sparkSession)
+    return narrowed
+
+
 def later_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, most_variants: int = MOST_VARIANTS, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """``key``, ``n_bytes``, ``spans``, ``kept``: UTF-8 bytes covered by strings of ``window`` bytes that also start earlier.
 
@@ -284,10 +350,10 @@ def later_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     drop(named_runs)
     del named_runs
     release(docs.sparkSession)
-    some = _sorted_windows(segments.where(F.col("variants") <= most_variants), window, array_bytes)
-    some = some.unionByName(_compared_windows(segments.where(F.col("variants") > most_variants), window))
-    later = stored(some, "later")
+    narrowed = _narrowed_windows(segments.where(F.col("variants") > most_variants), window, gram, most_variants, array_bytes)
+    later = stored(_sorted_windows(segments.where(F.col("variants") <= most_variants), window, array_bytes).unionByName(narrowed), "later")
     drop(segments)
+    drop(narrowed)
     release(docs.sparkSession)
     decided = kinds.select("anchor", "run", "n", F.struct("doc_id", "start").alias("first")).join(later, ["anchor", "run"], "left")
     decided = stored(decided.where("n > 1 OR at IS NOT NULL"), "decisions")
