@@ -123,10 +123,11 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of byte spans: differences of one running polynomial sum."""
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * powers(len(data)), out=sums[1:])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit fingerprints of byte spans: differences of one running polynomial sum (``sums``, where it is there already)."""
+    if sums is None:
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[data] * powers(len(data)), out=sums[1:])
     value = (sums[ends] - sums[starts]) * powers(len(data) + 1, back=True)[starts]
     return mixed(value + (ends - starts).astype(np.uint64))
 

@@ -123,13 +123,19 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = WINDOW) ->
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     """Window starts, anchor names and anchor places in the texts of a group."""
+    starts, grams, at, _ = _least_grams(data, offsets, window, gram)
+    return starts, grams[at], at
+
+
+def _least_grams(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts, the names of all grams, the place of each window's least, and the running sums that names come from."""
     n = len(data)
     sizes = np.diff(offsets)
     counts = np.maximum(sizes - window + 1, 0)
     total = int(counts.sum())
     if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    starts = np.repeat(offsets[:-1], counts) + np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.uint64)
+    starts = np.arange(total) + np.repeat(offsets[:-1] - np.cumsum(counts) + counts, counts)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTES[data] * powers(n), out=sums[1:])
     grams = mixed((sums[gram:] - sums[:-gram]) * powers(n - gram + 1, back=True))
@@ -141,8 +147,7 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW,
         step *= 2
     if reach > step:
         least = np.minimum(least[: len(least) - (reach - step)], least[reach - step :])
-    at = (least[starts] & np.uint64(0xFFFFFF)).astype(np.int64)
-    return starts, grams[at], at
+    return starts, grams, (least[starts] & np.uint64(0xFFFFFF)).astype(np.int64), sums
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, window: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -161,7 +166,7 @@ def byte_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, _, whole, every in text_groups(batch, "text"):
                 for base, data, offsets in _pieces(whole, every, window, most):
-                    starts, anchor, at = window_anchors(data, offsets, window, gram)
+                    starts, grams, at, sums = _least_grams(data, offsets, window, gram)
                     if not len(starts):
                         continue
                     fresh = np.ones(len(starts), dtype=bool)
@@ -170,9 +175,9 @@ def byte_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int
                     size = np.diff(np.append(i, len(starts)))
                     begin = starts[i]
                     owner = np.searchsorted(every, begin + base, "right") - 1
-                    name = span_hashes(data, begin, begin + size + window - 1)
+                    name = span_hashes(data, begin, begin + size + window - 1, sums)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(anchor[i])), pa.array(signed(name)), pa.array(ids[first + owner], pa.int64()), pa.array(begin + base - every[owner], pa.int64()), pa.array(size, pa.int64())],
+                        [pa.array(signed(grams[at[i]])), pa.array(signed(name)), pa.array(ids[first + owner], pa.int64()), pa.array(begin + base - every[owner], pa.int64()), pa.array(size, pa.int64())],
                         ["anchor", "run", "doc_id", "start", "size"],
                     )
 
@@ -204,8 +209,42 @@ def _run_bytes(chosen: DataFrame, window: int) -> DataFrame:
 def later_windows(runs: list[bytes], places: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
     """For each run, offsets of the windows that also stand at an earlier place in another run.
 
-    ``places``: (document, start) of each run.
+    ``places``: (document, start) of each run. Only the stretch of a run between its first and its last window whose
+    fingerprint occurs twice is sorted.
     """
+    low, high = _repeated_stretch(runs, window)
+    some = np.flatnonzero(high > low)
+    found = [np.zeros(0, np.int64)] * len(runs)
+    if len(some):
+        cut = places[some].copy()
+        cut[:, 1] += low[some]
+        for r, at in zip(some.tolist(), _sorted_later([runs[r][low[r] : high[r] + window - 1] for r in some.tolist()], cut, window), strict=True):
+            found[r] = at + low[r]
+    return found
+
+
+def _repeated_stretch(runs: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of each run whose fingerprint occurs twice, and the one after the last (0, 0: none)."""
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    sizes = np.array([len(r) for r in runs], np.int64)
+    n, counts = len(data), np.maximum(sizes - window + 1, 0)
+    owner = np.repeat(np.arange(len(runs)), counts)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = (np.cumsum(sizes) - sizes)[owner] + offset
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * powers(n), out=sums[1:])
+    names = (sums[starts + window] - sums[starts]) * powers(n + 1, back=True)[starts]
+    ordered = np.sort(names)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    low, high = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+    if len(twice):
+        hit = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, names), len(twice) - 1)] == names)
+        high[owner[hit]] = offset[hit] + 1
+        low[owner[hit[::-1]]] = offset[hit[::-1]]
+    return low, high
+
+
+def _sorted_later(runs: list[bytes], places: np.ndarray, window: int) -> list[np.ndarray]:
     text = np.frombuffer(b"\0".join(runs) + b"\0", np.uint8)
     sizes = np.array([len(r) for r in runs])
     begins = np.cumsum(sizes + 1) - sizes - 1
@@ -372,26 +411,29 @@ def later_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", window
 def _apply(rows: DataFrame, key: str, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2).to_pylist()
+            lists = batch.column(2)
+            some, cuts = lists.is_valid().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            start, size, places = lists.values.flatten()
+            start, size = start.to_numpy(), size.to_numpy()
+            every, place, within = places.is_null().to_numpy(zero_copy_only=False), places.values.to_numpy(), places.offsets.to_numpy()
             for first, last, whole, offsets in text_groups(batch, "text"):
                 spans, kept = [], []
                 for i in range(first, last):
                     data = whole[offsets[i - first] : offsets[i - first + 1]]
-                    if not lists[i]:
+                    if not some[i] or cuts[i] == cuts[i + 1]:
                         spans.append([])
                         kept.append(data.tobytes())
                         continue
                     edge = np.zeros(len(data) + 1, np.int64)
-                    for m in lists[i]:
-                        if m["start"] + m["size"] + window - 1 > len(data):
-                            continue  # of another row with the same key
-                        if m["at"] is None:
-                            edge[m["start"]] += 1
-                            edge[m["start"] + m["size"] + window - 1] -= 1
-                        else:
-                            places = m["start"] + np.array(m["at"], np.int64)
-                            np.add.at(edge, places, 1)
-                            np.add.at(edge, places + window, -1)
+                    own = np.arange(cuts[i], cuts[i + 1])
+                    own = own[start[own] + size[own] + window - 1 <= len(data)]  # others are of another row with the same key
+                    all_of = own[every[own]]
+                    np.add.at(edge, start[all_of], 1)
+                    np.add.at(edge, start[all_of] + size[all_of] + window - 1, -1)
+                    for m in own[~every[own]]:
+                        at = start[m] + place[within[m] : within[m + 1]]
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + window, -1)
                     covered = np.cumsum(edge)[:-1] > 0
                     change = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
                     spans.append([{"start": int(a), "end": int(b)} for a, b in change.reshape(-1, 2)])
