@@ -439,7 +439,7 @@ def _apply(rows: DataFrame, key: str, window: int) -> DataFrame:
                     spans.append([{"start": int(a), "end": int(b)} for a, b in change.reshape(-1, 2)])
                     kept.append(data[~covered].tobytes())
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                size = pa.array(np.diff(offsets), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), size, pa.array(spans, kind), pa.array(kept, pa.binary())], [key, "n_bytes", "spans", "kept"])
+                n_bytes = pa.array(np.diff(offsets), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), n_bytes, pa.array(spans, kind), pa.array(kept, pa.binary())], [key, "n_bytes", "spans", "kept"])
 
     return rows.select("doc_id", "text", "marks").mapInArrow(run, f"`{key}` BIGINT, n_bytes BIGINT, spans ARRAY<STRUCT<start: BIGINT, end: BIGINT>>, kept BINARY")
