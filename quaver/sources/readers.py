@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,12 +52,40 @@ def read_tsv(spark: SparkSession, path, names: list[str]) -> DataFrame:
     return missing_as_null(spark.read.schema(schema).options(sep="\t", quote='"', escape='"').csv(path))
 
 
-def sniff_separator(spark: SparkSession, path, candidates: str = ",;|") -> str:
-    """Most frequent candidate of the first line; a tab when none occurs."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    best = max(candidates + "\t", key=line.count)
-    return best if line.count(best) else "\t"
+def field_counts(text: str, sep: str) -> list[int]:
+    """Fields of each record; quoted fields may hold marks and newlines. A record counts 0 if something follows a closing quote."""
+    counts, fields, start, quoted, closed, sound = [], 1, True, False, False, True
+    for c in text:
+        if quoted:
+            if c == '"':
+                quoted, closed = False, True
+        elif c == '"' and (start or closed):
+            quoted, closed = True, False  # opens a field, or the second of two within one
+        elif c == sep or c == "\n":
+            if c == "\n":
+                counts.append(fields if sound else 0)
+                fields, sound = 0, True
+            fields, closed = fields + 1, False
+            start = True
+            continue
+        elif closed:
+            sound = False
+        start = False
+    if not start and not quoted:
+        counts.append(fields if sound else 0)
+    return counts
+
+
+def sniff_separator(spark: SparkSession, path, candidates: str = ",;|", lines: int = 200) -> str:
+    """The mark that cuts most records of the first ``lines`` lines into one number of fields, two at least; a tab when none does."""
+    head = "".join(r[0] + "\n" for r in spark.read.text(path).limit(lines).collect())
+
+    def score(sep: str) -> tuple[float, int]:
+        counts = field_counts(head, sep)
+        usual = Counter(n for n in counts if n > 1).most_common(1)
+        return (usual[0][1] / len(counts), usual[0][0]) if usual else (0.0, 0)
+
+    return max("\t" + candidates, key=score)
 
 
 def read_sniffed(spark: SparkSession, path, schema=None) -> DataFrame:

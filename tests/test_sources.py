@@ -212,3 +212,30 @@ def test_a_run_replaces_its_records(spark, tmp_path):
         sinks.write_results(rows, str(tmp_path / "res"), "run-1")
     sinks.write_results(rows, str(tmp_path / "res"), "run-2")
     assert len(R.read_results(spark, str(tmp_path / "res")).collect()) == 2
+
+
+def test_runs_without_a_name_are_kept_apart(spark, tmp_path):
+    def write(*rows):
+        K.write_results(spark.createDataFrame(list(rows), "model STRING, seed INT, test_f1 DOUBLE"), str(tmp_path / "res"))
+
+    write(("m", 1, 0.5), ("m", 2, 0.6))
+    write(("n", 1, 0.7))
+    write(("m", 1, 0.9))
+    got = R.read_results(spark, str(tmp_path / "res")).collect()
+    assert {(r.model, r.seed, r.test_f1_macro) for r in got} == {("m", 1, 0.9), ("m", 2, 0.6), ("n", 1, 0.7)} and len(got) == 3
+
+
+@pytest.mark.parametrize(
+    "content, sep",
+    [
+        ('"a, b, c"\t"d, e"\n1, 2, 3\tx\n4\ty, z\n', "\t"),
+        ('id;text\n1;"one, two; three, four"\n2;"a ""b"", c\nnext, line"\n', ";"),
+        ('id,text\n1,"x; y | z"\n2,"p; q"\n', ","),
+        ("only\none\n", "\t"),
+        ("", "\t"),
+    ],
+)
+def test_sniffing_respects_quotes(spark, tmp_path, content, sep):
+    path = tmp_path / "x.csv"
+    path.write_text(content)
+    assert R.sniff_separator(spark, str(path)) == sep
