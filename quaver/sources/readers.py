@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from quaver.functions.text import SPACE_RUN
 from quaver.operators.tables import language_ratio, level_rows
 from quaver.operators.threads import LABEL_SCHEMA, THREAD_SCHEMA
+from quaver.sources.csv_ranges import csv_records, parse_records
 
 # Cells that count as missing in a CSV file.
 MISSING = (
@@ -38,12 +39,19 @@ def missing_as_null(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path, schema=None, sep: str = ",") -> DataFrame:
-    """CSV with a header; texts may hold newlines and doubled quotes.
+    """CSV with a header; texts may hold newlines and doubled quotes, and many tasks read one file.
 
-    Without a schema every column is a string: nothing is inferred from data.
+    Without a schema every column is a string, named by the header of the first file: nothing is inferred from data.
     """
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=sep)
-    return missing_as_null((reader.schema(schema) if schema is not None else reader).csv(path))
+    options = {"multiLine": "true", "quote": '"', "escape": '"', "sep": sep}
+    named = spark.read.options(header=True, **options)
+    named = (named.schema(schema) if schema is not None else named).csv(path)
+    if not named.columns:
+        return named
+    partitions = spark.read.text(path).schema.fields[1:]
+    folders = {f.name for f in partitions}
+    cells = T.StructType([f for f in named.schema if f.name not in folders])
+    return missing_as_null(parse_records(csv_records(spark, path, sep), cells, T.StructType(partitions), options))
 
 
 def read_tsv(spark: SparkSession, path, names: list[str]) -> DataFrame:
