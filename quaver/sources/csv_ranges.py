@@ -44,29 +44,30 @@ class LineStates:
 
 
 def _range_ends(sep: str):
-    """Per range: the state after it if it begins outside quotes, and if it begins inside."""
+    """Per range: the state after it if it begins outside quotes, and if it begins inside; whether any line has a character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states, seen, now = LineStates(sep), [], None
         for batch in batches:
-            for line, key, at in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for line, key, at, filled in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (key, at) != now:
                     now = (key, at)
-                    seen.append([key, at, 0, 1])
+                    seen.append([key, at, 0, 1, False])
+                seen[-1][4] |= filled
                 if line is not None:
                     end = seen[-1]
                     same = end[2] == end[3]
                     end[2] = states.after(line, end[2])
                     end[3] = end[2] if same else states.after(line, end[3])
-        columns = list(zip(*seen, strict=True)) or [[]] * 4
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "at", "from_outside", "from_inside"])
+        columns = list(zip(*seen, strict=True)) or [[]] * 5
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "at", "from_outside", "from_inside", "filled"])
 
     return run
 
 
 def _starts(ends: DataFrame) -> DataFrame:
-    """(key, at, inside, next_inside): the state at the start of each range and of the one after it.
+    """(key, at, inside, next_inside, header): the state at the start of each range and of the one after it, and where the header is.
 
     A range sets the state, swaps it or keeps it. So it is what the last setting range left, swapped as often
     as ranges since then swap it.
@@ -80,7 +81,11 @@ def _starts(ends: DataFrame) -> DataFrame:
     placed = counted.withColumn("set", last)
     state = F.coalesce("set.from_outside", F.lit(0)) + F.col("swaps") - F.coalesce("set.swaps", F.lit(0))
     return placed.withColumn("inside", (state % 2).cast("int")).select(
-        "key", "at", "inside", F.coalesce(F.lead("inside").over(file), F.lit(0)).alias("next_inside")
+        "key",
+        "at",
+        "inside",
+        F.coalesce(F.lead("inside").over(file), F.lit(0)).alias("next_inside"),
+        (F.col("at") == F.min(F.when(F.col("filled"), F.col("at"))).over(W.partitionBy("key"))).alias("header"),
     )
 
 
@@ -92,9 +97,9 @@ def _records(sep: str):
         keys, found, size = [], [], 0
         inside, parts, whole, header = 0, [], True, False
         for batch in batches:
-            for line, key, at, begins in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for line, key, at, begins, heads in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (key, at) != now:
-                    now, inside, parts, whole, header = (key, at), begins, [], not begins, at == 0
+                    now, inside, parts, whole, header = (key, at), begins, [], not begins, heads
                 parts.append(line)
                 inside = states.after(line, inside)
                 if inside:
@@ -131,11 +136,11 @@ def _fragments(sep: str):
             out.append((*now, kind, header and kind == _HEAD, b"\n".join(parts)))
 
         for batch in batches:
-            for line, key, at, begins in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for line, key, at, begins, heads in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (key, at) != now:
                     if parts:
                         close(_MIDDLE if tail else _HEAD)
-                    now, inside, parts, tail, header = (key, at), begins, [], bool(begins), at == 0
+                    now, inside, parts, tail, header = (key, at), begins, [], bool(begins), heads
                 parts.append(line)
                 inside = states.after(line, inside)
                 if not inside:
@@ -173,14 +178,15 @@ def csv_records(spark: SparkSession, path, sep: str = ",") -> DataFrame:
     key = F.to_json(F.struct(F.col("_metadata.file_path").alias("path"), *[c for c in lines.columns if c != "value"]))
     line, at = F.col("value").cast("binary"), F.col("_metadata.file_block_start")
     placed = lines.select(line.alias("line"), key.alias("key"), at.alias("at"))
-    asked = placed.withColumn("line", F.when(F.col("line").contains(F.lit(b'"')), F.col("line")))
-    ends = asked.mapInArrow(_range_ends(sep), "key STRING, at BIGINT, from_outside INT, from_inside INT")
-    # One row per range of the scan (128 MB by default) that touches a quoted field.
-    starts = F.broadcast(_starts(ends).filter("inside = 1 OR next_inside = 1"))
+    filled = (F.col("line") != F.lit(b"")) & (F.col("line") != F.lit(b"\r"))
+    asked = placed.select(F.when(F.col("line").contains(F.lit(b'"')), F.col("line")).alias("line"), "key", "at", filled.alias("filled"))
+    ends = asked.mapInArrow(_range_ends(sep), "key STRING, at BIGINT, from_outside INT, from_inside INT, filled BOOLEAN")
+    # One row per range of the scan (128 MB by default) with a quoted field over its end or a header after blank ranges.
+    starts = F.broadcast(_starts(ends).filter("inside = 1 OR next_inside = 1 OR (header AND at > 0)"))
     known = placed.join(starts, ["key", "at"], "left")
-    begins = F.coalesce("inside", F.lit(0)).alias("inside")
-    whole = known.select("line", "key", "at", begins).mapInArrow(_records(sep), "key STRING, record BINARY")
-    torn = known.filter(F.col("inside").isNotNull()).select("line", "key", "at", begins)
+    begins = [F.coalesce("inside", F.lit(0)).alias("inside"), F.coalesce("header", F.col("at") == 0).alias("header")]
+    whole = known.select("line", "key", "at", *begins).mapInArrow(_records(sep), "key STRING, record BINARY")
+    torn = known.filter(F.col("inside").isNotNull()).select("line", "key", "at", *begins)
     joined = _joined(torn.mapInArrow(_fragments(sep), "key STRING, at BIGINT, kind INT, header BOOLEAN, part BINARY"))
     return whole.withColumn("record", F.col("record").cast("string")).unionByName(joined)
 
