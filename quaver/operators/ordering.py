@@ -1,7 +1,7 @@
 """Exact ranks, cuts and running totals without a one-task window.
 
-Rows are put into ordered buckets; a count per bucket gives every bucket its
-starting rank; the order inside a bucket is settled locally. Cuts need a local
+Rows are put into ordered buckets (by a hash, or ranges of a sample sort); a count per bucket gives every
+bucket its starting rank; the order inside a bucket is settled locally. Cuts need a local
 order only in the bucket that a cut falls into, so the corpus is not shuffled.
 """
 
@@ -9,17 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions import fixed
 from quaver.functions.draws import digest
+from quaver.operators.bounded import settled
 
 HEX_DIGITS = 4
-#: Rows of a range on average, once there are more than a few ranges per task.
-BUCKET_ROWS = 1 << 22
+#: Bits of Spark's row numbers below the number of the partition.
+_PART_BITS = 33
 
 
 def hash_key(row_id, seed: int = fixed.SEED) -> Column:
@@ -32,24 +32,6 @@ def hash_bucket(key: Column, digits: int = HEX_DIGITS) -> Column:
     return F.substring(key, 1, digits)
 
 
-def range_bucket(df: DataFrame, ordinal: str, out: str, buckets: int | None = None) -> DataFrame:
-    """Add the quantile range of ``ordinal`` (a number) that each row falls into; nulls get a range of their own, the last.
-
-    Ranges come from one approximate-quantile pass; they only balance the work,
-    ranks stay exact whatever the ranges are.
-    """
-    if buckets is None:
-        buckets = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // BUCKET_ROWS)
-    as_double = df.withColumn("__o", F.col(ordinal).cast("double"))
-    marks = as_double.approxQuantile("__o", [k / buckets for k in range(1, buckets)], 1.0 / (4 * buckets))
-    splits = [float("-inf"), *sorted(set(marks)), float("inf")]
-    last = F.lit(float(len(splits)))
-    if len(splits) == 2:
-        return df.withColumn(out, F.when(F.col(ordinal).isNull(), last).otherwise(F.lit(0.0)))
-    placed = Bucketizer(splits=splits, inputCol="__o", outputCol=out, handleInvalid="keep").transform(as_double)
-    return placed.withColumn(out, F.coalesce(F.when(F.col("__o").isNotNull(), F.col(out)), last)).drop("__o")
-
-
 def _starts(bucketed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows before each bucket; one small row per bucket."""
     w = W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
@@ -80,15 +62,66 @@ def content_key(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind])
 
 
+def numbered(rows: DataFrame, out: str) -> DataFrame:
+    """1-based positions of the rows of :func:`settled`, in the order of its partitions and within them; nothing is shuffled."""
+    placed = rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", _PART_BITS))
+    starts = F.broadcast(_starts(placed.select("__part"), ["__part"]).drop("__n"))  # a row per partition
+    local = F.col("__at").bitwiseAND(F.lit((1 << _PART_BITS) - 1))
+    return placed.join(starts, "__part").withColumn(out, F.col("__before") + local + 1).drop("__at", "__part", "__before")
+
+
+def sample_sorted(df: DataFrame, order: list) -> DataFrame:
+    """Rows in ``order`` over ranges of equal size, settled; only rows that are equal in all of ``order`` must share a range."""
+    return settled(df.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
 def rank_by_ordinal(df: DataFrame, ordinal: str, out: str = "position", tie: str | None = None) -> DataFrame:
-    """Position of each row by ``ordinal`` (a number), then ``tie``, then content; rows without an ordinal come last."""
-    ranged = range_bucket(df, ordinal, "__bucket")
-    return rank_in_buckets(ranged, "__bucket", [F.col(ordinal).asc_nulls_last(), *([tie] if tie else []), content_key(df)], out)
+    """Position of each row by ``ordinal`` (of any orderable type), then ``tie``, then content; rows without an ordinal come last.
+
+    A frequent ordinal, or many rows without one, are cut into ranges by what follows it. Rows alike in every
+    column but maps share a range.
+    """
+    keys = [F.col(f"`{c}`").asc_nulls_last() for c in (ordinal, tie) if c]
+    ordered = sample_sorted(df.withColumn("__content", content_key(df)), [*keys, F.col("__content")])
+    return numbered(ordered.drop("__content"), out)
+
 
+def leading_rows(df: DataFrame, ordinal: str, share: float, out: str, names: tuple[str, str]) -> DataFrame:
+    """Call the first int(share * N) rows by ``ordinal``, then content, ``names[0]`` and the others ``names[1]``.
 
-def batch_id(df: DataFrame, ordinal: str, batch_size: int, out: str = "batch") -> DataFrame:
-    """Sequential batches of ``batch_size`` rows in ordinal order."""
-    ranked = rank_by_ordinal(df, ordinal, "__rank")
+    Only distinct keys are sorted, with their numbers of rows; they give the key at the cut, and every row
+    is compared with it where it lies. Equal keys at the cut belong to rows alike in every column but maps:
+    as many as are wanted are taken.
+    """
+    keyed = df.withColumn("__key", F.struct(F.col(f"`{ordinal}`").isNull().alias("last"), F.col(f"`{ordinal}`").alias("o"), content_key(df).alias("content")))
+    sizes = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__w"))
+    ordered = sample_sorted(sizes, [F.col("__key")]).withColumn("__part", F.spark_partition_id())
+    starts = ordered.groupBy("__part").agg(F.sum("__w").alias("__n"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    total = starts.agg(F.sum("__n")).first()[0] or 0
+    wanted = int(share * total)
+    # The range that the cut falls into is the only one that is summed up row by row.
+    torn = F.broadcast(starts.filter((F.col("__before") < wanted) & (F.col("__before") + F.col("__n") >= wanted)).drop("__n"))
+    within = W.partitionBy("__part").orderBy("__key")
+    summed = ordered.join(torn, "__part").withColumn("__upto", F.col("__before") + F.sum("__w").over(within))
+    cut = summed.filter(F.col("__upto") >= wanted).orderBy("__upto").limit(1)
+    edge = F.broadcast(cut.select(F.lit(0).alias("__all"), F.col("__key").alias("__cut"), (F.col("__upto") - wanted).alias("__over")))
+    placed = keyed.withColumn("__all", F.lit(0)).join(edge, "__all", "left")
+    at_cut = F.coalesce((F.col("__key") == F.col("__cut")) & (F.col("__over") > 0), F.lit(False))
+    name = F.when(F.coalesce(F.col("__key") <= F.col("__cut"), F.lit(False)), names[0]).otherwise(names[1])
+    columns = [*[f"`{c}`" for c in df.columns], out]
+    whole = placed.filter(~at_cut).withColumn(out, name).select(columns)
+    alike = numbered(settled(placed.filter(at_cut)), "__number")
+    late = alike.groupBy().agg(F.count(F.lit(1)).alias("__n")).withColumn("__all", F.lit(0))
+    taken = F.col("__number") <= F.col("__n") - F.col("__over")
+    split = alike.join(F.broadcast(late), "__all").withColumn(out, F.when(taken, names[0]).otherwise(names[1])).select(columns)
+    return whole.unionByName(split)
+
+
+def batch_id(df: DataFrame, ordinal: str, batch_size: int, out: str = "batch", tie: str | None = None) -> DataFrame:
+    """Sequential batches of ``batch_size`` rows in the order of :func:`rank_by_ordinal`."""
+    ranked = rank_by_ordinal(df, ordinal, "__rank", tie)
     return ranked.withColumn(out, F.floor((F.col("__rank") - 1) / batch_size)).drop("__rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import fixed
 from quaver.functions.noise import token_noise
-from quaver.operators.ordering import content_key, cut_by_rank, hash_bucket, hash_key, range_bucket
+from quaver.operators.ordering import cut_by_rank, hash_bucket, hash_key, leading_rows
 
 LEVELS = tuple(fixed.TOKEN_RATES)
 
@@ -88,10 +88,7 @@ def random_split(df: DataFrame, row_id: str, share: float = 0.9, seed: int = fix
 
 def positional_split(df: DataFrame, ordinal: str, share: float = 0.8) -> DataFrame:
     """``train`` is the leading int(share * N) rows in ordinal order, ``test`` the rest; tied rows go by their content."""
-    ranged = range_bucket(df, ordinal, "__bucket").withColumn("__all", F.lit(0))
-    limits = lambda totals: totals.withColumn("limits", F.array(F.floor(F.lit(share) * F.col("n"))))
-    parts = cut_by_rank(ranged, "__bucket", [F.col(ordinal).asc_nulls_last(), content_key(df)], limits, ["train", "test"], "__all")
-    return parts.drop("__bucket", "__all")
+    return leading_rows(df, ordinal, share, "split", ("train", "test"))
 
 
 def noise_levels(df: DataFrame, row_id: str, levels=LEVELS, seed: int = fixed.SEED) -> DataFrame:

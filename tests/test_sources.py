@@ -239,3 +239,22 @@ def test_sniffing_respects_quotes(spark, tmp_path, content, sep):
     path = tmp_path / "x.csv"
     path.write_text(content)
     assert R.sniff_separator(spark, str(path)) == sep
+
+
+def test_positions_of_feature_files_equal_a_sequential_read(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    names = ["batch_b.parquet", "batch_a.parquet", "batch_c.parquet"]
+    for k, (name, n) in enumerate(zip(names, (500, 3, 120), strict=True)):
+        pq.write_table(pa.table({"v": [f"{name}{i}" for i in range(n)], "x": [k] * n}), tmp_path / name, row_group_size=50)
+    wanted = [v for name in sorted(names) for v in pq.read_table(tmp_path / name)["v"].to_pylist()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = R.read_feature_tables(spark, str(tmp_path))
+        assert [r.v for r in sorted(rows.collect(), key=lambda r: r.position)] == wanted
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.position for r in rows.select("position").collect()) == list(range(623))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

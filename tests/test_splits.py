@@ -127,3 +127,45 @@ def test_ties_do_not_follow_partitions(spark):
     assert cut[0] == cut[1] and len(cut[0]) == 32
     batches = [sorted((r.name, r.batch) for r in O.batch_id(rows.repartition(n), "turn", 8).collect()) for n in (1, 7)]
     assert batches[0] == batches[1]
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "double"])
+def test_ranks_by_any_type_with_a_hot_value(spark, kind):
+    value = {"string": "concat('k', lpad(o, 3, '0'))", "date": "date_add(DATE'2020-01-01', CAST(o AS INT))", "double": "o / 7"}[kind]
+    hot = "CASE WHEN id % 3 = 0 THEN 5 WHEN id % 7 = 0 THEN NULL ELSE id % 90 END"
+    rows = spark.range(900).selectExpr("id", f"{hot} AS o").selectExpr("id", f"{value} AS o", "map(id, id) AS extra")
+    seen = [{r.id: r.position for r in O.rank_by_ordinal(rows.repartition(n), "o", tie="id").collect()} for n in (1, 7)]
+    assert seen[0] == seen[1] and sorted(seen[0].values()) == list(range(1, 901))
+    plain = sorted(((r.o is None, r.o if r.o is not None else 0, r.id) for r in rows.collect()))
+    assert [i for _, _, i in plain] == sorted(seen[0], key=seen[0].get)
+    untied = [{r.id: r.position for r in O.rank_by_ordinal(rows.drop("extra").repartition(n), "o").collect()} for n in (1, 7)]
+    assert untied[0] == untied[1]
+    cuts = [{r.id for r in S.positional_split(rows.drop("extra").repartition(n), "o", 0.41).filter("split = 'train'").collect()} for n in (1, 7)]
+    assert cuts[0] == cuts[1] and len(cuts[0]) == 369
+    assert cuts[0] == {i for i, p in untied[0].items() if p <= 369}
+
+
+def test_a_hot_value_is_cut_into_ranges(spark):
+    rows = spark.range(8000).selectExpr("id", "1 AS o")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = O.sample_sorted(rows.withColumn("c", O.content_key(rows)), [F.col("o"), F.col("c")]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 5000
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 1.0])
+def test_equal_rows_at_the_cut(spark, share):
+    rows = spark.range(40).selectExpr("CAST(id % 2 AS STRING) AS turn", "'same' AS name")
+    for n in (1, 7):
+        cut = S.positional_split(rows.repartition(n), "turn", share)
+        got = {(r.turn, r.split): r["count"] for r in cut.groupBy("turn", "split").count().collect()}
+        taken = int(share * 40)
+        assert got.get(("0", "train"), 0) == min(taken, 20) and got.get(("1", "train"), 0) == max(taken - 20, 0)
+        assert sum(got.values()) == 40
+
+
+def test_cut_of_an_empty_table(spark):
+    assert S.positional_split(spark.range(0), "id").count() == 0
+    assert O.rank_by_ordinal(spark.range(0), "id").count() == 0
