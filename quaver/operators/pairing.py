@@ -1,5 +1,8 @@
 """Pairing clean rows with their noisy twins.
 
+Where the noise is made here (:func:`late_anchor_pairs`, :func:`late_clean_only_pairs`), pairs are chosen as row
+ids, levels and text digests; the noisy text is a function of them, made after the choice, and never for counts.
+Stored noisy tables go through :func:`anchor_pairs` and :func:`clean_only_pairs`.
 Texts are joined through digests: no copy of a long text is shuffled as a key,
 and each lookup side holds one row per text. Null originals never match.
 """
@@ -9,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaver.functions import fixed
+from quaver.functions.noise import token_noise
 from quaver.functions.similarity import phi
-from quaver.operators.splits import text_key
-from quaver.operators.tables import keep_first, level_code, noisy_rows
+from quaver.operators.splits import LEVELS, text_key, training_copies
+from quaver.operators.tables import LEVEL_CODES, keep_first, level_code, noisy_rows
 
 
 def canonical_partner(noisy: DataFrame, order: list[str], keep: str = "first") -> DataFrame:
@@ -86,6 +91,71 @@ def clean_only_pairs(train: DataFrame, order: list[str], condition: str) -> Data
     return with_phi(pairs)
 
 
+def condition_levels(condition: str, levels=LEVELS) -> list[str]:
+    """Noisy levels that a condition trains on, in their order."""
+    kept = [v for v in levels if condition in ("all", v)]
+    return sorted(kept, key=LEVEL_CODES.get)
+
+
+def _late_partners(source: DataFrame, row_id: str, level: str | None, keep: str) -> DataFrame:
+    """The row whose copy at ``level`` is the partner of each source text: by digest, without a text."""
+    pick = F.min if keep == "first" else F.max
+    known = source.filter(F.col("text").isNotNull() & F.col("label").isNotNull() & F.lit(level is not None))
+    return known.groupBy(text_key("text").alias("__k")).agg(pick(row_id).alias("__partner"))
+
+
+def _late_clean(clean: DataFrame, partners: DataFrame, row_id: str, level: str | None, seed: int) -> DataFrame:
+    paired = F.col("__partner").isNotNull()
+    # Equal digests, equal texts: the partner's noisy text is made from the row's own text.
+    noisy = token_noise("text", F.lit(level), "__partner", seed) if level else F.col("text")
+    return clean.withColumn("__k", text_key("text")).join(partners, "__k", "left").select(
+        F.col(row_id),
+        F.lit("clean").alias("noise_level"),
+        F.col("text").alias("clean_text"),
+        F.when(paired, noisy).otherwise(F.col("text")).alias("noisy_text"),
+        F.col("label").cast("int").alias("label"),
+        F.when(paired, F.lit(LEVEL_CODES.get(level))).otherwise(0).alias("noise_id"),
+        F.lit(True).alias("ce_mask_clean"),
+        F.lit(False).alias("ce_mask_noisy"),
+        paired.alias("has_pair"),
+    )
+
+
+def late_anchor_pairs(
+    train: DataFrame, source: DataFrame, row_id: str, condition: str = "all", keep: str = "first", levels=LEVELS, seed: int = fixed.SEED
+) -> DataFrame:
+    """:func:`anchor_pairs` of clean training rows and the copies of ``source`` rows that :func:`augment_from` would add.
+
+    Rows are in the order of ``row_id`` (not null), then level. So a text's first partner is the copy of its first source row at
+    the condition's lowest level, and the last one that of its last row at the highest.
+    """
+    train, chosen = train.na.drop(subset=["text", "label"]), condition_levels(condition, levels)
+    level = (chosen[0] if keep == "first" else chosen[-1]) if chosen else None
+    clean_side = _late_clean(train, _late_partners(source, row_id, level, keep), row_id, level, seed)
+    copies = training_copies(train, source, chosen).na.drop(subset=["text", "label"])
+    noisy_side = copies.select(
+        F.col(row_id),
+        "noise_level",
+        F.col("text").alias("clean_text"),
+        token_noise("text", "noise_level", row_id, seed).alias("noisy_text"),
+        F.col("label").cast("int").alias("label"),
+        level_code().alias("noise_id"),
+        F.lit(False).alias("ce_mask_clean"),
+        F.lit(True).alias("ce_mask_noisy"),
+        F.lit(True).alias("has_pair"),
+    )
+    return clean_side.unionByName(noisy_side)
+
+
+def late_clean_only_pairs(train: DataFrame, source: DataFrame, row_id: str, condition: str, seed: int = fixed.SEED) -> DataFrame:
+    """:func:`clean_only_pairs` with the noise made here: each distinct clean text with the copy of its last source row."""
+    clean = keep_first(train.na.drop(subset=["text", "label"]), "text", [row_id])
+    level = "low" if condition == "clean" else condition
+    partners = _late_partners(source.filter(F.col("text") != ""), row_id, level, "last")
+    pairs = _late_clean(clean, partners, row_id, level, seed)
+    return with_phi(pairs.drop("noise_level", "ce_mask_clean", "ce_mask_noisy"))
+
+
 def with_phi(pairs: DataFrame) -> DataFrame:
     """Add the phonetic dissimilarity weight of each pair."""
     return pairs.withColumn("phi", phi("clean_text", "noisy_text"))

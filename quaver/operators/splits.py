@@ -122,6 +122,18 @@ def augment_train(train: DataFrame, noisy: DataFrame) -> DataFrame:
     return _as_clean(train).unionByName(restrict_to_texts(noisy, train), allowMissingColumns=True)
 
 
+def training_copies(train: DataFrame, source: DataFrame, levels=LEVELS) -> DataFrame:
+    """Source rows whose text is a training text, once per level (``noise_level``), not yet corrupted.
+
+    Either side may carry its texts' digests as ``text_key`` instead of reading the texts.
+    """
+    key = lambda df: F.col("text_key") if "text_key" in df.columns else text_key("text")
+    wanted = train.select(key(train).alias("__k")).distinct()
+    kept = source.withColumn("__k", key(source)).join(wanted, "__k", "left_semi").drop("__k")
+    each = F.array(*[F.lit(v) for v in levels]) if levels else F.lit(None).cast("array<string>")
+    return kept.withColumn("noise_level", F.explode(each))
+
+
 def augment_from(train: DataFrame, source: DataFrame, row_id: str, levels=LEVELS, seed: int = fixed.SEED) -> DataFrame:
     """Like :func:`augment_train`, with the noise made here.
 

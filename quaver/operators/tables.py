@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quaver.functions.fixed import LEVEL_CODES
+from quaver.operators.ordering import rank_by_ordinal
 from quaver.operators.splits import text_key
 
 
@@ -96,9 +97,9 @@ def binary_label(label, positive: str = "HOF") -> Column:
 
 
 def fit_label_codes(df: DataFrame, label: str) -> DataFrame:
-    """Sorted distinct values and their codes 0..k-1."""
+    """Sorted distinct values and their codes 0..k-1, by a sample sort."""
     values = df.select(label).filter(F.col(label).isNotNull()).distinct()
-    return values.withColumn("code", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(label)) - 1)
+    return rank_by_ordinal(values, label, "__rank").select(label, (F.col("__rank") - 1).cast("int").alias("code"))
 
 
 def encode_labels(df: DataFrame, label: str, codes: DataFrame) -> DataFrame:

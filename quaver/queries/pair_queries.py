@@ -8,13 +8,12 @@ from quaver.functions import similarity as S
 from quaver.functions.noise import token_noise
 from quaver.functions.text import tokens
 from quaver.operators import pairing as P
-from quaver.operators.bounded import reuse
-from quaver.operators.splits import noise_levels
+from quaver.operators.splits import noise_levels, stratified_split
 from quaver.operators.tables import level_code
 from quaver.queries import common as C
 from quaver.queries import query
 from quaver.queries.common import corpus, documents, words
-from quaver.queries.split_queries import AUGMENTED, augmented
+from quaver.queries.split_queries import AUGMENTED
 
 # The SQL engine compares bytes; every accented letter of the tables becomes one.
 _ACCENTS = "éóèñüçäöêßí"
@@ -67,10 +66,19 @@ def phi(spark, folder):
     return copies.select("row_id", "noise_level", F.round(S.phi("text_original", "text"), 6).alias("phi"))
 
 
-def train_rows(spark, folder):
-    """Augmented training rows with a document order, stored once."""
-    rows = augmented(spark, folder)
-    return reuse(rows.withColumn("ordinal", F.col("row_id") * 4 + level_code()))
+def train_and_source(spark, folder):
+    """Clean training rows, and the rows whose noisy copies go with them."""
+    rows = corpus(spark, folder).select("row_id", "text", "label")
+    return stratified_split(rows, "row_id").filter("split = 'train'").drop("split"), rows
+
+
+def anchors(spark, folder):
+    return P.late_anchor_pairs(*train_and_source(spark, folder), "row_id")
+
+
+def in_order(pairs, code):
+    """Rows named by their place in the augmented table."""
+    return pairs.select((F.col("row_id") * 4 + code).alias("ordinal"), "*").drop("row_id")
 
 
 _TRAIN = f"{AUGMENTED}, tr AS (SELECT *, row_id * 4 + {C.CODE.format('noise_level')} AS ordinal FROM train)"
@@ -90,7 +98,7 @@ ANCHORS = f"""{_TRAIN}, partner AS ({_PARTNER.format(code=C.CODE.format('noise_l
 
 @query(f"WITH {ANCHORS} SELECT * FROM anchors")
 def pair_anchor(spark, folder):
-    return P.anchor_pairs(train_rows(spark, folder), ["ordinal"])
+    return in_order(anchors(spark, folder), level_code())
 
 
 @query(
@@ -101,8 +109,8 @@ def pair_anchor(spark, folder):
     {_phi_sql('pairs', 'ordinal, clean_text, noisy_text, label, noise_id, has_pair')}"""
 )
 def pair_clean_only(spark, folder):
-    pairs = P.clean_only_pairs(train_rows(spark, folder), ["ordinal"], "medium")
-    return pairs.withColumn("phi", F.round("phi", 6))
+    pairs = P.late_clean_only_pairs(*train_and_source(spark, folder), "row_id", "medium")
+    return in_order(pairs, F.lit(0)).withColumn("phi", F.round("phi", 6))
 
 
 @query(
@@ -122,7 +130,7 @@ def pair_inner(spark, folder):
     count(DISTINCT CASE WHEN has_pair THEN noise_id END) >= 2 AS has_diverse_noise FROM anchors"""
 )
 def pair_stats(spark, folder):
-    return P.pair_statistics(P.anchor_pairs(train_rows(spark, folder), ["ordinal"]))
+    return P.pair_statistics(anchors(spark, folder))
 
 
 _WEIGHED = f"w AS ({_phi_sql('anchors', 'noise_level, has_pair')})"
@@ -133,7 +141,7 @@ _WEIGHED = f"w AS ({_phi_sql('anchors', 'noise_level, has_pair')})"
     FROM w WHERE has_pair GROUP BY noise_level"""
 )
 def phi_by_level(spark, folder):
-    pairs = P.with_phi(P.anchor_pairs(train_rows(spark, folder), ["ordinal"])).withColumn("phi", F.round("phi", 6))
+    pairs = P.with_phi(anchors(spark, folder).filter("has_pair")).withColumn("phi", F.round("phi", 6))
     return P.phi_by_level(pairs, "noise_level").withColumn("mean_phi", F.round("mean_phi", 5))
 
 
@@ -142,5 +150,5 @@ def phi_by_level(spark, folder):
     FROM w WHERE has_pair GROUP BY ALL"""
 )
 def phi_histogram(spark, folder):
-    pairs = P.with_phi(P.anchor_pairs(train_rows(spark, folder), ["ordinal"])).withColumn("phi", F.round("phi", 6))
+    pairs = P.with_phi(anchors(spark, folder).filter("has_pair")).withColumn("phi", F.round("phi", 6))
     return P.phi_histogram(pairs, "noise_level")

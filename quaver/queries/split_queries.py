@@ -116,9 +116,11 @@ def augment_train(spark, folder):
     SELECT metric, "value" FROM (UNPIVOT s ON COLUMNS(*) INTO NAME metric VALUE "value")"""
 )
 def split_stats(spark, folder):
-    rows = corpus(spark, folder)
-    parts = reuse(S.stratified_split(rows.select("row_id", "text", "label"), "row_id"))
+    rows = corpus(spark, folder).select("row_id", "label", S.text_key("text").alias("text_key"))
+    parts = reuse(S.stratified_split(rows, "row_id"))
     pick = lambda name: parts.filter(F.col("split") == name)
-    train = S.augment_from(pick("train"), rows.select("row_id", "text", "label"), "row_id")
+    # Sizes and shares need digests, no noise.
+    copies = S.training_copies(pick("train"), rows)
+    train = pick("train").select("label").unionByName(copies.select("label"))
     stats = S.split_statistics(rows, train, pick("val"), pick("test"))
     return stats.withColumn("value", F.round("value", 6))

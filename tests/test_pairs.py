@@ -162,3 +162,52 @@ def test_long_words_score_like_short_ones():
     for _ in range(500):
         a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(1, 20))) for _ in range(2))
         assert abs(sim._by_pointers(a, b) - sim.jaro_winkler_many([a], [b])[0]) < 1e-12
+
+
+def late_tables(spark, n=1):
+    from quaver.operators.splits import augment_from
+    from quaver.operators.tables import level_code
+
+    words = ("vase", "the", "shadow", "quick", "ok", "nahi", "karna", "shouting")
+    text = F.concat_ws(" ", *[F.concat(F.lit(w), F.col("id") % 17) for w in words])
+    text = F.when(F.col("id") % 23 == 0, None).when(F.col("id") % 29 == 0, "").otherwise(text)
+    label = F.when(F.col("id") % 31 == 0, None).otherwise((F.col("id") % 2).cast("int"))
+    source = spark.range(300).select(F.col("id").alias("row_id"), text.alias("text"), label.alias("label")).repartition(n)
+    train = source.filter("label IS NOT NULL AND row_id % 17 < 9 AND row_id > 40")
+    whole = augment_from(train, source, "row_id").select("row_id", "noise_level", "text", "text_original", "label")
+    return train, source, whole.withColumn("ordinal", F.col("row_id") * 4 + level_code())
+
+
+def as_rows(pairs, drop):
+    columns = sorted(set(pairs.columns) - set(drop))
+    return sorted((tuple(r) for r in pairs.select(columns).collect()), key=repr)
+
+
+@pytest.mark.parametrize(("condition", "keep"), [("all", "first"), ("all", "last"), ("medium", "first"), ("clean", "first")])
+def test_late_pairs_equal_pairs_of_the_noisy_table(spark, condition, keep):
+    from quaver.operators.tables import level_code
+
+    train, source, whole = late_tables(spark, 5)
+    wanted = P.anchor_pairs(whole, ["ordinal"], condition, keep)
+    late = P.late_anchor_pairs(train, source, "row_id", condition, keep)
+    late = late.withColumn("ordinal", F.col("row_id") * 4 + level_code()).drop("row_id")
+    assert as_rows(late, []) == as_rows(wanted, []) and late.filter("has_pair").count() > 0 or condition == "clean"
+
+
+def test_late_clean_only_pairs_equal_those_of_the_noisy_table(spark):
+    train, source, whole = late_tables(spark, 3)
+    for condition in ("clean", "high"):
+        wanted = P.clean_only_pairs(whole, ["ordinal"], condition)
+        late = P.late_clean_only_pairs(train, source, "row_id", condition).withColumn("ordinal", F.col("row_id") * 4).drop("row_id")
+        assert as_rows(late, []) == as_rows(wanted, [])
+
+
+@pytest.mark.parametrize("name", ["pair_stats", "split_stats"])
+def test_counts_make_no_noise_and_keep_no_text(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Noise works on the tokens of a text, one by one.
+    assert "lambda" not in plan and "regexp" not in plan
+    assert "Python" not in plan
+    assert all("text#" not in line for line in plan.splitlines() if "InMemoryRelation" in line)
