@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Rows of a group on average. The room a group leaves unused is a few bins, so larger groups gain little.
 GROUP_ROWS = 8192
+#: Pieces of rows alike that one task numbers at a time.
+STRETCH = 1 << 16
 
 
 def bin_cost(capacity: float, quadratic: float = 16384.0) -> float:
@@ -58,20 +60,31 @@ def best_fit(items: DataFrame, key: str = "doc_id", length: str = "n_tokens", ca
     """One row per piece: ``key``, ``piece``, ``piece_start``, ``piece_tokens``, ``bin_id``, ``bin_offset``, ``bin_size``.
 
     Null lengths and lengths below 1 take no room: their rows come back with bin fields null. Repeated rows are
-    packed as often as they come. Only ``key`` and ``length`` are read. Group and bin follow from the
-    rows' contents, so the packing doesn't depend on partitions.
+    packed as often as they come; an empty table gives no rows. Only ``key`` and ``length`` are read. Pieces of one key, repeated rows
+    and null keys are dealt like all others: rows alike are counted first, and each piece of each copy has a number that
+    the hash takes in. Group and bin follow from the rows' contents, so the packing doesn't depend on partitions; ties
+    between pieces of one length go by key and piece.
     """
     largest = max(capacities)
+    size = F.col("__length")
+    # Pieces of a row; a row without room is one.
+    cuts = F.coalesce(F.greatest(F.floor((size + largest - 1) / largest), F.lit(1)), F.lit(1)).cast("long")
     rows = items.select(F.col(key).alias("__key"), F.col(length).cast("long").alias("__length"))
-    groups = max(1, -(-items.count() // group_rows))
-    n = F.greatest(F.col("__length"), F.lit(1))
-    starts = F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / largest).cast("long"))
-    pieces = rows.select("__key", "__length", F.explode(F.when(F.col("__length") > 0, starts).otherwise(F.array(F.lit(0).cast("long")))).alias("piece")).select(
+    total = rows.agg(F.sum(F.when(size > 0, cuts))).first()[0] or 0
+    groups = max(1, -(-total // group_rows))
+    alike = rows.groupBy("__key", "__length").agg(F.count(F.lit(1)).alias("__copies")).withColumn("__cuts", cuts)
+    # A long text or many copies are numbered by many tasks, a stretch of numbers each.
+    last = F.col("__cuts") * F.col("__copies") - 1
+    stretches = alike.withColumn("__stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / STRETCH).cast("long"))))
+    dealt = stretches.repartition("__key", "__length", "__stretch")
+    first = F.col("__stretch") * STRETCH
+    units = dealt.withColumn("__unit", F.explode(F.sequence(first, F.least(first + STRETCH - 1, last))))
+    pieces = units.withColumn("piece", F.col("__unit") % F.col("__cuts")).select(
         F.col("__key").alias("item"),
         "piece",
         (F.col("piece") * largest).alias("start"),
-        F.when(F.col("__length").isNotNull(), F.least(F.lit(largest).cast("long"), F.col("__length") - F.col("piece") * largest)).alias("tokens"),
-        F.pmod(F.xxhash64("__key", "piece"), F.lit(groups)).alias("grp"),
+        F.when(size.isNotNull(), F.least(F.lit(largest).cast("long"), size - F.col("piece") * largest)).alias("tokens"),
+        F.pmod(F.xxhash64("__key", "__length", "__unit"), F.lit(groups)).alias("grp"),
     )
     kind = items.schema[key].dataType.simpleString()
     fields = f"`{key}` {kind}, piece BIGINT, piece_start BIGINT, piece_tokens BIGINT, bin_id BIGINT, bin_offset BIGINT, bin_size BIGINT"
