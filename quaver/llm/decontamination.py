@@ -13,10 +13,12 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Edits per character of an item.
 EDIT_RATE = 0.08
@@ -79,7 +81,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
 class Matcher:
     """All items of a block: (item id, reduced text)."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, least: int):
+    def __init__(self, items: list[tuple[Any, str]], rate: float, least: int):
         import ahocorasick
 
         self.items = items
@@ -125,21 +127,25 @@ def _merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int, str], ...], rate: float, least: int) -> Matcher:
+def _matcher(items: tuple[tuple[Any, str], ...], rate: float, least: int) -> Matcher:
     return Matcher(list(items), rate, least)
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Reduced items, a bounded number of characters at a time; one partition of them is held at once."""
-    block, size = [], 0
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple[Any, str]]]:
+    """Reduced items, a bounded number of characters at a time, but for the texts of one id, which stay together; one partition of them is held at once."""
+    block, size, held = [], 0, set()
     rows = items.select(F.col(item_id), F.col(item_text)).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull())
     for name, text in rows.orderBy(item_id, item_text).toLocalIterator():
         text = reduced(text)
-        if not text:
+        if block and block[-1][0] != name:
+            held.clear()
+            if size + len(text) > block_chars:
+                yield block
+                block, size = [], 0
+        # Texts of an id that reduce alike match alike.
+        if not text or text in held:
             continue
-        if block and size + len(text) > block_chars:
-            yield block
-            block, size = [], 0
+        held.add(text)
         block.append((name, text))
         size += len(text)
     if block:
@@ -151,11 +157,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     Null or empty texts match nothing, nor do null or empty items or items without letters and digits.
     Repeated document rows come back as often as they occur; repeated item ids give the best match of any of their
-    texts. Very long texts are read whole, in one linear pass. Other columns are not read. No shuffle.
+    texts, in one row. Very long texts are read whole, in one linear pass. Empty tables give no rows; columns of other names are not
+    read, and ids of either side may be of any type that Arrow holds. No shuffle of documents.
     """
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, item_id BIGINT, edits BIGINT"
+    kind, name_kind = docs.schema[key].dataType.simpleString(), items.schema[item_id].dataType
+    schema = f"`{key}` {kind}, item_id {name_kind.simpleString()}, edits BIGINT"
+    arrow_name = to_arrow_type(name_kind)
     slim = docs.select(F.col(key), F.col(text)).where(F.col(text).isNotNull())
     result = spark.createDataFrame([], schema)
     for block in _blocks(items, item_id, item_text, block_chars):
@@ -172,7 +180,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                     rows += [row] * len(best)
                     names += best
                     edits += best.values()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.int64()), pa.array(edits, pa.int64())], [key, "item_id", "edits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, arrow_name), pa.array(edits, pa.int64())], [key, "item_id", "edits"])
 
         result = result.unionByName(slim.mapInArrow(run, schema))
     return result
