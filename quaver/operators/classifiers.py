@@ -12,7 +12,7 @@ from quaver.operators import linear, trees
 from quaver.operators.bounded import reuse, settled
 from quaver.operators.metrics import f1_summary, majority_vote
 from quaver.operators.tables import class_weights, level_rows, top_terms
-from quaver.operators.tfidf import MAX_TERMS, entry_lists, fit_idf, index_terms, pack_vectors, term_counts, to_vectors, weigh, with_empty
+from quaver.operators.tfidf import MAX_TERMS, fit_idf, index_terms, pack_vectors, term_counts, term_lists, with_empty
 
 VOTERS = ("LR", "RF", "XGBOOST")
 
@@ -78,17 +78,17 @@ def beats_majority(predictions: DataFrame) -> DataFrame:
 
 def text_features(train: DataFrame, others: list[DataFrame], row_id: str, k: int = MAX_TERMS) -> list[DataFrame]:
     """TF-IDF vectors of the training rows and, with the same vocabulary, of others."""
-    counts = reuse(term_counts(train, row_id))
-    indexed = reuse(index_terms(fit_idf(counts, train, k)))
-    size = indexed.count()
-    vocabulary = F.broadcast(indexed)  # MAX_TERMS rows at most
+    # MAX_TERMS rows at most
+    known = index_terms(fit_idf(term_counts(train, row_id), train, k)).select("term", "index", "idf").collect()
+    entries = [(*r, 0) for r in known]
 
-    def vectors(rows: DataFrame, terms: DataFrame) -> DataFrame:
-        weights = weigh(terms, row_id, vocabulary.select("term", "idf"))
+    def vectors(rows: DataFrame) -> DataFrame:
+        lists = term_lists(rows, row_id, entries).select(row_id, "indices", "values")
         # A text without a term of the vocabulary is a row all the same.
-        return to_vectors(weights, row_id, vocabulary, size, rows=rows.select(row_id, F.col("label").cast("double").alias("label")))
+        labelled = rows.select(row_id, F.col("label").cast("double").alias("label"))
+        return pack_vectors(with_empty(labelled.join(lists, row_id, "left")), len(entries))
 
-    return [vectors(train, counts), *[vectors(o, term_counts(o, row_id)) for o in others]]
+    return [vectors(train), *[vectors(o) for o in others]]
 
 
 def uses(role: str, level: str, conditions: list[str]) -> list[str]:
@@ -103,42 +103,38 @@ def condition_features(rows: DataFrame, conditions: list[str], row_id: str, k: i
     """(role, condition, label, weight, features) of rows (row id, text, label, role, noise_level), sizes by condition, and what to release.
 
     Roles are train, val and test; a row may be used by several conditions, see :func:`uses`. Each text's n-grams are counted
-    once, whatever the number of conditions. A condition's vocabulary and idf come from the training rows that it uses;
-    both are looked up by one probe per distinct term of a text. Row ids need only be unique within a role and level.
+    once, whatever the number of conditions. A condition's vocabulary and idf come from the training rows that it uses. Row ids need only be unique within a role and level.
     """
     cells = rows.groupBy("role", "noise_level").count().collect()
     used = {(r["role"], r["noise_level"]): uses(r["role"], r["noise_level"], conditions) for r in cells}
     key = F.struct("role", "noise_level", F.col(row_id).cast("string").alias("id"))
     keyed = rows.select(key.alias("key"), "text", F.col("label").cast("double").alias("label"))
-    counts = reuse(term_counts(keyed, "key"))
     level = F.col("key.noise_level")
-    totals = reuse(counts.where("key.role = 'train'").groupBy(level.alias("level"), "term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df")))
-    vocabulary = None
+    totals = reuse(
+        term_counts(keyed.where("key.role = 'train'"), "key").groupBy(level.alias("level"), "term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    )
+    entries, size = [], {}
     for i, condition in enumerate(conditions):
         mine = [r for r in cells if r["role"] == "train" and condition in used["train", r["noise_level"]]]
         n = sum(r["count"] for r in mine)
         seen = totals.where(F.col("level").isin([r["noise_level"] for r in mine])).groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.sum("df").alias("df"))
         idf = top_terms(seen, "term", "corpus_tf", k).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-        indexed = index_terms(idf).withColumn("condition", F.lit(i))
-        vocabulary = indexed if vocabulary is None else vocabulary.unionByName(indexed)
-    vocabulary = reuse(vocabulary.groupBy("term").agg(F.collect_list(F.struct("condition", "index", "idf")).alias("entries")))
-    found = vocabulary.select(F.explode("entries.condition").alias("c")).groupBy("c").count().collect()
-    size = {c: 0 for c in conditions} | {conditions[r["c"]]: r["count"] for r in found}
+        # At most k terms a condition.
+        known = index_terms(idf).select("term", "index", "idf").collect()
+        entries += [(*r, i) for r in known]
+        size[condition] = len(known)
     numbers = lambda name, role: F.coalesce(
         *[F.when((role == r) & (name == v), F.array(*[F.lit(conditions.index(c)) for c in cs])) for (r, v), cs in used.items()],
         F.array().cast("array<int>"),
     )
-    # At most k terms a condition.
-    wanted = F.filter("entries", lambda e: F.array_contains(numbers(level, F.col("key.role")), e["condition"]))
-    known = counts.join(F.broadcast(vocabulary), "term").select("key", "tf", F.explode(wanted).alias("e"))
-    weights = known.select("key", F.col("e.condition").alias("condition"), F.col("e.index").alias("index"), ((1.0 + F.log("tf")) * F.col("e.idf")).alias("weight"))
-    lists = entry_lists(weights, ["key", "condition"])
+    asked = {cell: [conditions.index(c) for c in cs] for cell, cs in used.items() if None not in cell}
+    lists = term_lists(keyed, "key", entries, lambda key: asked.get((key["role"], key["noise_level"]), []))
     every = keyed.select("key", "label").select("key", "label", F.explode(numbers(level, F.col("key.role"))).alias("condition"))
     joined = with_empty(every.join(lists, ["key", "condition"], "left"))
     name = F.element_at(F.array(*[F.lit(c) for c in conditions]), F.col("condition") + 1)
     table = joined.select(F.col("key.role").alias("role"), name.alias("condition"), "label", F.lit(1.0).alias("weight"), "indices", "values")
-    features = reuse(pack_vectors(table, max(size.values(), default=0), unit=True))
-    return features, size, [counts, totals, vocabulary, features]
+    features = reuse(pack_vectors(table, max(size.values(), default=0)))
+    return features, size, [totals, features]
 
 
 def grid(rows: DataFrame, conditions: list[str], row_id: str, models=("SVM", "LR"), tolerance: float = 1e-4) -> DataFrame:

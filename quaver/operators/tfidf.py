@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,33 +12,163 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quaver.functions.text import tokens
-from quaver.operators.bounded import reuse
 from quaver.operators.tables import top_terms
 
 MAX_TERMS = 100_000
+#: Letters of distinct words, and rows, that a task counts at once.
+HELD_LETTERS, HELD_ROWS = 1 << 19, 4096
+#: Rows of a batch that a task returns.
+ROWS_OUT = 1 << 18
+
+
+def _grams(rows: list[Counter], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(row, place of the n-gram among the names, tf, names) of rows of word counts, by row and n-gram."""
+    times = np.array([n for r in rows for n in r.values()], np.int64)
+    if not len(times):
+        return *[np.zeros(0, np.int64)] * 3, []
+    # Words apart by single spaces: each is padded by the spaces on both its sides, so an n-gram is of one word if no space is inside.
+    line = np.frombuffer(" ".join(["", *[w for r in rows for w in r], ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.flatnonzero(np.bincount(line))
+    number = np.zeros(int(letters[-1]) + 1, np.int64)
+    number[letters] = np.arange(1, len(letters) + 1)
+    code, space = number[line], line == 32
+    word = np.cumsum(space) - 1
+    bits = len(letters).bit_length()
+    starts, inside = [], np.ones(len(line), bool)
+    for k in range(2, high + 1):
+        inside = inside[: len(line) - k + 1] & ~space[k - 2 : len(line) - 1] if k > 2 else inside[:-1]
+        if k >= low:
+            starts.append(np.flatnonzero(inside))
+    places = np.concatenate(starts)
+    if bits * high <= 62:
+        grams = []
+        for k, at in zip(range(max(2, low), high + 1), starts, strict=True):
+            gram = code[at]
+            for i in range(1, k):
+                gram = gram << bits | code[at + i]
+            grams.append(gram << bits * (high - k))
+        gram, names = np.concatenate(grams), None
+    else:
+        cut = [np.pad(code[at[:, None] + np.arange(k)], ((0, 0), (0, high - k))) for k, at in zip(range(max(2, low), high + 1), starts, strict=True)]
+        names, gram = np.unique(np.concatenate(cut), axis=0, return_inverse=True)
+        gram = gram.reshape(-1)
+    # Row, n-gram and number of times share one integer, so that a plain sort brings equal n-grams together.
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    wide, last = int(times.max()).bit_length(), len(rows).bit_length()
+    middle = bits * high if names is None else len(names).bit_length()
+    apart = None
+    if wide + middle + last > 62:
+        apart, gram = np.unique(gram, return_inverse=True)
+        middle = len(apart).bit_length()
+    own = word[places]
+    packed = owner[own] << (wide + middle) | gram << wide | times[own]
+    packed.sort()
+    keys = packed >> wide
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    tf = np.add.reduceat(packed & ((1 << wide) - 1), first)
+    row, gram = keys[first] >> middle, keys[first] & ((1 << middle) - 1)
+    gram = gram if apart is None else apart[gram]
+    distinct, gram = np.unique(gram, return_inverse=True)
+    if names is None:
+        names = np.column_stack([distinct >> bits * (high - 1 - i) & ((1 << bits) - 1) for i in range(high)])
+    else:
+        names = names[distinct]
+    spelt = np.concatenate([[0], letters])[names].astype(np.uint32)
+    terms = np.ascontiguousarray(spelt).view(f"<U{high}").ravel().tolist()
+    if not letters[0]:
+        # The letter NUL: an array of strings loses it at the end.
+        terms = [t.ljust(n, "\0") for t, n in zip(terms, (names > 0).sum(axis=1).tolist(), strict=True)]
+    return row, gram, tf, terms
+
+
+def _same(a, b) -> bool:
+    return a == b or (a != a and b != b)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """Groups of (keys, row, n-gram, tf, names of n-grams) from rows (key, text) in the order of their keys; rows that share a key are one."""
+    keys, rows, held = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
+            words = Counter(text.split()) if text is not None else Counter()
+            if keys and _same(keys[-1], key):
+                rows[-1].update(words)
+                continue
+            if held >= HELD_LETTERS or len(rows) >= HELD_ROWS:
+                yield keys, *_grams(rows, low, high)
+                keys, rows, held = [], [], 0
+            keys.append(key)
+            rows.append(words)
+            held += sum(map(len, words)) + len(words)
+    if keys:
+        yield keys, *_grams(rows, low, high)
+
+
+def _by_key(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row, lower-cased text), rows that share an id next to each other in one partition."""
+    return df.select(row_id, F.lower(text).alias("__text")).repartition(row_id).sortWithinPartitions(row_id)
 
 
 def term_counts(df: DataFrame, row_id: str, text: str = "text", low: int = 2, high: int = 4) -> DataFrame:
     """(row, term, tf) of the character n-grams inside each text's words.
 
-    The texts are partitioned by row once; words are counted first and n-grams
-    taken from distinct words, all inside the row's partition.
+    The texts are partitioned by row once; words are counted first and n-grams taken from distinct words, a bounded
+    number of rows at a time, so that nothing but the texts is shuffled or sorted.
     """
-    words = (
-        df.select(row_id, text)
-        .repartition(row_id)
-        .select(row_id, F.explode(tokens(F.lower(text))).alias("__w"))
-        .groupBy(row_id, "__w")
-        .agg(F.count(F.lit(1)).alias("__n"))
+    texts = _by_key(df, row_id, text)
+    out = T.StructType([texts.schema[row_id], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    kind = to_arrow_type(texts.schema[row_id].dataType)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, row, gram, tf, terms in _counted(batches, low, high):
+            names, ids = pa.array(terms, pa.string()), pa.array(keys, kind)
+            for at in range(0, len(tf), ROWS_OUT):
+                part = slice(at, at + ROWS_OUT)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[part])), names.take(pa.array(gram[part])), pa.array(tf[part])], out.names)
+
+    return texts.mapInArrow(count, out)
+
+
+def term_lists(df: DataFrame, row_id: str, entries: list[tuple], conditions: Callable[[object], list[int]] | None = None, text: str = "text") -> DataFrame:
+    """(row, condition, indices, values): weights (1 + ln tf) * idf of each row's terms, scaled to unit length, sorted by index.
+
+    ``entries`` are (term, index, idf, condition), a vocabulary of at most MAX_TERMS per condition; ``conditions`` gives those that a row's key asks
+    for, 0 without it. Rows without a known term are left out.
+    """
+    terms: dict[int, dict[str, tuple[int, float]]] = {}
+    for term, index, idf, condition in entries:
+        terms.setdefault(condition, {})[term] = (index, idf)
+    shared = df.sparkSession.sparkContext.broadcast(terms)
+    texts = _by_key(df, row_id, text)
+    out = T.StructType(
+        [texts.schema[row_id], T.StructField("condition", T.IntegerType()), T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
     )
-    padded = words.select(row_id, "__n", F.concat(F.lit(" "), "__w", F.lit(" ")).alias("__p"))
-    # A padded word has no n-grams longer than itself.
-    sized = padded.withColumn("__k", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.length("__p")))))
-    placed = sized.withColumn("__i", F.explode(F.sequence(F.lit(1), F.length("__p") - F.col("__k") + 1)))
-    grams = placed.select(row_id, F.substring("__p", F.col("__i"), F.col("__k")).alias("term"), "__n")
-    return grams.groupBy(row_id, "term").agg(F.sum("__n").alias("tf"))
+    kind = to_arrow_type(texts.schema[row_id].dataType)
+
+    def weigh_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for keys, row, gram, tf, terms in _counted(batches, 2, 4):
+            ids, wanted = pa.array(keys, kind), [conditions(k) if conditions else [0] for k in keys]
+            for c, vocabulary in known.items():
+                found = [vocabulary.get(t, (-1, 0.0)) for t in terms]
+                index, idf = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.float64)
+                asked = np.array([c in w for w in wanted])
+                mine = np.flatnonzero(asked[row] & (index[gram] >= 0))
+                mine = mine[np.lexsort((index[gram[mine]], row[mine]))]
+                if not len(mine):
+                    continue
+                weight = (1.0 + np.log(tf[mine])) * idf[gram[mine]]
+                have, first = np.unique(row[mine], return_index=True)
+                sizes = np.diff(np.append(first, len(mine)))
+                unit = weight / np.repeat(np.sqrt(np.add.reduceat(weight * weight, first)), sizes)
+                ends = pa.array(np.append(first, len(mine)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(index[gram[mine]], pa.int32())), pa.ListArray.from_arrays(ends, pa.array(unit))]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(have)), pa.array(np.full(len(have), c), pa.int32()), *lists], out.names)
+
+    return texts.mapInArrow(weigh_rows, out)
 
 
 def vocabulary(counts: DataFrame, k: int = MAX_TERMS) -> DataFrame:
@@ -61,8 +192,19 @@ def weigh(counts: DataFrame, row_id: str, idf: DataFrame) -> DataFrame:
 
 def tfidf(df: DataFrame, row_id: str, text: str = "text", k: int = MAX_TERMS) -> DataFrame:
     """Fit and apply on the same rows."""
-    counts = reuse(term_counts(df, row_id, text))
-    return weigh(counts, row_id, F.broadcast(fit_idf(counts, df, k)))  # k rows at most
+    # k rows at most; indices are places among them.
+    terms = fit_idf(term_counts(df, row_id, text), df, k).toPandas()
+    names = df.sparkSession.sparkContext.broadcast(pa.array(terms["term"], pa.string()))
+    lists = term_lists(df, row_id, [(t, i, w, 0) for i, (t, w) in enumerate(zip(terms["term"], terms["idf"], strict=True))], text=text)
+    out = T.StructType([lists.schema[row_id], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            indices, values = batch.column(2), batch.column(3)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(indices.value_lengths()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), names.value.take(indices.flatten()), values.flatten()], out.names)
+
+    return lists.mapInArrow(flat, out)
 
 
 def index_terms(idf: DataFrame) -> DataFrame:

@@ -114,3 +114,37 @@ def test_lexical_features(one):
     got = {k: one(c, text) for k, c in f.items()}
     assert (got["num_words"], got["num_unique_words"], got["bad_word_count"]) == (6, 6, 2)
     assert (got["capitals"], got["exclamations"], got["question_marks"], got["num_urls"]) == (5, 1, 1, 1)
+
+
+def test_ngrams_are_counted_in_bounded_groups(rows, monkeypatch):
+    """Repeated and null ids, rare letters and many groups against a plain count; no n-gram is grouped, sorted or shuffled by Spark."""
+    from collections import Counter
+
+    from quaver.operators import tfidf as T
+
+    monkeypatch.setattr(T, "HELD_LETTERS", 8)
+    texts = [(1, "Ab ab cd"), (1, "ab x"), (None, "q"), (None, "q qq"), (2, None), (3, " \t"), (4, "a\0 \U0001f600一" + "b" * 30)]
+    wanted = Counter()
+    for key, text in texts:
+        for word in (text or "").lower().split():
+            p = f" {word} "
+            wanted.update((key, p[i : i + k]) for k in (2, 3, 4) for i in range(len(p) - k + 1))
+    df = rows(texts, "row_id BIGINT, text STRING")
+    counts, weights = term_counts(df, "row_id"), tfidf(df, "row_id")
+    for made in (counts, weights):
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in text and "Window" not in text and text.count("Exchange") == 1
+    assert {(r.row_id, r.term): r.tf for r in counts.collect()} == wanted
+    assert {(r.row_id, r.term) for r in weights.collect()} == set(wanted)
+
+
+def test_ngrams_of_many_letters():
+    from collections import Counter
+
+    from quaver.operators.tfidf import _grams
+
+    word = "".join(map(chr, range(0x4E00, 0x4E00 + 40000)))
+    row, gram, tf, names = _grams([Counter({word: 3}), Counter({"ab": 1 << 40})], 2, 4)
+    got = {(r, names[g]): n for r, g, n in zip(row.tolist(), gram.tolist(), tf.tolist(), strict=True)}
+    p = f" {word} "
+    assert got == {(0, p[i : i + k]): 3 for k in (2, 3, 4) for i in range(len(p) - k + 1)} | {(1, t): 1 << 40 for t in (" a", "ab", "b ", " ab", "ab ", " ab ")}
