@@ -20,8 +20,8 @@ from quaver.operators.passes import dealt, sums
 
 #: Entries of features that a block holds.
 ENTRIES = 1 << 20
-#: Pairs of steps that a model's curvature is taken from.
-MEMORY = 8
+#: Pairs of steps that a model's curvature is taken from; few of them mean many more passes on correlated n-grams.
+MEMORY = 30
 #: More labels than this are a mistake in the choice of the label column.
 MOST_CLASSES = 1000
 

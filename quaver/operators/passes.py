@@ -15,15 +15,18 @@ from quaver.operators.bounded import reuse
 CELL = 1 << 13
 #: Bytes of blocks that a task of a pass reads.
 TASK_BYTES = 8 << 20
+#: Tasks a core of a pass at most; a task reads its blocks as a stream.
+ROUNDS = 2
 
 _PART = "key INT, cell INT, task INT, total BINARY"
 
 
 def dealt(blocks: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """Blocks kept in a task per TASK_BYTES of ``columns``, whatever the partitions of the input, and the number of tasks: passes are many and short."""
+    """Blocks kept in a task per TASK_BYTES of ``columns``, in ROUNDS tasks a core at most, whatever the partitions of the input, and the number of tasks: passes are many and short."""
     kept = reuse(blocks)
     size = kept.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()[0] or 0
-    tasks = max(1, -(-size // TASK_BYTES))
+    # Each task returns whole arrays: more tasks than the cores need only make the sums larger.
+    tasks = max(1, min(-(-size // TASK_BYTES), ROUNDS * kept.sparkSession.sparkContext.defaultParallelism))
     parts = kept.rdd.getNumPartitions()
     if tasks >= parts:
         return kept, parts
