@@ -106,3 +106,16 @@ def test_odd_tables(spark):
     got = L.predict(rows, single, ["label"]).collect()
     assert len(got) == 40 and {(r.prediction, r.probability) for r in got} == {(1, None)}
     assert L.predict(rows.where("false"), single, ["label"]).count() == 0
+
+
+def test_passes_have_two_tasks_a_core_at_most(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quaver.operators import passes
+
+    monkeypatch.setattr(passes, "TASK_BYTES", 1)
+    blocks = spark.range(0, 400, 1, 40).select(F.encode(F.col("id").cast("string"), "utf-8").alias("at"))
+    kept, tasks = passes.dealt(blocks, ["at"])
+    assert tasks == kept.rdd.getNumPartitions() == passes.ROUNDS * spark.sparkContext.defaultParallelism
+    assert kept.count() == 400
+    kept.unpersist()
