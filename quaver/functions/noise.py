@@ -1,29 +1,25 @@
 """Speech-recognition-style noise as column expressions.
 
 Word operators take their draws as columns (integers in [0, 2**32)), so a test
-can fix them and an SQL engine can repeat them.
+can fix them and an SQL engine can repeat them. :func:`token_noise` and :func:`char_noise`
+go over whole texts in Arrow batches: Spark interprets array lambdas, a digest and a dozen
+expressions for every token, at several times the cost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaver.functions import fixed
-from quaver.functions.draws import (
-    RANGE,
-    digest_at,
-    hex_limit,
-    key_prefix,
-    let,
-    pick,
-    quarter,
-    quarter_hex,
-    threshold,
-)
-from quaver.functions.text import NOT_BLANK, tokens
+from quaver.functions.draws import RANGE, digest_at, key_prefix, let, pick, quarter, quarters_at, threshold
+from quaver.functions.text import tokens
 
 
 def _swap_first(word: Column, old: str, new: Column) -> Column:
@@ -100,11 +96,11 @@ def insert_filler(words: Column, choice: Column, position: Column) -> Column:
 
 
 def per_level(level: Column, limits: dict[str, int]) -> Column:
-    """The level's limit as hex digits; an unknown level has no noise."""
+    """The level's limit; an unknown level has no noise."""
     out = F
     for name, value in limits.items():
-        out = out.when(level == name, hex_limit(value))
-    return out.otherwise(hex_limit(0))
+        out = out.when(level == name, F.lit(value).cast("bigint"))
+    return out.otherwise(F.lit(0).cast("bigint"))
 
 
 def token_limits() -> list[int]:
@@ -130,67 +126,119 @@ def map_words(text: Column, key: list, change: Callable[[Column, Column], Column
     return F.array_join(F.transform(keyed_words(text, key), lambda s: change(s["w"], s["d"])), " ")
 
 
+#: Words or digests that are handled at once, whatever the length of the texts but the longest.
+AT_ONCE = 1 << 18
+
+
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of about AT_ONCE in ``sizes`` together."""
+    begin = held = 0
+    for k, size in enumerate(sizes):
+        held += size
+        if held >= AT_ONCE:
+            yield begin, k + 1
+            begin, held = k + 1, 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+_FUNCTION_WORDS = frozenset(fixed.FUNCTION_WORDS)
+
+
+def corrupted(word: str, op: int, choice: int, position: int, limits: list[int]) -> str | None:
+    """A hit token after its error, None if it is deleted; equal to the column operators of the same names."""
+    if op < limits[0]:
+        low = word.lower()
+        for old, *targets in fixed.CHARACTER_CONFUSIONS:
+            if old in low:
+                return low.replace(old, targets[choice % len(targets)], 1)
+        if len(word) <= 2:
+            return word
+        at = position % len(word)
+        return word[:at] + fixed.OVERWRITE_LETTERS[choice % len(fixed.OVERWRITE_LETTERS)] + word[at + 1 :]
+    if op < limits[1]:
+        if len(word) <= 4:
+            return word
+        at = position % (len(word) - 3) + 2
+        return f"{word[:at]} {word[at:]}"
+    if op < limits[2]:
+        return None if word.lower() in _FUNCTION_WORDS else word
+    if op < limits[3]:
+        return f"{word} {fixed.FILLERS[choice % len(fixed.FILLERS)]}"
+    variants = fixed.SPELLING_VARIANTS.get(word.lower())
+    return variants[choice % len(variants)] if variants else word
+
+
+@F.pandas_udf(T.StringType())
+def _token_udf(text: pd.Series, prefix: pd.Series, limit: pd.Series) -> pd.Series:
+    out, texts, prefixes, bounds = text.tolist(), text.tolist(), prefix.tolist(), limit.to_numpy(np.int64)
+    limits = token_limits()[:4]
+    for begin, end in _groups([len(t or "") // 6 + 1 for t in texts]):
+        # The whitespace on which str.split breaks is that of quaver.functions.text.SPACES.
+        split = [t.split() if t else [] for t in texts[begin:end]]
+        counts = np.fromiter(map(len, split), np.int64, end - begin)
+        words: list[str | None] = list(chain.from_iterable(split))
+        draws = quarters_at([p.encode() for p in prefixes[begin:end]], counts)
+        hit = np.flatnonzero(draws[:, 0] < np.repeat(bounds[begin:end], counts))
+        for k, op, choice, position in zip(hit.tolist(), *draws[hit, 1:].T.tolist()):
+            words[k] = corrupted(words[k], op, choice, position, limits)
+        at = 0
+        for k, n in enumerate(counts.tolist(), begin):
+            if n:
+                out[k] = " ".join([w for w in words[at : at + n] if w is not None])
+                at += n
+    return pd.Series(out, dtype=object)
+
+
 def token_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, float] | None = None) -> Column:
     """Corrupt each token with the level's probability by one weighted error.
 
-    Limits are compared as hex text; draws become numbers only in hit tokens.
+    Tokens' draws are made side by side in Arrow batches; the key's prefix and the limit come from Spark, a row each.
     """
     text, level, row_id = (c if isinstance(c, Column) else F.col(c) for c in (text, level, row_id))
     hit_below = per_level(level, {k: threshold(v) for k, v in (rates or fixed.TOKEN_RATES).items()})
-    substitute, split, delete, filler = (hex_limit(v) for v in token_limits()[:4])
-    row = F.struct(key_prefix(seed, level, row_id).alias("prefix"), hit_below.alias("limit"))
-
-    # First mark the hit tokens (a null digest means: leave alone), then change them.
-    def mark(s: Column, limit: Column) -> Column:
-        hit = quarter_hex(s["d"], 0) < limit
-        return F.struct(s["w"].alias("w"), F.when(hit, s["d"]).alias("d"), F.when(hit, F.lower(s["w"])).alias("low"))
-
-    def corrupt(s: Column) -> Column:
-        w, d, low = s["w"], s["d"], s["low"]
-        op = quarter_hex(d, 1)
-        choice, position = quarter(d, 2), quarter(d, 3)
-        return (
-            F.when(d.isNull(), w)
-            .when(op < substitute, char_substitution(w, choice, position, low))
-            .when(op < split, word_split(w, position))
-            .when(op < delete, F.when(~low.isin(fixed.FUNCTION_WORDS), w))
-            .when(op < filler, F.concat(w, F.lit(" "), pick(fixed.FILLERS, choice)))
-            .otherwise(transliteration_variant(w, choice))
-        )
-
-    noisy = let(
-        row,
-        lambda r: F.array_join(
-            F.transform(F.transform(_keyed(text, r["prefix"]), lambda s: mark(s, r["limit"])), corrupt), " "
-        ),
-    )
-    return F.when(text.rlike(NOT_BLANK), noisy).otherwise(text)
+    return _token_udf(text, key_prefix(seed, level, row_id), hit_below)
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
+@F.pandas_udf(T.StringType())
+def _char_udf(text: pd.Series, prefix: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    out, texts, prefixes = text.tolist(), text.tolist(), prefix.tolist()
+    cuts = np.array([x.to_numpy(np.int64) for x in (a, b, c, d)])
+    letters = np.frombuffer(LETTERS.encode("utf-32-le"), "<u4")
+    for begin, end in _groups([len(t or "") // 4 + 1 for t in texts]):
+        n = np.array([len(t or "") for t in texts[begin:end]])
+        blocks = (n + 3) // 4
+        draws = quarters_at([p.encode() for p in prefixes[begin:end]], blocks).ravel()
+        chars = np.frombuffer("".join(t or "" for t in texts[begin:end]).encode("utf-32-le"), "<u4").copy()
+        first = np.cumsum(n) - n
+        u = draws[np.arange(len(chars)) + np.repeat(4 * (np.cumsum(blocks) - blocks) - first, n)]
+        hit = np.flatnonzero(u < np.repeat(cuts[3, begin:end], n))
+        own, (one, two, three) = u[hit].astype(np.int64), cuts[:3, begin + np.searchsorted(first + n, hit, "right")]
+        letter = letters[own % len(LETTERS)]
+        swap, add, gone = own < one, (own >= one) & (own < two), (own >= two) & (own < three)
+        chars[hit[swap]] = letter[swap]
+        copies = np.ones(len(chars), np.int64)
+        copies[hit] = np.where(swap, 1, np.where(gone, 0, 2))
+        ends = np.cumsum(copies)
+        made = np.repeat(chars, copies)
+        twice = ~swap & ~gone
+        made[ends[hit[twice]] - 1] = np.where(add, letter, ord(" "))[twice]
+        at = 0
+        for k, stop in zip(np.flatnonzero(n).tolist(), ends[(first + n)[n > 0] - 1].tolist()):
+            out[begin + k] = made[at:stop].tobytes().decode("utf-32-le")
+            at = stop
+    return pd.Series(out, dtype=object)
+
+
 def char_noise(text, level, row_id, seed: int = fixed.SEED, rates: dict[str, float] | None = None) -> Column:
     """Substitute, insert, delete or split after each character, each with p/4.
 
-    One digest serves four characters, 32 bits each; the low bits pick the letter.
+    One digest serves four characters, 32 bits each; the low bits pick the letter. Draws are made as in :func:`token_noise`.
     """
     text, level, row_id = (c if isinstance(c, Column) else F.col(c) for c in (text, level, row_id))
     rates = rates or fixed.CHARACTER_RATES
     cut = [per_level(level, {k: int(v * n / 4 * RANGE) for k, v in rates.items()}) for n in (1, 2, 3, 4)]
-    blocks = F.sequence(F.lit(0), F.shiftright(F.length(text), 2))
-    digests = let(key_prefix(seed, level, row_id, "c"), lambda prefix: F.transform(blocks, lambda b: digest_at(prefix, b)))
-
-    def corrupt(ds: Column, c: Column, i: Column) -> Column:
-        u = quarter_hex(F.get(ds, F.shiftright(i, 2)), i.bitwiseAND(F.lit(3)))
-        letter = F.substring(F.lit(LETTERS), (F.conv(u, 16, 10).cast("bigint") % len(LETTERS)).cast("int") + 1, F.lit(1))
-        return (
-            F.when(u >= cut[3], c)
-            .when(u < cut[0], letter)
-            .when(u < cut[1], F.concat(c, letter))
-            .when(u < cut[2], F.lit(""))
-            .otherwise(F.concat(c, F.lit(" ")))
-        )
-
-    noisy = let(digests, lambda ds: F.array_join(F.transform(F.split(text, ""), lambda c, i: corrupt(ds, c, i)), ""))
-    return F.when(F.length(text) == 0, text).otherwise(noisy)
+    return _char_udf(text, key_prefix(seed, level, row_id, "c"), *cut)

@@ -1,10 +1,15 @@
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quaver.functions import fixed
 from quaver.functions import noise as N
+from quaver.functions.draws import quarters_at
+from quaver.functions.text import NOT_BLANK
 from quaver.operators.splits import noise_levels
 
 def word():
@@ -113,3 +118,57 @@ def test_blank_text_is_unchanged(rows):
 def test_pieces_join_by_single_spaces(rows):
     df = rows([(i, "some  longer\nsentence with the words") for i in range(200)], "row_id BIGINT, text STRING")
     assert noise_levels(df, "row_id").filter(F.col("text").rlike(r"\s\s|\n|^\s|\s$")).count() == 0
+
+
+def test_draws_side_by_side_equal_md5():
+    prefixes = [b"42|high|7|", b"", "42|ü|ç|".encode(), b"x" * 45, b"x" * 53, b"x" * 90, b"unused"]
+    counts = np.array([1203, 1, 30, 12, 120, 11, 0])
+    plain = [hashlib.md5(p + b"%d" % i).hexdigest() for p, n in zip(prefixes, counts) for i in range(n)]
+    assert [[f"{q:08x}" for q in row] for row in quarters_at(prefixes, counts).tolist()] == [[d[k : k + 8] for k in (0, 8, 16, 24)] for d in plain]
+
+
+def test_hit_tokens_equal_the_column_operators(spark, monkeypatch):
+    words = ["The", "is", "shadow", "KYA", "naHi", "Straße", "İxyİ", "ΟΔΟΣ", "ΣΑΣ", "\U0001f600ab\U0001f600de", "ab", "oo", "KelvinK", "phthisis", "ábcd", "zz\0z"]
+    text = " ".join(words * 60)
+    df = spark.createDataFrame([(1, text, "high"), (None, text, "all"), (3, " \n", "all"), (4, text, None), (5, "one", "all")], "row_id BIGINT, text STRING, level STRING")
+    limits = N.token_limits()
+    key = [fixed.SEED, F.col("level"), F.col("row_id")]
+
+    def plain(w, d):
+        op, choice, position = N.quarter(d, 1), N.quarter(d, 2), N.quarter(d, 3)
+        changed = (
+            F.when(op < limits[0], N.char_substitution(w, choice, position))
+            .when(op < limits[1], N.word_split(w, position))
+            .when(op < limits[2], F.when(~F.lower(w).isin(fixed.FUNCTION_WORDS), w))
+            .when(op < limits[3], F.concat(w, F.lit(" "), N.pick(fixed.FILLERS, choice)))
+            .otherwise(N.transliteration_variant(w, choice))
+        )
+        rate = F.when(F.col("level") == "all", N.threshold(1.0)).when(F.col("level") == "high", N.threshold(0.35)).otherwise(0)
+        return F.when(N.quarter(d, 0) < rate, changed).otherwise(w)
+
+    wanted = F.when(F.col("text").rlike(NOT_BLANK), N.map_words(F.col("text"), key, plain)).otherwise(F.col("text"))
+    noisy = N.token_noise("text", "level", "row_id", rates={"high": 0.35, "all": 1.0})
+    both = df.select("row_id", wanted.alias("a"), noisy.alias("b")).collect()
+    assert [r.b for r in both] == [r.a for r in both]
+    assert both[0].b != text
+    # No digest is left to be interpreted for each token.
+    assert "md5" not in df.select(noisy)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(N, "AT_ONCE", 40)
+    texts = pd.Series([text, None, "", text]), pd.Series(["42|a|", "42|b|", "42|c|", "42|d|"]), pd.Series([1 << 31] * 4)
+    small = N._token_udf.func(*texts)
+    monkeypatch.setattr(N, "AT_ONCE", 1 << 18)
+    assert small.equals(N._token_udf.func(*texts))
+
+
+def test_character_noise_equals_a_plain_one(spark):
+    texts = ["", None, "abcde", "\U0001f600é x", "long " * 700]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_id BIGINT, text STRING").coalesce(1)
+    got = {r.row_id: r.n for r in df.select("row_id", N.char_noise("text", F.lit("high"), "row_id").alias("n")).collect()}
+    cut = [int(fixed.CHARACTER_RATES["high"] * n / 4 * (1 << 32)) for n in (1, 2, 3, 4)]
+    for i, text in enumerate(texts):
+        out = []
+        for at, c in enumerate(text or ""):
+            u = int(hashlib.md5(f"42|high|{i}|c|{at // 4}".encode()).hexdigest()[at % 4 * 8 :][:8], 16)
+            letter = N.LETTERS[u % 26]
+            out.append(c if u >= cut[3] else letter if u < cut[0] else c + letter if u < cut[1] else "" if u < cut[2] else c + " ")
+        assert got[i] == (None if text is None else "".join(out))
