@@ -211,3 +211,21 @@ def test_counts_make_no_noise_and_keep_no_text(spark, name):
     assert "lambda" not in plan and "regexp" not in plan
     assert "Python" not in plan
     assert all("text#" not in line for line in plan.splitlines() if "InMemoryRelation" in line)
+
+
+def test_word_pairs_are_scored_where_they_are(spark, tmp_path):
+    from quaver.queries import QUERIES
+
+    spark.createDataFrame([(1, "one two three four five the is of", "s", "en")], "doc_id BIGINT, text STRING, source STRING, lang STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["jaro_winkler"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("(x#" in line for line in moved), moved
+
+
+def test_word_similarity_of_many_batches(spark):
+    rows = [("dwayne", "duane"), (None, "a"), ("a", None), ("", ""), ("same", "same"), ("x" * 30, "x" * 29 + "y"), ("日本語", "日木語")]
+    df = spark.createDataFrame([(i, *rows[i % len(rows)]) for i in range(25_000)], "i INT, a STRING, b STRING").coalesce(1)
+    got = {r.i: r.s for r in df.select("i", S.jaro_winkler("a", "b").alias("s")).collect()}
+    for i in range(25_000):
+        a, b = rows[i % len(rows)]
+        assert got[i] is None if a is None or b is None else abs(got[i] - plain_jaro_winkler(a, b)) < 1e-12
