@@ -21,19 +21,22 @@ ROUNDS = 2
 _PART = "key INT, cell INT, task INT, total BINARY"
 
 
-def dealt(blocks: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
-    """Blocks kept in a task per TASK_BYTES of ``columns``, in ROUNDS tasks a core at most, whatever the partitions of the input, and the number of tasks: passes are many and short."""
+def dealt(blocks: DataFrame, columns: list[str], task_bytes: int = TASK_BYTES, spread: bool = False) -> tuple[DataFrame, int]:
+    """Blocks kept in a task per ``task_bytes`` of ``columns``, in ROUNDS tasks a core at most, whatever the partitions of the input, and the number of tasks: passes are many and short.
+
+    With ``spread``, blocks of an input with fewer partitions are dealt out to as many tasks.
+    """
     kept = reuse(blocks)
     size = kept.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()[0] or 0
     # Each task returns whole arrays: more tasks than the cores need only make the sums larger.
-    tasks = max(1, min(-(-size // TASK_BYTES), ROUNDS * kept.sparkSession.sparkContext.defaultParallelism))
+    tasks = max(1, min(-(-size // task_bytes), ROUNDS * kept.sparkSession.sparkContext.defaultParallelism))
     parts = kept.rdd.getNumPartitions()
-    if tasks >= parts:
+    if tasks == parts or tasks > parts and not spread:
         return kept, parts
-    fewer = reuse(kept.coalesce(tasks))
-    fewer.count()
+    other = reuse(kept.coalesce(tasks) if tasks < parts else kept.repartition(tasks))
+    other.count()
     kept.unpersist()
-    return fewer, tasks
+    return other, tasks
 
 
 def sums(blocks: DataFrame, tasks: int, arrays: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:

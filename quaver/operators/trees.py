@@ -30,7 +30,10 @@ NODES = 256
 #: Features are held densely; more than this is a table for linear models.
 MOST_FEATURES = 4096
 #: Rounds of boosting after which margins are written into the blocks.
-ROUNDS_KEPT = 50
+ROUNDS_KEPT = 10
+#: Rows of a block in boosting, whose arrays of a pass stay in a core's cache, and bytes of bins that a task of a pass reads:
+#: a pass does much for each row.
+BOOST_ROWS, BOOST_BYTES = 2048, 1 << 20
 #: Probabilities are added as whole multiples of 2**-40.
 _UNIT = float(1 << 40)
 
@@ -83,11 +86,11 @@ def bin_edges(rows: DataFrame, row_id: str) -> list[np.ndarray]:
 _BLOCK = "n INT, keys BINARY, label BINARY, bins BINARY"
 
 
-def binned(rows: DataFrame, row_id: str, edges: list[np.ndarray], classes: list[float]) -> DataFrame:
-    """Blocks (n, keys, label codes, bins) of the rows; features that are not finite are in the last bin."""
+def binned(rows: DataFrame, row_id: str, edges: list[np.ndarray], classes: list[float], most: int | None = None) -> DataFrame:
+    """Blocks (n, keys, label codes, bins) of the rows, ``most`` rows each at most; features that are not finite are in the last bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most)) if most else batches:
             n = batch.num_rows
             bins = to_bins(batch.column(2), n, edges)
             label = np.searchsorted(np.array(classes), np.asarray(batch.column(1))).astype(np.int32)
@@ -480,7 +483,7 @@ def fit_boosted(train: DataFrame, row_id: str, rounds: int = 500, depth: int = 2
     if len(classes) == 1:
         return model
     width, k = len(edges), len(classes)
-    blocked, tasks = dealt(binned(train, row_id, edges, classes).withColumn("margin", F.lit(b"")), ["bins"])
+    blocked, tasks = dealt(binned(train, row_id, edges, classes, BOOST_ROWS).withColumn("margin", F.lit(b"")), ["bins"], BOOST_BYTES, spread=True)
     context = train.sparkSession.sparkContext
     begin = 0
     for r in range(rounds):
@@ -554,9 +557,10 @@ def _slopes(blocked, tasks, context, model, begin, feature, cut, level, width, k
                 z = _margin(batch, b, bins, trees, 0)
                 e = np.exp(z - z.max(axis=1, keepdims=True))
                 p = e / e.sum(axis=1, keepdims=True)
+                whole = np.arange(width) * BINS + bins
                 for c in range(k):
                     at = place(bins, feature[c], cut[c], level)
-                    cell = ((2 * at[:, None] * width + np.arange(width)) * BINS + bins).ravel()
+                    cell = (whole + (2 * width * BINS * at)[:, None] if level else whole).ravel()
                     slope = np.repeat(p[:, c] - (label == c), width)
                     curve = np.repeat(np.maximum(2.0 * p[:, c] * (1.0 - p[:, c]), 1e-16), width)
                     out[c] += np.bincount(cell, slope, minlength=len(out[c])) + np.bincount(cell + width * BINS, curve, minlength=len(out[c]))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -126,3 +127,13 @@ def test_odd_rows(spark, rows):
     one = few.withColumn("label", F.lit(2.0))
     assert {r.prediction for r in R.predict_forest(R.fit_forest(one, "id", trees=3), few, ["id"]).collect()} == {2}
     assert {r.prediction for r in R.predict_boosted(R.fit_boosted(one, "id"), few, ["id"]).collect()} == {2}
+
+
+def test_boosting_deals_few_partitions_over_the_cores(spark):
+    rows = spark.range(0, 9000, 1, 1).select("id", (F.col("id") % 2).alias("label"), array_to_vector(F.array((F.col("id") % 7).cast("double"))).alias("features"))
+    blocks = R.binned(rows, "id", [np.array([2.5])], [0.0, 1.0], 1000)
+    assert {r.n for r in blocks.select("n").collect()} == {1000}
+    kept, tasks = R.dealt(blocks, ["bins"], 2000, spread=True)
+    assert tasks == kept.rdd.getNumPartitions() == 5
+    assert kept.agg(F.sum("n")).first()[0] == 9000
+    kept.unpersist()
