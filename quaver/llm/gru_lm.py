@@ -3,8 +3,8 @@
 Word counts come from all training documents. The most frequent words, buckets of rarer words by their last
 bytes, and the end of a text are the model's symbols; its softmax is factored into classes of symbols. A word
 of a bucket has its share of the bucket's counts (add one), so every text has a probability. The network
-is trained in numpy by truncated backpropagation, in rounds: learners on all executors start from the same weights, each
-goes over stretches of its own, and their weights are averaged. At scoring, texts run side by side in lanes, window by window,
+is trained on every token of all training documents, in numpy by truncated backpropagation, in rounds: learners on all executors
+start from the same weights, each goes over stretches of its own, and their weights are averaged. At scoring, texts run side by side in lanes, window by window,
 and the state is carried over until a text ends.
 """
 
@@ -12,47 +12,78 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import _SEPARATOR, drop, lower_ascii, mixed, signed, span_hashes, stored, text_groups, word_bounds
+from quaver.llm.common import drop, lower_ascii, mixed, signed, span_hashes, stored, text_groups, word_bounds
 from quaver.operators.passes import sums
 
 CLASSES = 64
 PER_CLASS = 64
 SYMBOLS = CLASSES * PER_CLASS
-BUCKETS = 256
+BUCKETS = 256  # a byte, see ``_counted``
 #: Words with a symbol of their own; then come the buckets, and last the end of a text.
 OWN_WORDS = SYMBOLS - BUCKETS - 1
 END = SYMBOLS - 1
 #: Words at most whose counts go to all executors (16 bytes each); counts of the others are joined.
 SHARED_WORDS = 131_072
-#: The network is fitted on this share of all stretches of the training texts, and on about so many tokens besides
-#: (on all, if there are fewer).
-FIT_SHARE, FIT_LEAST = 0.05, 400_000
 #: Bytes of a stretch: a text is cut into stretches of words, wherever it is long.
 STRETCH = 4096
 #: Learning rates of the rounds; each round has stretches of its own.
 RATES = (8e-3, 4e-3, 2e-3)
 #: Tokens a learner holds at once.
 BLOCK = 1 << 19
+#: Lanes of a learner, at least and at most: more where it has more tokens, so that its steps don't get fewer than about 250 a round.
+LANES = (64, 256)
 EMBED, HIDDEN = 16, 32
-GROUP = 4 << 20
+#: Bytes of texts that run side by side, and of those whose words are cut at once, in a core's cache.
+GROUP, CACHED = 4 << 20, 1 << 18
 
 COUNTS = "word BIGINT, bucket INT, c BIGINT"
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit names (equal names of different words: one in 10^5 for 10^7 words), buckets, and each text's first word."""
+    return _words(data, offsets)[1:]
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' starts, and what :func:`words_of` gives."""
+    if len(data) <= CACHED or len(offsets) <= 2:
+        return _cut(data, offsets)
+    found, first, at, n = [], [np.zeros(1, np.int64)], 0, 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CACHED, "right")) - 1)
+        starts, names, bucket, own = _cut(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        found.append((starts + offsets[at], names, bucket))
+        first.append(own[1:] + n)
+        at, n = to, n + len(names)
+    return *map(np.concatenate, zip(*found, strict=True)), np.concatenate(first)
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = lower_ascii(data)
     starts, ends, first = word_bounds(data, offsets)
     last = data[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
     before = np.where(ends - starts > 1, data[ends - 2], 0).astype(np.uint64) if len(ends) else last
     bucket = (mixed(before << np.uint64(8) | last, 21) % np.uint64(BUCKETS)).astype(np.int32)
-    return signed(span_hashes(data, starts, ends)), bucket, first
+    return starts, signed(span_hashes(data, starts, ends)), bucket, first
+
+
+def _counted(names: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct names, their buckets and counts."""
+    # Sorting numbers alone is much faster than their order: buckets take the place of the lowest byte, unless names need it.
+    ranked = np.sort(names)
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)])
+    word, count = ranked[first], np.diff(np.append(first, len(ranked)))
+    if (word[1:] >> 8 == word[:-1] >> 8).any():
+        word, at, count = np.unique(names, return_index=True, return_counts=True)
+        return word, bucket[at], count
+    return word, (np.sort(names >> 8 << 8 | bucket)[first] & 255).astype(np.int32), count
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -62,8 +93,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in text_groups(batch, "text", GROUP):
                 names, bucket, _ = words_of(data, offsets)
-                word, at, count = np.unique(names, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bucket[at]), pa.array(count)], ["word", "bucket", "c"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _counted(names, bucket))], ["word", "bucket", "c"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, COUNTS).groupBy("word").agg(F.max("bucket").alias("bucket"), F.sum("c").alias("c"))
 
@@ -81,15 +111,32 @@ class Vocabulary:
     distinct: int  # V
     texts: int
 
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """Where the words of each leading part of a name begin."""
+        return np.concatenate([[0], np.cumsum(np.bincount(_slot(self.words), minlength=1 << 20))]).astype(np.int32)
+
     def look_up(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and symbols; -1 where the word isn't shared."""
         if not len(self.words):
             return np.full(len(names), -1), np.full(len(names), -1)
-        at = np.minimum(np.searchsorted(self.words, names), len(self.words) - 1)
-        hit = self.words[at] == names
+        slot = _slot(names)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        hit = (at < end) & (self.words[np.minimum(at, len(self.words) - 1)] == names)
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            same = self.words[at[left]] == names[left]
+            hit[left[same]] = True
+            left = left[~same & (at[left] + 1 < end[left])]
+        at[~hit] = 0
         return np.where(hit, self.counts[at], -1), np.where(hit, self.symbols[at], -1)
 
 
+def _slot(names: np.ndarray) -> np.ndarray:
+    return (names >> 44) + (1 << 19)
+
+
 def build_vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     """From stored counts: a bounded number of words and bucket sums come to the driver.
 
@@ -120,9 +167,20 @@ def build_vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     return Vocabulary(words[order], c[order], symbols[order], tokens, distinct, n_all + texts, v_all + (texts > 0), texts)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _exponents(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overwrites rows of logits with their exponentials; the rows' sums, and the natural log-probabilities at ``at``."""
+    # Softmax needs no shift while no exponential can overflow or vanish.
+    if not (x.max(initial=0) < 60 and x.min(initial=0) > -60):
+        x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return total, picked - np.log(total)
+
+
+def _parts(x: np.ndarray) -> np.ndarray:
+    """What belongs to the two gates and the candidate, one after the other."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).swapaxes(0, 1))
 
 
 class Gru:
@@ -145,79 +203,117 @@ class Gru:
         self.word_shift = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
 
     def steps(self, x: np.ndarray, resets: np.ndarray, state: np.ndarray, table: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of the inputs (time x lanes); ``resets`` empty a lane's state first."""
+        """States after each of the inputs (time x lanes); ``resets`` empty a lane's state first. ``keep`` gets what learning needs."""
+        table, rec = _parts(table), _parts(self.rec)
         out = np.empty((*x.shape, HIDDEN), np.float32)
+        if keep is not None:
+            keep += [np.empty((5, *x.shape, HIDDEN), np.float32)]
+        half = np.float32(0.5)
+        opened = resets.any(axis=1)
         for t in range(len(x)):
-            if resets[t].any():
+            if opened[t]:
                 state = np.where(resets[t][:, None], np.float32(0), state)
-            a, b = table[x[t]], state @ self.rec
-            gates = np.tanh(0.5 * (a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])) * np.float32(0.5) + np.float32(0.5)
-            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            hn = b[:, 2 * HIDDEN :]
-            cand = np.tanh(a[:, 2 * HIDDEN :] + r * hn)
+            a, b = table.take(x[t], axis=1), np.matmul(state, rec)
+            gate = a[:2]
+            gate += b[:2]
+            gate *= half
+            np.tanh(gate, out=gate)
+            gate *= half
+            gate += half
+            cand = gate[1] * b[2]
+            cand += a[2]
+            np.tanh(cand, out=cand)
             if keep is not None:
-                keep.append((state, z, r, cand, hn))
-            state = cand + z * (state - cand)
-            out[t] = state
+                kept = keep[0]
+                kept[0, t], kept[1, t], kept[2, t], kept[3, t], kept[4, t] = gate[0], gate[1], cand, b[2], state
+            state = np.subtract(state, cand, out=out[t])
+            state *= gate[0]
+            state += cand
         return out, state
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each target; with ``grads``, also the states' gradient of the mean loss."""
         n = len(targets)
-        kind, inner = targets // PER_CLASS, targets % PER_CLASS
-        logs = _log_softmax(states @ self.cls + self.cls_shift)
-        out = logs[np.arange(n), kind]
+        kind = (targets // PER_CLASS).astype(np.uint8)
         order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        d = None
-        if grads is not None:
-            p = np.exp(logs)
-            p[np.arange(n), kind] -= 1
-            p /= n
-            grads["cls"], grads["cls_shift"] = states.T @ p, p.sum(0)
-            grads["word"], grads["word_shift"] = np.zeros_like(self.word), np.zeros_like(self.word_shift)
-            d = p @ self.cls.T
-        for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
-                continue
-            h = states[at]
-            own = _log_softmax(h @ self.word[c] + self.word_shift[c])
-            rows = np.arange(len(at))
-            out[at] += own[rows, inner[at]]
-            if grads is not None:
-                q = np.exp(own)
-                q[rows, inner[at]] -= 1
-                q /= n
-                grads["word"][c], grads["word_shift"][c] = h.T @ q, q.sum(0)
-                d[at] += q @ self.word[c].T
-        return out, d
+        kind, inner, h = kind[order], (targets % PER_CLASS)[order], states[order]
+        cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
+        spans = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        p = h @ self.cls
+        p += self.cls_shift
+        q = np.empty((n, PER_CLASS), p.dtype)
+        for c, at in spans:
+            np.matmul(h[at], self.word[c], out=q[at])
+            q[at] += self.word_shift[c]
+        p_total, logs = _exponents(p, kind)
+        q_total, own = _exponents(q, inner)
+        out = np.empty(n, p.dtype)
+        out[order] = logs + own
+        if grads is None:
+            return out, None
+        ones = np.ones(n, np.float32)
+        for x, total, at in ((p, p_total, kind), (q, q_total, inner)):
+            x *= (np.float32(1 / n) / total)[:, None]
+            x[np.arange(n), at] -= np.float32(1 / n)
+        grads["cls"], grads["cls_shift"] = h.T @ p, ones @ p
+        grads["word"], grads["word_shift"] = np.zeros_like(self.word), np.zeros_like(self.word_shift)
+        d = p @ self.cls.T
+        for c, at in spans:
+            grads["word"][c], grads["word_shift"][c] = h[at].T @ q[at], ones[at] @ q[at]
+            d[at] += q[at] @ self.word[c].T
+        back = np.empty_like(d)
+        back[order] = d
+        return out, back
 
     def learn(self, x: np.ndarray, y: np.ndarray, resets: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of one window, backpropagated to its first step; the state goes on to the next."""
         keep: list = []
-        table = self.embed @ self.inp + self.shift
-        states, last = self.steps(x, resets, state, table, keep)
-        used = y >= 0
+        states, last = self.steps(x, resets, state, self.embed @ self.inp + self.shift, keep)
+        z, r, cand, hn, before = keep[0]
+        flat_states, wanted = states.reshape(-1, HIDDEN), y.ravel()
+        used = np.flatnonzero(wanted >= 0)
         grads: dict = {}
-        logs, d_used = self.log_probs(states[used], y[used], grads)
-        d_out = np.zeros_like(states)
-        d_out[used] = d_used
-        d_rec, d_in, d_next = np.zeros_like(self.rec), np.empty((*x.shape, 3 * HIDDEN), np.float32), np.zeros_like(state)
+        if len(used) == len(wanted):
+            logs, d_out = self.log_probs(flat_states, wanted, grads)
+        else:
+            logs, d_used = self.log_probs(flat_states[used], wanted[used], grads)
+            d_out = np.zeros_like(flat_states)
+            d_out[used] = d_used
+        d_out = d_out.reshape(states.shape)
+        # To the gates, the candidate, and what the reset gate lets through of the state.
+        d_z, d_r, d_cand, d_hn = d = np.empty((4, *states.shape), np.float32)
+        d_next, back = np.zeros_like(state), np.ascontiguousarray(_parts(self.rec).swapaxes(1, 2))
+        opened = resets.any(axis=1)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, cand, hn = keep[t]
-            dh = d_out[t] + d_next
-            d_cand = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (before - cand) * z * (1 - z)
-            dr = d_cand * hn * r * (1 - r)
-            d_in[t] = np.concatenate([dz, dr, d_cand], axis=1)
-            through = np.concatenate([dz, dr, d_cand * r], axis=1)
-            d_rec += before.T @ through
-            d_next = np.where(resets[t][:, None], np.float32(0), dh * z + through @ self.rec.T)
-        flat, ids = d_in.reshape(-1, 3 * HIDDEN), x.ravel()
-        grads["rec"], grads["shift"], grads["inp"] = d_rec, flat.sum(0), self.embed[ids].T @ flat
+            dh = d_out[t]
+            dh += d_next
+            one = np.subtract(1, cand[t] * cand[t], out=d_cand[t])
+            one *= dh
+            into = np.subtract(before[t], cand[t], out=d_z[t])
+            into *= dh
+            into *= z[t]
+            dh *= z[t]
+            one -= one * z[t]
+            into -= into * z[t]
+            np.multiply(one, r[t], out=d_hn[t])
+            slope = np.multiply(d_hn[t], hn[t], out=d_r[t])
+            slope -= slope * r[t]
+            d_next = dh
+            for part, weights in ((d_z[t], back[0]), (d_r[t], back[1]), (d_hn[t], back[2])):
+                d_next += part @ weights
+            if opened[t]:
+                d_next[resets[t]] = 0
+        d = d.reshape(4, -1, HIDDEN)
+        before, ids = before.reshape(-1, HIDDEN), x.ravel()
+        grads["rec"] = np.concatenate([before.T @ d[i] for i in (0, 1, 3)], axis=1)
+        ones, given = np.ones(len(ids), np.float32), self.embed.take(ids, axis=0)
+        grads["shift"] = np.concatenate([ones @ d[i] for i in range(3)])
+        grads["inp"] = np.concatenate([given.T @ d[i] for i in range(3)], axis=1)
+        d_given = sum(d[i] @ self.inp[:, i * HIDDEN : (i + 1) * HIDDEN].T for i in range(3))
         grads["embed"] = np.zeros_like(self.embed)
-        np.add.at(grads["embed"], ids, flat @ self.inp.T)
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        grads["embed"][ids[order][first]] = np.add.reduceat(d_given[order], first)
         return grads, last, float(-logs.mean())
 
 
@@ -263,25 +359,22 @@ class Learner:
         self.first = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
         self.second = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
 
-    def go_over(self, symbols: np.ndarray, sizes: np.ndarray, inner: np.ndarray) -> None:
-        """Stretches of ``sizes`` symbols each (1 at least); where ``inner``, a stretch doesn't open its text and its first symbol is only given."""
+    def go_over(self, symbols: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> None:
+        """Stretches of ``sizes`` symbols each (1 at least), and the symbol ahead of each stretch: END if it opens its text."""
         starts = np.cumsum(sizes) - sizes
         opens = np.zeros(len(symbols), dtype=bool)
         opens[starts] = True
         given = np.concatenate([[END], symbols[:-1]])
-        given[starts] = END
-        wanted = symbols.copy()
-        wanted[starts[inner]] = -1
+        given[starts] = before
         begin, length = _lanes(symbols, sizes, self.lanes)
         state = np.zeros((len(begin), HIDDEN), np.float32)
         for at in range(0, int(length[0]), self.window):
+            live = int((length > at).sum())
             steps = min(self.window, int(length[0]) - at)
-            inside = at + np.arange(steps)[:, None] < length
-            place = np.where(inside, begin + at + np.arange(steps)[:, None], 0)
-            y = np.where(inside, wanted[place], -1)
-            if not (y >= 0).any():
-                continue
-            grads, state, _ = self.net.learn(given[place], y, opens[place] & inside, state)
+            inside = at + np.arange(steps)[:, None] < length[:live]
+            place = np.where(inside, begin[:live] + at + np.arange(steps)[:, None], 0)
+            y = np.where(inside, symbols[place], -1)
+            grads, state, _ = self.net.learn(given[place], y, opens[place] & inside, state[:live])
             self._follow(grads)
 
     def _follow(self, grads: dict) -> None:
@@ -306,28 +399,12 @@ def _symbols(names: np.ndarray, bucket: np.ndarray, first: np.ndarray, vocabular
     return ends, sizes + 1, counts
 
 
-def _stretch(data: np.ndarray, begin: int, end: int) -> np.ndarray:
-    """The bytes of the words that start in ``begin`` to ``end``, the last one whole."""
-    part = _SEPARATOR[data[begin:end]]
-    if begin and not _SEPARATOR[data[begin - 1]]:
-        gaps = np.flatnonzero(part)
-        if not len(gaps):
-            return data[:0]
-        begin += int(gaps[0])
-    while end < len(data) and not _SEPARATOR[data[end - 1]]:
-        gaps = np.flatnonzero(_SEPARATOR[data[end : end + STRETCH]])
-        if len(gaps):
-            end += int(gaps[0])
-            break
-        end = min(len(data), end + STRETCH)
-    return data[begin:end]
-
-
-def stretches(training: DataFrame, vocabulary: Vocabulary, share: float, learners: int, text: str = "text", seed: int = 11) -> DataFrame:
-    """``round``, ``learner``, ``rank``, ``inner``, ``symbols``: a share of the stretches of all texts, dealt by a hash of row and place.
+def stretches(training: DataFrame, vocabulary: Vocabulary, share: float = 1.0, learners: int = 1, text: str = "text", seed: int = 11) -> DataFrame:
+    """``round``, ``learner``, ``rank``, ``before``, ``symbols``: the stretches of all texts (or a share of them), dealt by a hash of row and place.
 
-    Rows alike in all columns are told apart by a running number in their batch, so that copies are drawn one by one
-    and go to all learners. Only drawn stretches are cut into words.
+    A text's words are in the stretch in which they start, and its end in the last. ``before`` is the symbol ahead of a stretch, END for a text's
+    first, so that every token is to be predicted once. Rows alike in all columns are told apart by a running number in their batch, so that
+    copies go to all learners.
     """
     shared = training.sparkSession.sparkContext.broadcast(vocabulary)
     rows = training.select(F.xxhash64(*[F.col(f"`{c}`") for c, kind in training.dtypes if not kind.startswith("map")], F.lit(seed)).alias("row"), F.col(text).alias("text"))
@@ -340,31 +417,32 @@ def stretches(training: DataFrame, vocabulary: Vocabulary, share: float, learner
             for first, last, data, offsets in text_groups(batch, "text", GROUP):
                 n = np.maximum(1, -(-np.diff(offsets) // STRETCH))
                 owner = np.repeat(np.arange(last - first), n)
-                number = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.cumsum(n) - n
+                number = np.arange(len(owner)) - begin[owner]
                 alike = np.zeros(last - first, np.uint64)
                 for i, name in enumerate(named[first:last].tolist()):
                     alike[i] = seen[name] = seen.get(name, -1) + 1
                 draws = mixed(mixed(named[first:last] + alike, 31)[owner] + number.astype(np.uint64), 32)
-                out: dict[str, list] = {k: [] for k in ("round", "learner", "rank", "inner", "symbols")}
-                for k in np.flatnonzero(draws <= limit):
-                    a, b = offsets[owner[k]], offsets[owner[k] + 1]
-                    whole = data[a:b]
-                    at = int(number[k]) * STRETCH
-                    part = _stretch(whole, at, min(len(whole), at + STRETCH))
-                    names, bucket, _ = words_of(part, np.array([0, len(part)]))
-                    _, own = shared.value.look_up(names)
-                    own = np.where(own >= 0, own, OWN_WORDS + bucket)
-                    if at + STRETCH >= len(whole):
-                        own = np.append(own, END)
-                    if len(own) > (at > 0):
-                        deal = int(mixed(draws[k : k + 1], 33)[0])
-                        values = (deal % len(RATES), deal // 8 % learners, int(signed(draws[k : k + 1])[0]), at > 0, own.astype(np.int16).tobytes())
-                        for column, value in zip(out.values(), values, strict=True):
-                            column.append(value)
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
-
-    return rows.mapInArrow(run, "round INT, learner BIGINT, rank BIGINT, inner BOOLEAN, symbols BINARY")
+                starts, word, bucket, of = _words(data, offsets)
+                symbols, sizes, _ = _symbols(word, bucket, of, shared.value)
+                texts = np.repeat(np.arange(last - first), np.diff(of))
+                held = np.bincount(begin[texts] + (starts - offsets[texts]) // STRETCH, minlength=len(owner))
+                held[begin + n - 1] += 1
+                ends = np.cumsum(held)
+                before = np.where(number > 0, np.append(symbols, END)[ends - held - 1], END)
+                deal = mixed(draws, 33)
+                packed = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(np.insert(2 * ends, 0, 0).astype(np.int32)), pa.py_buffer(symbols.astype(np.int16))])
+                columns = [
+                    pa.array((deal % np.uint64(len(RATES))).astype(np.int32)),
+                    pa.array((deal // np.uint64(8) % np.uint64(learners)).astype(np.int64)),
+                    pa.array(signed(draws)),
+                    pa.array(before.astype(np.int32)),
+                    packed,
+                ]
+                made = pa.RecordBatch.from_arrays(columns, ["round", "learner", "rank", "before", "symbols"])
+                yield made.filter(pa.array((held > 0) & (draws <= limit)))
+
+    return rows.mapInArrow(run, "round INT, learner BIGINT, rank BIGINT, before INT, symbols BINARY")
 
 
 def _flat(net: Gru) -> np.ndarray:
@@ -380,18 +458,18 @@ def _unflat(weights: np.ndarray) -> Gru:
     return net
 
 
-def _round(rows: DataFrame, net: Gru, rate: float, learners: int) -> Gru:
+def _round(rows: DataFrame, net: Gru, rate: float, learners: int, lanes: int) -> Gru:
     """The average of the learners' weights, by their tokens; ``net`` where no stretch belongs to the round."""
     start = rows.sparkSession.sparkContext.broadcast(_flat(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         total = np.zeros(len(start.value) + 1)
         one, name, tokens = None, None, 0
-        held: list[tuple[np.ndarray, bool]] = []
+        held: list[tuple[np.ndarray, int]] = []
 
         def learn() -> None:
             if held:
-                one.go_over(np.concatenate([h[0] for h in held]), np.array([len(h[0]) for h in held]), np.array([h[1] for h in held]))
+                one.go_over(np.concatenate([h[0] for h in held]).astype(np.int64), np.array([len(h[0]) for h in held]), np.array([h[1] for h in held]))
                 held.clear()
 
         def end() -> None:
@@ -402,12 +480,12 @@ def _round(rows: DataFrame, net: Gru, rate: float, learners: int) -> Gru:
 
         size = 0
         for batch in batches:
-            for learner, inner, symbols in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for learner, before, symbols in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if learner != name:
                     end()
-                    one, name, tokens, size = Learner(_unflat(start.value), rate), learner, 0, 0
-                own = np.frombuffer(symbols, np.int16).astype(np.int64)
-                held.append((own, inner))
+                    one, name, tokens, size = Learner(_unflat(start.value), rate, lanes), learner, 0, 0
+                own = np.frombuffer(symbols, np.int16)
+                held.append((own, before))
                 tokens += len(own)
                 size += len(own)
                 if size >= BLOCK:
@@ -416,22 +494,23 @@ def _round(rows: DataFrame, net: Gru, rate: float, learners: int) -> Gru:
         end()
         return {0: total}
 
-    dealt = rows.repartition(learners, "learner").sortWithinPartitions("learner", "rank", "symbols")
-    total = sums(dealt.select("learner", "inner", "symbols"), max(2, learners), run).get(0)
+    dealt = rows.repartitionById(learners, F.col("learner").cast("int")).sortWithinPartitions("learner", "rank", "symbols")
+    total = sums(dealt.select("learner", "before", "symbols"), max(2, learners), run).get(0)
     return net if total is None or not total[-1] else _unflat(total[:-1] / total[-1])
 
 
-def fit_model(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", share: float = FIT_SHARE, least: int = FIT_LEAST, seed: int = 11) -> Gru:
-    """Train on ``least`` tokens and a ``share`` of all, in stretches drawn from all texts.
+def fit_model(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", seed: int = 11) -> Gru:
+    """Train on all texts: each stretch is gone over once, in one of the rounds.
 
     A learner's tokens grow with the root of all, and so does the number of learners.
     """
     net = Gru(seed)
     if not vocabulary.tokens:
         return net
-    drawn = min(float(vocabulary.tokens), least + share * vocabulary.tokens)
-    learners = max(1, round(drawn / len(RATES) / max(BLOCK / 2, 256 * drawn**0.5)))
-    rows = stored(stretches(docs, vocabulary, drawn / vocabulary.tokens, learners, text, seed), "stretches")
+    tokens = float(vocabulary.tokens) / len(RATES)
+    learners = max(1, round(tokens / max(BLOCK / 2, 256 * vocabulary.tokens**0.5)))
+    lanes = int(np.clip(tokens / learners / (32 * 250), *LANES))
+    rows = stored(stretches(docs, vocabulary, 1.0, learners, text, seed), "stretches")
     frequency = np.zeros(SYMBOLS)
     own = vocabulary.symbols >= 0
     frequency[vocabulary.symbols[own]] = vocabulary.counts[own]
@@ -439,39 +518,27 @@ def fit_model(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", share
     frequency[END] = vocabulary.texts
     net.start_from(frequency)
     for k, rate in enumerate(RATES):
-        net = _round(rows.where(F.col("round") == k), net, rate, learners)
+        net = _round(rows.where(F.col("round") == k), net, rate, learners, lanes)
     drop(rows)
     return net
 
 
-def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", share: float = FIT_SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (both log10) of every row of ``docs``.
 
-    ``training`` are the rows to learn from (column ``text``). Tokens are words ``[^\\x20\\x09-\\x0D]+``, ASCII letters in
+    ``training`` are the rows to learn from (column ``text``), all of them. Tokens are words ``[^\\x20\\x09-\\x0D]+``, ASCII letters in
     lower case, and one end per text; null texts count as empty. ``base_score`` is that of add-one word counts.
     Without training rows all words are unknown and the network is as it was initialised. Keys may be null or
-    repeated, with equal or other texts: rows are told apart by key and text. Empty tables give no rows, ties do not
+    repeated, with equal or other texts: each row of ``docs`` is scored by itself. Empty tables give no rows, ties do not
     arise, and of ``docs`` other columns are not read.
     """
     spark = docs.sparkSession
     counts = stored(word_counts(training, text), "counts")
     vocabulary = build_vocabulary(counts, training.count())
-    net = fit_model(training, vocabulary, text, share)
+    net = fit_model(training, vocabulary, text)
     model = spark.sparkContext.broadcast((vocabulary, net))
-    own = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__text"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = model.value[0]
-        for batch in batches:
-            for at, _, data, offsets in text_groups(batch, "text"):
-                names, _, first = words_of(data, offsets)
-                counted, _ = words.look_up(names)
-                some = np.flatnonzero(counted < 0)
-                owner = np.searchsorted(first, some, "right") - 1
-                keys = batch.column(0).take(pa.array(at + owner))
-                texts = batch.column(1).take(pa.array(at + owner))
-                yield pa.RecordBatch.from_arrays([keys, texts, pa.array(names[some])], [key, "__text", "word"])
+    names = ["__key", "n_tokens", "known", "base", "own", "rare"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, network = model.value
@@ -480,8 +547,8 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
         end_count = np.log10(words.texts + 1)
         for batch in batches:
             for at, until, data, offsets in text_groups(batch, "text", GROUP):
-                names, bucket, first = words_of(data, offsets)
-                symbols, sizes, counted = _symbols(names, bucket, first, words)
+                word, bucket, first = words_of(data, offsets)
+                symbols, sizes, counted = _symbols(word, bucket, first, words)
                 owner = np.repeat(np.arange(until - at), np.diff(first))
                 n = until - at
                 logs = np.log10(np.maximum(counted, 0) + 1.0)
@@ -493,24 +560,20 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
                 share = np.bincount(owner, np.where(inside, logs - in_bucket[bucket], 0.0), minlength=n)
                 own_score = score_texts(network, symbols, sizes) / np.log(10) + share
                 known = np.bincount(owner, counted > 0, minlength=n).astype(np.int64) + (words.texts > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(sizes), pa.array(known), pa.array(base), pa.array(own_score)],
-                    [key, "__text", "n_tokens", "known", "base", "own"],
-                )
-
-    row = [F.col(key).alias("__key"), "__text"]
-    rest = own.mapInArrow(rare, f"`{key}` {kind}, __text BIGINT, word BIGINT")
-    joined = rest.join(counts.select("word", "c"), "word").groupBy(*row).agg(F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("n"))
-    # Rows that share a key and a text share their sums.
-    rows = own.groupBy(*row).agg(F.count("*").alias("rows"))
-    same = F.col("a.__key").eqNullSafe(F.col("b.__key")) & (F.col("a.__text") == F.col("b.__text"))
-    joined = joined.alias("a").join(rows.alias("b"), same).select("a.__key", "a.__text", (F.col("logs") / F.col("rows")).alias("logs"), (F.col("n") / F.col("rows")).cast("long").alias("n"))
-    scored = own.mapInArrow(score, f"`{key}` {kind}, __text BIGINT, n_tokens BIGINT, known BIGINT, base DOUBLE, own DOUBLE")
-    same = F.col(f"a.{key}").eqNullSafe(F.col("b.__key")) & (F.col("a.__text") == F.col("b.__text"))
-    out = scored.alias("a").join(joined.alias("b"), same, "left")
+                some = counted < 0
+                ends = np.insert(np.cumsum(np.bincount(owner[some], minlength=n)), 0, 0).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(word[some]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *map(pa.array, (sizes, known, base, own_score)), rare], names)
+
+    # Written with a name for each row, so that words that aren't shared meet their counts by it.
+    scored = docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(score, f"__key {kind}, n_tokens BIGINT, known BIGINT, base DOUBLE, own DOUBLE, rare ARRAY<BIGINT>")
+    scored = stored(scored.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    rest = scored.select("__row", F.explode("rare").alias("word"))
+    joined = rest.join(counts.select("word", "c"), "word").groupBy("__row").agg(F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("n"))
+    out = scored.drop("rare").join(joined, "__row", "left")
     zero = F.lit(0)
     return out.select(
-        key,
+        F.col("__key").alias(key),
         "n_tokens",
         (F.col("known") + F.coalesce("n", zero)).alias("n_known"),
         F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),

@@ -102,3 +102,52 @@ def test_learning_does_not_depend_on_partitions(spark):
     symbols = np.concatenate([np.frombuffer(r["symbols"], np.int16) for r in gru_lm.stretches(docs, vocabulary, 1.0, 1).collect()]).astype(np.int64)
     fresh = gru_lm.Gru()
     assert gru_lm.score_texts(one, symbols, np.array([len(symbols)]))[0] > gru_lm.score_texts(fresh, symbols, np.array([len(symbols)]))[0]
+
+
+def test_every_training_token_is_learned_once(spark, monkeypatch):
+    """Of a table of a million tokens too: all are dealt to the rounds, and each is a target after the symbol ahead of it in its text."""
+    rows = [*enumerate(texts(100, 5)), *[(200 + i, "oak elm fir " * 5000) for i in range(70)], (900, None), (901, " ")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    vocabulary = gru_lm.build_vocabulary(stored(gru_lm.word_counts(docs), "counts"), len(rows))
+    dealt = []
+    monkeypatch.setattr(gru_lm, "_round", lambda rows, net, *args: dealt.append([len(r["symbols"]) // 2 for r in rows.collect()]) or net)
+    gru_lm.fit_model(docs, vocabulary)
+    assert vocabulary.tokens > 1_000_000 and sum(map(sum, dealt)) == vocabulary.tokens
+    assert all(sum(d) > 0.2 * vocabulary.tokens for d in dealt)
+
+    monkeypatch.setattr(gru_lm, "STRETCH", 64)
+    few = docs.where("doc_id < 201 OR doc_id >= 900")
+    taken = [(np.frombuffer(r["symbols"], np.int16).astype(np.int64), r["before"]) for r in gru_lm.stretches(few, vocabulary).collect()]
+    pairs = Counter()
+
+    class Watched(gru_lm.Gru):
+        def learn(self, x, y, resets, state):
+            pairs.update(zip(x[y >= 0].tolist(), y[y >= 0].tolist(), strict=True))
+            return {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}, state, 0.0
+
+    gru_lm.Learner(Watched(), 1e-3, lanes=8).go_over(np.concatenate([t[0] for t in taken]), np.array([len(t[0]) for t in taken]), np.array([t[1] for t in taken]))
+    want = Counter()
+    for i, t in rows:
+        if i < 201 or i >= 900:
+            data = np.frombuffer((t or "").encode(), np.uint8)
+            symbols = gru_lm._symbols(*gru_lm.words_of(data, np.array([0, len(data)])), vocabulary)[0].tolist()
+            want.update(zip([gru_lm.END, *symbols[:-1]], symbols, strict=True))
+    assert pairs == want
+
+
+def test_words_are_counted_with_their_buckets():
+    rng = np.random.default_rng(2)
+    names = rng.integers(-(2**63), 2**63, 300)
+    for known in (names, np.append(names, names[:5] ^ 1), names[:0]):
+        bucket = (known % gru_lm.BUCKETS).astype(np.int32)
+        at = rng.integers(0, len(known), 4000) if len(known) else np.zeros(0, np.int64)
+        want = sorted((w, w % gru_lm.BUCKETS, n) for w, n in Counter(known[at].tolist()).items())
+        assert [tuple(map(int, r)) for r in zip(*gru_lm._counted(known[at], bucket[at]), strict=True)] == want
+
+
+def test_groups_of_texts_are_cut_alike(monkeypatch):
+    data = " \t".join(texts(60)).encode() + b" x" * 500
+    offsets = np.array([0, 0, 10, 11, 700, 701, 3000, 3000, len(data) - 1, len(data), len(data)])
+    whole = gru_lm._words(np.frombuffer(data, np.uint8), offsets)
+    monkeypatch.setattr(gru_lm, "CACHED", 600)
+    assert all((a == b).all() for a, b in zip(whole, gru_lm._words(np.frombuffer(data, np.uint8), offsets), strict=True))
