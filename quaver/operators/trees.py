@@ -27,11 +27,13 @@ SAMPLE = 10_000
 LOCAL = 1 << 16
 #: Nodes whose histograms one pass adds up.
 NODES = 256
+#: Rows from which a node of a subtree is split by a histogram instead of sorted values, counts of histograms held at once, and votes.
+WIDE, CELLS = 64, 1 << 20
 #: Features are held densely; more than this is a table for linear models.
 MOST_FEATURES = 4096
 #: Rounds of boosting after which margins are written into the blocks.
 ROUNDS_KEPT = 10
-#: Rows of a block in boosting, whose arrays of a pass stay in a core's cache, and bytes of bins that a task of a pass reads:
+#: Rows of a block in boosting, whose arrays of a pass stay in a core's cache, and bytes of bins that a task of a pass reads, in forests too:
 #: a pass does much for each row.
 BOOST_ROWS, BOOST_BYTES = 2048, 1 << 20
 #: Probabilities are added as whole multiples of 2**-40.
@@ -165,6 +167,18 @@ def _feature_order(seed: int, name: int, width: int) -> np.ndarray:
     return np.argsort(_seeded(seed, np.uint64(name), np.arange(width)), kind="stable")
 
 
+def _feature_orders(seed: int, names: np.ndarray, width: int) -> np.ndarray:
+    """:func:`_feature_order` of many nodes."""
+    draw = _seeded(seed, names[:, None], np.arange(width))
+    # Numbers alone sort faster than their order: the feature takes the lowest bits, unless draws are alike above them.
+    bits = np.uint64(max(1, (width - 1).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    ranked = np.sort(draw & ~low | np.arange(width, dtype=np.uint64), axis=1)
+    if (ranked[:, 1:] >> bits == ranked[:, :-1] >> bits).any():
+        return np.argsort(draw, axis=1, kind="stable")
+    return (ranked & low).astype(np.int64)
+
+
 def _child(name: int, side: int) -> int:
     return int(_seeded(side, np.uint64(name)))
 
@@ -204,28 +218,140 @@ def route(bins: np.ndarray, feature, cut, left, right) -> np.ndarray:
     return at
 
 
-def grow(tree: Tree, node: int, bins: np.ndarray, label: np.ndarray, weight: np.ndarray, n_classes: int, seed: int, most: int) -> None:
-    """Grow a whole subtree, until its nodes are pure or no feature varies."""
-    waiting = [(node, np.arange(len(label)))]
-    while waiting:
-        at, rows = waiting.pop()
-        counts = np.bincount(label[rows], weight[rows], minlength=n_classes)
-        tree.counts[at] = counts
-        if (counts > 0).sum() < 2:
-            continue
-        hist = _histogram(bins[rows], label[rows], weight[rows], n_classes)
-        found = best_split(hist, _feature_order(seed, tree.name[at], bins.shape[1]), most)
-        if found is None:
-            continue
-        f, cut = found
-        below = bins[rows, f] <= cut
-        children = tree.split(at, f, cut, (None, None))
-        waiting += [(children[0], rows[below]), (children[1], rows[~below])]
+def _logs(most: int) -> np.ndarray:
+    """n * log(n) of whole numbers up to ``most``."""
+    n = np.arange(most + 1, dtype=np.float64)
+    return n * np.log(np.maximum(n, 1))
+
+
+def _costs(left: np.ndarray, whole: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Rounded entropies of both sides; infinite where a side is empty."""
+    below = above = held = lost = 0
+    for c in range(left.shape[-1]):
+        own, other = left[..., c], whole[..., c] - left[..., c]
+        below, above = below + own, above + other
+        held, lost = held + logs[own], lost + logs[other]
+    cost = (logs[below] - held) + (logs[above] - lost)
+    return np.where((below > 0) & (above > 0), np.round(cost, 9), np.inf)
+
+
+def _split_wide(values, label, weight, node, features, chosen, counts, logs) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, cut) of each node by histograms of its chosen features, which ascend."""
+    n, most, k = *features.shape, counts.shape[1]
+    place = ((node[:, None] * most + np.arange(most)) * BINS + values) * k + label[:, None]
+    hist = np.bincount(place.ravel(), np.repeat(weight, most), minlength=n * most * BINS * k).astype(np.int32).reshape(n, most, BINS, k)
+    cost = _costs(np.cumsum(hist, axis=2)[:, :, :-1], counts[:, None, None, :], logs)
+    cost = np.where(chosen[:, :, None], cost, np.inf).reshape(n, -1)
+    at = cost.argmin(axis=1)
+    return features[np.arange(n), at // (BINS - 1)], at % (BINS - 1)
+
+
+def _split_narrow(values, label, weight, node, features, chosen, counts, logs) -> tuple[np.ndarray, np.ndarray]:
+    """The same by sorted values: the work follows the rows, not the bins."""
+    n, most, k = *features.shape, counts.shape[1]
+    low, high = max(1, int(weight.max()).bit_length()), max(1, (k - 1).bit_length())
+    pair = node[:, None] * most + np.arange(most)
+    key = ((pair * BINS + values) << high | label[:, None]) << low | weight[:, None]
+    key = np.sort(key[chosen[node]])
+    own, group = key & ((1 << low) - 1), key >> (low + high)
+    name = key >> low & ((1 << high) - 1)
+    last = np.flatnonzero(np.append(group[1:] != group[:-1], True))
+    pair, value = group[last] // BINS, group[last] % BINS
+    left = np.empty((len(last), k), np.int64)
+    for c in range(k):
+        left[:, c] = np.cumsum(np.where(name == c, own, 0))[last]
+    # What lies ahead of a pair's first value is that of the pairs before it.
+    opens = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    ahead = np.where(opens[:, None] > 0, left[opens - 1], 0)
+    left -= np.repeat(ahead, np.diff(np.append(opens, len(pair))), axis=0)
+    at = pair // most
+    cost = _costs(left, counts[at], logs)
+    begin = np.searchsorted(at, np.arange(n))
+    least = np.minimum.reduceat(cost, begin)
+    hit = np.flatnonzero(cost == least[at])
+    hit = hit[np.searchsorted(at[hit], np.arange(n))]
+    return features[np.arange(n), pair[hit] % most], value[hit]
+
+
+def grow(name: int, bins: np.ndarray, label: np.ndarray, weight: np.ndarray, n_classes: int, seed: int, most: int) -> dict[str, np.ndarray]:
+    """A whole subtree, until its nodes are pure or no feature varies: ``feature`` (-1 is a leaf), ``cut``, ``left`` (the right child follows it) and ``counts``.
+
+    All nodes of a depth are split together, as :func:`best_split` splits one; rows (of some weight each) lie node by node.
+    """
+    width, k = bins.shape[1], n_classes
+    label, weight = label.astype(np.int64), weight.astype(np.int64)
+    logs = _logs(int(weight.sum()))
+    names, sizes, at = np.array([name], np.uint64), np.array([len(label)]), np.arange(len(label))
+    out: dict[str, list] = {"feature": [], "cut": [], "left": [], "counts": []}
+    held = 1
+    while len(names):
+        m = len(names)
+        node = np.repeat(np.arange(m), sizes)
+        counts = np.bincount(node * k + label, weight, minlength=m * k).astype(np.int64).reshape(m, k)
+        feature, cut, left = np.full(m, -1), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        mixed = (counts > 0).sum(axis=1) > 1
+        live = np.flatnonzero(mixed) if width else np.zeros(0, np.int64)
+        if len(live):
+            rows = mixed[node]
+            at, label, weight = at[rows], label[rows], weight[rows]
+            size = sizes[live]
+            begin, owner = np.cumsum(size) - size, np.repeat(np.arange(len(live)), size)
+            order = _feature_orders(seed, names[live], width)
+            features = np.sort(order[:, :most], axis=1)
+            values = bins[at[:, None], features[owner]]
+            chosen = np.minimum.reduceat(values, begin) != np.maximum.reduceat(values, begin)
+            short = ~chosen.all(axis=1)
+            if short.any():
+                # Not all of the first features vary: others take their places. Chosen ones come first, ascending.
+                rows = short[owner]
+                all_bins, first = bins[at[rows]], np.cumsum(size[short]) - size[short]
+                varied = np.minimum.reduceat(all_bins, first) != np.maximum.reduceat(all_bins, first)
+                by_rank = np.take_along_axis(varied, order[short], axis=1)
+                taken = np.zeros_like(varied)
+                np.put_along_axis(taken, order[short], by_rank & (np.cumsum(by_rank, axis=1) <= most), axis=1)
+                features[short] = np.argsort(~taken, axis=1, kind="stable")[:, :most]
+                chosen[short] = np.take_along_axis(taken, features[short], axis=1)
+                values[rows] = np.take_along_axis(all_bins, features[owner[rows]], axis=1)
+            some = chosen.any(axis=1)
+            wide = some & (size >= WIDE)
+            for kind, split in ((wide, _split_wide), (some & ~wide, _split_narrow)):
+                todo = np.flatnonzero(kind)
+                step = max(1, CELLS // (most * BINS * k)) if split is _split_wide else max(1, CELLS // most)
+                for lo in range(0, len(todo), step):
+                    mine = todo[lo : lo + step]
+                    part = np.repeat(begin[mine] - np.cumsum(size[mine]) + size[mine], size[mine]) + np.arange(size[mine].sum())
+                    of = np.repeat(np.arange(len(mine)), size[mine])
+                    feature[live[mine]], cut[live[mine]] = split(values[part].astype(np.int64), label[part], weight[part], of, features[mine], chosen[mine], counts[live[mine]], logs)
+        parents = np.flatnonzero(feature >= 0)
+        left[parents] = held + 2 * np.arange(len(parents))
+        held += 2 * len(parents)
+        for column, values in zip(out.values(), (feature, cut, left, counts), strict=True):
+            column.append(values)
+        if not len(parents):
+            break
+        rows = np.repeat(feature[live] >= 0, size)
+        at, label, weight = at[rows], label[rows], weight[rows]
+        size = sizes[parents]
+        owner = np.repeat(np.arange(len(parents)), size)
+        below = bins[at, feature[parents][owner]] <= cut[parents][owner]
+        lower = np.bincount(owner, below, minlength=len(parents)).astype(np.int64)
+        sizes = np.column_stack([lower, size - lower]).ravel()
+        # A row's new place: its side's first, and how many of that side lie ahead of it.
+        first = (np.cumsum(sizes) - sizes).reshape(-1, 2)
+        ahead = np.cumsum(below) - below
+        of_side = ahead - ahead[np.cumsum(size) - size][owner]
+        inside = np.arange(len(at)) - (np.cumsum(size) - size)[owner]
+        to = np.where(below, first[owner, 0] + of_side, first[owner, 1] + inside - of_side)
+        moved = np.empty_like(to)
+        moved[to] = np.arange(len(to))
+        at, label, weight = at[moved], label[moved], weight[moved]
+        names = np.column_stack([_seeded(side, names[parents]) for side in (1, 2)]).ravel()
+    return {column: np.concatenate(values) for column, values in out.items()}
 
 
 @dataclass
 class Forest:
-    """Upper trees, and a table (tree, node, feature, cut, left, right, share) of the subtrees below them."""
+    """Upper trees, and a table (tree, node, feature, cut, left, share) of the subtrees below them; a leaf's ``left`` is the number of its share."""
 
     classes: list[float]
     edges: list[np.ndarray]
@@ -233,7 +359,7 @@ class Forest:
     below: DataFrame
 
 
-_SUBTREE = "tree INT, node INT, feature BINARY, cut BINARY, left BINARY, right BINARY, share BINARY"
+_SUBTREE = "tree INT, node INT, feature BINARY, cut BINARY, left BINARY, share BINARY"
 
 
 def fit_forest(train: DataFrame, row_id: str, trees: int = 500, seed: int = 0) -> Forest:
@@ -248,54 +374,76 @@ def fit_forest(train: DataFrame, row_id: str, trees: int = 500, seed: int = 0) -
     edges = bin_edges(train, row_id)
     width, k = len(edges), len(classes)
     most = max(1, int(np.sqrt(width)))
-    blocked, tasks = dealt(binned(train, row_id, edges, classes), ["bins"])
+    blocked, tasks = dealt(binned(train, row_id, edges, classes), ["bins"], BOOST_BYTES, spread=True)
     rows = blocked.agg(F.sum("n")).first()[0]
     tops = [Tree() for _ in range(trees)]
     for i, tree in enumerate(tops):
         tree.add(int(_seeded(seed, np.uint64(i))), None)
         tree.feature[0] = -2
     # A root's weight is about the number of rows; whether it is over the bound is settled without looking at the bag.
-    waiting = [(i, 0) for i in range(trees)] if rows > LOCAL else []
+    waiting = [(i, 0, False) for i in range(trees)] if rows > LOCAL else []
     while waiting:
         now, waiting = waiting[:NODES], waiting[NODES:]
-        for (i, node), hist in zip(now, _node_histograms(blocked, tasks, tops, now, width, k, seed), strict=True):
+        # The candidates, and only where not all of them vary the others too.
+        asked = [(i, node, np.arange(width) if every else np.sort(_feature_order(seed, tops[i].name[node], width)[:most])) for i, node, every in now]
+        for (i, node, features), (*_, every), hist in zip(asked, now, _node_histograms(blocked, tasks, tops, asked, width, k, seed), strict=True):
             tree, counts = tops[i], hist[0].sum(axis=0) if width else np.zeros(k)
-            found = best_split(hist, _feature_order(seed, tree.name[node], width), most) if (counts > 0).sum() > 1 else None
+            impure = (counts > 0).sum() > 1
+            if impure and len(features) < width and ((hist.sum(axis=2) > 0).sum(axis=1) < 2).any():
+                waiting.append((i, node, True))
+                continue
+            found = best_split(hist, _feature_order(seed, tree.name[node], width) if every else np.arange(len(features)), most) if impure else None
             tree.feature[node], tree.counts[node] = -1, counts
             if found is not None:
-                f, cut = found
-                sides = hist[f, : cut + 1].sum(axis=0), hist[f, cut + 1 :].sum(axis=0)
-                for child, own in zip(tree.split(node, f, cut, sides), sides, strict=True):
+                at, cut = found
+                sides = hist[at, : cut + 1].sum(axis=0), hist[at, cut + 1 :].sum(axis=0)
+                for child, own in zip(tree.split(node, int(features[at]), cut, sides), sides, strict=True):
                     tree.feature[child] = -2
                     if own.sum() > LOCAL:
-                        waiting.append((i, child))
+                        waiting.append((i, child, False))
     below = reuse(_grown(blocked, tops, width, k, seed, most))
     below.count()
     blocked.unpersist()
     return Forest(classes, edges, tops, below)
 
 
-def _node_histograms(blocked: DataFrame, tasks: int, tops: list[Tree], now: list[tuple[int, int]], width: int, k: int, seed: int) -> list[np.ndarray]:
-    used = sorted({i for i, _ in now})
-    shared = blocked.sparkSession.sparkContext.broadcast({i: tops[i] for i in used})
+def _node_histograms(blocked: DataFrame, tasks: int, tops: list[Tree], asked: list[tuple[int, int, np.ndarray]], width: int, k: int, seed: int) -> list[np.ndarray]:
+    """(features, bins, classes) counts of each (tree, node, features)."""
+    used: dict[int, list] = {}
+    for j, (i, node, features) in enumerate(asked):
+        used.setdefault(i, []).append((j, node, features))
+    shared = blocked.sparkSession.sparkContext.broadcast({i: (tops[i], nodes) for i, nodes in used.items()})
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         out: dict[int, np.ndarray] = {}
         for batch in batches:
             for b in range(batch.num_rows):
                 keys, label, bins = _open(batch, b, width)
-                for i in used:
-                    weight, at = bag_weights(seed, i, keys), shared.value[i].route(bins)
-                    for j, (tree, node) in enumerate(now):
-                        if tree == i:
-                            mine = np.flatnonzero((at == node) & (weight > 0))
-                            hist = _histogram(bins[mine], label[mine], weight[mine], k).ravel()
-                            out[j] = out[j] + hist if j in out else hist
+                for i, (tree, nodes) in shared.value.items():
+                    weight = bag_weights(seed, i, keys)
+                    at = tree.route(bins)
+                    for j, node, features in nodes:
+                        mine = np.flatnonzero((at == node) & (weight > 0))
+                        hist = _histogram(bins[mine[:, None], features], label[mine], weight[mine], k).ravel()
+                        out[j] = out[j] + hist if j in out else hist
         return out
 
     found = sums(blocked, tasks, arrays)
     shared.destroy()
-    return [found.get(j, np.zeros(width * BINS * k)).reshape(width, BINS, k) for j in range(len(now))]
+    return [found.get(j, np.zeros(len(features) * BINS * k)).reshape(len(features), BINS, k) for j, (_, _, features) in enumerate(asked)]
+
+
+def _by_node(at: np.ndarray, mine: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each node of the rows ``mine``, and those of them that stop there."""
+    if not len(mine):
+        return []
+    mine = mine[np.argsort(at[mine], kind="stable")]
+    nodes, first = np.unique(at[mine], return_index=True)
+    return list(zip(nodes.tolist(), np.split(mine, first[1:]), strict=True))
+
+
+def _binary(values: list[np.ndarray]) -> pa.Array:
+    return pa.array([v.tobytes() for v in values], pa.binary())
 
 
 def _grown(blocked: DataFrame, tops: list[Tree], width: int, k: int, seed: int, most: int) -> DataFrame:
@@ -305,28 +453,27 @@ def _grown(blocked: DataFrame, tops: list[Tree], width: int, k: int, seed: int,
         for batch in batches:
             for b in range(batch.num_rows):
                 keys, label, bins = _open(batch, b, width)
+                label = label.astype(np.uint16)
                 for i, tree in enumerate(shared.value):
-                    weight, at = bag_weights(seed, i, keys), tree.route(bins)
-                    weight = np.where(np.array(tree.feature)[at] == -2, weight, 0)
-                    for node in np.unique(at[weight > 0]).tolist():
-                        mine = np.flatnonzero((at == node) & (weight > 0))
-                        packed = [weight[mine].astype(np.int64), label[mine], bins[mine]]
-                        ids = [pa.array([v], pa.int32()) for v in (i, node)]
-                        yield pa.RecordBatch.from_arrays([*ids, *[pa.array([p.tobytes()], pa.binary()) for p in packed]], ["tree", "node", "weight", "label", "bins"])
+                    weight, at = bag_weights(seed, i, keys).astype(np.uint8), tree.route(bins)
+                    parts = _by_node(at, np.flatnonzero((weight > 0) & (np.array(tree.feature)[at] == -2)))
+                    if parts:
+                        ids = [pa.array(v, pa.int32()) for v in ([i] * len(parts), [node for node, _ in parts])]
+                        yield pa.RecordBatch.from_arrays([*ids, *[_binary([c[mine] for _, mine in parts]) for c in (weight, label, bins)]], ["tree", "node", "weight", "label", "bins"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def subtree() -> pa.RecordBatch:
             weight, label, bins = (np.concatenate(c) for c in zip(*held, strict=True))
-            tree = Tree()
-            tree.add(shared.value[now[0]].name[now[1]], None)
-            grow(tree, 0, bins.reshape(len(label), width), label, weight, k, seed, most)
-            counts = np.array(tree.counts, np.float64)
+            tree = grow(shared.value[now[0]].name[now[1]], bins.reshape(len(label), width), label, weight, k, seed, most)
+            leaf = tree["feature"] < 0
+            counts = tree["counts"][leaf].astype(np.float64)
             share = np.round(counts / counts.sum(axis=1, keepdims=True) * _UNIT).astype(np.int64)
-            packed = [*[np.array(c, np.int64) for c in (tree.feature, tree.cut, tree.left, tree.right)], share]
+            tree["left"][leaf] = np.arange(len(share))
+            packed = [tree["feature"].astype(np.int16), tree["cut"].astype(np.uint8), tree["left"].astype(np.int32), share]
             ids = [pa.array([v], pa.int32()) for v in now]
-            return pa.RecordBatch.from_arrays([*ids, *[pa.array([p.tobytes()], pa.binary()) for p in packed]], ["tree", "node", "feature", "cut", "left", "right", "share"])
+            return pa.RecordBatch.from_arrays([*ids, *[_binary([p]) for p in packed]], ["tree", "node", "feature", "cut", "left", "share"])
 
         for batch in batches:
             for b in range(batch.num_rows):
@@ -335,7 +482,7 @@ def _grown(blocked: DataFrame, tops: list[Tree], width: int, k: int, seed: int,
                     if held:
                         yield subtree()
                     now, held = key, []
-                held.append([np.frombuffer(batch.column(i + 2)[b].as_py(), t) for i, t in enumerate((np.int64, np.int32, np.uint8))])
+                held.append([np.frombuffer(batch.column(i + 2)[b].as_py(), t) for i, t in enumerate((np.uint8, np.uint16, np.uint8))])
         if held:
             yield subtree()
 
@@ -347,7 +494,7 @@ def _grown(blocked: DataFrame, tops: list[Tree], width: int, k: int, seed: int,
 def predict_forest(forest: Forest, rows: DataFrame, keep: list[str], name: str = "RF") -> DataFrame:
     """``keep``, model, prediction and probability of the second class: the mean of the leaves' shares over all trees.
 
-    A block of rows meets each tree's subtree in the task that holds it; shares are whole numbers, so sums do not
+    The rows of a block that reach a subtree meet it in the task that holds it; shares are whole numbers, so sums do not
     depend on their order. Rows without features get no prediction.
     """
     k, edges = len(forest.classes), forest.edges
@@ -380,32 +527,51 @@ def predict_forest(forest: Forest, rows: DataFrame, keep: list[str], name: str =
             for b in range(batch.num_rows):
                 bins = np.frombuffer(batch.column(2)[b].as_buffer(), np.uint8).reshape(-1, width)
                 for i, tree in enumerate(shared.value):
-                    at = tree.route(bins)
-                    for node in np.unique(at).tolist():
-                        mine = np.flatnonzero(at == node).astype(np.int32)
+                    parts = _by_node(tree.route(bins), np.arange(len(bins)))
+                    known = []
+                    for node, _ in parts:
                         counts = tree.counts[node]
-                        share = b"" if counts is None or tree.feature[node] == -2 else np.round(np.asarray(counts, float) / np.sum(counts) * _UNIT).astype(np.int64).tobytes()
-                        ids = [batch.column(0).slice(b, 1), batch.column(1).slice(b, 1), *[pa.array([v], pa.int32()) for v in (i, node, len(bins))]]
-                        yield pa.RecordBatch.from_arrays([*ids, *[pa.array([v], pa.binary()) for v in (mine.tobytes(), bins[mine].tobytes(), share)]], ["part", "nth", "tree", "node", "n", "mine", "bins", "known"])
+                        known.append(np.zeros(0, np.int64) if counts is None or tree.feature[node] == -2 else np.round(np.asarray(counts, float) / np.sum(counts) * _UNIT).astype(np.int64))
+                    size = len(parts)
+                    ids = [pa.array(v, pa.int32()) for v in ([i] * size, [node for node, _ in parts], batch.column(0).take(pa.array([b] * size)), batch.column(1).take(pa.array([b] * size)), [len(bins)] * size)]
+                    pieces = [_binary([mine.astype(np.int32) for _, mine in parts]), _binary([bins[mine] for _, mine in parts]), _binary(known)]
+                    yield pa.RecordBatch.from_arrays([*ids, *pieces], ["tree", "node", "part", "nth", "n", "mine", "bins", "known"])
 
-    asked = packed.select("part", "nth", "__bins").mapInArrow(ask, "part INT, nth INT, tree INT, node INT, n INT, mine BINARY, bins BINARY, known BINARY")
-    met = asked.join(forest.below, ["tree", "node"], "left").select("part", "nth", "n", "mine", "bins", "known", "feature", "cut", "left", "right", "share")
+    asked = packed.select("part", "nth", "__bins").mapInArrow(ask, "tree INT, node INT, part INT, nth INT, n INT, mine BINARY, bins BINARY, known BINARY")
+    # A subtree is read once, ahead of the rows that meet it; its row has no block.
+    met = forest.below.unionByName(asked, allowMissingColumns=True).repartition("tree", "node").sortWithinPartitions("tree", "node", F.col("n").asc_nulls_first())
+    met = met.select("tree", "node", "feature", "cut", "left", "share", "part", "nth", "n", "mine", "bins", "known")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes: dict[tuple, np.ndarray] = {}
+        cells, now, tree, share = 0, None, [], None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (part, nth), total in votes.items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), _binary([total])], ["part", "nth", "votes"])
+            votes.clear()
+
         for batch in batches:
-            votes: dict[tuple, np.ndarray] = {}
             for b in range(batch.num_rows):
-                mine = np.frombuffer(batch.column(3)[b].as_buffer(), np.int32)
-                total = votes.setdefault((batch.column(0)[b].as_py(), batch.column(1)[b].as_py()), np.zeros((batch.column(2)[b].as_py(), k), np.int64))
-                if batch.column(6)[b].is_valid:
-                    bins = np.frombuffer(batch.column(4)[b].as_buffer(), np.uint8).reshape(-1, width)
-                    tree = [np.frombuffer(batch.column(i)[b].as_buffer(), np.int64) for i in range(6, 10)]
-                    share = np.frombuffer(batch.column(10)[b].as_buffer(), np.int64).reshape(-1, k)
-                    total[mine] += share[route(bins, *tree)]
-                elif len(batch.column(5)[b].as_py()):
-                    total[mine] += np.frombuffer(batch.column(5)[b].as_buffer(), np.int64)
-            for (part, nth), total in votes.items():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "nth", "votes"])
+                name = (batch.column(0)[b].as_py(), batch.column(1)[b].as_py())
+                if batch.column(2)[b].is_valid:
+                    feature, cut, left = (np.frombuffer(batch.column(i + 2)[b].as_py(), t).astype(np.int64) for i, t in enumerate((np.int16, np.uint8, np.int32)))
+                    now, tree, share = name, [feature, cut, left, left + 1], np.frombuffer(batch.column(5)[b].as_py(), np.int64).reshape(-1, k)
+                    continue
+                block = (batch.column(6)[b].as_py(), batch.column(7)[b].as_py())
+                if block not in votes:
+                    votes[block] = np.zeros((batch.column(8)[b].as_py(), k), np.int64)
+                    cells += votes[block].size
+                mine = np.frombuffer(batch.column(9)[b].as_buffer(), np.int32)
+                if name == now:
+                    bins = np.frombuffer(batch.column(10)[b].as_buffer(), np.uint8).reshape(-1, width)
+                    votes[block][mine] += share[tree[2][route(bins, *tree)]]
+                elif len(batch.column(11)[b].as_py()):
+                    votes[block][mine] += np.frombuffer(batch.column(11)[b].as_buffer(), np.int64)
+                if cells > CELLS:
+                    yield from told()
+                    cells = 0
+        yield from told()
 
     votes = met.mapInArrow(answer, "part INT, nth INT, votes BINARY").groupBy("part", "nth").agg(F.collect_list("votes").alias("votes"))
     joined = packed.join(votes, ["part", "nth"]).select(*keep, F.col("__bins"), "votes")

@@ -137,3 +137,35 @@ def test_boosting_deals_few_partitions_over_the_cores(spark):
     assert tasks == kept.rdd.getNumPartitions() == 5
     assert kept.agg(F.sum("n")).first()[0] == 9000
     kept.unpersist()
+
+
+def plain_grow(name, bins, label, weight, k, seed, most):
+    """A node at a time, by its whole histogram."""
+    counts = np.bincount(label, weight, minlength=k)
+    found = R.best_split(R._histogram(bins, label, weight, k), R._feature_order(seed, name, bins.shape[1]), most) if (counts > 0).sum() > 1 else None
+    if found is None:
+        return tuple(counts.astype(int).tolist())
+    below = bins[:, found[0]] <= found[1]
+    sides = [plain_grow(R._child(name, side), bins[m], label[m], weight[m], k, seed, most) for side, m in ((1, below), (2, ~below))]
+    return (int(found[0]), int(found[1]), *sides)
+
+
+@pytest.mark.parametrize("n, width, k, values, constant", [(1, 3, 2, 32, 0), (400, 6, 3, 32, 2), (3000, 20, 2, 32, 5), (1500, 9, 5, 3, 3), (900, 4, 2, 2, 0), (60, 1, 4, 32, 0)])
+def test_nodes_of_a_depth_are_split_together(monkeypatch, n, width, k, values, constant):
+    """Trees equal those grown a node at a time, in a few steps a depth instead of one a node."""
+    rng = np.random.default_rng(n)
+    bins, label, weight = rng.integers(0, values, (n, width)).astype(np.uint8), rng.integers(0, k, n), rng.integers(1, 5, n)
+    bins[:, :constant] = 7
+    most, steps = max(1, int(width**0.5)), []
+    for name in ("_split_wide", "_split_narrow"):
+        own = getattr(R, name)
+        monkeypatch.setattr(R, name, lambda *a, own=own: steps.append(1) or own(*a))
+    tree = R.grow(77, bins, label, weight, k, 0, most)
+
+    def shape(at):
+        if tree["feature"][at] < 0:
+            return tuple(tree["counts"][at].tolist())
+        return (int(tree["feature"][at]), int(tree["cut"][at]), shape(tree["left"][at]), shape(tree["left"][at] + 1))
+
+    assert shape(0) == plain_grow(77, bins, label, weight, k, 0, most)
+    assert len(steps) < 100 and (n < 1000 or len(tree["feature"]) > 5 * len(steps))
