@@ -10,7 +10,8 @@ and the state is carried over until a text ends.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -42,9 +43,14 @@ LANES = (64, 256)
 EMBED, HIDDEN = 16, 32
 #: Bytes of texts that run side by side, and of those whose words are cut at once, in a core's cache.
 GROUP, CACHED = 4 << 20, 1 << 18
+#: Rows whose output layers are worked on together, in a core's cache too.
+ROWS = 1024
 
 COUNTS = "word BIGINT, bucket INT, c BIGINT"
 
+#: Of the last two bytes of a word.
+_BUCKET = (mixed(np.arange(1 << 16, dtype=np.uint64), 21) % np.uint64(BUCKETS)).astype(np.int32)
+
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit names (equal names of different words: one in 10^5 for 10^7 words), buckets, and each text's first word."""
@@ -68,9 +74,9 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = lower_ascii(data)
     starts, ends, first = word_bounds(data, offsets)
-    last = data[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
-    before = np.where(ends - starts > 1, data[ends - 2], 0).astype(np.uint64) if len(ends) else last
-    bucket = (mixed(before << np.uint64(8) | last, 21) % np.uint64(BUCKETS)).astype(np.int32)
+    last = data[ends - 1].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    before = np.where(ends - starts > 1, data[ends - 2], 0).astype(np.int64) if len(ends) else last
+    bucket = _BUCKET.take(before << 8 | last)
     return starts, signed(span_hashes(data, starts, ends)), bucket, first
 
 
@@ -118,19 +124,26 @@ class Vocabulary:
 
     def look_up(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and symbols; -1 where the word isn't shared."""
+        counts, symbols = np.full(len(names), -1), np.full(len(names), -1)
         if not len(self.words):
-            return np.full(len(names), -1), np.full(len(names), -1)
-        slot = _slot(names)
-        at, end = self.slots[slot], self.slots[slot + 1]
-        hit = (at < end) & (self.words[np.minimum(at, len(self.words) - 1)] == names)
-        left = np.flatnonzero(~hit & (at + 1 < end))
-        while len(left):
-            at[left] += 1
-            same = self.words[at[left]] == names[left]
-            hit[left[same]] = True
-            left = left[~same & (at[left] + 1 < end[left])]
-        at[~hit] = 0
-        return np.where(hit, self.counts[at], -1), np.where(hit, self.symbols[at], -1)
+            return counts, symbols
+        for first in range(0, len(names), CACHED // 8):
+            part = slice(first, first + CACHED // 8)
+            some = names[part]
+            slot = _slot(some)
+            at, end = self.slots.take(slot), self.slots.take(slot + 1)
+            hit = (at < end) & (self.words.take(at, mode="clip") == some)
+            left = np.flatnonzero(~hit & (at + 1 < end))
+            while len(left):
+                at[left] += 1
+                same = self.words[at[left]] == some[left]
+                hit[left[same]] = True
+                left = left[~same & (at[left] + 1 < end[left])]
+            missed = np.flatnonzero(~hit)
+            for out, of in ((counts, self.counts), (symbols, self.symbols)):
+                of.take(at, out=out[part], mode="clip")
+                out[part][missed] = -1
+        return counts, symbols
 
 
 def _slot(names: np.ndarray) -> np.ndarray:
@@ -167,20 +180,45 @@ def build_vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     return Vocabulary(words[order], c[order], symbols[order], tokens, distinct, n_all + texts, v_all + (texts > 0), texts)
 
 
-def _exponents(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overwrites rows of logits with their exponentials; the rows' sums, and the natural log-probabilities at ``at``."""
-    # Softmax needs no shift while no exponential can overflow or vanish.
-    if not (x.max(initial=0) < 60 and x.min(initial=0) > -60):
+def _exponents(logits: Callable[[], np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of rows of logits, in their place; the rows' sums, and the natural log-probabilities at ``at`` (places in all of them)."""
+    with np.errstate(over="ignore"):
+        x = logits()
+        np.exp(x, out=x)
+        total, picked = x @ np.ones(x.shape[1], x.dtype), x.ravel().take(at)
+    # Softmax needs no shift while no exponential that counts overflows or vanishes.
+    if not (total.max() < 1e26 and picked.min() > 1e-26):
+        x = logits()
         x -= x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), at]
-    np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    return total, picked - np.log(total)
+        logs = x.ravel().take(at)
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], x.dtype)
+        return x, total, logs - np.log(total)
+    return x, total, np.log(picked / total)
 
 
 def _parts(x: np.ndarray) -> np.ndarray:
-    """What belongs to the two gates and the candidate, one after the other."""
-    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).swapaxes(0, 1))
+    """What belongs to the two gates and the candidate, one after the other; the gates' with the sign that exp(-x) needs."""
+    parts = np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).swapaxes(0, 1))
+    np.negative(parts[:2], out=parts[:2])
+    return parts
+
+
+class Room:
+    """Arrays that one window after the other uses: new ones of their size would cost a page fault for every 4 KB."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
+        """An array of any content, up to the next call with this name."""
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size or self.held[name].dtype != kind:
+            self.held[name] = np.empty(size, kind)
+        return self.held[name][:size].reshape(shape)
+
+    def __reduce__(self):
+        return Room, ()
 
 
 class Gru:
@@ -195,6 +233,7 @@ class Gru:
         self.shift = np.zeros(3 * HIDDEN, np.float32)
         self.cls, self.cls_shift = n(HIDDEN, CLASSES, f=0.1), np.zeros(CLASSES, np.float32)
         self.word, self.word_shift = n(CLASSES, HIDDEN, PER_CLASS, f=0.1), np.zeros((CLASSES, PER_CLASS), np.float32)
+        self.room = Room()
 
     def start_from(self, frequency: np.ndarray) -> None:
         """Output shifts at the symbols' overall frequencies."""
@@ -202,119 +241,164 @@ class Gru:
         self.cls_shift = np.log(p.sum(1) / p.sum()).astype(np.float32)
         self.word_shift = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
 
-    def steps(self, x: np.ndarray, resets: np.ndarray, state: np.ndarray, table: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of the inputs (time x lanes); ``resets`` empty a lane's state first. ``keep`` gets what learning needs."""
-        table, rec = _parts(table), _parts(self.rec)
-        out = np.empty((*x.shape, HIDDEN), np.float32)
-        if keep is not None:
-            keep += [np.empty((5, *x.shape, HIDDEN), np.float32)]
-        half = np.float32(0.5)
+    def given(self) -> np.ndarray:
+        """What each symbol gives to the gates and the candidate."""
+        table = np.matmul(self.embed, _parts(self.inp), out=self.room("table", 3, SYMBOLS, HIDDEN))
+        table += _parts(self.shift[None])
+        return table
+
+    def steps(self, x: np.ndarray, resets: np.ndarray, state: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after each of the inputs (time x lanes), and the last; ``resets`` empty a lane's state first."""
+        out, last, _ = self.window(x, resets, state, _parts(table))
+        return out.copy(), last
+
+    def window(self, x: np.ndarray, resets: np.ndarray, state: np.ndarray, table: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """:meth:`steps` with the ``table`` of :meth:`given`; the states are in the room.
+
+        Third, for learning (``keep``): for each time, the gates, what the state gives to the candidate, and the candidate; and the state before.
+        """
+        shape, times = state.shape, len(x) if keep else 1
+        rec, out, given = _parts(self.rec), self.room("states", len(x), *shape), self.room("given", 3, *shape)
+        kept, befores = self.room("kept", times, 4, *shape), self.room("befores", times, *shape)
         opened = resets.any(axis=1)
-        for t in range(len(x)):
-            if opened[t]:
-                state = np.where(resets[t][:, None], np.float32(0), state)
-            a, b = table.take(x[t], axis=1), np.matmul(state, rec)
-            gate = a[:2]
-            gate += b[:2]
-            gate *= half
-            np.tanh(gate, out=gate)
-            gate *= half
-            gate += half
-            cand = gate[1] * b[2]
-            cand += a[2]
-            np.tanh(cand, out=cand)
-            if keep is not None:
-                kept = keep[0]
-                kept[0, t], kept[1, t], kept[2, t], kept[3, t], kept[4, t] = gate[0], gate[1], cand, b[2], state
-            state = np.subtract(state, cand, out=out[t])
-            state *= gate[0]
-            state += cand
-        return out, state
+        with np.errstate(over="ignore"):  # of a gate that is shut
+            for t in range(len(x)):
+                one, before = kept[t if keep else 0], befores[t if keep else 0]
+                gate, cand = one[:2], one[3]
+                if opened[t]:
+                    before[:] = state
+                    before[resets[t]] = 0
+                    state = before
+                elif keep:
+                    before[:] = state
+                table.take(x[t], axis=1, out=given, mode="clip")
+                np.matmul(state, rec, out=one[:3])
+                gate += given[:2]
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                np.multiply(gate[1], one[2], out=cand)
+                cand += given[2]
+                np.tanh(cand, out=cand)
+                state = np.subtract(state, cand, out=out[t])
+                state *= gate[0]
+                state += cand
+        return out, state.copy(), (kept, befores)
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target; with ``grads``, also the states' gradient of the mean loss."""
-        n = len(targets)
-        kind = (targets // PER_CLASS).astype(np.uint8)
+        """Natural log-probability of each target, 0 where there is none (below 0); with ``grads``, also the states' gradient of the mean loss."""
+        kind = np.where(targets < 0, CLASSES, targets // PER_CLASS).astype(np.uint8)
         order = np.argsort(kind, kind="stable")
-        kind, inner, h = kind[order], (targets % PER_CLASS)[order], states[order]
-        cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
-        spans = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
-        p = h @ self.cls
-        p += self.cls_shift
-        q = np.empty((n, PER_CLASS), p.dtype)
-        for c, at in spans:
-            np.matmul(h[at], self.word[c], out=q[at])
-            q[at] += self.word_shift[c]
-        p_total, logs = _exponents(p, kind)
-        q_total, own = _exponents(q, inner)
-        out = np.empty(n, p.dtype)
-        out[order] = logs + own
+        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        order = order[: cuts[-1]]
+        float_kind = np.result_type(states, self.cls)
+        n, all_logs = len(order), np.zeros(len(targets), float_kind)
+        kind, inner = kind[order], targets[order] % PER_CLASS
+        h = states.take(order, axis=0, out=self.room("by_class", n, HIDDEN, kind=states.dtype), mode="clip")
+        logs, back = np.empty(n, float_kind), None
+        if grads is not None:
+            grads |= {k: np.zeros_like(getattr(self, k)) for k in ("cls", "cls_shift", "word", "word_shift")}
+            back = self.room("back", n, HIDDEN)
+        # Classes go side by side while their rows are in a core's cache, and rows of a large class in parts.
+        spans = [(c, a, min(a + ROWS, cuts[c + 1])) for c in range(CLASSES) for a in range(cuts[c], cuts[c + 1], ROWS)]
+        while spans:
+            at = next((i for i, (_, _, to) in enumerate(spans) if to - spans[0][1] > ROWS), len(spans))
+            some, spans = spans[:at], spans[at:]
+            self._class_log_probs(h, kind, inner, some, logs, grads, back)
+        all_logs[order] = logs
+        if grads is None:
+            return all_logs, None
+        place = np.full(len(targets), -1)
+        place[order] = np.arange(n)
+        d = back.take(place, axis=0, out=self.room("d_states", len(targets), HIDDEN), mode="clip")
+        if n < len(targets):
+            d[place < 0] = 0
+        return all_logs, d
+
+    def _class_log_probs(self, h: np.ndarray, kind: np.ndarray, inner: np.ndarray, spans: list, logs: np.ndarray, grads: dict | None, back: np.ndarray | None) -> None:
+        """:meth:`log_probs` of ``spans`` (class, first row, last row + 1) of the rows by class."""
+        first, last = spans[0][1], spans[-1][2]
+        rows, begin = slice(first, last), np.arange(last - first)
+        own = [(c, h[a:b], slice(a - first, b - first)) for c, a, b in spans]
+        p, q = self.room("p", last - first, CLASSES, kind=logs.dtype), self.room("q", last - first, PER_CLASS, kind=logs.dtype)
+
+        def of_class() -> np.ndarray:
+            return np.add(np.matmul(h[rows], self.cls, out=p), self.cls_shift, out=p)
+
+        def in_class() -> np.ndarray:
+            for c, states, at in own:
+                part = np.matmul(states, self.word[c], out=q[at])
+                part += self.word_shift[c]
+            return q
+
+        p_at, q_at = begin * CLASSES + kind[rows], begin * PER_CLASS + inner[rows]
+        _, p_total, p_logs = _exponents(of_class, p_at)
+        _, q_total, q_logs = _exponents(in_class, q_at)
+        np.add(p_logs, q_logs, out=logs[rows])
         if grads is None:
-            return out, None
-        ones = np.ones(n, np.float32)
-        for x, total, at in ((p, p_total, kind), (q, q_total, inner)):
-            x *= (np.float32(1 / n) / total)[:, None]
-            x[np.arange(n), at] -= np.float32(1 / n)
-        grads["cls"], grads["cls_shift"] = h.T @ p, ones @ p
-        grads["word"], grads["word_shift"] = np.zeros_like(self.word), np.zeros_like(self.word_shift)
-        d = p @ self.cls.T
-        for c, at in spans:
-            grads["word"][c], grads["word_shift"][c] = h[at].T @ q[at], ones[at] @ q[at]
-            d[at] += q[at] @ self.word[c].T
-        back = np.empty_like(d)
-        back[order] = d
-        return out, back
+            return
+        ones, share = np.ones(last - first, np.float32), np.float32(1 / len(logs))
+        for x, total, at in ((p, p_total, p_at), (q, q_total, q_at)):
+            x *= (share / total)[:, None]
+            x.reshape(-1)[at] -= share
+        grads["cls"] += h[rows].T @ p
+        grads["cls_shift"] += ones @ p
+        d, more = np.matmul(p, self.cls.T, out=back[rows]), self.room("by_word", last - first, HIDDEN)
+        for c, states, at in own:
+            grads["word"][c] += states.T @ q[at]
+            grads["word_shift"][c] += ones[at] @ q[at]
+            np.matmul(q[at], self.word[c].T, out=more[at])
+        d += more
 
     def learn(self, x: np.ndarray, y: np.ndarray, resets: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of one window, backpropagated to its first step; the state goes on to the next."""
-        keep: list = []
-        states, last = self.steps(x, resets, state, self.embed @ self.inp + self.shift, keep)
-        z, r, cand, hn, before = keep[0]
-        flat_states, wanted = states.reshape(-1, HIDDEN), y.ravel()
-        used = np.flatnonzero(wanted >= 0)
+        states, last, (kept, befores) = self.window(x, resets, state, self.given(), keep=True)
         grads: dict = {}
-        if len(used) == len(wanted):
-            logs, d_out = self.log_probs(flat_states, wanted, grads)
-        else:
-            logs, d_used = self.log_probs(flat_states[used], wanted[used], grads)
-            d_out = np.zeros_like(flat_states)
-            d_out[used] = d_used
+        logs, d_out = self.log_probs(states.reshape(-1, HIDDEN), y.ravel(), grads)
         d_out = d_out.reshape(states.shape)
-        # To the gates, the candidate, and what the reset gate lets through of the state.
-        d_z, d_r, d_cand, d_hn = d = np.empty((4, *states.shape), np.float32)
-        d_next, back = np.zeros_like(state), np.ascontiguousarray(_parts(self.rec).swapaxes(1, 2))
+        # To the gates, what the reset gate lets through of the state, and the candidate.
+        d, weights = self.room("d", 4, *states.shape), np.ascontiguousarray(self.rec.reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0))
+        d_next, less, through = self.room("d_next", *state.shape), self.room("less", *state.shape), self.room("through", 3, *state.shape)
+        d_next[:] = 0
         opened = resets.any(axis=1)
         for t in range(len(x) - 1, -1, -1):
+            (z, r, hn, cand), before = kept[t], befores[t]
+            into, slope, d_hn, one = d[:, t]
             dh = d_out[t]
             dh += d_next
-            one = np.subtract(1, cand[t] * cand[t], out=d_cand[t])
+            np.multiply(cand, cand, out=one)
+            np.subtract(1, one, out=one)
             one *= dh
-            into = np.subtract(before[t], cand[t], out=d_z[t])
+            np.subtract(before, cand, out=into)
             into *= dh
-            into *= z[t]
-            dh *= z[t]
-            one -= one * z[t]
-            into -= into * z[t]
-            np.multiply(one, r[t], out=d_hn[t])
-            slope = np.multiply(d_hn[t], hn[t], out=d_r[t])
-            slope -= slope * r[t]
-            d_next = dh
-            for part, weights in ((d_z[t], back[0]), (d_r[t], back[1]), (d_hn[t], back[2])):
-                d_next += part @ weights
+            into *= z
+            dh *= z
+            one -= np.multiply(one, z, out=less)
+            into -= np.multiply(into, z, out=less)
+            np.multiply(one, r, out=d_hn)
+            np.multiply(d_hn, hn, out=slope)
+            slope -= np.multiply(slope, r, out=less)
+            np.matmul(d[:3, t], weights, out=through)
+            np.add(dh, through[0], out=d_next)
+            d_next += through[1]
+            d_next += through[2]
             if opened[t]:
                 d_next[resets[t]] = 0
-        d = d.reshape(4, -1, HIDDEN)
-        before, ids = before.reshape(-1, HIDDEN), x.ravel()
-        grads["rec"] = np.concatenate([before.T @ d[i] for i in (0, 1, 3)], axis=1)
-        ones, given = np.ones(len(ids), np.float32), self.embed.take(ids, axis=0)
-        grads["shift"] = np.concatenate([ones @ d[i] for i in range(3)])
-        grads["inp"] = np.concatenate([given.T @ d[i] for i in range(3)], axis=1)
-        d_given = sum(d[i] @ self.inp[:, i * HIDDEN : (i + 1) * HIDDEN].T for i in range(3))
+        d, before, ids = d.reshape(4, -1, HIDDEN), befores.reshape(-1, HIDDEN), x.ravel()
+        grads["rec"] = np.concatenate([before.T @ part for part in d[:3]], axis=1)
+        d = [d[i] for i in (0, 1, 3)]
+        ones, given = np.ones(len(ids), np.float32), self.embed.take(ids, axis=0, out=self.room("embedded", len(ids), EMBED, kind=self.embed.dtype), mode="clip")
+        grads["shift"] = np.concatenate([ones @ part for part in d])
+        grads["inp"] = np.concatenate([given.T @ part for part in d], axis=1)
+        d_given, more = self.room("d_given", len(ids), EMBED), self.room("more", len(ids), EMBED)
+        d_given[:] = 0
+        for i, part in enumerate(d):
+            d_given += np.matmul(part, self.inp[:, i * HIDDEN : (i + 1) * HIDDEN].T, out=more)
         grads["embed"] = np.zeros_like(self.embed)
         order = np.argsort(ids.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grads["embed"][ids[order][first]] = np.add.reduceat(d_given[order], first)
-        return grads, last, float(-logs.mean())
+        grads["embed"][ids[order][first]] = np.add.reduceat(d_given.take(order, axis=0, out=more, mode="clip"), first)
+        return grads, last, float(-logs.sum() / max(1, (y >= 0).sum()))
 
 
 def _lanes(symbols: np.ndarray, sizes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,7 +420,7 @@ def score_texts(net: Gru, symbols: np.ndarray, sizes: np.ndarray, lanes: int = 2
     given = np.concatenate([[END], symbols[:-1]])
     given[starts] = END
     logs = np.zeros(n)
-    table = net.embed @ net.inp + net.shift
+    table = net.given()
     begin, length = _lanes(symbols, sizes, lanes)
     state = np.zeros((len(begin), HIDDEN), np.float32)
     for at in range(0, int(length[0]), window):
@@ -345,9 +429,9 @@ def score_texts(net: Gru, symbols: np.ndarray, sizes: np.ndarray, lanes: int = 2
         place = begin[:live] + at + np.arange(steps)[:, None]
         inside = at + np.arange(steps)[:, None] < length[:live]
         place = np.where(inside, place, 0)
-        states, state = net.steps(given[place], opens[place] & inside, state[:live], table)
-        where = place[inside]
-        logs[where] = net.log_probs(states[inside], symbols[where])[0]
+        states, state, _ = net.window(given[place], opens[place] & inside, state[:live], table)
+        found, _ = net.log_probs(states.reshape(-1, HIDDEN), np.where(inside, symbols[place], -1).ravel())
+        logs[place[inside]] = found[inside.ravel()]
     return np.add.reduceat(logs, starts)
 
 
@@ -379,15 +463,25 @@ class Learner:
 
     def _follow(self, grads: dict) -> None:
         self.step += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        rate, root = np.float32(self.rate / (1 - 0.9**self.step)), np.float32(1 / math.sqrt(1 - 0.998**self.step))
         for k, g in grads.items():
-            first, second = self.first[k], self.second[k]
-            g = g * scale
-            first += np.float32(0.1) * (g - first)
-            second += np.float32(0.002) * (g * g - second)
-            w = getattr(self.net, k)
-            w -= np.float32(self.rate / (1 - 0.9**self.step)) * first / (np.sqrt(second / np.float32(1 - 0.998**self.step)) + np.float32(1e-8))
+            first, second, w = self.first[k], self.second[k], getattr(self.net, k)
+            g *= scale
+            change = np.subtract(g, first, out=self.net.room("change", *g.shape))
+            change *= np.float32(0.1)
+            first += change
+            g *= g
+            g -= second
+            g *= np.float32(0.002)
+            second += g
+            np.sqrt(second, out=g)
+            g *= root
+            g += np.float32(1e-8)
+            np.divide(first, g, out=change)
+            change *= rate
+            w -= change
 
 
 def _symbols(names: np.ndarray, bucket: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,8 +1,10 @@
 """The language model against plain loops: scores from the trained weights, keys, and what it learns from."""
 
 import math
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -151,3 +153,47 @@ def test_groups_of_texts_are_cut_alike(monkeypatch):
     whole = gru_lm._words(np.frombuffer(data, np.uint8), offsets)
     monkeypatch.setattr(gru_lm, "CACHED", 600)
     assert all((a == b).all() for a, b in zip(whole, gru_lm._words(np.frombuffer(data, np.uint8), offsets), strict=True))
+
+
+def test_windows_use_the_same_arrays():
+    """The first window makes the large arrays; others need a part of their memory."""
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, gru_lm.SYMBOLS, (2, 32, 256))
+    net, state = gru_lm.Gru(3), np.zeros((256, gru_lm.HIDDEN), np.float32)
+    net.learn(x, y, x < 9, state)
+    tracemalloc.start()
+    try:
+        net.learn(x, y, x < 9, state)
+        assert tracemalloc.get_traced_memory()[1] < 6 << 20
+    finally:
+        tracemalloc.stop()
+    assert not pickle.loads(pickle.dumps(net)).room.held
+
+
+def test_far_logits_and_rows_without_a_target():
+    rng = np.random.default_rng(6)
+    net, states = gru_lm.Gru(3), rng.uniform(-1, 1, (3000, gru_lm.HIDDEN)).astype(np.float32)
+    targets = np.where(rng.random(3000) < 0.2, -1, rng.choice([5, 70, 4000], 3000))
+    for far in (1, 400):
+        net.cls *= far
+        got, want = net.log_probs(states, targets)[0], np.zeros(3000)
+        for i, s in enumerate(targets):
+            c, k = divmod(int(s), gru_lm.PER_CLASS)
+            for logits, at in ((states[i].astype(float) @ net.cls, c), (states[i].astype(float) @ net.word[c], k)) if s >= 0 else ():
+                want[i] += logits[at] - logits.max() - math.log(np.exp(logits - logits.max()).sum())
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and not got[targets < 0].any()
+
+
+def test_look_up_in_parts(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = np.sort(rng.integers(-(2**63), 2**63, 5000))
+    words = np.unique(np.append(words, words[:300] + 1))
+    vocabulary = gru_lm.Vocabulary(words, np.arange(len(words)), np.arange(len(words)) - 7, *[None] * 5)
+    at = rng.integers(0, len(words), 3000)
+    names = np.concatenate([words[at], words[at] ^ (1 << 20)])
+    known = {w: i for i, w in enumerate(words.tolist())}
+    want = [known.get(w, -1) for w in names.tolist()]
+    for size in (gru_lm.CACHED, 8 * 11):
+        monkeypatch.setattr(gru_lm, "CACHED", size)
+        counts, symbols = vocabulary.look_up(names)
+        assert counts.tolist() == want and symbols.tolist() == [i - 7 if i >= 0 else -1 for i in want]
