@@ -199,7 +199,7 @@ def _exponents(logits: Callable[[], np.ndarray], at: np.ndarray) -> tuple[np.nda
 
 def _parts(x: np.ndarray) -> np.ndarray:
     """What belongs to the two gates and the candidate, one after the other; the gates' with the sign that exp(-x) needs."""
-    parts = np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).swapaxes(0, 1))
+    parts = x.reshape(len(x), 3, HIDDEN).swapaxes(0, 1).copy()  # of weights too, which must stay as they are
     np.negative(parts[:2], out=parts[:2])
     return parts
 

@@ -197,3 +197,17 @@ def test_look_up_in_parts(monkeypatch):
         monkeypatch.setattr(gru_lm, "CACHED", size)
         counts, symbols = vocabulary.look_up(names)
         assert counts.tolist() == want and symbols.tolist() == [i - 7 if i >= 0 else -1 for i in want]
+
+
+def test_weights_stay_as_they_are():
+    """Scoring and gradients leave all weights alone, shifts of the gates too, and scores follow from them."""
+    rng = np.random.default_rng(8)
+    net = gru_lm.Gru(3)
+    net.shift += rng.normal(0, 1, net.shift.shape).astype(np.float32)
+    symbols, sizes = rng.integers(0, gru_lm.SYMBOLS, 60), np.array([25, 35])
+    flat, want = gru_lm._flat(net), [plain(net, s) for s in np.split(symbols, [25])]
+    for _ in range(2):
+        assert gru_lm.score_texts(net, symbols, sizes) == pytest.approx(want, rel=1e-4)
+        assert (gru_lm._flat(net) == flat).all()
+        net.learn(symbols[:-1, None], symbols[1:, None], symbols[:-1, None] < 9, np.zeros((1, gru_lm.HIDDEN), np.float32))
+        assert (gru_lm._flat(net) == flat).all()
