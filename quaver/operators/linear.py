@@ -7,7 +7,8 @@ driver takes one step of limited-memory BFGS per model. The driver and a task ho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaver.operators.passes import dealt, sums
+from quaver.operators.passes import dealt, release, sums
 
 #: Entries of features that a block holds.
 ENTRIES = 1 << 20
@@ -80,9 +81,21 @@ def csr(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, at, entry
 
 
+#: Bytes of a batch that are unpacked at once.
+SLICE = 8 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of up to 64 MB in parts, so that arrays made of one stay small."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (condition, label, weight, features) as blocks of one condition."""
-    for batch in batches:
+    for batch in _slices(batches):
         conditions = np.array(batch.column(0).to_pylist(), dtype=object)
         label, weight = (np.asarray(batch.column(i).cast(pa.float64())) for i in (1, 2))
         rows, at, entry = csr(batch.column(3))
@@ -118,7 +131,7 @@ def _margins(rows: np.ndarray, at: np.ndarray, entry: np.ndarray, n: int, weight
     return np.column_stack([np.bincount(rows, entry * weights[at, j], minlength=n) + shift[j] for j in range(weights.shape[1])])
 
 
-def _targets(label: np.ndarray, classes: list[float], columns: int) -> np.ndarray:
+def targets(label: np.ndarray, classes: list[float], columns: int) -> np.ndarray:
     """+1 and -1 per column: the class of the column, or the second of two classes."""
     wanted = np.array(classes[-1:] if columns == 1 else classes)
     return np.where(label[:, None] == wanted, 1.0, -1.0)
@@ -153,7 +166,7 @@ def _pass(blocked: DataFrame, tasks: int, models: list[Model]) -> list[tuple[flo
                         continue
                     width = m.weights.shape[1]
                     z = _margins(rows, at, entry, len(label), m.weights, m.shift)
-                    loss, residual = loss_and_residual(m.spec.loss, z, _targets(label, m.classes, width))
+                    loss, residual = loss_and_residual(m.spec.loss, z, targets(label, m.classes, width))
                     residual *= weight[:, None]
                     value, slope, shift = totals.setdefault(j, (np.zeros(1), np.zeros_like(m.weights), np.zeros(width)))
                     value += float(loss @ weight)
@@ -168,6 +181,29 @@ def _pass(blocked: DataFrame, tasks: int, models: list[Model]) -> list[tuple[flo
     return [(float(v[0]), v[1:]) for v in (found.get(j, none[j]) for j in range(len(models)))]
 
 
+class _Pairs:
+    """The last MEMORY steps of a model with the changes of its slope, and one over their product.
+
+    Those of wide models are in a file that has no name: each is read twice a step, and a grid's are hundreds of megabytes.
+    """
+
+    def __init__(self):
+        self.held, self.products, self.file = None, [], None
+
+    def add(self, s: np.ndarray, y: np.ndarray) -> None:
+        if self.held is None and len(s) > 1 << 14:
+            self.file = tempfile.TemporaryFile()
+            self.held = np.memmap(self.file, np.float64, "w+", shape=(MEMORY, 2, len(s)))
+        elif self.held is None:
+            self.held = np.empty((MEMORY, 2, len(s)))
+        self.held[len(self.products) % MEMORY] = s, y
+        self.products.append(1.0 / float(s @ y))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        for n in range(max(0, len(self.products) - MEMORY), len(self.products)):
+            yield *np.asarray(self.held[n % MEMORY]), self.products[n]
+
+
 @dataclass
 class _Walk:
     """Where one model's descent stands."""
@@ -179,7 +215,7 @@ class _Walk:
     direction: np.ndarray | None = None
     reach: float = 1.0
     steps: int = 0
-    pairs: list = field(default_factory=list)
+    pairs: _Pairs = field(default_factory=lambda: _Pairs())
     first: float = 0.0
 
     def point(self) -> np.ndarray:
@@ -199,17 +235,18 @@ class _Walk:
     def turn(self) -> None:
         """Two-loop recursion over the kept pairs."""
         q, used = self.g.copy(), []
-        for s, y, r in reversed(self.pairs):
+        pairs = list(self.pairs)
+        for s, y, r in reversed(pairs):
             a = r * (s @ q)
             q -= a * y
             used.append(a)
-        if self.pairs:
-            s, y, r = self.pairs[-1]
+        if pairs:
+            s, y, r = pairs[-1]
             q /= r * (y @ y)
-        for (s, y, r), a in zip(self.pairs, reversed(used), strict=True):
+        for (s, y, r), a in zip(pairs, reversed(used), strict=True):
             q += s * (a - r * (y @ q))
         self.direction = -q
-        self.reach = 1.0 if self.pairs else 1.0 / max(1.0, float(np.linalg.norm(q)))
+        self.reach = 1.0 if pairs else 1.0 / max(1.0, float(np.linalg.norm(q)))
 
     def see(self, loss: float, gradient: np.ndarray, tolerance: float) -> bool:
         """Take in the value at the last point; true when the descent has ended."""
@@ -228,7 +265,7 @@ class _Walk:
                 return self.reach < 1e-12
             s, y = at - self.x, g - self.g
             if s @ y > 1e-12 * float(np.linalg.norm(s) * np.linalg.norm(y)):
-                self.pairs = [*self.pairs, (s, y, 1.0 / float(s @ y))][-MEMORY:]
+                self.pairs.add(s, y)
             self.x, self.f, self.g, self.steps = at, f, g, self.steps + 1
         if float(np.abs(self.g).max(initial=0)) <= tolerance * max(self.first, _SMALLEST) or self.steps >= self.model.spec.most_steps:
             return True
@@ -236,6 +273,21 @@ class _Walk:
         return False
 
 
+def _labels(blocked: DataFrame, most: int) -> dict[str, list[float]]:
+    """Labels of each condition, ``most`` in all at most, from the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = np.unique(np.frombuffer(batch.column(1)[k].as_buffer()))[:most]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own), pa.string()), pa.array(own)], ["condition", "label"])
+
+    seen: dict[str, list[float]] = {}
+    for r in blocked.select("condition", "label").mapInArrow(run, "condition STRING, label DOUBLE").distinct().limit(most).collect():
+        seen.setdefault(r["condition"], []).append(r["label"])
+    return {c: sorted(v) for c, v in seen.items()}
+
+
 def fit(rows: DataFrame, specs: list[Spec], sizes: dict[str, int] | int, tolerance: float = 1e-4) -> list[Model]:
     """Fit every spec on rows (condition, label, weight, features); ``sizes``: features of a condition, or of all.
 
@@ -245,30 +297,34 @@ def fit(rows: DataFrame, specs: list[Spec], sizes: dict[str, int] | int, toleran
     rows = rows.where("label IS NOT NULL AND features IS NOT NULL")
     blocked, tasks = dealt(blocks(rows), ["at", "entry"])
     try:
-        seen: dict[str, list[float]] = {}
-        known = rows.select("condition", F.col("label").cast("double").alias("label")).distinct().limit(MOST_CLASSES * max(1, len(specs)) + 1)
-        for r in known.collect():
-            seen.setdefault(r["condition"], []).append(r["label"])
-        walks = []
-        for spec in specs:
-            classes = sorted(seen.get(spec.condition, []))
-            if not classes:
-                raise ValueError(f"no training rows for {spec.name} ({spec.condition})")
-            if len(classes) > MOST_CLASSES:
-                raise ValueError(f"over {MOST_CLASSES} labels")
-            size = sizes if isinstance(sizes, int) else sizes[spec.condition]
-            width = len(classes) if spec.loss == "softmax" or len(classes) > 2 else 1
-            if spec.loss == "logistic" and width > 1:
-                spec = Spec(spec.name, "softmax", spec.condition, spec.c, spec.penalise_shift, spec.most_steps)
-            if len(classes) == 1:
-                width = 0
-            walks.append(_Walk(Model(spec, classes, np.zeros((size, width)), np.zeros(width)), np.zeros(size * width + width)))
-        moving = [w for w in walks if w.x.size]
-        while moving:
-            values = _pass(blocked, tasks, [w.place() for w in moving])
-            moving = [w for w, (loss, gradient) in zip(moving, values, strict=True) if not w.see(loss, gradient, tolerance)]
+        seen = _labels(blocked, MOST_CLASSES * max(1, len(specs)) + 1)
+        return descend(specs, seen, sizes, tolerance, lambda models: _pass(blocked, tasks, models))
     finally:
-        blocked.unpersist()
+        release(blocked)
+
+
+def descend(
+    specs: list[Spec], seen: dict[str, list[float]], sizes: dict[str, int] | int, tolerance: float, sums_at: Callable[[list[Model]], list[tuple[float, np.ndarray]]]
+) -> list[Model]:
+    """Models fitted by ``sums_at``, which gives the summed loss and flat gradient of models at their points; ``seen``: labels of a condition."""
+    walks = []
+    for spec in specs:
+        classes = seen.get(spec.condition, [])
+        if not classes:
+            raise ValueError(f"no training rows for {spec.name} ({spec.condition})")
+        if len(classes) > MOST_CLASSES:
+            raise ValueError(f"over {MOST_CLASSES} labels")
+        size = sizes if isinstance(sizes, int) else sizes[spec.condition]
+        width = len(classes) if spec.loss == "softmax" or len(classes) > 2 else 1
+        if spec.loss == "logistic" and width > 1:
+            spec = Spec(spec.name, "softmax", spec.condition, spec.c, spec.penalise_shift, spec.most_steps)
+        if len(classes) == 1:
+            width = 0
+        walks.append(_Walk(Model(spec, classes, np.zeros((size, width)), np.zeros(width)), np.zeros(size * width + width)))
+    moving = [w for w in walks if w.x.size]
+    while moving:
+        values = sums_at([w.place() for w in moving])
+        moving = [w for w, (loss, gradient) in zip(moving, values, strict=True) if not w.see(loss, gradient, tolerance)]
     out = []
     for w in walks:
         w.direction = None
@@ -280,10 +336,14 @@ def fit(rows: DataFrame, specs: list[Spec], sizes: dict[str, int] | int, toleran
 
 def scores(model: Model, rows: np.ndarray, at: np.ndarray, entry: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(predicted class, probability of the last class; NaN where the model gives none)."""
+    return decided(model, None if len(model.classes) == 1 else _margins(rows, at, entry, n, model.weights, model.shift), n)
+
+
+def decided(model: Model, z: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`scores` of ``n`` rows' margins, which a model of one class has none of."""
     classes = np.array(model.classes)
     if len(classes) == 1:
         return np.full(n, classes[0]), np.full(n, np.nan)
-    z = _margins(rows, at, entry, n, model.weights, model.shift)
     if z.shape[1] == 1:
         p = np.exp(-np.logaddexp(0.0, -z[:, 0])) if model.spec.loss == "logistic" else np.full(n, np.nan)
         return classes[(z[:, 0] > 0).astype(int)], p
@@ -300,7 +360,7 @@ def predict(rows: DataFrame, models: list[Model], keep: list[str]) -> DataFrame:
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             conditions = np.array(batch.column(n_keep).to_pylist(), dtype=object)
             rows, at, entry = csr(batch.column(n_keep + 1))
             for m in shared.value:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.operators.bounded import reuse
+from quaver.operators.bounded import reuse, swept
 
 #: Numbers of an array that travel together.
 CELL = 1 << 13
@@ -21,24 +21,34 @@ ROUNDS = 2
 _PART = "key INT, cell INT, task INT, total BINARY"
 
 
-def dealt(blocks: DataFrame, columns: list[str], task_bytes: int = TASK_BYTES, spread: bool = False) -> tuple[DataFrame, int]:
+def dealt(blocks: DataFrame, columns: list[str], task_bytes: int | None = None, spread: bool = False) -> tuple[DataFrame, int]:
     """Blocks kept in a task per ``task_bytes`` of ``columns``, in ROUNDS tasks a core at most, whatever the partitions of the input, and the number of tasks: passes are many and short.
 
-    With ``spread``, blocks of an input with fewer partitions are dealt out to as many tasks.
+    With ``spread``, blocks of an input with fewer partitions are dealt out to as many tasks. The caller gives them up by :func:`release`.
     """
-    kept = reuse(blocks)
+    kept, task_bytes = reuse(blocks), task_bytes or TASK_BYTES
     size = kept.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()[0] or 0
     # Each task returns whole arrays: more tasks than the cores need only make the sums larger.
     tasks = max(1, min(-(-size // task_bytes), ROUNDS * kept.sparkSession.sparkContext.defaultParallelism))
     parts = kept.rdd.getNumPartitions()
     if tasks == parts or tasks > parts and not spread:
         return kept, parts
-    other = reuse(kept.coalesce(tasks) if tasks < parts else kept.repartition(tasks))
+    if tasks < parts:
+        # A task goes over several kept partitions; a second copy of them would take their size again.
+        fewer = kept.coalesce(tasks)
+        fewer.kept_as = kept
+        return fewer, tasks
+    other = reuse(kept.repartition(tasks))
     other.count()
     kept.unpersist()
     return other, tasks
 
 
+def release(blocks: DataFrame) -> None:
+    """Give up the blocks of :func:`dealt`."""
+    getattr(blocks, "kept_as", blocks).unpersist()
+
+
 def sums(blocks: DataFrame, tasks: int, arrays: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
     """The arrays that ``arrays`` makes of each task's blocks, added up by key; all of a key have one length. ``blocks`` are in ``tasks`` partitions.
 
@@ -58,7 +68,9 @@ def sums(blocks: DataFrame, tasks: int, arrays: Callable[[Iterator[pa.RecordBatc
     parts = blocks.mapInArrow(run, _PART)
     if tasks > 1:
         parts = parts.repartition("key", "cell").sortWithinPartitions("key", "cell", "task").mapInArrow(_add, _PART)
-    found = sorted((r["key"], r["cell"], bytes(r["total"])) for r in parts.collect())
+    # A pass leaves as much in shuffle files as its tasks return, and there are many passes.
+    with swept(blocks.sparkSession):
+        found = sorted((r["key"], r["cell"], bytes(r["total"])) for r in parts.collect())
     out: dict[int, list] = {}
     for key, _, total in found:
         out.setdefault(key, []).append(np.frombuffer(total))

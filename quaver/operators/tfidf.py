@@ -87,29 +87,32 @@ def _same(a, b) -> bool:
     return a == b or (a != a and b != b)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """Groups of (keys, row, n-gram, tf, names of n-grams) from rows (key, text) in the order of their keys; rows that share a key are one."""
-    keys, rows, held = [], [], 0
+def counted(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[tuple[list, list[list], np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """Groups of (keys, their rows' values, row, n-gram, tf, names of n-grams) from rows (key, text, value or none) in the order of their keys; rows that share a key are one."""
+    keys, own, rows, held = [], [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        values = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for key, text, value in zip(batch.column(0).to_pylist(), batch.column(1), values, strict=True):
             text = text.as_py()
             words = Counter(text.split()) if text is not None else Counter()
             if keys and _same(keys[-1], key):
                 rows[-1].update(words)
+                own[-1].append(value)
                 continue
             if held >= HELD_LETTERS or len(rows) >= HELD_ROWS:
-                yield keys, *_grams(rows, low, high)
-                keys, rows, held = [], [], 0
+                yield keys, own, *_grams(rows, low, high)
+                keys, own, rows, held = [], [], [], 0
             keys.append(key)
+            own.append([value])
             rows.append(words)
             held += sum(map(len, words)) + len(words)
     if keys:
-        yield keys, *_grams(rows, low, high)
+        yield keys, own, *_grams(rows, low, high)
 
 
-def _by_key(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row, lower-cased text), rows that share an id next to each other in one partition."""
-    return df.select(row_id, F.lower(text).alias("__text")).repartition(row_id).sortWithinPartitions(row_id)
+def by_key(df: DataFrame, row_id: str, text: str, *others: str) -> DataFrame:
+    """(row, lower-cased text, others), rows that share an id next to each other in one partition."""
+    return df.select(row_id, F.lower(text).alias("__text"), *others).repartition(row_id).sortWithinPartitions(row_id)
 
 
 def term_counts(df: DataFrame, row_id: str, text: str = "text", low: int = 2, high: int = 4) -> DataFrame:
@@ -118,12 +121,12 @@ def term_counts(df: DataFrame, row_id: str, text: str = "text", low: int = 2, hi
     The texts are partitioned by row once; words are counted first and n-grams taken from distinct words, a bounded
     number of rows at a time, so that nothing but the texts is shuffled or sorted.
     """
-    texts = _by_key(df, row_id, text)
+    texts = by_key(df, row_id, text)
     out = T.StructType([texts.schema[row_id], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
     kind = to_arrow_type(texts.schema[row_id].dataType)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, row, gram, tf, terms in _counted(batches, low, high):
+        for keys, _, row, gram, tf, terms in counted(batches, low, high):
             names, ids = pa.array(terms, pa.string()), pa.array(keys, kind)
             for at in range(0, len(tf), ROWS_OUT):
                 part = slice(at, at + ROWS_OUT)
@@ -132,6 +135,29 @@ def term_counts(df: DataFrame, row_id: str, text: str = "text", low: int = 2, hi
     return texts.mapInArrow(count, out)
 
 
+def term_totals(df: DataFrame, row_id: str, level: Callable[[object], str | None] | None = None, text: str = "text", low: int = 2, high: int = 4) -> DataFrame:
+    """(level, term, tf, df): the sums of :func:`term_counts` over the rows of a level of their key, and in how many a term is.
+
+    Tasks add up a group of rows before anything is hashed or shuffled.
+    """
+    texts = by_key(df, row_id, text)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _, row, gram, tf, terms in counted(batches, low, high):
+            levels = [level(k) for k in keys] if level else [None] * len(keys)
+            names = pa.array(terms, pa.string())
+            for name in dict.fromkeys(levels):
+                mine = np.array([v == name for v in levels])[row]
+                rows = np.bincount(gram[mine], minlength=len(terms))
+                # Sums of doubles are exact: a task's tokens are far fewer than 2**53.
+                total = np.bincount(gram[mine], tf[mine], minlength=len(terms)).astype(np.int64)
+                have = np.flatnonzero(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(have), pa.string()), names.take(pa.array(have)), pa.array(total[have]), pa.array(rows[have])], ["level", "term", "tf", "df"])
+
+    parts = texts.mapInArrow(add, "level STRING, term STRING, tf BIGINT, df BIGINT")
+    return parts.groupBy("level", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
 def term_lists(df: DataFrame, row_id: str, entries: list[tuple], conditions: Callable[[object], list[int]] | None = None, text: str = "text") -> DataFrame:
     """(row, condition, indices, values): weights (1 + ln tf) * idf of each row's terms, scaled to unit length, sorted by index.
 
@@ -142,7 +168,7 @@ def term_lists(df: DataFrame, row_id: str, entries: list[tuple], conditions: Cal
     for term, index, idf, condition in entries:
         terms.setdefault(condition, {})[term] = (index, idf)
     shared = df.sparkSession.sparkContext.broadcast(terms)
-    texts = _by_key(df, row_id, text)
+    texts = by_key(df, row_id, text)
     out = T.StructType(
         [texts.schema[row_id], T.StructField("condition", T.IntegerType()), T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.DoubleType()))]
     )
@@ -150,7 +176,7 @@ def term_lists(df: DataFrame, row_id: str, entries: list[tuple], conditions: Cal
 
     def weigh_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for keys, row, gram, tf, terms in _counted(batches, 2, 4):
+        for keys, _, row, gram, tf, terms in counted(batches, 2, 4):
             ids, wanted = pa.array(keys, kind), [conditions(k) if conditions else [0] for k in keys]
             for c, vocabulary in known.items():
                 found = [vocabulary.get(t, (-1, 0.0)) for t in terms]
@@ -172,8 +198,9 @@ def term_lists(df: DataFrame, row_id: str, entries: list[tuple], conditions: Cal
 
 
 def vocabulary(counts: DataFrame, k: int = MAX_TERMS) -> DataFrame:
-    """The k most frequent terms with their document frequency."""
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("corpus_tf"), F.count(F.lit(1)).alias("df"))
+    """The k most frequent terms with their document frequency, from :func:`term_counts` or :func:`term_totals`."""
+    rows = F.sum("df") if "df" in counts.columns else F.count(F.lit(1))
+    totals = counts.groupBy("term").agg(F.sum("tf").alias("corpus_tf"), rows.alias("df"))
     return top_terms(totals, "term", "corpus_tf", k)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from quaver.operators.bounded import reuse
 from quaver.operators.linear import MOST_CLASSES
-from quaver.operators.passes import dealt, sums
+from quaver.operators.passes import dealt, release, sums
 
 BINS = 32
 #: Rows whose values set the bins.
@@ -403,7 +403,7 @@ def fit_forest(train: DataFrame, row_id: str, trees: int = 500, seed: int = 0) -
                         waiting.append((i, child, False))
     below = reuse(_grown(blocked, tops, width, k, seed, most))
     below.count()
-    blocked.unpersist()
+    release(blocked)
     return Forest(classes, edges, tops, below)
 
 
@@ -656,7 +656,7 @@ def fit_boosted(train: DataFrame, row_id: str, rounds: int = 500, depth: int = 2
         if r - begin == ROUNDS_KEPT:
             older, blocked = blocked, reuse(_with_margins(blocked, model, begin, width))
             blocked.count()
-            older.unpersist()
+            release(older)
             begin = r
         feature = np.full((k, (1 << depth) - 1), -1, np.int64)
         cut = np.zeros_like(feature)
@@ -687,7 +687,7 @@ def fit_boosted(train: DataFrame, row_id: str, rounds: int = 500, depth: int = 2
         model.feature.append(feature)
         model.cut.append(cut)
         model.leaf.append(leaf)
-    blocked.unpersist()
+    release(blocked)
     return model
 
 
