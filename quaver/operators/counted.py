@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quaver.operators import linear
-from quaver.operators.passes import dealt, release, sums
+from quaver.operators.bounded import swept
+from quaver.operators.passes import dealt, sums
 from quaver.operators.tfidf import by_key, counted
 
 
@@ -244,7 +245,9 @@ def fit(blocked: DataFrame, tasks: int, specs: list[linear.Spec], terms: Terms,
 
     seen: dict[str, set] = {}
     most = (linear.MOST_CLASSES + 1) * max(1, len(used))
-    for r in train.select("level", "label").mapInArrow(labels, "level STRING, label DOUBLE").distinct().limit(most).collect():
+    with swept(blocked.sparkSession):
+        found = train.select("level", "label").mapInArrow(labels, "level STRING, label DOUBLE").distinct().limit(most).collect()
+    for r in found:
         for condition in used["train", r["level"]]:
             seen.setdefault(condition, set()).add(r["label"])
     shared = blocked.sparkSession.sparkContext.broadcast(terms)
@@ -291,11 +294,8 @@ def _part(texts: Texts, role: str) -> DataFrame:
 
 
 def fit_texts(texts: Texts, spec: linear.Spec, tolerance: float = 1e-4) -> linear.Model:
-    blocked, tasks = dealt(_part(texts, "train"), list(_PACKED))
-    try:
-        return fit(blocked, tasks, [spec], texts.terms, ONE, tolerance)[0]
-    finally:
-        release(blocked)
+    blocked, tasks = dealt(_part(texts, "train"), list(_PACKED), settle=True)
+    return fit(blocked, tasks, [spec], texts.terms, ONE, tolerance)[0]
 
 
 def predict_texts(texts: Texts, model: linear.Model) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaver.operators.bounded import swept
 from quaver.operators.passes import dealt, release, sums
 
 #: Entries of features that a block holds.
@@ -184,7 +185,8 @@ def _pass(blocked: DataFrame, tasks: int, models: list[Model]) -> list[tuple[flo
 class _Pairs:
     """The last MEMORY steps of a model with the changes of its slope, and one over their product.
 
-    Those of wide models are in a file that has no name: each is read twice a step, and a grid's are hundreds of megabytes.
+    Those of wide models are in a file that has no name: each is read twice a step, and a grid's are hundreds of megabytes. They shape
+    steps only, so single precision will do there.
     """
 
     def __init__(self):
@@ -193,10 +195,11 @@ class _Pairs:
     def add(self, s: np.ndarray, y: np.ndarray) -> None:
         if self.held is None and len(s) > 1 << 14:
             self.file = tempfile.TemporaryFile()
-            self.held = np.memmap(self.file, np.float64, "w+", shape=(MEMORY, 2, len(s)))
+            self.held = np.memmap(self.file, np.float32, "w+", shape=(MEMORY, 2, len(s)))
         elif self.held is None:
             self.held = np.empty((MEMORY, 2, len(s)))
-        self.held[len(self.products) % MEMORY] = s, y
+        slot = len(self.products) % MEMORY
+        self.held[slot, 0], self.held[slot, 1] = s, y
         self.products.append(1.0 / float(s @ y))
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -283,7 +286,9 @@ def _labels(blocked: DataFrame, most: int) -> dict[str, list[float]]:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own), pa.string()), pa.array(own)], ["condition", "label"])
 
     seen: dict[str, list[float]] = {}
-    for r in blocked.select("condition", "label").mapInArrow(run, "condition STRING, label DOUBLE").distinct().limit(most).collect():
+    with swept(blocked.sparkSession):
+        found = blocked.select("condition", "label").mapInArrow(run, "condition STRING, label DOUBLE").distinct().limit(most).collect()
+    for r in found:
         seen.setdefault(r["condition"], []).append(r["label"])
     return {c: sorted(v) for c, v in seen.items()}
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.operators.bounded import reuse, swept
+from quaver.operators.bounded import reuse, settled, swept
 
 #: Numbers of an array that travel together.
 CELL = 1 << 13
@@ -21,13 +21,16 @@ ROUNDS = 2
 _PART = "key INT, cell INT, task INT, total BINARY"
 
 
-def dealt(blocks: DataFrame, columns: list[str], task_bytes: int | None = None, spread: bool = False) -> tuple[DataFrame, int]:
+def dealt(blocks: DataFrame, columns: list[str], task_bytes: int | None = None, spread: bool = False, settle: bool = False) -> tuple[DataFrame, int]:
     """Blocks kept in a task per ``task_bytes`` of ``columns``, in ROUNDS tasks a core at most, whatever the partitions of the input, and the number of tasks: passes are many and short.
 
     With ``spread``, blocks of an input with fewer partitions are dealt out to as many tasks. The caller gives them up by :func:`release`.
+    With ``settle`` they come from a checkpoint, and what they were made of may go.
     """
-    kept, task_bytes = reuse(blocks), task_bytes or TASK_BYTES
-    size = kept.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()[0] or 0
+    task_bytes = task_bytes or TASK_BYTES
+    with swept(blocks.sparkSession):
+        kept = settled(blocks) if settle else reuse(blocks)
+        size = kept.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()[0] or 0
     # Each task returns whole arrays: more tasks than the cores need only make the sums larger.
     tasks = max(1, min(-(-size // task_bytes), ROUNDS * kept.sparkSession.sparkContext.defaultParallelism))
     parts = kept.rdd.getNumPartitions()

@@ -76,9 +76,7 @@ def model_grid(spark, folder):
     noisy = noise_levels(parts.filter("split <> 'val'"), "row_id").select("row_id", "text", "label", F.col("split").alias("role"), "noise_level")
     copies = written(clean.unionByName(noisy))
     dropped(parts)
-    out = K.grid(copies, ["clean", "low", "medium", "high"], "row_id")
-    dropped(copies)
-    return out
+    return K.grid(copies, ["clean", "low", "medium", "high"], "row_id", drop=True)
 
 
 def _covered(models: list[str], classes: int = 2) -> str:

@@ -109,3 +109,14 @@ def test_pairs_of_wide_models_are_in_a_file():
         pairs.add(np.full(1 << 15, k + 1.0), np.ones(1 << 15))
     assert isinstance(pairs.held, np.memmap)
     assert [(s[0], y[-1], r) for s, y, r in pairs][:1] == [(4.0, 1.0, 1 / (4.0 * (1 << 15)))] and len(list(pairs)) == L.MEMORY
+
+
+def test_a_fit_makes_no_vectors_and_leaves_no_shuffles(texts, monkeypatch):
+    train, test = K.text_features(texts.where("row_id < 40"), [texts.where("row_id >= 40")], "row_id")
+    monkeypatch.setattr(K.linear, "blocks", None)
+    before = files(texts.sparkSession)
+    assert K.fit_linear("SVM", train).weights.any()
+    until = time.time() + 20
+    while files(texts.sparkSession) > before and time.time() < until:
+        time.sleep(0.2)
+    assert files(texts.sparkSession) <= before
