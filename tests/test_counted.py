@@ -120,3 +120,11 @@ def test_a_fit_makes_no_vectors_and_leaves_no_shuffles(texts, monkeypatch):
     while files(texts.sparkSession) > before and time.time() < until:
         time.sleep(0.2)
     assert files(texts.sparkSession) <= before
+
+
+def test_majority_is_beaten_without_vectors(texts, monkeypatch):
+    few = texts.where("row_id < 60 AND label IS NOT NULL").dropDuplicates(["row_id"])
+    train, test = K.text_features(few.where("row_id < 40"), [few.where("row_id >= 40")], "row_id")
+    for name in ("blocks", "predict"):
+        monkeypatch.setattr(K.linear, name, None)
+    assert [tuple(r) for r in K.beats_majority(K.fit_predict("SVM", train, test, "row_id")).collect()] == [("SVM", 20, True)]
