@@ -128,3 +128,12 @@ def test_majority_is_beaten_without_vectors(texts, monkeypatch):
     for name in ("blocks", "predict"):
         monkeypatch.setattr(K.linear, name, None)
     assert [tuple(r) for r in K.beats_majority(K.fit_predict("SVM", train, test, "row_id")).collect()] == [("SVM", 20, True)]
+
+
+def test_probabilities_come_without_vectors(texts, monkeypatch):
+    few = texts.where("row_id < 60 AND label IS NOT NULL").dropDuplicates(["row_id"])
+    train, test = K.text_features(few.where("row_id < 40"), [few.where("row_id >= 40")], "row_id")
+    for name in ("blocks", "predict"):
+        monkeypatch.setattr(K.linear, name, None)
+    found = K.fit_predict("LR", train, test, "row_id").collect()
+    assert len(found) == 20 and all((r.probability > 0.5) == (r.prediction == 1) == (r.label == 1) for r in found)
