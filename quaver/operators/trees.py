@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaver.operators.bounded import reuse
+from quaver.operators.bounded import reuse, settled
 from quaver.operators.linear import MOST_CLASSES
 from quaver.operators.passes import dealt, release, sums
 
@@ -33,6 +33,8 @@ WIDE, CELLS = 64, 1 << 20
 MOST_FEATURES = 4096
 #: Rounds of boosting after which margins are written into the blocks.
 ROUNDS_KEPT = 10
+#: Rounds after which those blocks are settled: plans hold the plans of the kept tables that theirs came from, and the driver keeps a plan for each pass.
+ROUNDS_SETTLED = 100
 #: Rows of a block in boosting, whose arrays of a pass stay in a core's cache, and bytes of bins that a task of a pass reads, in forests too:
 #: a pass does much for each row.
 BOOST_ROWS, BOOST_BYTES = 2048, 1 << 20
@@ -68,7 +70,13 @@ def bag_weights(seed: int, tree: int, keys: np.ndarray) -> np.ndarray:
 
 def bin_edges(rows: DataFrame, row_id: str) -> list[np.ndarray]:
     """Ascending cuts of each feature, a value above k of them is in bin k. From at most SAMPLE rows."""
-    sample = rows.select(F.xxhash64(row_id).alias("k"), vector_to_array("features").alias("v")).orderBy("k", "v").limit(SAMPLE).collect()
+    keyed = rows.select(F.xxhash64(row_id).alias("k"), vector_to_array("features").alias("v"))
+    # Each task returns as many rows as the sample has, so those that cannot be among the smallest go first; equal keys may leave too few.
+    n = rows.count()
+    below = min(2 * SAMPLE * (1 << 64) // max(1, n), (1 << 64) - 1) - (1 << 63)
+    sample = keyed.where(F.col("k") <= F.lit(below)).orderBy("k", "v").limit(SAMPLE).collect()
+    if len(sample) < min(n, SAMPLE):
+        sample = keyed.orderBy("k", "v").limit(SAMPLE).collect()
     if not sample:
         raise ValueError("no training rows")
     x = np.array([r["v"] for r in sample])
@@ -654,7 +662,8 @@ def fit_boosted(train: DataFrame, row_id: str, rounds: int = 500, depth: int = 2
     begin = 0
     for r in range(rounds):
         if r - begin == ROUNDS_KEPT:
-            older, blocked = blocked, reuse(_with_margins(blocked, model, begin, width))
+            older, made = blocked, _with_margins(blocked, model, begin, width)
+            blocked = reuse(made) if r % ROUNDS_SETTLED else settled(made)
             blocked.count()
             release(older)
             begin = r

@@ -169,3 +169,38 @@ def test_nodes_of_a_depth_are_split_together(monkeypatch, n, width, k, values, c
 
     assert shape(0) == plain_grow(77, bins, label, weight, k, 0, most)
     assert len(steps) < 100 and (n < 1000 or len(tree["feature"]) > 5 * len(steps))
+
+
+def test_bins_come_from_the_smallest_keys_and_few_rows_are_sorted(spark, monkeypatch):
+    frame = type(spark.range(1))
+    monkeypatch.setattr(R, "SAMPLE", 50)
+    many = spark.range(4000).select("id", array_to_vector(F.array(F.rand(3))).alias("features"))
+    alike = many.withColumn("id", F.lit(7))
+    wanted = [sorted((k, v[0]) for k, v in ((r.k, r.features) for r in df.select(F.xxhash64("id").alias("k"), "features").collect()))[:50] for df in (many, alike)]
+    sorted_rows, plain = [], frame.orderBy
+
+    def watched(self, *columns):
+        sorted_rows.append(self.count())
+        return plain(self, *columns)
+
+    monkeypatch.setattr(frame, "orderBy", watched)
+    for df, rows in zip((many, alike), wanted, strict=True):
+        values = np.unique([v for _, v in rows])
+        assert R.bin_edges(df, "id")[0].tolist() == np.unique(np.quantile(values if len(values) == 50 else [v for _, v in rows], np.arange(1, R.BINS) / R.BINS, method="lower")).tolist()
+    assert sorted_rows[0] < 400
+
+
+def test_plans_of_boosting_stay_short(rows, monkeypatch):
+    monkeypatch.setattr(R, "ROUNDS_KEPT", 1)
+    monkeypatch.setattr(R, "ROUNDS_SETTLED", 3, raising=False)
+    depths, slopes = [], R._slopes
+
+    def watched(blocked, *others):
+        depths.append(blocked._jdf.queryExecution().logical().toString().count("MapInArrow"))
+        return slopes(blocked, *others)
+
+    monkeypatch.setattr(R, "_slopes", watched)
+    long = R.fit_boosted(rows, "id", rounds=8)
+    assert len(depths) == 16 and max(depths) <= 4
+    monkeypatch.setattr(R, "ROUNDS_SETTLED", 100)
+    assert told(R.fit_boosted(rows, "id", rounds=8), rows, R.predict_boosted) == told(long, rows, R.predict_boosted)
