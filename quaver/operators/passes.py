@@ -29,7 +29,7 @@ def dealt(blocks: DataFrame, columns: list[str], task_bytes: int | None = None,
     """
     task_bytes = task_bytes or TASK_BYTES
     with swept(blocks.sparkSession):
-        kept = settled(blocks) if settle else reuse(blocks)
+        kept = settled(blocks.select("*")) if settle else reuse(blocks)
         size = kept.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()[0] or 0
     # Each task returns whole arrays: more tasks than the cores need only make the sums larger.
     tasks = max(1, min(-(-size // task_bytes), ROUNDS * kept.sparkSession.sparkContext.defaultParallelism))
@@ -68,11 +68,11 @@ def sums(blocks: DataFrame, tasks: int, arrays: Callable[[Iterator[pa.RecordBatc
             ids = [pa.array(v, pa.int32()) for v in ([key] * len(cells), range(len(cells)), [task] * len(cells))]
             yield pa.RecordBatch.from_arrays([*ids, pa.array([total[c : c + CELL].tobytes() for c in cells], pa.binary())], ["key", "cell", "task", "total"])
 
-    parts = blocks.mapInArrow(run, _PART)
-    if tasks > 1:
-        parts = parts.repartition("key", "cell").sortWithinPartitions("key", "cell", "task").mapInArrow(_add, _PART)
     # A pass leaves as much in shuffle files as its tasks return, and there are many passes.
     with swept(blocks.sparkSession):
+        parts = blocks.mapInArrow(run, _PART)
+        if tasks > 1:
+            parts = parts.repartition("key", "cell").sortWithinPartitions("key", "cell", "task").mapInArrow(_add, _PART)
         found = sorted((r["key"], r["cell"], bytes(r["total"])) for r in parts.collect())
     out: dict[int, list] = {}
     for key, _, total in found:
